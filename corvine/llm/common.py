@@ -56,3 +56,23 @@ def arrow_stage(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict] |
                 yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in part.items()})
 
     return df.mapInArrow(run, schema)
+
+
+#: Stands for a null doc_id where documents are compared by it.
+NO_ID = -(1 << 63)
+
+
+def one_per_id(docs: DataFrame) -> DataFrame:
+    """doc_id and text, without nulls: a null doc_id becomes NO_ID, a null text empty; of rows that share a doc_id the largest text stays.
+
+    Only doc_ids are shuffled, and the texts of those that repeat.
+    """
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    again = durable(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), 1)
+    if is_void(again):
+        return rows
+    return rows.join(again, "doc_id", "left_anti").unionByName(rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+
+
+def with_flags(texts: DataFrame, flags: DataFrame) -> DataFrame:
+    return texts.join(flags.select("doc_id", "ords"), "doc_id", "left")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, mixing, quality_crf
+from . import chunk_dedup, decontaminate, exact_dedup, language_id, mixing, quality_crf
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_chunk_dedup": chunk_dedup.op5_chunk_dedup,
     "op7_quality_crf": quality_crf.op7_quality_crf,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_language_id": language_id.op9_language_id,
