@@ -69,9 +69,9 @@ def _by_source(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """docs: doc_id, source, text and quality_weight. One row for each: doc_id, source, size, source_size, target, taken."""
+    """docs: doc_id, source, size and quality_weight. One row for each: doc_id, source, size, source_size, target, taken."""
     key = -F.log(draw(seed)) / F.coalesce("quality_weight", F.lit(1.0))
-    sized = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")))
+    sized = durable(docs.select("doc_id", "source", "size", key.alias("key")))
     targets = durable(source_targets(sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")), weights, share, most))
     # exp(-key) is about uniform, so ranges of it hold about equally many documents.
     d = _by_source(sized, targets).withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * F.ceil(F.col("n") / range_rows)))
@@ -88,9 +88,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 
 
 def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, source, text and quality_weight; of several marks of a document the best counts."""
+    """doc_id, source, size and quality_weight; of several marks of a document the best counts. Texts are counted before the join, which moves no text."""
     marks = labels.groupBy("doc_id").agg(F.max("quality").alias("_mark"))
-    marked = docs.select("doc_id", "source", "text").join(marks, "doc_id", "left")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    marked = sized.join(marks, "doc_id", "left")
     return marked.withColumn("quality_weight", F.when(F.col("_mark") == 1, GOOD).when(F.col("_mark") == 0, BAD).otherwise(UNMARKED)).drop("_mark")
 
 
