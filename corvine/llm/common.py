@@ -76,3 +76,13 @@ def one_per_id(docs: DataFrame) -> DataFrame:
 
 def with_flags(texts: DataFrame, flags: DataFrame) -> DataFrame:
     return texts.join(flags.select("doc_id", "ords"), "doc_id", "left")
+
+
+def one_row_per_id(docs: DataFrame) -> DataFrame:
+    """`docs` with all its columns; of rows that share a doc_id the one with the largest text stays."""
+    again = durable(docs.groupBy(F.col("doc_id").alias("_corvine_id")).count().where("count > 1").select("_corvine_id"), 1)
+    if is_void(again):
+        return docs
+    same = docs["doc_id"].eqNullSafe(again["_corvine_id"])
+    best = docs.join(again, same, "left_semi").groupBy("doc_id").agg(F.max_by(F.struct("*"), F.coalesce("text", F.lit(""))).alias("_corvine_row"))
+    return docs.join(again, same, "left_anti").unionByName(best.select("_corvine_row.*"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunk_dedup, decontaminate, exact_dedup, language_id, mixing, quality_crf
+from . import chunk_dedup, decontaminate, exact_dedup, language_id, line_dedup, mixing, quality_crf
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_quality_crf": quality_crf.op7_quality_crf,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_language_id": language_id.op9_language_id,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES = {
