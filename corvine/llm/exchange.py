@@ -66,9 +66,8 @@ def entries(key: np.ndarray, check: np.ndarray, doc: np.ndarray, ord_: np.ndarra
         later[first] = False
     else:
         later = ~lead
-    several = np.diff(np.append(first, len(key))) > 1 if within else np.zeros(len(first), dtype=bool)
-    if not within:
-        np.logical_or.at(several, group[later], True)
+    several = np.zeros(len(first), dtype=bool)
+    several[group[later]] = True
     shared = several[group]
     settled = np.flatnonzero(later | shared)
     if len(settled):
@@ -156,7 +155,7 @@ class Family:
 
     def _odd(self, key: int, check: int, doc: int, slot: int) -> None:
         found = self.odd.get((key, check))
-        # The key's own array may hold this very check under an earlier clash's rule; it doesn't: arrays hold the first check of a key.
+        # Arrays hold one check of each key, the first that came; entries with any other check of it are all here.
         if found is None:
             self.odd[key, check] = doc, slot
             return
@@ -178,7 +177,7 @@ def _ranges(n_buckets: int, wanted: int) -> Callable:
         if len(at):
             doc, ord_, flag = np.repeat(doc, many)[at], np.concatenate(ords)[at], flag[at]
             for rows in settled_rows(doc, ord_, flag, n_buckets):
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(4), rows.column(5), rows.column(3)], names=["bucket", "doc", "ord", "flag"])
+                yield to_bucket(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, family, docs, ords, manys = None, Family(), [], [], []
@@ -205,6 +204,16 @@ def _ranges(n_buckets: int, wanted: int) -> Callable:
     return run
 
 
+def to_bucket(rows: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([rows.column(0), rows.column(4), rows.column(5), rows.column(3)], names=["bucket", "doc", "ord", "flag"])
+
+
+def by_document(found: DataFrame) -> DataFrame:
+    """From rows of FOUND doc_id, ords (uint32, ascending) and flags (uint8, the largest of each ordinal)."""
+    n = width(found.sparkSession)
+    return found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_document, "doc_id long, ords binary, flags binary")
+
+
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows of FOUND, sorted by bucket, one row for each document: its flagged entries in order."""
 
@@ -213,7 +222,7 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((ord_, doc))
         doc, ord_, flag = doc[order], ord_[order], flag[order]
         new = runs_of(doc, ord_)
-        flag = np.bitwise_or.reduceat(flag, new)
+        flag = np.maximum.reduceat(flag, new)
         doc, ord_ = doc[new], ord_[new]
         starts = np.append(runs_of(doc), len(doc))
         for i in range(0, len(starts) - 1, 4096):
@@ -249,5 +258,4 @@ def flagged(docs: DataFrame, emit: Callable[[pa.RecordBatch], tuple[np.ndarray,
                 yield from entries(*got, n_ranges, n_buckets, within)
 
     rows = docs.mapInArrow(send, ENTRIES).repartition(n, "kind", "range").sortWithinPartitions("kind", "range")
-    found = rows.mapInArrow(_ranges(n_buckets, wanted), FOUND).repartition(n, "bucket").sortWithinPartitions("bucket")
-    return found.mapInArrow(_by_document, "doc_id long, ords binary, flags binary")
+    return by_document(rows.mapInArrow(_ranges(n_buckets, wanted), FOUND))
