@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chunk_dedup, decontaminate, exact_dedup, language_id, line_dedup, mixing, quality_crf, suffix_dedup
+from . import chunk_dedup, decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_lm, quality_crf, suffix_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_chunk_dedup": chunk_dedup.op5_chunk_dedup,
+    "op6_ngram_lm": ngram_lm.op6_ngram_lm,
     "op7_quality_crf": quality_crf.op7_quality_crf,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_language_id": language_id.op9_language_id,
