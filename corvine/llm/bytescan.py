@@ -73,6 +73,18 @@ class Hasher:
         _, down = self.powers.upto(len(sums))
         return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U) * U(0x9E3779B97F4A7C15))
 
+    def of(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of slices; start must ascend. Of a long array, prefix sums are made for a part at a time."""
+        if len(values) <= 2 * PIECE:
+            return self.slices(self.sums(values), start, end)
+        out, i = np.empty(len(start), dtype=U), 0
+        while i < len(start):
+            j = int(np.searchsorted(start, start[i] + PIECE))
+            low = int(start[i])
+            out[i:j] = self.slices(self.sums(values[low : int(end[i:j].max())]), start[i:j] - low, end[i:j] - low)
+            i = j
+        return out
+
 
 BYTES = Hasher(0xD6E8FEB86659FD93)
 WORDS = Hasher(0xA0761D6478BD642F)
@@ -141,7 +153,7 @@ def word_bounds(piece: Piece, belongs: np.ndarray, lowered: np.ndarray) -> tuple
 def words(piece: Piece, belongs: np.ndarray = NOT_BLANK) -> Words:
     lowered = LOWER[piece.data]
     start, end, of = word_bounds(piece, belongs, lowered)
-    return Words(start, end, of, BYTES.slices(BYTES.sums(lowered), start, end))
+    return Words(start, end, of, BYTES.of(lowered, start, end))
 
 
 def windows(w: Words, k: int, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

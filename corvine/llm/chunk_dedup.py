@@ -81,8 +81,8 @@ def _emit(batch: pa.RecordBatch):
         first = np.cumsum(counts) - counts
         owner = np.repeat(np.arange(len(piece)), counts)
         starts = np.concatenate(([0], ends[:-1]))
-        key = bs.BYTES.slices(bs.BYTES.sums(piece.data), starts, ends)
-        check = (CHECK.slices(CHECK.sums(piece.data), starts, ends) >> np.uint64(32)).astype(np.uint32)
+        key = bs.BYTES.of(piece.data, starts, ends)
+        check = (CHECK.of(piece.data, starts, ends) >> np.uint64(32)).astype(np.uint32)
         out.append((key, check, ids[piece.first + owner].astype(np.int64), np.arange(len(ends)) - first[owner]))
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
 

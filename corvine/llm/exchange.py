@@ -166,32 +166,49 @@ class Family:
             self.odd[key, check] = doc, slot
 
 
+class Outbox:
+    """Flagged entries on their way to the documents' buckets, sent a lot at a time: few rows, whatever the number of ranges."""
+
+    def __init__(self, n_buckets: int, size: int = 1 << 20):
+        self.n_buckets, self.size, self.held, self.n = n_buckets, size, [], 0
+
+    def put(self, doc: np.ndarray, ord_: np.ndarray, flag: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(doc):
+            self.held.append((doc, ord_, flag))
+            self.n += len(doc)
+        if self.n >= self.size:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            doc, ord_, flag = (np.concatenate([h[i] for h in self.held]) for i in range(3))
+            self.held, self.n = [], 0
+            for rows in settled_rows(doc, ord_, flag, self.n_buckets):
+                yield to_bucket(rows)
+
+
 def _ranges(n_buckets: int, wanted: int) -> Callable:
     """From rows of ENTRIES, sorted by kind and range, rows of FOUND: entries with a flag that is wanted."""
 
-    def finish(family: Family, docs: list, ords: list, manys: list) -> Iterator[pa.RecordBatch]:
-        doc = np.concatenate(docs)
+    def judged(family: Family, docs: list, ords: list, manys: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         many = np.concatenate(manys)
         flag = np.repeat(family.flags[: family.slots], many)
         at = np.flatnonzero(flag & wanted)
-        if len(at):
-            doc, ord_, flag = np.repeat(doc, many)[at], np.concatenate(ords)[at], flag[at]
-            for rows in settled_rows(doc, ord_, flag, n_buckets):
-                yield to_bucket(rows)
+        return np.repeat(np.concatenate(docs), many)[at], np.concatenate(ords)[at], flag[at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Outbox(n_buckets)
         now, family, docs, ords, manys = None, Family(), [], [], []
         for batch in batches:
             for r in batch.to_pylist():
                 if r["kind"]:
                     flag = np.frombuffer(r["check"], dtype=np.uint8)
                     at = np.flatnonzero(flag & wanted)
-                    if len(at):
-                        yield _table([(r["range"], pack(unpack(r["doc"], np.int64)[at]), pack(unpack(r["ord"], np.uint32)[at]), flag[at].tobytes())], ("bucket", "doc", "ord", "flag"))
+                    yield from out.put(unpack(r["doc"], np.int64)[at], unpack(r["ord"], np.uint32)[at], flag[at])
                     continue
                 if r["range"] != now:
                     if docs:
-                        yield from finish(family, docs, ords, manys)
+                        yield from out.put(*judged(family, docs, ords, manys))
                     now, family, docs, ords, manys = r["range"], Family(), [], [], []
                 key, check, doc = unpack(r["key"], np.uint64), unpack(r["check"], np.uint32), unpack(r["doc"], np.int64)
                 family.add(key, check, doc)
@@ -199,7 +216,8 @@ def _ranges(n_buckets: int, wanted: int) -> Callable:
                 ords.append(unpack(r["ord"], np.uint32))
                 manys.append(unpack(r["many"], np.uint32).astype(np.int64) if r["many"] else np.ones(len(doc), dtype=np.int64))
         if docs:
-            yield from finish(family, docs, ords, manys)
+            yield from out.put(*judged(family, docs, ords, manys))
+        yield from out.flush()
 
     return run
 
@@ -249,7 +267,7 @@ def flagged(docs: DataFrame, emit: Callable[[pa.RecordBatch], tuple[np.ndarray,
     emit: from a batch of `docs`, keys (uint64), checks (uint32), doc_ids (int64) and ordinals; a doc_id must be in one row of `docs` only.
     """
     n = width(docs.sparkSession)
-    n_ranges, n_buckets = 4 * n, 4 * n
+    n_ranges, n_buckets = 4 * n, n
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

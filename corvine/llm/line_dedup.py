@@ -56,8 +56,8 @@ def _hash_lines(batches):
         for piece in bs.pieces(batch.column("text")):
             _, _, a, b, of = text_lines(piece)
             low = bs.LOWER[piece.data]
-            key = LINES.slices(LINES.sums(low), a, b)
-            check = (CHECK.slices(CHECK.sums(low), a, b) >> np.uint64(32)).astype(np.uint32)
+            key = LINES.of(low, a, b)
+            check = (CHECK.of(low, a, b) >> np.uint64(32)).astype(np.uint32)
             for d in np.flatnonzero(np.diff(of) >= RUN).tolist():
                 x, y = of[d], of[d + 1]
                 rows.append((int(ids[piece.first + d]), key[x:y].tobytes(), check[x:y].tobytes()))

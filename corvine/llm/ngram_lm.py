@@ -47,7 +47,8 @@ from . import bytescan as bs
 from .common import shared_folder, table, width
 from .exchange import pack, runs_of, unpack
 
-PIECE = 16 << 20
+#: Tokens that are counted or scored at once.
+TOKENS = 2_000_000
 U = np.uint64
 START, END = U(0x5354415254), U(0x454E44)
 #: At most so many words are spread over the ranges, and a word must be one of so many tokens to be.
@@ -72,6 +73,20 @@ def token_pairs(piece: bs.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, second, doc
 
 
+def token_lots(column: pa.Array):
+    """Lots of about TOKENS pairs (first, second, text) and the number of texts of each; a text isn't cut."""
+    held, size, texts = [], 0, 0
+    for piece in bs.pieces(column):
+        first, second, doc = token_pairs(piece)
+        held.append((first, second, doc + texts))
+        size, texts = size + len(first), texts + len(piece)
+        if size >= TOKENS:
+            yield (*(np.concatenate(x) for x in zip(*held, strict=True)), texts)
+            held, size, texts = [], 0, 0
+    if held:
+        yield (*(np.concatenate(x) for x in zip(*held, strict=True)), texts)
+
+
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return bs.mix(first * U(0x9E3779B97F4A7C15) ^ bs.mix(second))
 
@@ -98,8 +113,7 @@ COUNTS = "range int, kind int, first binary, second binary, many binary"
 def _count(spread: np.ndarray, n_ranges: int):
     def run(batches):
         for batch in batches:
-            for piece in bs.pieces(batch.column("text"), PIECE):
-                first, second, _ = token_pairs(piece)
+            for first, second, _, _ in token_lots(batch.column("text")):
                 place = first_range(first, second, spread, n_ranges)
                 order = np.lexsort((second, first, place))
                 first, second, place = first[order], second[order], place[order]
@@ -296,9 +310,8 @@ class NgramModel:
         kept = np.maximum(before - self.word_discounts[np.minimum(before, 3)], 0) / max(self.pairs, 1)
         return kept + self.word_gamma / (self.words + 1)
 
-    def score(self, piece: bs.Piece) -> dict[str, np.ndarray]:
-        first, second, doc = token_pairs(piece)
-        n, texts = self.shelf.n_ranges, len(piece)
+    def score(self, first: np.ndarray, second: np.ndarray, doc: np.ndarray, texts: int) -> dict[str, np.ndarray]:
+        n = self.shelf.n_ranges
 
         words, at = np.unique(second, return_inverse=True)
         place = range_of(words, n)
@@ -348,8 +361,8 @@ def frequent_words(texts: DataFrame) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            for piece in bs.pieces(batch.column("text"), PIECE):
-                h, n = np.unique(token_pairs(piece)[0], return_counts=True)
+            for first, *_ in token_lots(batch.column("text")):
+                h, n = np.unique(first, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"word": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int64)), "tokens": pa.array(np.full(len(h), n.sum()), pa.int64())})
 
     rows = texts.count()
@@ -373,7 +386,7 @@ def score(docs: DataFrame, model: NgramModel) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            parts = [shared.value.score(piece) for piece in bs.pieces(batch.column("text"), PIECE)]
+            parts = [shared.value.score(*lot) for lot in token_lots(batch.column("text"))]
             cols = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in ("n_tokens", "n_known", "base_score", "score")]
             yield pa.RecordBatch.from_arrays([pc.cast(batch.column("doc_id"), pa.int64()), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 

@@ -74,8 +74,7 @@ def line_features(piece: bs.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kinds = [inside(k[data]) for k in _KINDS]
     n_words, n_again, n_marks, ends = inside(begins[:-1] > 0), inside(again), inside(table_like), inside((data == 46) | (data == 63) | (data == 44))
     length, letters = np.maximum(size, 1), np.maximum(kinds[0] + kinds[1] + kinds[4], 1)
-    sums = bs.BYTES.sums(data)
-    hashes = bs.BYTES.slices(sums, start, end)
+    hashes = bs.BYTES.of(data, start, end)
     twin = np.zeros(len(start), dtype=bool)
     if len(start) > 1:
         twin[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])

@@ -39,11 +39,13 @@ from pyspark.sql import functions as F
 from . import bytescan as bs
 from .chunk_dedup import GEAR
 from .common import NO_ID, durable, one_per_id, table, width
-from .exchange import FOUND, LATER, SHARED, by_document, flagged, pack, runs_of, settled_rows, to_bucket, unpack
+from .exchange import FOUND, LATER, SHARED, Outbox, by_document, flagged, pack, runs_of, settled_rows, unpack
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1
 _TOP = np.uint32(0xFFFFFFFF)
+#: Strings that are gathered before they become a suffix array.
+BATCH = 1 << 18
 STRETCHES = "range int, kind int, doc binary, start binary, many binary, bytes binary"
 
 
@@ -92,7 +94,7 @@ def _emit_grams(batch: pa.RecordBatch):
     ids, out = batch.column("doc_id").to_numpy(), []
     for piece in bs.pieces(batch.column("text")):
         g = Grams(piece)
-        key = bs.BYTES.slices(bs.BYTES.sums(piece.data), g.at, g.at + GRAM)
+        key = bs.BYTES.of(piece.data, g.at, g.at + GRAM)
         # A filter only, so 48 bits do.
         out.append((key & np.uint64(0xFFFFFFFFFFFF0000), np.zeros(len(key), dtype=np.uint32), ids[piece.first + g.doc].astype(np.int64), g.at - piece.offsets[g.doc]))
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
@@ -113,7 +115,7 @@ def _stretches(piece: bs.Piece, shared: list) -> tuple[np.ndarray, ...]:
         first[ok & (first < 0)] = p[ok & (first < 0)]
     full = first >= 0
     at, doc, first, last = at[full], doc[full], first[full], last[full]
-    return bs.BYTES.slices(bs.BYTES.sums(piece.data), at, at + GRAM), doc, first, last
+    return bs.BYTES.of(piece.data, at, at + GRAM), doc, first, last
 
 
 def _send_stretches(n_ranges: int, n_buckets: int):
@@ -124,8 +126,9 @@ def _send_stretches(n_ranges: int, n_buckets: int):
             base = 0
             for piece in bs.pieces(texts):
                 key, doc, first, last = _stretches(piece, shared[piece.first : piece.first + len(piece)])
-                sums = bs.BYTES.sums(piece.data)
-                whole = bs.BYTES.slices(sums, first, last + LENGTH)
+                by_start = np.argsort(first, kind="stable")
+                whole = np.empty(len(first), dtype=np.uint64)
+                whole[by_start] = bs.BYTES.of(piece.data, first[by_start], last[by_start] + LENGTH)
                 parts.append((key, whole, ids[piece.first + doc].astype(np.int64), first - piece.offsets[doc], last - first + 1, first + base))
                 raw.append(piece.data)
                 base += len(piece.data)
@@ -223,37 +226,49 @@ def strings_of(data: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def _ranges(n_buckets: int):
-    def finish(family: SuffixFamily, kept: list):
+    """Rows of FOUND from rows of STRETCHES that are sorted by kind and range."""
+
+    def covered(family: SuffixFamily, kept: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         later = family.verdict()
         doc, start, many = (np.concatenate([k[i] for k in kept]) for i in range(3))
         of = np.repeat(np.arange(len(many)), many)
         place = np.arange(len(later)) - np.repeat(np.cumsum(many) - many, many)
         on = np.flatnonzero(later)
-        if not len(on):
-            return
         # Runs of covered strings of one stretch: one range of bytes each.
-        head = np.concatenate(([True], (np.diff(on) > 1) | (of[on[1:]] != of[on[:-1]])))
+        head = np.ones(len(on), dtype=bool)
+        head[1:] = (np.diff(on) > 1) | (of[on[1:]] != of[on[:-1]])
         first = np.flatnonzero(head)
-        a, b = on[first], on[np.append(first[1:], len(on)) - 1]
-        for rows in settled_rows(doc[of[a]], start[of[a]] + place[a], (place[b] - place[a] + LENGTH).astype(np.uint8), n_buckets):
-            yield to_bucket(rows)
+        a, b = on[first], on[np.append(first[1:], len(on)) - 1] if len(on) else on
+        return doc[of[a]], start[of[a]] + place[a], (place[b] - place[a] + LENGTH).astype(np.uint8)
 
     def run(batches):
-        now, family, kept = None, SuffixFamily(), []
+        out = Outbox(n_buckets)
+        now, family, kept, waiting = None, SuffixFamily(), [], []
+
+        def index():
+            if waiting:
+                family.add(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]))
+                waiting.clear()
+
         for batch in batches:
             for r in batch.to_pylist():
                 if r["kind"]:
-                    yield pa.RecordBatch.from_arrays([pa.array([r["range"]], pa.int32()), *[pa.array([r[k]], pa.binary()) for k in ("doc", "start", "many")]], names=["bucket", "doc", "ord", "flag"])
+                    yield from out.put(unpack(r["doc"], np.int64), unpack(r["start"], np.uint32).astype(np.int64), np.frombuffer(r["many"], dtype=np.uint8))
                     continue
                 if r["range"] != now:
+                    index()
                     if kept:
-                        yield from finish(family, kept)
+                        yield from out.put(*covered(family, kept))
                     now, family, kept = r["range"], SuffixFamily(), []
                 doc, start, many = unpack(r["doc"], np.int64), unpack(r["start"], np.uint32).astype(np.int64), np.frombuffer(r["many"], dtype=np.uint8).astype(np.int64)
-                family.add(strings_of(np.frombuffer(_zstd()[1].decompress(r["bytes"]), dtype=np.uint8), many), np.repeat(doc, many))
+                waiting.append((strings_of(np.frombuffer(_zstd()[1].decompress(r["bytes"]), dtype=np.uint8), many), np.repeat(doc, many)))
                 kept.append((doc, start, many))
+                if sum(len(w[0]) for w in waiting) >= BATCH:
+                    index()
+        index()
         if kept:
-            yield from finish(family, kept)
+            yield from out.put(*covered(family, kept))
+        yield from out.flush()
 
     return run
 
@@ -291,7 +306,7 @@ def _cut(batches):
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """One row for each doc_id: n_bytes, n_removed, n_spans and kept, the bytes left."""
     n = width(docs.sparkSession)
-    n_ranges, n_buckets = 4 * n, 4 * n
+    n_ranges, n_buckets = 4 * n, n
     texts = one_per_id(docs)
     same = texts.select("doc_id", F.octet_length("text").alias("size"), F.unhex(F.md5("text")).alias("digest"), F.xxhash64("text").alias("digest2"))
     keys = ["size", "digest", "digest2"]
