@@ -8,11 +8,14 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Arrow batches of this size at most, so that a worker's memory follows neither row widths nor Spark's default of 64 MB.
+BATCH_BYTES = "16m"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds a zip of the package to the application, once; Spark hands it to every executor."""
+    """Adds a zip of the package to the application, once; Spark hands it to every executor. Bounds the session's Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
