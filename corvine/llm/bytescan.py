@@ -120,6 +120,37 @@ def pieces(column: pa.Array, size: int = PIECE) -> Iterator[Piece]:
         at = to
 
 
+def unpacked(column: pa.Array, decompress, size: int = PIECE) -> Iterator[Piece]:
+    """Pieces of compressed texts."""
+    held, total, first = [], 0, 0
+    for i, x in enumerate(column):
+        held.append(decompress(x.as_buffer()))
+        total += len(held[-1])
+        if total >= size or i + 1 == len(column):
+            yield Piece(np.frombuffer(b"".join(held), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(h) for h in held]))).astype(np.int64), first)
+            held, total, first = [], 0, i + 1
+
+
+def order_within(group: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Order by group, then by key; groups are small numbers, so the second sort is a radix sort."""
+    order = np.argsort(key)
+    small = group.astype(np.uint16) if len(group) and group.max() < 1 << 16 else group
+    return order[np.argsort(small[order], kind="stable")]
+
+
+def order_by(key: np.ndarray, *rest: np.ndarray) -> np.ndarray:
+    """Order by key, then by rest; fast where few keys are equal."""
+    order = np.argsort(key)
+    k = key[order]
+    same = np.zeros(len(k) + 1, dtype=bool)
+    same[1:-1] = k[1:] == k[:-1]
+    at = np.flatnonzero(same[1:] | same[:-1])
+    if len(at):
+        some = order[at]
+        order[at] = some[np.lexsort((*(r[some] for r in rest[::-1]), key[some]))]
+    return order
+
+
 @dataclass
 class Words:
     """start, end: byte ranges of the words; of[i]: first word of text i; hash: of the lower-cased words."""

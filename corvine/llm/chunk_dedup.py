@@ -90,9 +90,9 @@ def _emit(batch: pa.RecordBatch):
 def _decide(batches):
     """doc_id, text and the flagged ordinals -> the kept text and counts."""
     for batch in batches:
-        rows = []
-        ords = batch.column("ords")
+        ids, ords = batch.column("doc_id"), batch.column("ords")
         for piece in bs.pieces(batch.column("text")):
+            rows = []
             ends, counts = chunk_ends(piece)
             first = np.cumsum(counts) - counts
             for d in range(len(piece)):
@@ -112,8 +112,8 @@ def _decide(batches):
                     at = y
                 kept.append(piece.data[at:b].tobytes())
                 rows.append((len(mine), len(raw) // 4 if raw else 0, b - a, sum(y - x for x, y in spans), len(spans), b"".join(kept)))
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())], names=["doc_id", "n_chunks", "n_duplicate", "n_bytes", "n_removed", "n_spans", "kept"])
+            cols = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([ids.slice(piece.first, len(piece)), *[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())], names=["doc_id", "n_chunks", "n_duplicate", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 KEPT = "doc_id long, n_chunks long, n_duplicate long, n_bytes long, n_removed long, n_spans long, kept binary"

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bytescan as bs
 from .common import width
 
 LATER, SHARED = 1, 2
@@ -56,7 +57,7 @@ def entries(key: np.ndarray, check: np.ndarray, doc: np.ndarray, ord_: np.ndarra
 
     within: a document's later entry with a key that it already had counts as later, too.
     """
-    order = np.lexsort((ord_, doc, check, key))
+    order = bs.order_by(key, check, doc, ord_)
     key, check, doc, ord_ = key[order], check[order], doc[order], ord_[order]
     first = runs_of(key, check)
     group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))

@@ -46,6 +46,8 @@ SPAN = LENGTH - GRAM + 1
 _TOP = np.uint32(0xFFFFFFFF)
 #: Strings that are gathered before they become a suffix array.
 BATCH = 1 << 18
+#: Bytes of text whose stretches are compared before they are sent.
+LOT = 32 << 20
 STRETCHES = "range int, kind int, doc binary, start binary, many binary, bytes binary"
 
 
@@ -119,12 +121,38 @@ def _stretches(piece: bs.Piece, shared: list) -> tuple[np.ndarray, ...]:
 
 
 def _send_stretches(n_ranges: int, n_buckets: int):
+    def send(parts: list, raw: list):
+        key, whole, doc, start, many, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        data = np.concatenate(raw)
+        order = bs.order_by(key, whole, doc)
+        key, whole, doc, start, many, at = (x[order] for x in (key, whole, doc, start, many, at))
+        # Equal hashes of stretches are believed only if the bytes are equal, too.
+        groups = runs_of(key, whole)
+        lead = np.repeat(groups, np.diff(np.append(groups, len(key))))
+        later = np.flatnonzero((doc > doc[lead]) & (many == many[lead]))
+        same = [data[at[i] : at[i] + many[i] + LENGTH - 1].tobytes() == data[at[j] : at[j] + many[i] + LENGTH - 1].tobytes() for i, j in zip(later.tolist(), lead[later].tolist(), strict=True)]
+        later = later[np.array(same, dtype=bool)]
+        if len(later):
+            for rows in settled_rows(doc[later], start[later], (many[later] + LENGTH - 1).astype(np.uint8), n_buckets):
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(4), rows.column(5), rows.column(3), pa.nulls(len(rows), pa.binary())], names=["range", "kind", "doc", "start", "many", "bytes"])
+        sent = np.ones(len(key), dtype=bool)
+        sent[later] = False
+        key, doc, start, many, at = (x[sent] for x in (key, doc, start, many, at))
+        place = (key >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)
+        cuts = np.append(runs_of(place), len(place))
+        rows = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            size = many[a:b] + LENGTH - 1
+            take = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[a:b], size)
+            rows.append((int(place[a]), 0, pack(doc[a:b]), pack(start[a:b].astype(np.uint32)), many[a:b].astype(np.uint8).tobytes(), _zstd()[0].compress(data[take].tobytes())))
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["range", "kind", "doc", "start", "many", "bytes"])
+
     def run(batches):
+        parts, raw, base = [], [], 0
         for batch in batches:
-            ids, shared, parts, raw = batch.column("doc_id").to_numpy(), batch.column("ords").to_pylist(), [], []
-            texts = pa.array([_zstd()[1].decompress(x).decode() for x in batch.column("packed").to_pylist()], pa.string())
-            base = 0
-            for piece in bs.pieces(texts):
+            ids, shared = batch.column("doc_id").to_numpy(), batch.column("ords").to_pylist()
+            for piece in bs.unpacked(batch.column("packed"), _zstd()[1].decompress):
                 key, doc, first, last = _stretches(piece, shared[piece.first : piece.first + len(piece)])
                 by_start = np.argsort(first, kind="stable")
                 whole = np.empty(len(first), dtype=np.uint64)
@@ -132,32 +160,11 @@ def _send_stretches(n_ranges: int, n_buckets: int):
                 parts.append((key, whole, ids[piece.first + doc].astype(np.int64), first - piece.offsets[doc], last - first + 1, first + base))
                 raw.append(piece.data)
                 base += len(piece.data)
-            if not parts:
-                continue
-            key, whole, doc, start, many, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            data = np.concatenate(raw)
-            order = np.lexsort((doc, whole, key))
-            key, whole, doc, start, many, at = (x[order] for x in (key, whole, doc, start, many, at))
-            # Equal hashes of stretches are believed only if the bytes are equal, too.
-            groups = runs_of(key, whole)
-            lead = np.repeat(groups, np.diff(np.append(groups, len(key))))
-            later = np.flatnonzero(doc > doc[lead])
-            later = later[[many[i] == many[j] and bytes(data[at[i] : at[i] + many[i] + LENGTH - 1]) == bytes(data[at[j] : at[j] + many[j] + LENGTH - 1]) for i, j in zip(later.tolist(), lead[later].tolist(), strict=True)]] if len(later) else later
-            if len(later):
-                for rows in settled_rows(doc[later], start[later], (many[later] + LENGTH - 1).astype(np.uint8), n_buckets):
-                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(4), rows.column(5), rows.column(3), pa.nulls(len(rows), pa.binary())], names=["range", "kind", "doc", "start", "many", "bytes"])
-            sent = np.ones(len(key), dtype=bool)
-            sent[later] = False
-            key, doc, start, many, at = (x[sent] for x in (key, doc, start, many, at))
-            place = (key >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)
-            cuts = np.append(runs_of(place), len(place))
-            rows = []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                size = many[a:b] + LENGTH - 1
-                take = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[a:b], size)
-                rows.append((int(place[a]), 0, pack(doc[a:b]), pack(start[a:b].astype(np.uint32)), many[a:b].astype(np.uint8).tobytes(), _zstd()[0].compress(data[take].tobytes())))
-            kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["range", "kind", "doc", "start", "many", "bytes"])
+                if base >= LOT:
+                    yield from send(parts, raw)
+                    parts, raw, base = [], [], 0
+        if parts:
+            yield from send(parts, raw)
 
     return run
 
@@ -281,7 +288,7 @@ def _pack_texts(batches):
 
 def _cut(batches):
     for batch in batches:
-        rows = []
+        rows, size, at_row = [], 0, 0
         for packed, is_copy, ords, sizes in zip(*[batch.column(c).to_pylist() for c in ("packed", "is_copy", "ords", "flags")], strict=True):
             text = _zstd()[1].decompress(packed)
             n = len(text)
@@ -299,8 +306,11 @@ def _cut(batches):
                 at = b
             kept.append(text[at:])
             rows.append((n, sum(b - a for a, b in spans), len(spans), b"".join(kept)))
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            size += n
+            if size >= 8 * bs.PIECE or at_row + len(rows) == len(batch):
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at_row, len(rows)), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                rows, size, at_row = [], 0, at_row + len(rows)
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
