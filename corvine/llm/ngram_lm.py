@@ -47,8 +47,8 @@ from . import bytescan as bs
 from .common import shared_folder, table, width
 from .exchange import pack, runs_of, unpack
 
-#: Tokens that are counted or scored at once.
-TOKENS = 2_000_000
+#: Tokens that are counted and scored at once.
+COUNTED, SCORED = 2_000_000, 1_000_000
 U = np.uint64
 START, END = U(0x5354415254), U(0x454E44)
 #: At most so many words are spread over the ranges, and a word must be one of so many tokens to be.
@@ -73,16 +73,17 @@ def token_pairs(piece: bs.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, second, doc
 
 
-def token_lots(column: pa.Array):
-    """Lots of about TOKENS pairs (first, second, text) and the number of texts of each; a text isn't cut."""
+def token_lots(columns, least: int):
+    """Lots of `least` or more pairs (first, second, text) and the number of texts of each; a text isn't cut."""
     held, size, texts = [], 0, 0
-    for piece in bs.pieces(column):
-        first, second, doc = token_pairs(piece)
-        held.append((first, second, doc + texts))
-        size, texts = size + len(first), texts + len(piece)
-        if size >= TOKENS:
-            yield (*(np.concatenate(x) for x in zip(*held, strict=True)), texts)
-            held, size, texts = [], 0, 0
+    for column in columns:
+        for piece in bs.pieces(column):
+            first, second, doc = token_pairs(piece)
+            held.append((first, second, doc + texts))
+            size, texts = size + len(first), texts + len(piece)
+            if size >= least:
+                yield (*(np.concatenate(x) for x in zip(*held, strict=True)), texts)
+                held, size, texts = [], 0, 0
     if held:
         yield (*(np.concatenate(x) for x in zip(*held, strict=True)), texts)
 
@@ -91,6 +92,11 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return bs.mix(first * U(0x9E3779B97F4A7C15) ^ bs.mix(second))
 
 
+def joint(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A sort key: high halves of both tokens' hashes."""
+    return (first & U(0xFFFFFFFF00000000)) | second >> U(32)
+
+
 def range_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((bs.mix(h) >> U(32)) * U(n) >> U(32)).astype(np.int64)
 
@@ -112,14 +118,13 @@ COUNTS = "range int, kind int, first binary, second binary, many binary"
 
 def _count(spread: np.ndarray, n_ranges: int):
     def run(batches):
-        for batch in batches:
-            for first, second, _, _ in token_lots(batch.column("text")):
-                place = first_range(first, second, spread, n_ranges)
-                order = np.lexsort((second, first, place))
-                first, second, place = first[order], second[order], place[order]
-                new = runs_of(first, second)
-                many = np.diff(np.append(new, len(first))).astype(np.uint32)
-                yield _cut_rows(0, place[new], [first[new], second[new], many], ["first", "second", "many"])
+        for first, second, _, _ in token_lots((b.column("text") for b in batches), COUNTED):
+            place = first_range(first, second, spread, n_ranges)
+            order = bs.order_within(place, joint(first, second))
+            first, second, place = first[order], second[order], place[order]
+            new = runs_of(first, second)
+            many = np.diff(np.append(new, len(first))).astype(np.uint32)
+            yield _cut_rows(0, place[new], [first[new], second[new], many], ["first", "second", "many"])
 
     return run
 
@@ -184,11 +189,12 @@ def _tally(values: np.ndarray) -> list[int]:
 
 
 def _first_ranges(shelf: Shelf, spread: np.ndarray):
-    """Adds up the pairs of a range, stores them, and sends on what second tokens need."""
+    """Adds up the pairs of a range, stores them, and sends on what second tokens need, of many ranges together."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def finish(i: int, parts: list):
         first, second, many = (np.concatenate([p[j] for p in parts]) for j in range(3))
-        order = np.lexsort((second, first))
+        order = bs.order_by(joint(first, second), first, second)
         first, second, many = first[order], second[order], many[order].astype(np.int64)
         new = runs_of(first, second)
         many = np.add.reduceat(many, new)
@@ -202,15 +208,22 @@ def _first_ranges(shelf: Shelf, spread: np.ndarray):
         shelf.write("first", i, key=first[heads][own], **{k: s[own].astype(np.int64) for k, s in zip(("many", "one", "two", "more"), sums, strict=True)})
         yield _stat_row(2, np.array(_tally(many), dtype=np.int64))
         if not own.all():
-            held = [x[~own] for x in (first[heads], *sums)]
-            yield _stat_row(3, held[0], np.concatenate(held[1:]).astype(np.int64))
-        order = np.lexsort((second, range_of(second, shelf.n_ranges)))
-        second, many = second[order], many[order]
-        new = runs_of(second)
-        before = np.diff(np.append(new, len(second)))
-        yield _cut_rows(1, range_of(second[new], shelf.n_ranges), [second[new], before.astype(np.uint32), np.add.reduceat(many, new)], ["second", "before", "many"])
+            yield _stat_row(3, first[heads][~own], np.concatenate([s[~own] for s in sums]).astype(np.int64))
+        held.append((second, many))
+        if sum(len(h[0]) for h in held) >= COUNTED:
+            yield from passed_on()
 
-    return _by_range(finish, ("first", "second", "many"), (np.uint64, np.uint64, np.uint32))
+    def passed_on():
+        if held:
+            second, many = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = bs.order_within(range_of(second, shelf.n_ranges), second)
+            second, many = second[order], many[order]
+            new = runs_of(second)
+            before = np.diff(np.append(new, len(second)))
+            yield _cut_rows(1, range_of(second[new], shelf.n_ranges), [second[new], before.astype(np.uint32), np.add.reduceat(many, new)], ["second", "before", "many"])
+
+    return _by_range(finish, ("first", "second", "many"), (np.uint64, np.uint64, np.uint32), at_end=passed_on)
 
 
 def _stat_row(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
@@ -219,7 +232,7 @@ def _stat_row(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([kind], pa.int32()), *[pa.array([x], pa.binary()) for x in packed]], names=["range", "kind", "second", "before", "many"])
 
 
-def _by_range(finish, names: tuple[str, ...], dtypes: tuple, passed: tuple[int, ...] = ()):
+def _by_range(finish, names: tuple[str, ...], dtypes: tuple, passed: tuple[int, ...] = (), at_end=None):
     """Collects the rows of one range at a time, sorted by kind and range; rows of kinds in `passed` go through."""
 
     def run(batches):
@@ -238,6 +251,8 @@ def _by_range(finish, names: tuple[str, ...], dtypes: tuple, passed: tuple[int,
                 parts.append([unpack(r[k], t) for k, t in zip(names, dtypes, strict=True)])
         if parts:
             yield from finish(now, parts)
+        if at_end:
+            yield from at_end()
 
     return run
 
@@ -245,7 +260,7 @@ def _by_range(finish, names: tuple[str, ...], dtypes: tuple, passed: tuple[int,
 def _second_ranges(shelf: Shelf):
     def finish(i: int, parts: list):
         second, before, many = (np.concatenate([p[j] for p in parts]).astype(t) for j, t in enumerate((np.uint64, np.int64, np.int64)))
-        order = np.argsort(second, kind="stable")
+        order = np.argsort(second)
         new = runs_of(second[order])
         before, many = np.add.reduceat(before[order], new), np.add.reduceat(many[order], new)
         shelf.write("second", i, key=second[order][new], before=before, many=many)
@@ -284,7 +299,7 @@ class NgramModel:
         """From the column text of the training rows."""
         spark = texts.sparkSession
         n = width(spark)
-        shelf = Shelf(f"{shared_folder(spark)}/corvine/lm-{uuid.uuid4().hex}", 4 * n)
+        shelf = Shelf(f"{shared_folder(spark)}/corvine/lm-{uuid.uuid4().hex}", 2 * n)
         spread = frequent_words(texts)
         pairs = texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count(spread, shelf.n_ranges), COUNTS)
         firsts = pairs.repartition(n, "range").sortWithinPartitions("kind", "range").mapInArrow(_first_ranges(shelf, spread), SUMS)
@@ -338,7 +353,7 @@ class NgramModel:
         key = pair_hash(first, second)
         _, lead, pair = np.unique(key, return_index=True, return_inverse=True)
         place = first_range(first[lead], second[lead], self.spread, n)
-        order = np.lexsort((key[lead], place))
+        order = bs.order_within(place, key[lead])
         got = self.shelf.look("pair", place[order], key[lead][order], {"many": "uint32"})
         count = np.empty(len(lead), dtype=np.int64)
         count[order] = got["many"]
@@ -360,10 +375,9 @@ def frequent_words(texts: DataFrame) -> np.ndarray:
     """
 
     def run(batches):
-        for batch in batches:
-            for first, *_ in token_lots(batch.column("text")):
-                h, n = np.unique(first, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"word": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int64)), "tokens": pa.array(np.full(len(h), n.sum()), pa.int64())})
+        for first, *_ in token_lots((b.column("text") for b in batches), SCORED):
+            h, n = np.unique(first, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"word": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int64)), "tokens": pa.array(np.full(len(h), n.sum()), pa.int64())})
 
     rows = texts.count()
     chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, SPREAD_SAMPLE / max(rows, 1)) * (1 << 30))
@@ -386,7 +400,7 @@ def score(docs: DataFrame, model: NgramModel) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            parts = [shared.value.score(*lot) for lot in token_lots(batch.column("text"))]
+            parts = [shared.value.score(*lot) for lot in token_lots([batch.column("text")], SCORED)]
             cols = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in ("n_tokens", "n_known", "base_score", "score")]
             yield pa.RecordBatch.from_arrays([pc.cast(batch.column("doc_id"), pa.int64()), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
