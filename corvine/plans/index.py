@@ -71,8 +71,8 @@ def chunked(files: DataFrame, found: DataFrame, links: DataFrame, tokenizer: Tok
     long_enough = text.select("path", "text").mapInArrow(_measured(tokenizer), "path string, n_tokens int").where(F.col("n_tokens") >= least).select("path")
     text = text.join(long_enough, "path", "left_semi")
     # Offsets count the file's own bytes, whether or not they are valid UTF-8.
-    raw = text.select("path", F.posexplode(F.split(F.decode("content", F.lit("ISO-8859-1")), "\n", -1)).alias("i", "latin"))
-    raw = raw.select("path", (F.col("i") + 1).alias("line"), F.encode("latin", F.lit("ISO-8859-1")).alias("bytes"))
+    raw = text.select("path", F.posexplode(F.split(F.decode("content", "ISO-8859-1"), "\n", -1)).alias("i", "latin"))
+    raw = raw.select("path", (F.col("i") + 1).alias("line"), F.encode("latin", "ISO-8859-1").alias("bytes"))
     sized = raw.select("path", "line", F.octet_length("bytes").cast("long").alias("n"), decoded(F.col("bytes")).alias("line_text"))
     counts = sized.groupBy("path").agg(F.max("line").alias("n_lines"))
     scopes = found.select("path", F.when(F.col("owner") != "", F.concat("owner", F.lit("."), "name")).otherwise(F.col("name")).alias("name"), "kind", "start_line", "end_line", "ordinal")
