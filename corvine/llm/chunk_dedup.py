@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import NO_ID, one_per_id, table, with_flags
+from .common import NO_ID, in_python, one_per_id, table, with_flags
 from .exchange import LATER, flagged
 
 LEAST, MOST, BITS, RUN = 24, 256, 5, 80
@@ -122,7 +122,7 @@ KEPT = "doc_id long, n_chunks long, n_duplicate long, n_bytes long, n_removed lo
 def chunk_dedup(docs: DataFrame) -> DataFrame:
     """One row for each doc_id: n_chunks, n_duplicate (chunks seen before), n_bytes, n_removed, n_spans (runs cut out) and kept, the bytes left."""
     texts = one_per_id(docs)
-    found = with_flags(texts, flagged(texts, _emit, LATER, within=True)).mapInArrow(_decide, KEPT)
+    found = with_flags(texts, flagged(texts, _emit, LATER, within=True)).transform(in_python, _decide, KEPT)
     return found.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,16 +48,36 @@ def lower_az(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def arrow_stage(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str) -> DataFrame:
-    """`work` on each Arrow batch; it returns (or yields) dicts of columns for `schema`."""
+def in_python(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow, with workers that give memory back: large arrays as soon as they are freed, the rest when a task ends."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = work(batch)
-            for part in [out] if isinstance(out, dict) else out:
-                yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in part.items()})
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _return_large_blocks()
+        yield from run(batches)
+        _release()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean, schema)
+
+
+@cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: its own rules hold
+        return None
+
+
+@cache
+def _return_large_blocks() -> None:
+    """Keeps glibc from raising the size from which blocks are mapped, and so unmapped when freed: option -3, M_MMAP_THRESHOLD."""
+    if _libc():
+        _libc().mallopt(-3, 1 << 18)
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    if _libc():
+        _libc().malloc_trim(0)
 
 
 #: Stands for a null doc_id where documents are compared by it.

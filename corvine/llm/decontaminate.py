@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import table
+from .common import in_python, table
 
 WINDOW = 13
 SLICE_BYTES = 32 << 20
@@ -104,7 +104,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     out = docs.select("doc_id", "text", F.lit(None).cast(SCANNED).alias("hit"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(SCANNED).alias("spans"))
     held = [docs.sparkSession.sparkContext.broadcast(s) for s in window_sets(benchmark, window, slice_bytes)]
     for i, shared in enumerate(held, 1):
-        out = out.mapInArrow(_scan(shared, keep_text or i < len(held)), out.schema)
+        out = out.transform(in_python, _scan(shared, keep_text or i < len(held)), out.schema)
     return out.select("doc_id", "text", "n_words", F.coalesce(F.expr("aggregate(hit, 0L, (n, x) -> n + x.end - x.start)"), F.lit(0)).alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "spans")
 
 
@@ -173,12 +173,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                 keep[piece.first : piece.first + len(piece)] = ~((hit > 0) & (ONE_IN * hit >= w.counts))
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_python, run, docs.schema)
 
 
 def strip_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id and text of all documents, the hit runs of words cut out of the text."""
-    return contamination(docs, benchmark, window, slice_bytes, keep_text=True).mapInArrow(_strip, "doc_id long, text string")
+    return contamination(docs, benchmark, window, slice_bytes, keep_text=True).transform(in_python, _strip, "doc_id long, text string")
 
 
 def _strip(batches):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import width
+from .common import in_python, width
 
 LATER, SHARED = 1, 2
 ENTRIES = "range int, kind int, key binary, check binary, doc binary, ord binary, many binary"
@@ -230,7 +230,7 @@ def to_bucket(rows: pa.RecordBatch) -> pa.RecordBatch:
 def by_document(found: DataFrame) -> DataFrame:
     """From rows of FOUND doc_id, ords (uint32, ascending) and flags (uint8, the largest of each ordinal)."""
     n = width(found.sparkSession)
-    return found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_document, "doc_id long, ords binary, flags binary")
+    return found.repartition(n, "bucket").sortWithinPartitions("bucket").transform(in_python, _by_document, "doc_id long, ords binary, flags binary")
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,5 +276,5 @@ def flagged(docs: DataFrame, emit: Callable[[pa.RecordBatch], tuple[np.ndarray,
             if len(got[0]):
                 yield from entries(*got, n_ranges, n_buckets, within)
 
-    rows = docs.mapInArrow(send, ENTRIES).repartition(n, "kind", "range").sortWithinPartitions("kind", "range")
-    return by_document(rows.mapInArrow(_ranges(n_buckets, wanted), FOUND))
+    rows = docs.transform(in_python, send, ENTRIES).repartition(n, "kind", "range").sortWithinPartitions("kind", "range")
+    return by_document(rows.transform(in_python, _ranges(n_buckets, wanted), FOUND))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import table
+from .common import in_python, table
 
 SAMPLE_ROWS = 8_000
 TABLE_ROWS = 60_000
@@ -99,7 +99,7 @@ class LanguageModel:
         langs = sorted(per_lang)
         if not langs:
             return cls([], np.zeros(0), {})
-        counts = sample.select("lang", "text").mapInArrow(_counts, "lang string, n int, hash long, count long").groupBy("n", "hash", "lang").agg(F.sum("count").alias("count"))
+        counts = sample.select("lang", "text").transform(in_python, _counts, "lang string, n int, hash long, count long").groupBy("n", "hash", "lang").agg(F.sum("count").alias("count"))
         entries = counts.groupBy("n", "hash").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))
         best = Window.partitionBy("n").orderBy(F.desc("total"), "hash")
         tables = {}
@@ -174,7 +174,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([pc.cast(batch.column("doc_id"), pa.int64()), pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").transform(in_python, run, "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, langs: set[str] | None = None, least: float = 0.5) -> DataFrame:
@@ -189,7 +189,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, langs: set[str] | Non
                 keep += [x != "und" and s >= least and (langs is None or x in langs) for x, s in zip(lang, score, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_python, run, docs.schema)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

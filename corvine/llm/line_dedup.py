@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import NO_ID, durable, one_per_id, one_row_per_id, table
+from .common import NO_ID, durable, in_python, one_per_id, one_row_per_id, table
 from .exchange import LATER, SHARED, flagged
 
 GRAM, WINDOW = 2, 2
@@ -115,7 +115,7 @@ def _around(batch: pa.RecordBatch):
 
 def later_runs(texts: DataFrame) -> DataFrame:
     """doc_id and ords, the first lines (uint32) of runs of RUN lines that started before. texts: doc_id, unique, and text."""
-    hashed = durable(texts.select("doc_id", "text").mapInArrow(_hash_lines, "doc_id long, lines binary, checks binary"))
+    hashed = durable(texts.select("doc_id", "text").transform(in_python, _hash_lines, "doc_id long, lines binary, checks binary"))
     shared = flagged(hashed, _fingerprints, LATER | SHARED, within=True)
     near = hashed.join(shared.select("doc_id", "ords"), "doc_id")
     return flagged(near, _around, LATER, within=True).select("doc_id", "ords")
@@ -154,7 +154,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[0], pa.binary())], names=["doc_id", "n_lines", "n_removed", "kept"])
 
-    found = texts.join(later_runs(texts), "doc_id", "left").mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept binary")
+    found = texts.join(later_runs(texts), "doc_id", "left").transform(in_python, run, "doc_id long, n_lines long, n_removed long, kept binary")
     return found.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_lines", "n_removed", F.col("kept").cast("string").alias("kept"))
 
 
@@ -175,7 +175,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([texts if i == at else batch.column(i) for i in range(batch.num_columns - 1)], names=batch.schema.names[:-1])
 
     joined = rows.join(later, key == later["_corvine_id"], "left").drop("_corvine_id")
-    return joined.mapInArrow(run, docs.schema)
+    return joined.transform(in_python, run, docs.schema)
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

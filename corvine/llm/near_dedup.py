@@ -14,6 +14,7 @@ the intersection has at least PERCENT hundredths of the union; a component is wh
 5. What links may be left run between different components. Shingles whose groups are all in one
    component are done; of the others, group pairs are formed across components only, filtered,
    expanded into members and verified. No link that could join components goes unverified.
+   Parity bits of the sets, of which linked ones can differ in few, drop most pairs in the join.
 
 Only step 5 can form more pairs than postings, and only of documents that hold a rare shingle
 together and don't connect. Sets of 64-bit hashes stand for shingles throughout.
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import NO_ID, durable, is_void, one_per_id, one_row_per_id, table, width
+from .common import NO_ID, durable, in_python, is_void, one_per_id, one_row_per_id, table, width
 from .components import components
 from .exchange import LATER, SHARED, flagged
 
@@ -41,6 +42,9 @@ WORDS, PERCENT = 3, 90
 #: Counters of the sketch that orders shingles: a fixed size, 4 bytes each.
 SKETCH_BITS, SLICE_BITS = 22, 16
 SECOND = bs.Hasher(0xB5026F5AA96619E9)
+#: 64-bit words of a set's parity bits: two sets differ in as many shingles as bits, at least.
+PARITY = 8
+BITS = [f"s{i}" for i in range(PARITY)]
 
 
 def shingle_sets(piece: bs.Piece, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +57,7 @@ def shingle_sets(piece: bs.Piece, k: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         whole = bs.WORDS.slices(bs.WORDS.sums(w.hash), w.of[short], w.of[short + 1])
         h, doc = np.concatenate((h, whole)), np.concatenate((doc, short))
-    order = np.lexsort((h, doc))
+    order = bs.order_within(doc, h)
     h, doc = h[order], doc[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
@@ -108,27 +112,41 @@ def _add_slices(batches):
 def read_sketch(measured: DataFrame) -> np.ndarray:
     """The summed sketch, 2**SKETCH_BITS counters whatever the corpus's size."""
     slices = 1 << (SKETCH_BITS - SLICE_BITS)
-    parts = measured.where("kind = 1").select("doc_id", "blob").repartition(min(slices, width(measured.sparkSession)), "doc_id").mapInArrow(_add_slices, "doc_id long, blob binary").collect()
+    parts = measured.where("kind = 1").select("doc_id", "blob").repartition(min(slices, width(measured.sparkSession)), "doc_id").transform(in_python, _add_slices, "doc_id long, blob binary").collect()
     sketch = np.zeros((slices, 1 << SLICE_BITS), dtype=np.uint32)
     for r in parts:
         sketch[r.doc_id] = np.frombuffer(r.blob, dtype=np.uint32)
     return sketch.reshape(-1)
 
 
+def rank(h: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """The shingles' order: 16 bits of how many documents hold them, as the sketch has it, then 48 bits of hash.
+
+    From here on shingles go by this number; should two share one, prefixes only have more in common.
+    """
+    count = np.minimum(sketch[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], 0xFFFF).astype(np.uint64)
+    return count << np.uint64(48) | (bs.mix(h) >> np.uint64(16))
+
+
 def _prefixes(shared, k: int, percent: int):
     def run(batches):
         for batch in batches:
-            ids, rows = batch.column("doc_id").to_numpy(), []
+            ids = batch.column("doc_id").to_numpy()
             for piece in bs.pieces(batch.column("text")):
+                rows = []
                 h, of = shingle_sets(piece, k)
                 n = np.diff(of)
                 doc = np.repeat(np.arange(len(piece)), n)
-                order = np.lexsort((h, shared.value[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], doc))
-                h = h[order]
+                bit = (h >> np.uint64(64 - (64 * PARITY - 1).bit_length())).astype(np.int64)
+                odd = np.bincount(doc * 64 * PARITY + bit, minlength=64 * PARITY * len(piece)) & 1
+                parity = np.packbits(odd.astype(bool).reshape(len(piece), -1), axis=1).view(np.int64)
+                h = rank(h, shared.value)
+                h = bs.mix(h[bs.order_within(doc, h)])
                 for d, (a, m) in enumerate(zip(of[:-1].tolist(), n.tolist(), strict=True)):
                     if m:
                         rows.append((int(ids[piece.first + d]), m, h[a : a + prefix_length(m, percent)].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "n", "prefix"])
+                parity = parity[n > 0]
+                yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], *[pa.array(parity[:, i]) for i in range(PARITY)]], names=["doc_id", "n", "prefix", *BITS])
 
     return run
 
@@ -156,12 +174,10 @@ def _sets(k: int):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             ids = batch.column("doc_id")
-            texts = pa.array([unpack.decompress(x).decode() for x in batch.column("packed").to_pylist()], pa.string())
-            sets = []
-            for piece in bs.pieces(texts):
+            for piece in bs.unpacked(batch.column("packed"), unpack.decompress):
                 h, of = shingle_sets(piece, k)
-                sets += [h[a:b].tobytes() for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+                sets = [h[a:b].tobytes() for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.slice(piece.first, len(piece)), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
     return run
 
@@ -188,48 +204,61 @@ def _verify(percent: int):
 
 
 def possible(n1, j1, n2, j2, percent: int):
-    """Whether sets of n1 and n2 shingles that share the ones at j1 and j2 can link at all, by size and place."""
-    near = (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) if percent else F.lit(True)
-    reach = F.least(j1, j2) + 1 + F.least(n1 - j1 - 1, n2 - j2 - 1)
-    return near & ((100 + percent) * reach >= percent * (n1 + n2))
+    """Whether sets of n1 and n2 shingles can link, if the ones at j1 and j2 are the first that they share.
+
+    They need percent / (100 + percent) of n1 + n2 in common, and all that they have comes from there on.
+    """
+    near = 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
+    return near & ((100 + percent) * F.least(n1 - j1, n2 - j2) >= percent * (n1 + n2))
+
+
+def alike(percent: int):
+    """Whether the parity bits of two sets (n, s*; n2, ts*) allow a link; unknown bits do. Linked sets differ in few shingles."""
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"t{b}"))) for b in BITS), F.lit(0))
+    return F.coalesce((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("n2")), F.lit(True))
 
 
 def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row for each doc_id: n_shingles, class_id (the smallest doc_id with the same set) and component_id. NO_ID stands for null."""
     spark = docs.sparkSession
     texts = one_per_id(docs)
-    measured = durable(texts.mapInArrow(_measure(k), "kind int, doc_id long, n long, sig1 long, sig2 long, blob binary"))
+    measured = durable(texts.transform(in_python, _measure(k), "kind int, doc_id long, n long, sig1 long, sig2 long, blob binary"))
     sketch = spark.sparkContext.broadcast(read_sketch(measured))
     same = ["n", "sig1", "sig2"]
     rows = measured.where("kind = 0").select("doc_id", *same)
     classes = durable(rows.where("n > 0").groupBy(same).agg(F.min("doc_id").alias("class_id")))
 
-    prefixes = texts.mapInArrow(_prefixes(sketch, k, percent), "doc_id long, n long, prefix binary")
+    prefixes = texts.transform(in_python, _prefixes(sketch, k, percent), "doc_id long, n long, prefix binary, " + ", ".join(f"{b} long" for b in BITS))
     standing = durable(prefixes.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id"))
-    members = standing.select(F.col("doc_id").alias("member"), "n", F.xxhash64("prefix").alias("p1"), F.crc32("prefix").alias("p2"))
-    groups = members.groupBy("n", "p1", "p2").agg(F.min("member").alias("grp"))
-    members = durable(members.join(groups, ["n", "p1", "p2"]).select("member", "grp", "n"))
+    members = standing.select(F.col("doc_id").alias("member"), "n", F.xxhash64("prefix").alias("p1"), F.crc32("prefix").alias("p2"), *BITS)
+    groups = members.groupBy("n", "p1", "p2").agg(F.min("member").alias("grp"), F.count("*").alias("size"))
+    members = durable(members.join(groups, ["n", "p1", "p2"]).select("member", "grp", "n", "size", *BITS))
+    # What a group's only member's set allows; groups of several let all pass until they are expanded.
+    parity = members.where("size = 1").select("grp", *BITS)
+    parity2 = parity.select(F.col("grp").alias("grp2"), *[F.col(b).alias(f"t{b}") for b in BITS])
     heads = standing.join(members.where("member = grp").select(F.col("member").alias("doc_id")), "doc_id")
     shared = flagged(heads, _emit_prefixes, LATER | SHARED)
-    postings = durable(heads.join(shared.select("doc_id", "ords"), "doc_id").mapInArrow(_post, "shingle long, grp long, n long, place long"))
+    postings = durable(heads.join(shared.select("doc_id", "ords"), "doc_id").transform(in_python, _post, "shingle long, grp long, n long, place long"))
 
     # Pivots of a shingle: its smallest and largest sets, and one at random.
     entry = F.struct("n", "grp", "place")
     pivots = postings.groupBy("shingle").agg(F.min(entry).alias("low"), F.max(entry).alias("high"), F.min(F.struct(F.xxhash64("grp").alias("h"), "n", "grp", "place")).alias("some"))
     pivots = pivots.select("shingle", F.explode(F.array_distinct(F.array("low", "high", F.struct("some.n", "some.grp", "some.place")))).alias("p"))
     by_pivot = postings.join(pivots, "shingle").where(F.col("grp") != F.col("p.grp")).where(possible(F.col("n"), F.col("place"), F.col("p.n"), F.col("p.place"), percent))
-    by_pivot = by_pivot.select("grp", F.col("p.grp").alias("pivot")).distinct().join(members.select("member", "grp"), "grp").select(F.col("pivot").alias("a"), F.col("member").alias("b"))
+    by_pivot = by_pivot.select("grp", "n", F.col("p.grp").alias("grp2"), F.col("p.n").alias("n2")).distinct()
+    by_pivot = by_pivot.join(parity, "grp", "left").join(parity2, "grp2", "left").where(alike(percent)).select("grp", F.col("grp2").alias("pivot")).join(members.select("member", "grp"), "grp").select(F.col("pivot").alias("a"), F.col("member").alias("b"))
     own = members.where("member <> grp").select(F.col("grp").alias("a"), F.col("member").alias("b"))
     first = durable(by_pivot.unionByName(own).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    active = durable(postings.select("grp").distinct().join(members, "grp").select(F.col("member").alias("doc_id")).unionByName(own.select(F.col("a").alias("doc_id"))).unionByName(own.select(F.col("b").alias("doc_id"))).distinct())
-    packed = texts.mapInArrow(_pack_texts, "doc_id long, packed binary")
-    sets = durable(packed.join(active, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary"))
+    packed = texts.transform(in_python, _pack_texts, "doc_id long, packed binary")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs with whether they link; sets are made of those documents only that are in some pair."""
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = durable(packed.join(asked, "doc_id", "left_semi").transform(in_python, _sets(k), "doc_id long, shingles binary"))
         left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
-        return durable(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long, linked boolean"))
+        return durable(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").transform(in_python, _verify(percent), "a long, b long, linked boolean"))
 
     judged = verified(first)
     links = judged.where("linked").select("a", "b")
@@ -240,12 +269,13 @@ def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     spread = postings.join(placed.groupBy("grp").agg(F.min("component").alias("c1"), F.max("component").alias("c2")), "grp")
     undone = spread.groupBy("shingle").agg(F.min("c1").alias("c1"), F.max("c2").alias("c2")).where("c1 <> c2").select("shingle")
     lists = durable(postings.join(undone, "shingle").join(placed.select("grp", "component").distinct(), "grp"))
-    parts = lists.select("shingle", "component").distinct()
-    across = parts.join(parts.select("shingle", F.col("component").alias("other")), "shingle").where("component < other")
-    x = lists.select("shingle", "component", "grp", "n", "place")
-    y = lists.select("shingle", F.col("component").alias("other"), F.col("grp").alias("grp2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
-    group_pairs = across.join(x, ["shingle", "component"]).join(y, ["shingle", "other"]).where(possible(F.col("n"), F.col("place"), F.col("n2"), F.col("place2"), percent))
+    x = lists.select("shingle", "component", "grp", "n", "place").join(parity, "grp", "left")
+    y = lists.select("shingle", F.col("component").alias("other"), F.col("grp").alias("grp2"), F.col("n").alias("n2"), F.col("place").alias("place2")).join(parity2, "grp2", "left")
+    # Both sides meet at the shingle; sizes, places and parities decide in the join itself, before any row is made.
+    meet = (x["shingle"] == y["shingle"]) & (x["component"] < y["other"]) & possible(F.col("n"), F.col("place"), F.col("n2"), F.col("place2"), percent) & alike(percent)
+    group_pairs = x.join(y.drop("component"), meet)
     group_pairs = group_pairs.select("grp", "component", "grp2", "other").distinct()
+    # Groups of several are expanded; what their members' own parities allow is verified.
     mixed = placed.groupBy("grp").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("grp")
     inside = placed.join(mixed, "grp")
     within = inside.join(inside.select("grp", F.col("member").alias("b"), F.col("component").alias("other")), "grp").where("component < other").select(F.col("member").alias("a"), "b")
@@ -253,7 +283,9 @@ def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     expand2 = placed.select(F.col("grp").alias("grp2"), F.col("component").alias("other"), F.col("member").alias("b"))
     rest = group_pairs.join(expand, ["grp", "component"]).join(expand2, ["grp2", "other"]).select("a", "b").unionByName(within)
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = durable(rest.join(judged.select("a", "b"), ["a", "b"], "left_anti"))
+    bits_a = members.select(F.col("member").alias("a"), "n", *BITS)
+    bits_b = members.select(F.col("member").alias("b"), F.col("n").alias("n2"), *[F.col(b).alias(f"t{b}") for b in BITS])
+    rest = durable(rest.join(judged.select("a", "b"), ["a", "b"], "left_anti").join(bits_a, "a").join(bits_b, "b").where(alike(percent)).select("a", "b"))
     if not is_void(rest):
         more = verified(rest).where("linked").select("a", "b")
         if not is_void(more):

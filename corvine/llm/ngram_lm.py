@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import shared_folder, table, width
+from .common import in_python, shared_folder, table, width
 from .exchange import pack, runs_of, unpack
 
 #: Tokens that are counted and scored at once.
@@ -301,9 +301,9 @@ class NgramModel:
         n = width(spark)
         shelf = Shelf(f"{shared_folder(spark)}/corvine/lm-{uuid.uuid4().hex}", 2 * n)
         spread = frequent_words(texts)
-        pairs = texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count(spread, shelf.n_ranges), COUNTS)
-        firsts = pairs.repartition(n, "range").sortWithinPartitions("kind", "range").mapInArrow(_first_ranges(shelf, spread), SUMS)
-        stats = firsts.repartition(n, "range").sortWithinPartitions("kind", "range").mapInArrow(_second_ranges(shelf), SUMS).collect()
+        pairs = texts.select(F.coalesce("text", F.lit("")).alias("text")).transform(in_python, _count(spread, shelf.n_ranges), COUNTS)
+        firsts = pairs.repartition(n, "range").sortWithinPartitions("kind", "range").transform(in_python, _first_ranges(shelf, spread), SUMS)
+        stats = firsts.repartition(n, "range").sortWithinPartitions("kind", "range").transform(in_python, _second_ranges(shelf), SUMS).collect()
         tally, sums = np.zeros(4, dtype=np.int64), np.zeros(8, dtype=np.int64)
         hot: dict[int, np.ndarray] = {}
         for r in stats:
@@ -381,7 +381,7 @@ def frequent_words(texts: DataFrame) -> np.ndarray:
 
     rows = texts.count()
     chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, SPREAD_SAMPLE / max(rows, 1)) * (1 << 30))
-    counted = texts.where(chosen).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "word long, n long, tokens long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = texts.where(chosen).select(F.coalesce("text", F.lit("")).alias("text")).transform(in_python, run, "word long, n long, tokens long").groupBy("word").agg(F.sum("n").alias("n"))
     best = counted.orderBy(F.desc("n"), "word").limit(SPREAD_WORDS).collect()
     total = counted.agg(F.sum("n")).first()[0] or 0
     return np.sort(np.array([r.word & (2**64 - 1) for r in best if r.n > SPREAD_SHARE * total], dtype=np.uint64))
@@ -404,7 +404,7 @@ def score(docs: DataFrame, model: NgramModel) -> DataFrame:
             cols = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in ("n_tokens", "n_known", "base_score", "score")]
             yield pa.RecordBatch.from_arrays([pc.cast(batch.column("doc_id"), pa.int64()), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCORES)
+    return docs.select("doc_id", "text").transform(in_python, run, SCORES)
 
 
 def op6_ngram_lm(spark, sf_dir: str) -> DataFrame:

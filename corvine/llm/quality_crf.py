@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import table
+from .common import in_python, table
 
 SAMPLE_ROWS = 4_000
 FIT_LINES = 500
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> L
     share = min(1.0, sample_rows / max(marks.count(), 1))
     # At most about sample_rows rows, so small enough to broadcast.
     chosen = F.broadcast(marks.where(F.pmod(F.xxhash64(F.lit("quality sample"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "quality").mapInArrow(_feature_rows, "quality int, x binary, size binary").collect()
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "quality").transform(in_python, _feature_rows, "quality int, x binary, size binary").collect()
     rows.sort(key=lambda r: (r.quality, r["size"], r.x))
     matrices = [np.frombuffer(r.x, dtype=np.float32).reshape(-1, N_FEATURES).astype(float) for r in rows]
     return LineCRF.fit(matrices, [np.frombuffer(r["size"], dtype=np.int64) for r in rows], np.array([r.quality for r in rows]))
@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: LineCRF) -> DataFrame:
             scores = [shared.value.quality(*line_features(piece)) for piece in bs.pieces(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pc.cast(batch.column("doc_id"), pa.int64()), pa.array(np.clip(np.concatenate(scores), 0, 1) if scores else [], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").transform(in_python, run, "doc_id long, score double")
 
 
 def held_out():

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as bs
 from .chunk_dedup import GEAR
-from .common import NO_ID, durable, one_per_id, table, width
+from .common import NO_ID, durable, in_python, one_per_id, table, width
 from .exchange import FOUND, LATER, SHARED, Outbox, by_document, flagged, pack, runs_of, settled_rows, unpack
 
 LENGTH, GRAM = 50, 16
@@ -324,11 +324,11 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     copies = durable(same.join(standing, keys).where("doc_id <> keeper").select("doc_id", F.lit(True).alias("is_copy")))
     shared = flagged(texts, _emit_grams, LATER | SHARED)
     wanted = shared.select("doc_id", "ords").join(copies, "doc_id", "left_anti")
-    packed = texts.mapInArrow(_pack_texts, "doc_id long, packed binary")
-    stretches = packed.join(wanted, "doc_id").mapInArrow(_send_stretches(n_ranges, n_buckets), STRETCHES)
-    covered = by_document(stretches.repartition(n, "kind", "range").sortWithinPartitions("kind", "range").mapInArrow(_ranges(n_buckets), FOUND))
+    packed = texts.transform(in_python, _pack_texts, "doc_id long, packed binary")
+    stretches = packed.join(wanted, "doc_id").transform(in_python, _send_stretches(n_ranges, n_buckets), STRETCHES)
+    covered = by_document(stretches.repartition(n, "kind", "range").sortWithinPartitions("kind", "range").transform(in_python, _ranges(n_buckets), FOUND))
     known = covered.join(copies, "doc_id", "full")
-    cut = packed.join(known, "doc_id", "left").select("doc_id", "packed", "is_copy", "ords", "flags").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = packed.join(known, "doc_id", "left").select("doc_id", "packed", "is_copy", "ords", "flags").transform(in_python, _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return cut.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
