@@ -2,9 +2,10 @@
 
 A gear hash rolls over the bytes; a chunk ends where the hash's high bits are zero, LEAST bytes at
 the earliest and MOST at the latest, so boundaries follow the content and find step again after an
-insertion. A chunk is a duplicate if its digest (96 bits) occurred before, in a document with a
-smaller doc_id or earlier in its own. Runs of consecutive duplicate chunks of RUN bytes or more are
-cut out; shorter runs stay, as a few common words don't make a repeated passage.
+insertion. Chunks of a few words recur by chance, so the unit that is compared is a run: from each
+chunk on, as many chunks as make RUN bytes. A run is a duplicate if its digest (96 bits) occurred
+before, in a document with a smaller doc_id or earlier in its own, and the chunks of all duplicate
+runs are cut out; a longer passage goes as a whole, and its first occurrence stays.
 
 Digests meet in the packed exchange of `exchange`: one entry for each batch and digest, whatever the
 size of a group of copies, and no pairs. The gear hash is exact but vectorised: five shift-and-add
@@ -27,7 +28,7 @@ from . import bytescan as bs
 from .common import NO_ID, in_python, one_per_id, table, with_flags
 from .exchange import LATER, flagged
 
-LEAST, MOST, BITS, RUN = 24, 256, 5, 80
+LEAST, MOST, BITS, RUN = 16, 256, 4, 80
 GEAR = (bs.alphabet(0x67656172) >> np.uint64(32)).astype(np.uint32)
 CHECK = bs.Hasher(0x8CB92BA72F3D8DD7, 99)
 
@@ -71,19 +72,28 @@ def chunk_ends(piece: bs.Piece, least: int = LEAST, most: int = MOST, bits: int
     return np.array(ends, dtype=np.int64), counts
 
 
+def runs(piece: bs.Piece, ends: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all runs: first and last chunk, where the first starts, and the text; a text's last chunks make none where too little is left."""
+    of = np.concatenate(([0], np.cumsum(counts)))
+    owner = np.repeat(np.arange(len(piece)), counts)
+    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    last = np.searchsorted(ends, starts + RUN)
+    full = np.flatnonzero(last < of[owner + 1])
+    return full, last[full], starts[full], owner[full]
+
+
 def _emit(batch: pa.RecordBatch):
     ids = batch.column("doc_id").to_numpy()
     out = []
     for piece in bs.pieces(batch.column("text")):
         ends, counts = chunk_ends(piece)
-        if not len(ends):
+        first, last, start, owner = runs(piece, ends, counts)
+        if not len(first):
             continue
-        first = np.cumsum(counts) - counts
-        owner = np.repeat(np.arange(len(piece)), counts)
-        starts = np.concatenate(([0], ends[:-1]))
-        key = bs.BYTES.of(piece.data, starts, ends)
-        check = (CHECK.of(piece.data, starts, ends) >> np.uint64(32)).astype(np.uint32)
-        out.append((key, check, ids[piece.first + owner].astype(np.int64), np.arange(len(ends)) - first[owner]))
+        before = np.cumsum(counts) - counts
+        key = bs.BYTES.of(piece.data, start, ends[last])
+        check = (CHECK.of(piece.data, start, ends[last]) >> np.uint64(32)).astype(np.uint32)
+        out.append((key, check, ids[piece.first + owner].astype(np.int64), first - before[owner]))
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
 
 
@@ -99,19 +109,18 @@ def _decide(batches):
                 a, b = int(piece.offsets[d]), int(piece.offsets[d + 1])
                 raw = ords[piece.first + d].as_py()
                 mine = ends[first[d] : first[d] + counts[d]]
-                spans = []
+                spans, cut = [], 0
                 if raw:
-                    dup = np.zeros(len(mine), dtype=bool)
-                    dup[np.frombuffer(raw, dtype=np.uint32)] = True
                     begins = np.concatenate(([a], mine[:-1]))
-                    spans = [(int(begins[x]), int(mine[y - 1])) for x, y in zip(*bs.spans(dup), strict=True)]
-                    spans = [(x, y) for x, y in spans if y - x >= RUN]
+                    lead = np.frombuffer(raw, dtype=np.uint32).astype(np.int64)
+                    dup = bs.spread(len(mine), lead, np.searchsorted(mine, begins[lead] + RUN) + 1)
+                    spans, cut = [(int(begins[x]), int(mine[y - 1])) for x, y in zip(*bs.spans(dup), strict=True)], int(dup.sum())
                 kept, at = [], a
                 for x, y in spans:
                     kept.append(piece.data[at:x].tobytes())
                     at = y
                 kept.append(piece.data[at:b].tobytes())
-                rows.append((len(mine), len(raw) // 4 if raw else 0, b - a, sum(y - x for x, y in spans), len(spans), b"".join(kept)))
+                rows.append((len(mine), cut, b - a, sum(y - x for x, y in spans), len(spans), b"".join(kept)))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([ids.slice(piece.first, len(piece)), *[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())], names=["doc_id", "n_chunks", "n_duplicate", "n_bytes", "n_removed", "n_spans", "kept"])
 
@@ -120,7 +129,7 @@ KEPT = "doc_id long, n_chunks long, n_duplicate long, n_bytes long, n_removed lo
 
 
 def chunk_dedup(docs: DataFrame) -> DataFrame:
-    """One row for each doc_id: n_chunks, n_duplicate (chunks seen before), n_bytes, n_removed, n_spans (runs cut out) and kept, the bytes left."""
+    """One row for each doc_id: n_chunks, n_duplicate (chunks cut out), n_bytes, n_removed, n_spans (runs cut out) and kept, the bytes left."""
     texts = one_per_id(docs)
     found = with_flags(texts, flagged(texts, _emit, LATER, within=True)).transform(in_python, _decide, KEPT)
     return found.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))

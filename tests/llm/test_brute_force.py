@@ -109,15 +109,17 @@ def test_chunks(spark, planted):
         t, cuts, at, h = text.encode(), [], 0, 0
         for p, byte in enumerate(t, 1):
             h = (2 * h + table[byte]) & 0xFFFFFFFF
-            if (h >> 27 == 0 and p - at >= (24 if at else 32)) or p - at == 256 or p == len(t):
+            if (h >> 32 - chunk_dedup.BITS == 0 and p - at >= (chunk_dedup.LEAST if at else 32)) or p - at == chunk_dedup.MOST or p == len(t):
                 cuts.append((at, p))
                 at = p
-        dup = []
-        for a, b in cuts:
-            dup.append(t[a:b] in seen)
-            seen.add(t[a:b])
-        runs = [(cuts[x][0], cuts[y - 1][1]) for x, y in zip(*bs.spans(np.array(dup)), strict=True)]
-        assert (got[i].n_chunks, got[i].n_duplicate, got[i].n_removed) == (len(cuts), sum(dup), sum(b - a for a, b in runs if b - a >= chunk_dedup.RUN))
+        dup = np.zeros(len(cuts), dtype=bool)
+        for x, (a, _) in enumerate(cuts):
+            y = next((y for y in range(x, len(cuts)) if cuts[y][1] - a >= chunk_dedup.RUN), None)
+            if y is not None:
+                dup[x : y + 1] |= t[a : cuts[y][1]] in seen
+                seen.add(t[a : cuts[y][1]])
+        gone = [(cuts[x][0], cuts[y - 1][1]) for x, y in zip(*bs.spans(dup), strict=True)]
+        assert (got[i].n_chunks, got[i].n_duplicate, got[i].n_removed) == (len(cuts), dup.sum(), sum(b - a for a, b in gone))
     # All but the first holder of the passage lose most of it.
     holders = [i for i, _ in sorted(planted) if i % 3 == 1]
     assert got[holders[0]].n_removed == 0 and all(got[i].n_removed > 80 for i in holders[1:])
