@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
 #: Bytes worked on at once: what NumPy makes of them stays in the CPU's cache. A longer text is one piece.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,7 +48,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) <= n:
-            size = max(2 * len(self.up), n + 1, PIECE // 4)
+            size = max(n + 1, PIECE // 4, min(2 * len(self.up), 2 * PIECE + 1))
             step = np.full(size, self.base, dtype=U)
             step[0] = 1
             back = np.full(size, self.inverse, dtype=U)
@@ -56,11 +57,17 @@ class Powers:
         return self.up, self.down
 
 
+@cache
+def powers_of(base: int) -> Powers:
+    """Hashers of one base share its powers."""
+    return Powers(base)
+
+
 class Hasher:
     """Hashes of any slices of one array, from its prefix sums."""
 
     def __init__(self, base: int, seed: int = 0):
-        self.powers, self.letters = Powers(base), alphabet(seed)
+        self.powers, self.letters = powers_of(base), alphabet(seed)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Prefix sums of bytes, or of 64-bit words as they are."""
@@ -86,7 +93,8 @@ class Hasher:
         return out
 
 
-BYTES = Hasher(0xD6E8FEB86659FD93)
+BASE = 0xD6E8FEB86659FD93
+BYTES = Hasher(BASE)
 WORDS = Hasher(0xA0761D6478BD642F)
 
 

@@ -30,7 +30,7 @@ from .exchange import LATER, flagged
 
 LEAST, MOST, BITS, RUN = 16, 256, 4, 80
 GEAR = (bs.alphabet(0x67656172) >> np.uint64(32)).astype(np.uint32)
-CHECK = bs.Hasher(0x8CB92BA72F3D8DD7, 99)
+CHECK = bs.Hasher(bs.BASE, 99)
 
 
 def gear(data: np.ndarray) -> np.ndarray:

@@ -16,6 +16,7 @@ learned from; `keep_identified` keeps all columns whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -33,7 +34,7 @@ LONGEST = 4
 #: Add this to each count.
 SMOOTH = 0.5
 _TABLE = 0x20000
-LETTERS = bs.Hasher(0x9FB21C651E98DF25)
+LETTERS = bs.Hasher(bs.BASE, 7)
 
 
 @cache
@@ -44,8 +45,8 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     return np.array([c.isalpha() for c in chars]), bs.mix(low * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7))
 
 
-def letter_words(piece: bs.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix sums over code points; starts and ends of runs of letters; the text each run is in."""
+def letter_words(piece: bs.Piece) -> tuple[Callable, np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of any of a piece's slices; starts and ends of runs of letters; the text each run is in."""
     alpha, value = _letters()
     points = np.frombuffer(piece.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
     begins = np.concatenate(([0], np.cumsum((piece.data & 0xC0) != 0x80)))
@@ -53,7 +54,10 @@ def letter_words(piece: bs.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     belongs = alpha[low] | (points >= _TABLE)
     chars = bs.Piece(points, begins[piece.offsets], piece.first)
     start, end, of = bs.word_bounds(chars, belongs, np.arange(len(points)))
-    return LETTERS.sums(value[low] + (points >= _TABLE) * points.astype(np.uint64)), start, end, np.repeat(np.arange(len(piece)), np.diff(of))
+    values = value[low] + (points >= _TABLE) * points.astype(np.uint64)
+    sums = LETTERS.sums(values) if len(values) <= 2 * bs.PIECE else None
+    hashes = lambda a, b: LETTERS.of(values, a, b) if sums is None else LETTERS.slices(sums, a, b)
+    return hashes, start, end, np.repeat(np.arange(len(piece)), np.diff(of))
 
 
 def grams(start: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,10 +74,10 @@ def _counts(batches):
         names = sorted(set(langs))
         code = np.array([names.index(x) for x in langs])
         for piece in bs.pieces(batch.column("text")):
-            sums, start, end, text = letter_words(piece)
+            hashes, start, end, text = letter_words(piece)
             for n in range(LONGEST + 1):
                 owner, at = (np.arange(len(start)), start) if n == 0 else grams(start, end, n)
-                h = LETTERS.slices(sums, at, end if n == 0 else at + n)
+                h = hashes(at, end if n == 0 else at + n)
                 lang = code[piece.first + text[owner]]
                 order = np.lexsort((lang, h))
                 h, lang = h[order], lang[order]
@@ -126,12 +130,12 @@ class LanguageModel:
 
     def predict(self, piece: bs.Piece) -> tuple[list[str], np.ndarray]:
         texts, k = len(piece), len(self.langs)
-        sums, start, end, text = letter_words(piece)
+        hashes, start, end, text = letter_words(piece)
         has = np.bincount(text, minlength=texts) > 0
         if not k:
             return ["und"] * texts, np.zeros(texts)
         total = np.tile(self.prior, (texts, 1))
-        known, rows = self._look(0, LETTERS.slices(sums, start, end))
+        known, rows = self._look(0, hashes(start, end))
         for j in range(k):
             total[:, j] += np.bincount(text[known], weights=self.tables[0][1][rows, j], minlength=texts) if len(rows) else 0
         rest = ~known
@@ -140,7 +144,7 @@ class LanguageModel:
             if not len(start):
                 break
             owner, at = grams(start, end, n)
-            known, rows = self._look(n, LETTERS.slices(sums, at, at + n))
+            known, rows = self._look(n, hashes(at, at + n))
             owner = owner[known]
             count = np.bincount(owner, minlength=len(start))
             for j in range(k if len(rows) else 0):

@@ -31,8 +31,8 @@ from .exchange import LATER, SHARED, flagged
 
 GRAM, WINDOW = 2, 2
 RUN = GRAM + WINDOW - 1
-CHECK = bs.Hasher(0x8CB92BA72F3D8DD7, 5)
-LINES = bs.Hasher(0xD1342543DE82EF95)
+CHECK = bs.Hasher(bs.BASE, 5)
+LINES = bs.Hasher(bs.BASE, 6)
 FLAGS = "_corvine_later_runs"
 
 

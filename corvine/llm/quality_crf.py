@@ -31,6 +31,8 @@ from .common import in_python, table
 SAMPLE_ROWS = 4_000
 FIT_LINES = 500
 THRESHOLD = 0.7
+#: Bytes of text whose chains are run together.
+SCORED = 1 << 20
 STEPS = 150
 RATE = 0.08
 RIDGE = 1e-4
@@ -215,7 +217,7 @@ def score(docs: DataFrame, model: LineCRF) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            scores = [shared.value.quality(*line_features(piece)) for piece in bs.pieces(batch.column("text"))]
+            scores = [shared.value.quality(*line_features(piece)) for piece in bs.pieces(batch.column("text"), SCORED)]
             yield pa.RecordBatch.from_arrays([pc.cast(batch.column("doc_id"), pa.int64()), pa.array(np.clip(np.concatenate(scores), 0, 1) if scores else [], pa.float64())], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").transform(in_python, run, "doc_id long, score double")
