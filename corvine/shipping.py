@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 #: Arrow batches of this size at most, so that a worker's memory follows neither row widths nor Spark's default of 64 MB.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "8m"
 _shipped: set[str] = set()
 
 
