@@ -180,3 +180,25 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_SPLIT = "string_split(coalesce(text, ''), chr(10))"
+_TRIMMED = "trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))"
+ORACLE = f"""
+WITH lines AS (SELECT doc_id, unnest({_SPLIT}) AS line, generate_subscripts({_SPLIT}, 1) AS place, len({_SPLIT}) AS n FROM documents),
+solid AS (
+  SELECT doc_id, place, translate({_TRIMMED}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS l, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS i
+  FROM lines WHERE {_TRIMMED} <> ''),
+runs AS (SELECT doc_id, i, l AS a, lead(l, 1) OVER w AS b, lead(l, 2) OVER w AS c FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS r FROM runs WHERE c IS NOT NULL) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, (VALUES (0), (1), (2)) AS v(k)),
+marked AS (SELECT s.doc_id, s.place, g.i IS NOT NULL AS gone FROM solid s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.i = g.i),
+placed AS (
+  SELECT l.doc_id, l.line || CASE WHEN l.place < l.n THEN chr(10) ELSE '' END AS line, l.place, m.gone IS NOT NULL AS is_solid, coalesce(m.gone, FALSE) AS is_gone,
+         coalesce(m.gone, coalesce(last_value(m.gone IGNORE NULLS) OVER before, FALSE) AND coalesce(first_value(m.gone IGNORE NULLS) OVER after, FALSE)) AS cut
+  FROM lines l LEFT JOIN marked m ON l.doc_id = m.doc_id AND l.place = m.place
+  WINDOW before AS (PARTITION BY l.doc_id ORDER BY l.place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), after AS (PARTITION BY l.doc_id ORDER BY l.place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT doc_id, CAST(sum(CASE WHEN is_solid THEN 1 ELSE 0 END) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN is_gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(line, '' ORDER BY place) FILTER (WHERE NOT cut), '')) AS kept_sha256
+FROM placed GROUP BY doc_id
+"""

@@ -306,3 +306,15 @@ def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = link_components(table(spark, sf_dir, "documents"))
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return found.select(known("doc_id"), "n_shingles", known("component_id"), known("class_id"))
+
+
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {WORDS - 1}], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {WORDS - 1}) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS same FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * c >= {PERCENT} * (p.n + q.n - c)),
+reach AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS component_id, coalesce(any_value(c.class_id), w.doc_id) AS class_id
+FROM w JOIN reach r ON r.doc_id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT same, min(doc_id) AS class_id FROM n GROUP BY same) c ON c.same = n.same GROUP BY w.doc_id
+"""

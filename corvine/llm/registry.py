@@ -19,5 +19,8 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op2_near_dedup": near_dedup.ORACLE,
     "op4_mix_sources": mixing.oracle(),
+    "op8_decontaminate": decontaminate.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
 }
