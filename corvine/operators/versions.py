@@ -40,3 +40,15 @@ def debounced(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
 
 def needs_compaction(dead: Column, total: Column) -> Column:
     return (dead > MOST_DEAD) | ((total > 0) & (dead > DEAD_SHARE * total))
+
+
+def numbered(keys: DataFrame, key: str, name: str) -> DataFrame:
+    """Distinct keys with their place in sorted order, from 0: sorted by range, counted by partition, numbered within it."""
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = keys.select(key).repartitionByRange(n, key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id())
+    # The id is the partition's number above 33 bits and the place in the partition below.
+    placed = placed.select(key, F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_at"))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(offsets), "_part").select(key, (F.col("_before") + F.col("_at")).alias(name))

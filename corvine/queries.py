@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions.protocols import WordTokenizer
 from .operators import chunking, dense, fusion, graph, sparse, symbols, versions
+from .plans import index
 
 #: Words of middling frequency in the tables' invented prose, and one in most documents, whose IDF is floored.
 QUERY = ["onthe", "thnt", "herewh", "des", "the", "nosuchterm"]
@@ -354,6 +356,34 @@ def live_rows(spark, sf_dir):
     return live.agg(F.count("*").alias("live"), F.sum("turns").alias("turns"))
 
 
+RAW_IMPORTS = ["'./lib/tools'", '"../../a/b.js"', "react", " java.util.List ", "../x", "..", "'quoted'", "a.b.c"]
+
+
+@query(f"SELECT raw, regexp_replace(trim(trim(trim(trim(raw), chr(39)), chr(34))), '^[./]+', '') AS clean FROM {values([(r,) for r in RAW_IMPORTS], 'raw')}")
+def clean_imports(spark, sf_dir):
+    return literal(spark, [(r,) for r in RAW_IMPORTS], "raw").select("raw", T.cleaned_import(F.col("raw")).alias("clean"))
+
+
+@query("SELECT url, CAST(row_number() OVER (ORDER BY url) - 1 AS BIGINT) AS file_idx FROM (SELECT DISTINCT url FROM pages)")
+def path_dictionary(spark, sf_dir):
+    return versions.numbered(table(spark, sf_dir, "pages").select("url").distinct(), "url", "file_idx")
+
+
+@query(f"SELECT vec_id, {_D2} AS d2 FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE v.label <> (SELECT label FROM embeddings WHERE vec_id = 0) ORDER BY d2, vec_id LIMIT {K}")
+def knn_live_topk(spark, sf_dir):
+    """Deleted rows go before the ranking, so that k rows are left of it."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id = 0").first()
+    return dense.nearest(vectors.where(F.col("label") != asked.label), list(asked.embedding), K)
+
+
+@query()
+def structure_chunks(spark, sf_dir):
+    files = source_files(spark)
+    found = symbols.symbols(files)
+    return index.chunked(files, found, graph.edges(files, graph.imports(files)), WordTokenizer(), least=1)
+
+
 @query()
 def symbol_table(spark, sf_dir):
     return symbols.symbols(source_files(spark))
