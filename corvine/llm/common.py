@@ -35,6 +35,13 @@ def durable(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_cuts(spark: SparkSession) -> None:
+    """Deletes all durable tables in the shared folder. Results that read them must have been written before."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/corvine")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def is_void(df: DataFrame) -> bool:
     return not df.take(1)
 
