@@ -41,6 +41,8 @@ from .exchange import LATER, SHARED, flagged
 WORDS, PERCENT = 3, 90
 #: Counters of the sketch that orders shingles: a fixed size, 4 bytes each.
 SKETCH_BITS, SLICE_BITS = 22, 16
+#: Most doc_ids that are broadcast to pick texts, 8 bytes each.
+FEW_IDS = 500_000
 SECOND = bs.Hasher(0xB5026F5AA96619E9)
 #: 64-bit words of a set's parity bits: two sets differ in as many shingles as bits, at least.
 PARITY = 8
@@ -71,24 +73,22 @@ def prefix_length(n, percent: int):
 
 
 def _measure(k: int):
-    """Rows of documents (kind 0: id, n, two signatures) and of the sketch (kind 1: slice and counts)."""
+    """Rows of documents (kind 0: id, n, two signatures) and, once a task, of the sketch (kind 1: slice and counts)."""
 
     def run(batches):
+        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for batch in batches:
-            ids, out = batch.column("doc_id").to_numpy(), []
-            sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+            ids = batch.column("doc_id").to_numpy()
             for piece in bs.pieces(batch.column("text")):
                 h, of = shingle_sets(piece, k)
                 np.add.at(sketch, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-                sums, sums2 = bs.WORDS.sums(h), SECOND.sums(h)
-                out.append((ids[piece.first : piece.first + len(piece)], np.diff(of), bs.WORDS.slices(sums, of[:-1], of[1:]), SECOND.slices(sums2, of[:-1], of[1:])))
-            doc, n, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield _rows(np.zeros(len(doc)), doc, n, a.view(np.int64), b.view(np.int64), pa.nulls(len(doc), pa.binary()))
-            pack = zstandard.ZstdCompressor(1)
-            slices = sketch.reshape(-1, 1 << SLICE_BITS)
-            blobs = pa.array([pack.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()) for x in slices], pa.binary())
-            zero = np.zeros(len(slices), dtype=np.int64)
-            yield _rows(zero + 1, np.arange(len(slices)), zero, zero, zero, blobs)
+                a, b = (hasher.slices(hasher.sums(h), of[:-1], of[1:]).view(np.int64) for hasher in (bs.WORDS, SECOND))
+                yield _rows(np.zeros(len(piece)), ids[piece.first : piece.first + len(piece)], np.diff(of), a, b, pa.nulls(len(piece), pa.binary()))
+        pack = zstandard.ZstdCompressor(1)
+        slices = sketch.reshape(-1, 1 << SLICE_BITS)
+        blobs = pa.array([pack.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()) for x in slices], pa.binary())
+        zero = np.zeros(len(slices), dtype=np.int64)
+        yield _rows(zero + 1, np.arange(len(slices)), zero, zero, zero, blobs)
 
     return run
 
@@ -170,11 +170,13 @@ def _post(batches):
 
 
 def _sets(k: int):
+    """doc_id and shingles from doc_id and text, or packed text."""
+
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            ids = batch.column("doc_id")
-            for piece in bs.unpacked(batch.column("packed"), unpack.decompress):
+            ids, texts = batch.column(0), batch.column(1)
+            for piece in bs.unpacked(texts, unpack.decompress) if pa.types.is_binary(texts.type) else bs.pieces(texts):
                 h, of = shingle_sets(piece, k)
                 sets = [h[a:b].tobytes() for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.slice(piece.first, len(piece)), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
@@ -218,7 +220,7 @@ def alike(percent: int):
     return F.coalesce((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("n2")), F.lit(True))
 
 
-def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, few_ids: int = FEW_IDS) -> DataFrame:
     """One row for each doc_id: n_shingles, class_id (the smallest doc_id with the same set) and component_id. NO_ID stands for null."""
     spark = docs.sparkSession
     texts = one_per_id(docs)
@@ -254,8 +256,11 @@ def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs with whether they link; sets are made of those documents only that are in some pair."""
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = durable(packed.join(asked, "doc_id", "left_semi").transform(in_python, _sets(k), "doc_id long, shingles binary"))
+        asked = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        # Some numbers go to the texts; more than a task should hold meet them in a shuffle of packed texts.
+        few = asked.count() <= few_ids
+        found = texts.join(F.broadcast(asked), "doc_id", "left_semi") if few else packed.join(asked, "doc_id", "left_semi")
+        sets = durable(found.transform(in_python, _sets(k), "doc_id long, shingles binary"))
         left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
         return durable(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").transform(in_python, _verify(percent), "a long, b long, linked boolean"))
