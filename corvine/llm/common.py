@@ -76,9 +76,13 @@ def _libc():
 
 @cache
 def _return_large_blocks() -> None:
-    """Keeps glibc from raising the size from which blocks are mapped, and so unmapped when freed: option -3, M_MMAP_THRESHOLD."""
+    """Keeps glibc from raising the size from which blocks are mapped, and so unmapped when freed.
+
+    Options -3 and -1, M_MMAP_THRESHOLD and M_TRIM_THRESHOLD: what pieces need stays in the heap, as mapping it anew each time costs more than using it.
+    """
     if _libc():
-        _libc().mallopt(-3, 1 << 18)
+        _libc().mallopt(-3, 16 << 20)
+        _libc().mallopt(-1, 64 << 20)
 
 
 def _release() -> None:
