@@ -29,9 +29,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes runs of lines that occurred before; n_chars follows the text."""
+    """Deletes runs of lines, long lines and whole short documents that occurred before; n_chars follows the text."""
     ship(spark)
-    cut = line_dedup.deduplicated(docs)
+    cut = line_dedup.deduplicated(docs, line_dedup.LEAST_WORDS)
     return cut.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 

@@ -9,9 +9,15 @@ exchange, with the line hashes' 96 bits. A run is repeated if it started before,
 a smaller doc_id or earlier in its own, and the lines of all repeated runs are deleted, so that a
 longer passage goes as a whole and its first occurrence stays.
 
+Lines can be long, so three lines are not the least passage that matters. With `least_words`, a
+run of one or two lines with so many words is a unit of its own, compared in an exchange of its own,
+and so is the whole of a document of one or two lines, whatever its length, with other such wholes.
+Then every repeated passage of whole lines with `least_words` words goes, however its lines are
+broken, and copies of short documents are emptied.
+
 Only hashes travel: texts are read once to hash their lines and once to cut them.
 
-Cases: a null text counts as empty; documents of fewer than RUN lines lose nothing; blank lines
+Cases: a null text counts as empty; without `least_words` documents of fewer than RUN lines lose nothing; blank lines
 count as no lines and go if they lie between deleted ones; runs that overlap themselves keep their
 first RUN lines; of rows that share a doc_id the one with the largest text stands for them; a null
 doc_id is smaller than all others; an empty table gives an empty result; `deduplicated` keeps all
@@ -33,7 +39,10 @@ GRAM, WINDOW = 2, 2
 RUN = GRAM + WINDOW - 1
 CHECK = bs.Hasher(bs.BASE, 5)
 LINES = bs.Hasher(bs.BASE, 6)
-FLAGS = "_corvine_later_runs"
+FLAGS, PASSAGES = "_corvine_later_runs", "_corvine_later_passages"
+#: Words from which one or two lines are a passage, 255 at most; tells apart the keys of whole documents.
+LEAST_WORDS = 50
+WHOLE = np.uint64(0x57484F4C45)
 
 
 def text_lines(piece: bs.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,18 +59,34 @@ def text_lines(piece: bs.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return start, end, solid[a] if len(a) else a, (solid[b - 1] + 1 if len(b) else b), np.searchsorted(start, offsets)
 
 
-def _hash_lines(batches):
-    for batch in batches:
-        ids, rows = batch.column("doc_id").to_numpy(), []
-        for piece in bs.pieces(batch.column("text")):
-            _, _, a, b, of = text_lines(piece)
-            low = bs.LOWER[piece.data]
-            key = LINES.of(low, a, b)
-            check = (CHECK.of(low, a, b) >> np.uint64(32)).astype(np.uint32)
-            for d in np.flatnonzero(np.diff(of) >= RUN).tolist():
-                x, y = of[d], of[d + 1]
-                rows.append((int(ids[piece.first + d]), key[x:y].tobytes(), check[x:y].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["doc_id", "lines", "checks"])
+def line_words(piece: bs.Piece, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of words of trimmed lines."""
+    solid = bs.NOT_BLANK[piece.data]
+    begins = np.flatnonzero(solid[1:] & ~solid[:-1]) + 1
+    return np.searchsorted(begins, b) - np.searchsorted(begins, a, side="right") + 1
+
+
+HASHED = "doc_id long, lines binary, checks binary, words binary"
+
+
+def _hash_lines(least: int):
+    """Of documents of `least` or more lines, the lines' hashes, checks and numbers of words."""
+
+    def run(batches):
+        for batch in batches:
+            ids, rows = batch.column("doc_id").to_numpy(), []
+            for piece in bs.pieces(batch.column("text")):
+                _, _, a, b, of = text_lines(piece)
+                low = bs.LOWER[piece.data]
+                key = LINES.of(low, a, b)
+                check = (CHECK.of(low, a, b) >> np.uint64(32)).astype(np.uint32)
+                words = np.minimum(line_words(piece, a, b), 255).astype(np.uint8) if least < RUN else np.zeros(len(a), dtype=np.uint8)
+                for d in np.flatnonzero(np.diff(of) >= least).tolist():
+                    x, y = of[d], of[d + 1]
+                    rows.append((int(ids[piece.first + d]), key[x:y].tobytes(), check[x:y].tobytes(), words[x:y].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), *[pa.binary()] * 3))], names=["doc_id", "lines", "checks", "words"])
+
+    return run
 
 
 def _sequences(batch: pa.RecordBatch):
@@ -113,26 +138,48 @@ def _around(batch: pa.RecordBatch):
     return h[chosen], check, ids[doc[chosen]], at[chosen] - of[doc[chosen]]
 
 
-def later_runs(texts: DataFrame) -> DataFrame:
-    """doc_id and ords, the first lines (uint32) of runs of RUN lines that started before. texts: doc_id, unique, and text."""
-    hashed = durable(texts.select("doc_id", "text").transform(in_python, _hash_lines, "doc_id long, lines binary, checks binary"))
+def _passages(least_words: int):
+    """Runs of one and of two lines with `least_words` words, and whole documents of one or two lines; ords are 4 x first line + lines."""
+
+    def emit(batch: pa.RecordBatch):
+        ids, lines, checks, of = _sequences(batch)
+        words = np.concatenate([np.zeros(1, np.uint8), *(np.frombuffer(x, dtype=np.uint8) for x in batch.column("words").to_pylist())]).cumsum(dtype=np.int64)
+        sums, out = CHECK.sums(checks.astype(np.uint64)), []
+        for k in range(1, RUN):
+            at, doc, h = _runs(lines, of, k)
+            long = words[at + k] - words[at] >= least_words
+            chosen = np.flatnonzero(long | (np.diff(of)[doc] == k))
+            at, doc, long = at[chosen], doc[chosen], long[chosen]
+            key = np.where(long, h[chosen], bs.mix(h[chosen] ^ WHOLE))
+            out.append((key, (CHECK.slices(sums, at, at + k) >> np.uint64(32)).astype(np.uint32), ids[doc], 4 * (at - of[doc]) + k))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    return emit
+
+
+def later_runs(texts: DataFrame, least_words: int | None = None) -> DataFrame:
+    """doc_id and ords, the first lines (uint32) of runs of RUN lines that started before; passages, those of `_passages`. texts: doc_id, unique, and text."""
+    hashed = durable(texts.select("doc_id", "text").transform(in_python, _hash_lines(1 if least_words else RUN), HASHED))
     shared = flagged(hashed, _fingerprints, LATER | SHARED, within=True)
     near = hashed.join(shared.select("doc_id", "ords"), "doc_id")
-    return flagged(near, _around, LATER, within=True).select("doc_id", "ords")
+    found = flagged(near, _around, LATER, within=True).select("doc_id", "ords")
+    if not least_words:
+        return found.withColumn("passages", F.lit(None).cast("binary"))
+    return found.join(flagged(hashed, _passages(least_words), LATER, within=True).select("doc_id", F.col("ords").alias("passages")), "doc_id", "full")
 
 
-def _cut(piece: bs.Piece, later: list) -> list[tuple[bytes, int, int]]:
+def _cut(piece: bs.Piece, later: list, passages: list) -> list[tuple[bytes, int, int]]:
     """Of each text: what is left, its number of lines and of deleted ones."""
     start, end, _, _, of = text_lines(piece)
     out = []
     for d in range(len(piece)):
         a, b, x, y = int(piece.offsets[d]), int(piece.offsets[d + 1]), int(of[d]), int(of[d + 1])
-        raw = later[piece.first + d]
-        if not raw:
+        raw, long = later[piece.first + d], passages[piece.first + d]
+        if not raw and not long:
             out.append((piece.data[a:b].tobytes(), y - x, 0))
             continue
-        runs = np.frombuffer(raw, dtype=np.uint32).astype(np.int64)
-        gone = bs.spread(y - x, runs, runs + RUN)
+        runs, long = (np.frombuffer(r or b"", dtype=np.uint32).astype(np.int64) for r in (raw, long))
+        gone = bs.spread(y - x, np.concatenate((runs, long // 4)), np.concatenate((runs + RUN, long // 4 + long % 4)))
         kept, at = [], a
         for i, j in zip(*bs.spans(gone), strict=True):
             kept.append(piece.data[at : start[x + i]].tobytes())
@@ -142,42 +189,47 @@ def _cut(piece: bs.Piece, later: list) -> list[tuple[bytes, int, int]]:
     return out
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, least_words: int | None = None) -> DataFrame:
     """One row for each doc_id: n_lines, n_removed and kept, the text without the deleted lines."""
     texts = one_per_id(docs)
 
     def run(batches):
         for batch in batches:
-            later, rows = batch.column("ords").to_pylist(), []
+            later, passages, rows = batch.column("ords").to_pylist(), batch.column("passages").to_pylist(), []
             for piece in bs.pieces(batch.column("text")):
-                rows += _cut(piece, later)
+                rows += _cut(piece, later, passages)
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[0], pa.binary())], names=["doc_id", "n_lines", "n_removed", "kept"])
 
-    found = texts.join(later_runs(texts), "doc_id", "left").transform(in_python, run, "doc_id long, n_lines long, n_removed long, kept binary")
+    found = texts.join(later_runs(texts, least_words), "doc_id", "left").transform(in_python, run, "doc_id long, n_lines long, n_removed long, kept binary")
     return found.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_lines", "n_removed", F.col("kept").cast("string").alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, least_words: int | None = None) -> DataFrame:
     """`docs`, one row for each doc_id, with all columns, repeated lines deleted from text."""
     rows = one_row_per_id(docs)
     at = rows.columns.index("text")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    later = later_runs(one_per_id(rows)).select(F.col("doc_id").alias("_corvine_id"), F.col("ords").alias(FLAGS))
+    later = later_runs(one_per_id(rows), least_words).select(F.col("doc_id").alias("_corvine_id"), F.col("ords").alias(FLAGS), F.col("passages").alias(PASSAGES))
 
     def run(batches):
         for batch in batches:
-            later, texts = batch.column(batch.num_columns - 1).to_pylist(), []
+            later, passages, texts = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), []
             text = batch.column(at)
             for piece in bs.pieces(text):
-                texts += [x[0].decode() for x in _cut(piece, later)]
+                texts += [x[0].decode() for x in _cut(piece, later, passages)]
             texts = pa.array([None if v is None else x for x, v in zip(texts, text.to_pylist(), strict=True)], pa.string()) if text.null_count else pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([texts if i == at else batch.column(i) for i in range(batch.num_columns - 1)], names=batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays([texts if i == at else batch.column(i) for i in range(batch.num_columns - 2)], names=batch.schema.names[:-2])
 
     joined = rows.join(later, key == later["_corvine_id"], "left").drop("_corvine_id")
     return joined.transform(in_python, run, docs.schema)
 
 
+def op10_line_dedup_passages(spark, sf_dir: str) -> DataFrame:
+    """The whole job: op10_line_dedup's runs, whose SQL knows three lines only, and passages of LEAST_WORDS words on one or two lines."""
+    return line_dedup(table(spark, sf_dir, "documents"), LEAST_WORDS).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
