@@ -164,6 +164,16 @@ def knn_batch(spark, sf_dir):
     return found.select("qid", "vec_id", F.round("d2", 6).alias("d2"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    f"SELECT qid, vec_id, round(d2, 6) AS d2, rank FROM (SELECT q.vec_id AS qid, v.vec_id, {_D2} AS d2, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_D2}, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5"
+)
+def knn_batch_every_50th(spark, sf_dir):
+    """The whole batch: every row whose vec_id is divisible by 50 asks, against all rows; knn_batch asks the 20 of its SQL."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = dense.nearest_to_all(vectors, vectors.where("vec_id % 50 = 0"), 5)
+    return found.select("qid", "vec_id", F.round("d2", 6).alias("d2"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     f"WITH {_TOKENISED}, {_STATS}, {_IDF}, {_SCORES}, {_NEAR}{fusion.DEPTH * K}), "
     "dr AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY d2, vec_id) - 1 AS dense_rank FROM near), "
