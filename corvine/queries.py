@@ -242,6 +242,13 @@ def splice_bytes(spark, sf_dir):
     return ascii_only.select("doc_id", F.md5(T.spliced(F.col("text").cast("binary"), F.lit(100), F.lit(300))).alias("splice_md5"))
 
 
+@query()
+def splice_bytes_all(spark, sf_dir):
+    """The byte range of every document, null as empty; the SQL of splice_bytes, on characters, holds for ASCII texts only."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return docs.select("doc_id", F.md5(T.spliced(F.col("content"), F.lit(100), F.lit(300))).alias("splice_md5"))
+
+
 _HREFS = "hrefs AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS raw, generate_subscripts(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), 1) - 1 AS ordinal FROM pages), clean AS (SELECT page_id, ordinal, regexp_replace(regexp_replace(raw, '[?#].*$', ''), '^([a-z]+://)?/*', '') AS target FROM hrefs)"
 
 
