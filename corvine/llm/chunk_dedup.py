@@ -5,7 +5,9 @@ the earliest and MOST at the latest, so boundaries follow the content and find s
 insertion. Chunks of a few words recur by chance, so the unit that is compared is a run: from each
 chunk on, as many chunks as make RUN bytes. A run is a duplicate if its digest (96 bits) occurred
 before, in a document with a smaller doc_id or earlier in its own, and the chunks of all duplicate
-runs are cut out; a longer passage goes as a whole, and its first occurrence stays.
+runs are cut out; a longer passage goes as a whole, and its first occurrence stays. With `to_end`,
+as the query has it, one more run of each text ends at the text's end: from the last chunk that has RUN bytes from its start on, or the
+whole of a text with fewer. So exact copies go completely, whatever their length.
 
 Digests meet in the packed exchange of `exchange`: one entry for each batch and digest, whatever the
 size of a group of copies, and no pairs. The gear hash is exact but vectorised: five shift-and-add
@@ -82,19 +84,36 @@ def runs(piece: bs.Piece, ends: np.ndarray, counts: np.ndarray) -> tuple[np.ndar
     return full, last[full], starts[full], owner[full]
 
 
-def _emit(batch: pa.RecordBatch):
-    ids = batch.column("doc_id").to_numpy()
-    out = []
-    for piece in bs.pieces(batch.column("text")):
-        ends, counts = chunk_ends(piece)
-        first, last, start, owner = runs(piece, ends, counts)
-        if not len(first):
-            continue
-        before = np.cumsum(counts) - counts
-        key = bs.BYTES.of(piece.data, start, ends[last])
-        check = (CHECK.of(piece.data, start, ends[last]) >> np.uint64(32)).astype(np.uint32)
-        out.append((key, check, ids[piece.first + owner].astype(np.int64), first - before[owner]))
-    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
+def last_runs(piece: bs.Piece, ends: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the runs that end at their texts' ends and aren't among `runs`: first chunk, where it starts, and the text."""
+    of = np.cumsum(counts) - counts
+    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    text = np.flatnonzero(counts)
+    end = piece.offsets[1:][text]
+    first = np.maximum(np.searchsorted(starts, end - RUN, side="right") - 1, of[text])
+    own = np.searchsorted(ends, starts[first] + RUN) != of[text] + counts[text] - 1
+    return first[own], starts[first][own], text[own]
+
+
+def _emit(to_end: bool):
+    def run(batch: pa.RecordBatch):
+        ids = batch.column("doc_id").to_numpy()
+        out = []
+        for piece in bs.pieces(batch.column("text")):
+            ends, counts = chunk_ends(piece)
+            first, last, start, owner = runs(piece, ends, counts)
+            before = np.cumsum(counts) - counts
+            found = [(start, ends[last], owner, first - before[owner])]
+            if to_end:
+                _, begin, text = last_runs(piece, ends, counts)
+                found.append((begin, piece.offsets[1:][text], text, counts[text]))
+            for a, b, d, ord_ in found:
+                if len(a):
+                    check = (CHECK.of(piece.data, a, b) >> np.uint64(32)).astype(np.uint32)
+                    out.append((bs.BYTES.of(piece.data, a, b), check, ids[piece.first + d].astype(np.int64), ord_))
+        return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
+
+    return run
 
 
 def _decide(batches):
@@ -105,6 +124,8 @@ def _decide(batches):
             rows = []
             ends, counts = chunk_ends(piece)
             first = np.cumsum(counts) - counts
+            final, _, text = last_runs(piece, ends, counts)
+            final = dict(zip(text.tolist(), (final - first[text]).tolist(), strict=True))
             for d in range(len(piece)):
                 a, b = int(piece.offsets[d]), int(piece.offsets[d + 1])
                 raw = ords[piece.first + d].as_py()
@@ -113,7 +134,10 @@ def _decide(batches):
                 if raw:
                     begins = np.concatenate(([a], mine[:-1]))
                     lead = np.frombuffer(raw, dtype=np.uint32).astype(np.int64)
-                    dup = bs.spread(len(mine), lead, np.searchsorted(mine, begins[lead] + RUN) + 1)
+                    # The number of chunks stands for the run that ends with the text.
+                    at_end = lead == len(mine)
+                    lead = np.where(at_end, final.get(d, 0), lead)
+                    dup = bs.spread(len(mine), lead, np.where(at_end, len(mine), np.searchsorted(mine, begins[lead] + RUN) + 1))
                     spans, cut = [(int(begins[x]), int(mine[y - 1])) for x, y in zip(*bs.spans(dup), strict=True)], int(dup.sum())
                 kept, at = [], a
                 for x, y in spans:
@@ -128,14 +152,14 @@ def _decide(batches):
 KEPT = "doc_id long, n_chunks long, n_duplicate long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def chunk_dedup(docs: DataFrame) -> DataFrame:
+def chunk_dedup(docs: DataFrame, to_end: bool = False) -> DataFrame:
     """One row for each doc_id: n_chunks, n_duplicate (chunks cut out), n_bytes, n_removed, n_spans (runs cut out) and kept, the bytes left."""
     texts = one_per_id(docs)
-    found = with_flags(texts, flagged(texts, _emit, LATER, within=True)).transform(in_python, _decide, KEPT)
+    found = with_flags(texts, flagged(texts, _emit(to_end), LATER, within=True)).transform(in_python, _decide, KEPT)
     return found.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def op5_chunk_dedup(spark, sf_dir: str) -> DataFrame:
-    return chunk_dedup(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+    return chunk_dedup(table(spark, sf_dir, "documents"), to_end=True).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
