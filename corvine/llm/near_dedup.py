@@ -27,6 +27,8 @@ doc_id is smaller than all others and gives a null component; an empty table giv
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -46,6 +48,8 @@ FEW_IDS = 500_000
 SECOND = bs.Hasher(0xB5026F5AA96619E9)
 #: 64-bit words of a set's parity bits: two sets differ in as many shingles as bits, at least.
 PARITY = 8
+#: Postings of a shingle that meet all others of it in one task.
+PART = 1_000
 BITS = [f"s{i}" for i in range(PARITY)]
 
 
@@ -220,27 +224,71 @@ def alike(percent: int):
     return F.coalesce((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("n2")), F.lit(True))
 
 
-def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, few_ids: int = FEW_IDS) -> DataFrame:
-    """One row for each doc_id: n_shingles, class_id (the smallest doc_id with the same set) and component_id. NO_ID stands for null."""
+@dataclass
+class _Grouped:
+    """What steps 1 to 3 make: texts, rows (document and set), classes, members (class and group) and postings (shingle and group)."""
+
+    texts: DataFrame
+    rows: DataFrame
+    classes: DataFrame
+    members: DataFrame
+    postings: DataFrame
+
+
+#: What makes sets equal.
+SAME = ["n", "sig1", "sig2"]
+
+
+def _grouped(docs: DataFrame, k: int, percent: int) -> _Grouped:
     spark = docs.sparkSession
     texts = one_per_id(docs)
     measured = durable(texts.transform(in_python, _measure(k), "kind int, doc_id long, n long, sig1 long, sig2 long, blob binary"))
     sketch = spark.sparkContext.broadcast(read_sketch(measured))
-    same = ["n", "sig1", "sig2"]
-    rows = measured.where("kind = 0").select("doc_id", *same)
-    classes = durable(rows.where("n > 0").groupBy(same).agg(F.min("doc_id").alias("class_id")))
+    rows = measured.where("kind = 0").select("doc_id", *SAME)
+    classes = durable(rows.where("n > 0").groupBy(SAME).agg(F.min("doc_id").alias("class_id")))
 
     prefixes = texts.transform(in_python, _prefixes(sketch, k, percent), "doc_id long, n long, prefix binary, " + ", ".join(f"{b} long" for b in BITS))
     standing = durable(prefixes.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id"))
     members = standing.select(F.col("doc_id").alias("member"), "n", F.xxhash64("prefix").alias("p1"), F.crc32("prefix").alias("p2"), *BITS)
     groups = members.groupBy("n", "p1", "p2").agg(F.min("member").alias("grp"), F.count("*").alias("size"))
     members = durable(members.join(groups, ["n", "p1", "p2"]).select("member", "grp", "n", "size", *BITS))
-    # What a group's only member's set allows; groups of several let all pass until they are expanded.
-    parity = members.where("size = 1").select("grp", *BITS)
-    parity2 = parity.select(F.col("grp").alias("grp2"), *[F.col(b).alias(f"t{b}") for b in BITS])
     heads = standing.join(members.where("member = grp").select(F.col("member").alias("doc_id")), "doc_id")
     shared = flagged(heads, _emit_prefixes, LATER | SHARED)
     postings = durable(heads.join(shared.select("doc_id", "ords"), "doc_id").transform(in_python, _post, "shingle long, grp long, n long, place long"))
+    return _Grouped(texts, rows, classes, members, postings)
+
+
+def _parities(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a group's only member's set allows, for either side; groups of several let all pass until they are expanded."""
+    parity = members.where("size = 1").select("grp", *BITS)
+    return parity, parity.select(F.col("grp").alias("grp2"), *[F.col(b).alias(f"t{b}") for b in BITS])
+
+
+def _allowed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of members whose own parity bits allow a link."""
+    bits_a = members.select(F.col("member").alias("a"), "n", *BITS)
+    bits_b = members.select(F.col("member").alias("b"), F.col("n").alias("n2"), *[F.col(b).alias(f"t{b}") for b in BITS])
+    return pairs.join(bits_a, "a").join(bits_b, "b").where(alike(percent)).select("a", "b")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int, few_ids: int) -> DataFrame:
+    """Pairs with whether they link; sets are made of those documents only that are in some pair."""
+    packed = texts.transform(in_python, _pack_texts, "doc_id long, packed binary")
+    asked = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    # Some numbers go to the texts; more than a task should hold meet them in a shuffle of packed texts.
+    few = asked.count() <= few_ids
+    found = texts.join(F.broadcast(asked), "doc_id", "left_semi") if few else packed.join(asked, "doc_id", "left_semi")
+    sets = durable(found.transform(in_python, _sets(k), "doc_id long, shingles binary"))
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
+    return durable(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").transform(in_python, _verify(percent), "a long, b long, linked boolean"))
+
+
+def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, few_ids: int = FEW_IDS) -> DataFrame:
+    """One row for each doc_id: n_shingles, class_id (the smallest doc_id with the same set) and component_id. NO_ID stands for null."""
+    g = _grouped(docs, k, percent)
+    texts, members, postings = g.texts, g.members, g.postings
+    parity, parity2 = _parities(members)
 
     # Pivots of a shingle: its smallest and largest sets, and one at random.
     entry = F.struct("n", "grp", "place")
@@ -252,20 +300,7 @@ def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, few
     own = members.where("member <> grp").select(F.col("grp").alias("a"), F.col("member").alias("b"))
     first = durable(by_pivot.unionByName(own).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    packed = texts.transform(in_python, _pack_texts, "doc_id long, packed binary")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs with whether they link; sets are made of those documents only that are in some pair."""
-        asked = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        # Some numbers go to the texts; more than a task should hold meet them in a shuffle of packed texts.
-        few = asked.count() <= few_ids
-        found = texts.join(F.broadcast(asked), "doc_id", "left_semi") if few else packed.join(asked, "doc_id", "left_semi")
-        sets = durable(found.transform(in_python, _sets(k), "doc_id long, shingles binary"))
-        left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
-        return durable(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").transform(in_python, _verify(percent), "a long, b long, linked boolean"))
-
-    judged = verified(first)
+    judged = _verified(texts, first, k, percent, few_ids)
     links = judged.where("linked").select("a", "b")
     found = durable(components(links))
 
@@ -288,18 +323,52 @@ def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, few
     expand2 = placed.select(F.col("grp").alias("grp2"), F.col("component").alias("other"), F.col("member").alias("b"))
     rest = group_pairs.join(expand, ["grp", "component"]).join(expand2, ["grp2", "other"]).select("a", "b").unionByName(within)
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    bits_a = members.select(F.col("member").alias("a"), "n", *BITS)
-    bits_b = members.select(F.col("member").alias("b"), F.col("n").alias("n2"), *[F.col(b).alias(f"t{b}") for b in BITS])
-    rest = durable(rest.join(judged.select("a", "b"), ["a", "b"], "left_anti").join(bits_a, "a").join(bits_b, "b").where(alike(percent)).select("a", "b"))
+    rest = durable(_allowed(rest.join(judged.select("a", "b"), ["a", "b"], "left_anti"), members, percent))
     if not is_void(rest):
-        more = verified(rest).where("linked").select("a", "b")
+        more = _verified(texts, rest, k, percent, few_ids).where("linked").select("a", "b")
         if not is_void(more):
             found = durable(components(links.unionByName(more)))
-    named = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(*same, "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = rows.join(named, same, "left")
+    named = g.classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(*SAME, "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    out = g.rows.join(named, SAME, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def class_links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, few_ids: int = FEW_IDS) -> tuple[DataFrame, DataFrame]:
+    """The whole join: a < b, all pairs of different classes that link, by their class_ids; and rows of doc_id, the set and class_id.
+
+    All pairs of groups that share a shingle of their prefixes and that sizes, places and parities allow
+    are expanded and verified. A shingle's postings are salted: PART of them meet all others in a task.
+    """
+    g = _grouped(docs, k, percent)
+    parity, parity2 = _parities(g.members)
+    salts = g.postings.groupBy("shingle").agg(F.ceil(F.count("*") / PART).cast("int").alias("salts"))
+    salted = g.postings.join(salts, "shingle")
+    x = salted.withColumn("salt", F.pmod(F.xxhash64("grp"), F.col("salts")).cast("int")).join(parity, "grp", "left")
+    y = salted.select("shingle", F.col("grp").alias("grp2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(parity2, "grp2", "left")
+    meet = (x["shingle"] == y["shingle"]) & (x["salt"] == y["salt"]) & (x["grp"] < y["grp2"]) & possible(F.col("n"), F.col("place"), F.col("n2"), F.col("place2"), percent) & alike(percent)
+    group_pairs = x.drop("salts").join(y, meet).select("grp", "grp2").distinct()
+    expand = g.members.select("grp", F.col("member").alias("a"))
+    expand2 = g.members.select(F.col("grp").alias("grp2"), F.col("member").alias("b"))
+    inside = g.members.where("size > 1").select("grp", F.col("member").alias("a"))
+    within = inside.join(inside.select("grp", F.col("a").alias("b")), "grp").where("a < b").select("a", "b")
+    pairs = group_pairs.join(expand, "grp").join(expand2, "grp2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(within)
+    links = _verified(g.texts, durable(_allowed(pairs, g.members, percent)), k, percent, few_ids).where("linked").select("a", "b")
+    return links, g.rows.join(g.classes, SAME, "left")
+
+
+def linked_documents(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row for each doc_id: n_shingles, component_id, n_links (other documents that link with it, equal sets among them) and class_id. NO_ID stands for null."""
+    links, rows = class_links(docs, k, percent)
+    links = durable(links)
+    sizes = durable(rows.where("class_id is not null").groupBy("class_id").agg(F.count("*").alias("size")))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes, both["b"] == sizes["class_id"]).groupBy("a").agg(F.sum("size").alias("others"))
+    per_class = sizes.join(others, sizes["class_id"] == others["a"], "left").select("class_id", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    found = components(links).withColumnRenamed("node", "class_id")
+    out = rows.join(per_class, "class_id", "left").join(found, "class_id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """`docs`, of each component the row with the smallest doc_id, with all columns."""
     rows = one_row_per_id(docs)
@@ -307,6 +376,12 @@ def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFra
     return rows.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == gone["_corvine_id"], "left_anti")
 
 
+def op2_near_dedup_links(spark, sf_dir: str) -> DataFrame:
+    """The whole join: op2_near_dedup's columns, bound by its SQL, and the number of links of each document."""
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
+    return linked_documents(table(spark, sf_dir, "documents")).select(known("doc_id"), "n_shingles", known("component_id"), "n_links", known("class_id"))
+
+
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = link_components(table(spark, sf_dir, "documents"))
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)

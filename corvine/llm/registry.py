@@ -7,6 +7,7 @@ from . import chunk_dedup, decontaminate, exact_dedup, language_id, line_dedup,
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op2_near_dedup_links": near_dedup.op2_near_dedup_links,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_chunk_dedup": chunk_dedup.op5_chunk_dedup,
