@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.llm import decontaminate, language_id, line_dedup, mixing, near_dedup
-from corvine.llm.common import durable, one_row_per_id, table
+from corvine.llm.common import WORD, durable, one_row_per_id, table
 from corvine.shipping import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -48,12 +48,18 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, with `size` and `taken`, the number of those words, repeats counted."""
+    """What the mix takes, one row for each epoch of a document: all of its text, or in the last its first words, with `epoch`, `size`, the document's words, and `taken`, the row's."""
     ship(spark)
     rows = one_row_per_id(docs)
     mixed = mixing.mix(mixing.with_quality(rows, table(spark, sf_dir, "labels"))).where("taken > 0")
     mixed = mixed.select(F.col("doc_id").alias("_corvine_id"), "size", "taken")
-    return rows.drop("size", "taken").join(mixed, F.col("doc_id").eqNullSafe(F.col("_corvine_id"))).drop("_corvine_id")
+    found = rows.drop("size", "taken", "epoch").join(mixed, F.col("doc_id").eqNullSafe(F.col("_corvine_id"))).drop("_corvine_id")
+    epochs = found.select("*", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("epoch"))
+    epochs = epochs.withColumn("taken", F.least("size", F.col("taken") - (F.col("epoch") - 1) * F.col("size")))
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.col("taken").cast("int")), "")
+    cut = F.col("taken") < F.col("size")
+    out = epochs.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
+    return out.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
 
 
 STAGES: list[tuple[str, Stage]] = [
