@@ -20,25 +20,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share. A local session that names none uses its warehouse; a cluster has to name one."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_corvine"
+    if context.master == "local" or context.master.startswith("local["):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_corvine"
+    raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+
+
+def cuts_folder(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_folder(spark)}/corvine/{spark.sparkContext.applicationId}"
+
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of `df` has, whatever its letters' case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-def durable(df: DataFrame, partitions: int | None = None) -> DataFrame:
+
+def durable(df: DataFrame) -> DataFrame:
     """`df` written as Parquet in the shared folder and read back: lineage ends there and a lost executor takes nothing with it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corvine/{uuid.uuid4().hex}"
-    (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
+    path = f"{cuts_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_cuts(spark: SparkSession) -> None:
-    """Deletes all durable tables in the shared folder. Results that read them must have been written before."""
+    """Deletes this application's durable tables and models. Results that read them must have been written before."""
     context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/corvine")
+    path = context._jvm.org.apache.hadoop.fs.Path(cuts_folder(spark))
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -101,7 +120,7 @@ def one_per_id(docs: DataFrame) -> DataFrame:
     Only doc_ids are shuffled, and the texts of those that repeat.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    again = durable(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), 1)
+    again = durable(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if is_void(again):
         return rows
     return rows.join(again, "doc_id", "left_anti").unionByName(rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
@@ -113,9 +132,16 @@ def with_flags(texts: DataFrame, flags: DataFrame) -> DataFrame:
 
 def one_row_per_id(docs: DataFrame) -> DataFrame:
     """`docs` with all its columns; of rows that share a doc_id the one with the largest text stays."""
-    again = durable(docs.groupBy(F.col("doc_id").alias("_corvine_id")).count().where("count > 1").select("_corvine_id"), 1)
+    key, row = fresh(docs, "repeated_id", "best_row")
+    again = durable(docs.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(row)).where(F.col(row) > 1).select(key))
     if is_void(again):
         return docs
-    same = docs["doc_id"].eqNullSafe(again["_corvine_id"])
-    best = docs.join(again, same, "left_semi").groupBy("doc_id").agg(F.max_by(F.struct("*"), F.coalesce("text", F.lit(""))).alias("_corvine_row"))
-    return docs.join(again, same, "left_anti").unionByName(best.select("_corvine_row.*"))
+    same = docs["doc_id"].eqNullSafe(again[key])
+    best = docs.join(again, same, "left_semi").groupBy("doc_id").agg(F.max_by(F.struct("*"), F.coalesce("text", F.lit(""))).alias(row))
+    return docs.join(again, same, "left_anti").unionByName(best.select(f"{row}.*"))
+
+
+def by_ranges(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to tasks by the number in the last of `keys`, evenly, and sorted by `keys` in each."""
+    n = width(rows.sparkSession)
+    return rows.repartitionById(n, F.pmod(F.col(keys[-1]), F.lit(n)).cast("int")).sortWithinPartitions(*keys)

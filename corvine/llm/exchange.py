@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import in_python, width
+from .common import by_ranges, in_python, width
 
 LATER, SHARED = 1, 2
 ENTRIES = "range int, kind int, key binary, check binary, doc binary, ord binary, many binary"
@@ -144,7 +144,7 @@ class Family:
             won = same[~older]
             docs[there[~older]], slots[there[~older]] = doc[won], base + won
         for i in clash:
-            self._odd(int(key[i]), int(check[i]), int(doc[i]), base + i)
+            self._single(key[i], int(check[i]), int(doc[i]), base + i)
         new = np.flatnonzero(free)
         if len(new):
             self.levels.append([key[new], check[new], doc[new].copy(), base + new])
@@ -154,6 +154,21 @@ class Family:
             order = np.argsort(both[0], kind="stable")
             self.levels.append([x[order] for x in both])
 
+    def _single(self, key: np.uint64, check: int, doc: int, slot: int) -> None:
+        """An entry whose key came with another check, too: its own may be in a level all the same."""
+        for keys, checks, docs, slots in self.levels:
+            at = int(np.searchsorted(keys, key))
+            if at < len(keys) and keys[at] == key:
+                if int(checks[at]) != check:
+                    break
+                older = docs[at] < doc
+                self.flags[slot] |= (LATER if older else 0) | SHARED
+                self.flags[slots[at]] |= (0 if older else LATER) | SHARED
+                if not older:
+                    docs[at], slots[at] = doc, slot
+                return
+        self._odd(int(key), check, doc, slot)
+
     def _odd(self, key: int, check: int, doc: int, slot: int) -> None:
         found = self.odd.get((key, check))
         # Arrays hold one check of each key, the first that came; entries with any other check of it are all here.
@@ -229,8 +244,7 @@ def to_bucket(rows: pa.RecordBatch) -> pa.RecordBatch:
 
 def by_document(found: DataFrame) -> DataFrame:
     """From rows of FOUND doc_id, ords (uint32, ascending) and flags (uint8, the largest of each ordinal)."""
-    n = width(found.sparkSession)
-    return found.repartition(n, "bucket").sortWithinPartitions("bucket").transform(in_python, _by_document, "doc_id long, ords binary, flags binary")
+    return by_ranges(found, "bucket").transform(in_python, _by_document, "doc_id long, ords binary, flags binary")
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,5 +290,5 @@ def flagged(docs: DataFrame, emit: Callable[[pa.RecordBatch], tuple[np.ndarray,
             if len(got[0]):
                 yield from entries(*got, n_ranges, n_buckets, within)
 
-    rows = docs.transform(in_python, send, ENTRIES).repartition(n, "kind", "range").sortWithinPartitions("kind", "range")
+    rows = by_ranges(docs.transform(in_python, send, ENTRIES), "kind", "range")
     return by_document(rows.transform(in_python, _ranges(n_buckets, wanted), FOUND))

@@ -32,14 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import NO_ID, durable, in_python, one_per_id, one_row_per_id, table
+from .common import NO_ID, durable, fresh, in_python, one_per_id, one_row_per_id, table
 from .exchange import LATER, SHARED, flagged
 
 GRAM, WINDOW = 2, 2
 RUN = GRAM + WINDOW - 1
 CHECK = bs.Hasher(bs.BASE, 5)
 LINES = bs.Hasher(bs.BASE, 6)
-FLAGS, PASSAGES = "_corvine_later_runs", "_corvine_later_passages"
 #: Words from which one or two lines are a passage, 255 at most; tells apart the keys of whole documents.
 LEAST_WORDS = 50
 WHOLE = np.uint64(0x57484F4C45)
@@ -210,7 +209,8 @@ def deduplicated(docs: DataFrame, least_words: int | None = None) -> DataFrame:
     rows = one_row_per_id(docs)
     at = rows.columns.index("text")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    later = later_runs(one_per_id(rows), least_words).select(F.col("doc_id").alias("_corvine_id"), F.col("ords").alias(FLAGS), F.col("passages").alias(PASSAGES))
+    names = fresh(rows, "id_of_runs", "later_runs", "later_passages")
+    later = later_runs(one_per_id(rows), least_words).select(*[F.col(c).alias(x) for c, x in zip(("doc_id", "ords", "passages"), names, strict=True)])
 
     def run(batches):
         for batch in batches:
@@ -221,7 +221,7 @@ def deduplicated(docs: DataFrame, least_words: int | None = None) -> DataFrame:
             texts = pa.array([None if v is None else x for x, v in zip(texts, text.to_pylist(), strict=True)], pa.string()) if text.null_count else pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([texts if i == at else batch.column(i) for i in range(batch.num_columns - 2)], names=batch.schema.names[:-2])
 
-    joined = rows.join(later, key == later["_corvine_id"], "left").drop("_corvine_id")
+    joined = rows.join(later, key == later[names[0]], "left").drop(names[0])
     return joined.transform(in_python, run, docs.schema)
 
 
