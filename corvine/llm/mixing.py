@@ -11,9 +11,11 @@ of the doc_id and w the document's quality weight: Efraimidis-Spirakis sampling
 replacement, in which the document that crosses the budget gives its first words only. A budget is
 met to the word, and reruns agree.
 
-A hot source isn't sorted in one task: keys are cut into ranges of about RANGE_ROWS documents, the
-ranges' sums are added up, and documents are summed within their range. Only per-source and
-per-range sums go through a window.
+A hot source isn't sorted in one task: keys are cut into ranges of about RANGE_ROWS documents, or of
+the square root of the source's number where that is more, the ranges' sums are added up, and
+documents are summed within their range. Only per-source and per-range sums go through a window.
+How keys spread follows from the source's weights, counted in eighths of an octave: the share of
+keys up to x is the mean of 1 - exp(-w x), so ranges of that share hold about equally many documents.
 
 Cases: a null text has size 0; a document of size 0 takes 0; a null source is a source of its own;
 repeated rows are documents of their own, their ties broken by doc_id; null weights count as 1 and
@@ -31,7 +33,9 @@ from .common import WORD, durable, table
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
+#: Steps of an octave in which weights are counted; they only decide how even ranges are.
+STEPS = 8
 #: Weights of documents that labels.quality marks 1 and 0, and of those without a mark.
 GOOD, BAD, UNMARKED = 2.0, 0.5, 1.0
 
@@ -68,13 +72,25 @@ def _by_source(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, left.source.eqNullSafe(right._source), "inner").drop("_source")
 
 
+def key_shares(sized: DataFrame) -> DataFrame:
+    """_source and _kinds: an array of weights and of the share of the source's documents that have about that weight."""
+    step = F.round(F.log2(F.col("weight")) * STEPS).cast("int").alias("step")
+    counted = sized.groupBy("source", step).agg(F.count("*").alias("n"))
+    kinds = counted.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("step", "n"))).alias("k"), F.sum("n").alias("all"))
+    each = F.transform("k", lambda k: F.struct(F.pow(F.lit(2.0), k["step"] / F.lit(float(STEPS))).alias("w"), (k["n"] / F.col("all")).alias("share")))
+    return kinds.select(F.col("source").alias("_source"), each.alias("_kinds"))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix", range_rows: int = RANGE_ROWS) -> DataFrame:
     """docs: doc_id, source, size and quality_weight. One row for each: doc_id, source, size, source_size, target, taken."""
-    key = -F.log(draw(seed)) / F.coalesce("quality_weight", F.lit(1.0))
-    sized = durable(docs.select("doc_id", "source", "size", key.alias("key")))
+    weight = F.coalesce("quality_weight", F.lit(1.0))
+    sized = durable(docs.select("doc_id", "source", "size", weight.alias("weight"), (-F.log(draw(seed)) / weight).alias("key")))
     targets = durable(source_targets(sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")), weights, share, most))
-    # exp(-key) is about uniform, so ranges of it hold about equally many documents.
-    d = _by_source(sized, targets).withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * F.ceil(F.col("n") / range_rows)))
+    kinds = key_shares(sized)
+    targets = targets.join(kinds, targets.source.eqNullSafe(kinds._source)).drop("_source")
+    share_below = F.aggregate("_kinds", F.lit(0.0), lambda s, k: s + k["share"] * (1 - F.exp(-k["w"] * F.col("key"))))
+    ranges = F.ceil(F.col("n") / F.greatest(F.lit(float(range_rows)), F.sqrt("n")))
+    d = _by_source(sized, targets).withColumn("range", F.floor(share_below * ranges)).drop("_kinds")
     d = d.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     d = d.withColumn("budget", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")))
     sums = d.groupBy("source", "range").agg(F.sum("size").alias("_sum"))
