@@ -7,8 +7,10 @@ ascent on the conditional likelihood, every line of a labelled document carrying
 document's quality is the mean of its lines' forward-backward marginals of `good`, weighed by their
 lengths, on a scale whose cut between labels, as fitted, is THRESHOLD.
 
-The model is fitted on the driver on a bounded sample: at most about SAMPLE_ROWS labelled documents
-chosen by a hash of their doc_id, of at most FIT_LINES lines each; it is some hundred numbers.
+The model is fitted on the driver on a bounded sample: about SAMPLE_ROWS labelled documents chosen
+by a hash of their doc_id; of a document of more than FIT_LINES lines, a run of FIT_LINES lines whose
+place is drawn from the document's own hash. The model is some hundred numbers. Both labels weigh the
+same, however often they occur, in the features' weights and in the moves' alike.
 Features, sums and marginals of all texts are computed in NumPy, all documents of a batch at once.
 
 Cases: a null text counts as empty, which is one line of length 0, weighed as length 1; of several
@@ -29,7 +31,7 @@ from . import bytescan as bs
 from .common import in_python, table
 
 SAMPLE_ROWS = 4_000
-FIT_LINES = 500
+FIT_LINES = 200
 THRESHOLD = 0.7
 #: Bytes of text whose chains are run together.
 SCORED = 1 << 20
@@ -46,8 +48,8 @@ _KINDS[4, 128:] = True  # not ASCII
 N_OWN = 15
 
 
-def line_features(piece: bs.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines, their lengths, and the first line of each text."""
+def own_features(piece: bs.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines by themselves, their lengths, and the first line of each text."""
     data, offsets = piece.data, piece.offsets
     breaks = np.flatnonzero(data == 10)
     # A line starts where a text starts and after each line break; texts may be empty.
@@ -101,11 +103,23 @@ def line_features(piece: bs.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ],
         axis=1,
     )
+    return own, np.maximum(size, 1), first
+
+
+def with_neighbours(own: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each line's features, those of the line before and of the line after in its text (0 where there is none), and a 1."""
     before, after = np.zeros_like(own), np.zeros_like(own)
     if len(own) > 1:
-        follows = (owner[1:] == owner[:-1])[:, None]
-        before[1:], after[:-1] = own[:-1] * follows, own[1:] * follows
-    return np.concatenate((own, before, after, np.ones((len(own), 1))), axis=1), np.maximum(size, 1), first
+        follows = np.ones((len(own), 1), dtype=own.dtype)
+        follows[first[:-1][np.diff(first) > 0]] = 0
+        before[1:], after[:-1] = own[:-1] * follows[1:], own[1:] * follows[1:]
+    return np.concatenate((own, before, after, np.ones((len(own), 1), dtype=own.dtype)), axis=1)
+
+
+def line_features(piece: bs.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines with their neighbours', their lengths, and the first line of each text."""
+    own, size, first = own_features(piece)
+    return with_neighbours(own, first), size, first
 
 
 N_FEATURES = 3 * N_OWN + 1
@@ -118,14 +132,14 @@ class LineCRF:
         self.emit, self.move, self.cut, self.constant = emit, move, cut, constant
 
     def marginals(self, x: np.ndarray, first: np.ndarray, pairs: bool = False):
-        """For each line its log-likelihood of `good`; with pairs, the expected moves as well. Steps go by line number, over all texts that have it."""
+        """For each line its log-likelihood of `good`; with pairs, each line's expected move from the one before as well. Steps go by line number, over all texts that have it."""
         n = np.diff(first)
         order = np.argsort(-n, kind="stable")
         starts, lengths = first[:-1][order], n[order]
         longest = int(lengths[0]) if len(lengths) else 0
         live = len(lengths) - np.searchsorted(lengths[::-1], np.arange(longest), side="right")
         score = np.zeros((len(x), 2))
-        score[:, 1] = x @ self.emit
+        score[:, 1] = x @ self.emit.astype(x.dtype)
         ahead, back = score.copy(), np.zeros_like(score)
         for t in range(1, longest):
             at = starts[: live[t]] + t
@@ -141,7 +155,7 @@ class LineCRF:
         at = np.setdiff1d(np.arange(len(x)), first[:-1])
         joint = ahead[at - 1][:, :, None] + self.move + (back[at] + score[at])[:, None, :]
         joint = np.exp(joint - joint.max((1, 2), keepdims=True))
-        return good, (joint / joint.sum((1, 2), keepdims=True)).sum(0), at
+        return good, joint / joint.sum((1, 2), keepdims=True), at
 
     def quality(self, x: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -169,9 +183,10 @@ class LineCRF:
         for step in range(1, STEPS + 1):
             model.emit, model.move = theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2)
             good, moves, at = model.marginals(x, first, pairs=True)
-            seen = np.zeros((2, 2))
-            np.add.at(seen, (y[at - 1].astype(int), y[at].astype(int)), 1)
-            gradient = np.concatenate((x.T @ (by_line * (y - good)), (seen - moves).ravel())) / len(y) - RIDGE * theta
+            # All lines of a document have its label, so the moves that were seen are from it to itself.
+            seen = np.bincount(3 * y[at].astype(int), weights=by_line[at], minlength=4)
+            moves = np.einsum("i,iab->ab", by_line[at], moves).ravel()
+            gradient = np.concatenate((x.T @ (by_line * (y - good)).astype(x.dtype), seen - moves)) / len(y) - RIDGE * theta
             m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
             theta = theta + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         model.emit, model.move = theta[:N_FEATURES].copy(), theta[N_FEATURES:].reshape(2, 2).copy()
@@ -187,16 +202,20 @@ class LineCRF:
 
 
 def _feature_rows(batches):
+    """Of each labelled text, its lines' own features, or those of a run of FIT_LINES lines, and their lengths."""
     for batch in batches:
         rows = []
         labels = batch.column("quality").to_pylist()
         for piece in bs.pieces(batch.column("text")):
-            x, size, first = line_features(piece)
+            own, size, first = own_features(piece)
+            drawn = bs.BYTES.of(piece.data, piece.offsets[:-1], piece.offsets[1:]).tolist()
             for d in range(len(piece)):
-                a, b = first[d], first[d + 1]
-                if b - a <= FIT_LINES:
-                    rows.append((labels[piece.first + d], x[a:b].astype(np.float32).tobytes(), size[a:b].astype(np.int64).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["quality", "x", "size"])
+                a, b = int(first[d]), int(first[d + 1])
+                if b - a > FIT_LINES:
+                    a += drawn[d] % (b - a - FIT_LINES + 1)
+                    b = a + FIT_LINES
+                rows.append((labels[piece.first + d], own[a:b].astype(np.float32).tobytes(), size[a:b].astype(np.int64).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["quality", "own", "size"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LineCRF:
@@ -205,10 +224,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> L
     share = min(1.0, sample_rows / max(marks.count(), 1))
     # At most about sample_rows rows, so small enough to broadcast.
     chosen = F.broadcast(marks.where(F.pmod(F.xxhash64(F.lit("quality sample"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "quality").transform(in_python, _feature_rows, "quality int, x binary, size binary").collect()
-    rows.sort(key=lambda r: (r.quality, r["size"], r.x))
-    matrices = [np.frombuffer(r.x, dtype=np.float32).reshape(-1, N_FEATURES).astype(float) for r in rows]
-    return LineCRF.fit(matrices, [np.frombuffer(r["size"], dtype=np.int64) for r in rows], np.array([r.quality for r in rows]))
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "quality").transform(in_python, _feature_rows, "quality int, own binary, size binary").collect()
+    rows.sort(key=lambda r: (r.quality, r["size"], r.own))
+    own = [np.frombuffer(r.own, dtype=np.float32).reshape(-1, N_OWN) for r in rows]
+    return LineCRF.fit([with_neighbours(x, np.array([0, len(x)])) for x in own], [np.frombuffer(r["size"], dtype=np.int64) for r in rows], np.array([r.quality for r in rows]))
 
 
 def score(docs: DataFrame, model: LineCRF) -> DataFrame:
