@@ -4,14 +4,17 @@ A known word adds its log frequency in each language. A word that was never lear
 the longest n-grams of it that were, four letters down to one, and adds the mean of their log
 frequencies. A document's language is the one with the largest sum, its score the softmax share.
 
-The model is fitted in Spark on a bounded sample, about SAMPLE_ROWS documents chosen by a hash of
-their doc_id, and keeps the TABLE_ROWS most frequent entries of each table; it is a few MB and is
-broadcast. Prediction reads each whole text once, in NumPy, without any shuffle.
-
-Cases: `und` with score 0 if a text is null or has no letter; a text with letters of which nothing
-was learned gets the most frequent language; ties go to the language that sorts first; with nothing
-to learn from everything is `und`; rows that repeat are predicted one by one; a null lang isn't
-learned from; `keep_identified` keeps all columns whatever their names.
+The model is fitted in Spark on a bounded sample of labelled rows: about SAMPLE_ROWS documents of
+each language, chosen by a hash of their doc_id, so that a rare language is learned as well as a
+common one; shares of languages are counted over all rows. Everything that the sample holds is kept,
+as sorted hashes and, for each, the languages that have it; the model is broadcast, and its size is
+bounded by the sample's. Prediction reads each whole text once, in NumPy, without any shuffle.
+
+Cases: `und` with score 0 if a text is null or has no letter (of Unicode's letter categories); a
+text with letters of which nothing was learned gets the most frequent language; ties go to the
+language that sorts first; with nothing to learn from everything is `und`; rows that repeat are
+predicted one by one; a null lang or text isn't learned from; texts of any length are read whole;
+an empty table gives an empty result; `keep_identified` keeps all columns whatever their names.
 """
 
 from __future__ import annotations
@@ -22,14 +25,14 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
 from .common import in_python, table
 
-SAMPLE_ROWS = 8_000
-TABLE_ROWS = 60_000
+#: Labelled rows of each language that are learned from, about.
+SAMPLE_ROWS = 2_000
 LONGEST = 4
 #: Add this to each count.
 SMOOTH = 0.5
@@ -51,7 +54,11 @@ def letter_words(piece: bs.Piece) -> tuple[Callable, np.ndarray, np.ndarray, np.
     points = np.frombuffer(piece.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
     begins = np.concatenate(([0], np.cumsum((piece.data & 0xC0) != 0x80)))
     low = np.minimum(points, _TABLE - 1)
-    belongs = alpha[low] | (points >= _TABLE)
+    belongs = alpha[low]
+    high = np.flatnonzero(points >= _TABLE)
+    if len(high):
+        kinds, which = np.unique(points[high], return_inverse=True)
+        belongs[high] = np.array([chr(c).isalpha() for c in kinds.tolist()])[which]
     chars = bs.Piece(points, begins[piece.offsets], piece.first)
     start, end, of = bs.word_bounds(chars, belongs, np.arange(len(points)))
     values = value[low] + (points >= _TABLE) * points.astype(np.uint64)
@@ -86,47 +93,61 @@ def _counts(batches):
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([names[i] for i in lang[first]], pa.string()), "n": pa.array(np.full(len(first), n), pa.int32()), "hash": pa.array(h[first].view(np.int64)), "count": pa.array(count, pa.int64())})
 
 
+class Table:
+    """Sorted hashes; of each, the languages that have it (`lang` from `start` on) and how far its log frequency is above `base`, that of hashes without a count."""
+
+    def __init__(self, hashes: np.ndarray, lang: np.ndarray, count: np.ndarray, langs: int):
+        """One entry for each hash and language, sorted by both."""
+        first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+        self.keys, self.start = hashes[first], np.append(first, len(hashes))
+        self.lang, self.above = lang.astype(np.int32), np.log((count + SMOOTH) / SMOOTH).astype(np.float32)
+        total = np.bincount(lang, weights=count, minlength=langs)
+        self.base = np.log(SMOOTH / (total + SMOOTH * len(first)))
+
+    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which of h are known; of those, one after another: the number among the known, the language and what it adds."""
+        at = np.searchsorted(self.keys, h)
+        at[at == len(self.keys)] = 0
+        known = self.keys[at] == h
+        rows = at[known]
+        many = self.start[rows + 1] - self.start[rows]
+        which = np.repeat(np.arange(len(rows)), many)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + self.start[rows][which]
+        return known, which, self.lang[place], self.above[place]
+
+
 class LanguageModel:
-    """langs; prior: log shares; tables[n]: sorted hashes, and log frequencies by entry and language."""
+    """langs; prior: log shares; tables[n]: of n-grams, 0 for whole words."""
 
-    def __init__(self, langs: list[str], prior: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, langs: list[str], prior: np.ndarray, tables: dict[int, Table]):
         self.langs, self.prior, self.tables = langs, prior, tables
 
     @classmethod
-    def fit(cls, docs: DataFrame, sample_rows: int = SAMPLE_ROWS, table_rows: int = TABLE_ROWS) -> LanguageModel:
-        """From doc_id, text and lang. A sample is the rows whose hash is below sample_rows / rows."""
-        docs = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-        rows = docs.count()
-        chosen = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30)) < int(min(1.0, sample_rows / max(rows, 1)) * (1 << 30))
-        sample = docs.where(chosen)
-        per_lang = {r.lang: r["count"] for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
-        langs = sorted(per_lang)
-        if not langs:
+    def fit(cls, docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
+        """From doc_id, text and lang. Of a language, the sample is the rows whose hash is below sample_rows / its rows."""
+        docs = docs.select("doc_id", "text", "lang").where("lang is not null")
+        sizes = docs.groupBy("lang").agg(F.count("*").alias("rows")).toArrow().sort_by("lang")
+        langs = sizes.column("lang").to_pylist()
+        rows = np.array(sizes.column("rows").to_pylist(), dtype=float)
+        below = docs.sparkSession.createDataFrame([(x, int(min(1.0, sample_rows / n) * (1 << 30))) for x, n in zip(langs, rows.tolist(), strict=True)], "lang string, below long")
+        chosen = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30)) < F.col("below")
+        sample = docs.join(F.broadcast(below), "lang").where(chosen & F.col("text").isNotNull()).select("lang", "text")
+        counts = sample.transform(in_python, _counts, "lang string, n int, hash long, count long").groupBy("n", "hash", "lang").agg(F.sum("count").alias("count")).toArrow()
+        if not len(counts):
             return cls([], np.zeros(0), {})
-        counts = sample.select("lang", "text").transform(in_python, _counts, "lang string, n int, hash long, count long").groupBy("n", "hash", "lang").agg(F.sum("count").alias("count"))
-        entries = counts.groupBy("n", "hash").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))
-        best = Window.partitionBy("n").orderBy(F.desc("total"), "hash")
+        code = {x: i for i, x in enumerate(langs)}
+        names = counts.column("lang").combine_chunks().dictionary_encode()
+        lang = np.array([code[x] for x in names.dictionary.to_pylist()])[names.indices.to_numpy()]
+        n, h, count = (counts.column(c).to_numpy() for c in ("n", "hash", "count"))
+        h = h.view(np.uint64)
+        order = np.lexsort((lang, h, n))
+        n, h, lang, count = n[order], h[order], lang[order], count[order]
         tables = {}
-        found: dict[int, list] = {n: [] for n in range(LONGEST + 1)}
-        for r in entries.where("total > 1").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= table_rows).collect():
-            found[r.n].append((r.hash & (2**64 - 1), [r.by.get(x, 0) for x in langs]))
-        for n, got in found.items():
-            if got:
-                got.sort(key=lambda x: x[0])
-                count = np.array([c for _, c in got], dtype=float)
-                tables[n] = np.array([h for h, _ in got], dtype=np.uint64), np.log((count + SMOOTH) / (count.sum(0) + SMOOTH * len(count)))
-        seen = np.array([per_lang[x] for x in langs], dtype=float)
-        return cls(langs, np.log(seen / seen.sum()), tables)
-
-    def _look(self, n: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of h are in table n, and the rows of those."""
-        if n not in self.tables:
-            return np.zeros(len(h), dtype=bool), np.zeros(0, dtype=np.int64)
-        keys = self.tables[n][0]
-        at = np.searchsorted(keys, h)
-        at[at == len(keys)] = 0
-        known = keys[at] == h
-        return known, at[known]
+        for i in range(LONGEST + 1):
+            a, b = np.searchsorted(n, (i, i + 1))
+            if a < b:
+                tables[i] = Table(h[a:b], lang[a:b], count[a:b], len(langs))
+        return cls(langs, np.log(rows / rows.sum()), tables)
 
     def predict(self, piece: bs.Piece) -> tuple[list[str], np.ndarray]:
         texts, k = len(piece), len(self.langs)
@@ -135,21 +156,19 @@ class LanguageModel:
         if not k:
             return ["und"] * texts, np.zeros(texts)
         total = np.tile(self.prior, (texts, 1))
-        known, rows = self._look(0, hashes(start, end))
-        for j in range(k):
-            total[:, j] += np.bincount(text[known], weights=self.tables[0][1][rows, j], minlength=texts) if len(rows) else 0
-        rest = ~known
-        start, end, text = start[rest], end[rest], text[rest]
-        for n in range(LONGEST, 0, -1):
+        for n in (0, *range(LONGEST, 0, -1)):
             if not len(start):
                 break
-            owner, at = grams(start, end, n)
-            known, rows = self._look(n, hashes(at, at + n))
+            if n not in self.tables:
+                continue
+            table = self.tables[n]
+            owner, at = (np.arange(len(start)), start) if n == 0 else grams(start, end, n)
+            known, which, lang, above = table.look(hashes(at, end if n == 0 else at + n))
             owner = owner[known]
             count = np.bincount(owner, minlength=len(start))
-            for j in range(k if len(rows) else 0):
-                mean = np.bincount(owner, weights=self.tables[n][1][rows, j], minlength=len(start)) / np.maximum(count, 1)
-                total[:, j] += np.bincount(text, weights=mean, minlength=texts)
+            # Of a word's n-grams the mean counts; a known word is one.
+            total += np.bincount(text[count > 0], minlength=texts)[:, None] * table.base
+            total += np.bincount(text[owner[which]] * k + lang, weights=above / count[owner[which]], minlength=texts * k).reshape(texts, k)
             rest = count == 0
             start, end, text = start[rest], end[rest], text[rest]
         best = total.argmax(1)
