@@ -13,6 +13,8 @@ doc_id. Strings are judged on the input and never cross documents.
    the suffixes at all places of its stretches up to LENGTH bytes, are sorted into a suffix array
    there, which is merge-scanned against the levels of a family of suffix arrays and then joins it;
    levels of about equal size merge geometrically. Strings are compared by their bytes.
+   A gram that many strings choose (a rule of dashes, a line of blanks) would fill one range: strings
+   of grams that take more than a fair share of a sample go by themselves, by their own hash.
 4. What is covered goes to the documents, which are cut.
 
 Of equal stretches in one batch the smallest document's goes to the range, and the others are
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as bs
 from .chunk_dedup import GEAR
-from .common import NO_ID, durable, in_python, one_per_id, table, width
+from .common import NO_ID, by_ranges, durable, in_python, one_per_id, table, width
 from .exchange import FOUND, LATER, SHARED, Outbox, by_document, flagged, pack, runs_of, settled_rows, unpack
 
 LENGTH, GRAM = 50, 16
@@ -48,6 +50,8 @@ _TOP = np.uint32(0xFFFFFFFF)
 BATCH = 1 << 18
 #: Bytes of text whose stretches are compared before they are sent.
 LOT = 32 << 20
+#: Rows, at least, and for each range, in which frequent grams are looked for; the least share, in fair shares of a range, of one.
+SAMPLE_ROWS, ROWS_PER_RANGE, FAIR = 2_000, 8, 0.25
 STRETCHES = "range int, kind int, doc binary, start binary, many binary, bytes binary"
 
 
@@ -120,7 +124,44 @@ def _stretches(piece: bs.Piece, shared: list) -> tuple[np.ndarray, ...]:
     return bs.BYTES.of(piece.data, at, at + GRAM), doc, first, last
 
 
-def _send_stretches(n_ranges: int, n_buckets: int):
+def frequent_grams(texts: DataFrame, n_ranges: int) -> np.ndarray:
+    """Grams that are smallest for more than FAIR / n_ranges of a sample's strings: at most n_ranges / FAIR of them. They only decide where strings meet."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in bs.pieces(batch.column("text")):
+                g = Grams(piece)
+                key, many = np.unique(bs.BYTES.of(piece.data, g.at, g.at + GRAM), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(many.astype(np.int64))], names=["gram", "n"])
+
+    rows = texts.count()
+    share = min(1.0, max(SAMPLE_ROWS, ROWS_PER_RANGE * n_ranges) / max(rows, 1))
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
+    counted = durable(sample.transform(in_python, run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    found = counted.where(F.col("n") > FAIR * total / n_ranges).where("n > 1").select("gram").collect()
+    return np.sort(np.array([r.gram for r in found], dtype=np.int64).view(np.uint64))
+
+
+def _singly(hot: np.ndarray, key, doc, start, many, at, data):
+    """Stretches of frequent grams taken apart: each different string of a document is a stretch of one, keyed by its own hash."""
+    split = np.isin(key, hot)
+    if not split.any():
+        return key, doc, start, many, at
+    size = many[split]
+    own = np.repeat(np.flatnonzero(split), size)
+    step = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+    where = at[own] + step
+    by_place = np.argsort(where, kind="stable")
+    string = np.empty(len(where), dtype=np.uint64)
+    string[by_place] = bs.BYTES.of(data, where[by_place], where[by_place] + LENGTH)
+    parts = (string, doc[own], start[own] + step, np.ones(len(own), dtype=many.dtype), where)
+    key, doc, start, many, at = (np.concatenate((x[~split], p)) for x, p in zip((key, doc, start, many, at), parts, strict=True))
+    order = np.argsort(key, kind="stable")
+    return key[order], doc[order], start[order], many[order], at[order]
+
+
+def _send_stretches(n_ranges: int, n_buckets: int, hot: np.ndarray):
     def send(parts: list, raw: list):
         key, whole, doc, start, many, at = (np.concatenate(x) for x in zip(*parts, strict=True))
         data = np.concatenate(raw)
@@ -137,7 +178,7 @@ def _send_stretches(n_ranges: int, n_buckets: int):
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(4), rows.column(5), rows.column(3), pa.nulls(len(rows), pa.binary())], names=["range", "kind", "doc", "start", "many", "bytes"])
         sent = np.ones(len(key), dtype=bool)
         sent[later] = False
-        key, doc, start, many, at = (x[sent] for x in (key, doc, start, many, at))
+        key, doc, start, many, at = _singly(hot, *(x[sent] for x in (key, doc, start, many, at)), data)
         place = (key >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)
         cuts = np.append(runs_of(place), len(place))
         rows = []
@@ -325,8 +366,9 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     shared = flagged(texts, _emit_grams, LATER | SHARED)
     wanted = shared.select("doc_id", "ords").join(copies, "doc_id", "left_anti")
     packed = texts.transform(in_python, _pack_texts, "doc_id long, packed binary")
-    stretches = packed.join(wanted, "doc_id").transform(in_python, _send_stretches(n_ranges, n_buckets), STRETCHES)
-    covered = by_document(stretches.repartition(n, "kind", "range").sortWithinPartitions("kind", "range").transform(in_python, _ranges(n_buckets), FOUND))
+    hot = frequent_grams(texts, n_ranges)
+    stretches = packed.join(wanted, "doc_id").transform(in_python, _send_stretches(n_ranges, n_buckets, hot), STRETCHES)
+    covered = by_document(by_ranges(stretches, "kind", "range").transform(in_python, _ranges(n_buckets), FOUND))
     known = covered.join(copies, "doc_id", "full")
     cut = packed.join(known, "doc_id", "left").select("doc_id", "packed", "is_copy", "ords", "flags").transform(in_python, _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return cut.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
