@@ -2,12 +2,12 @@
 
 A gear hash rolls over the bytes; a chunk ends where the hash's high bits are zero, LEAST bytes at
 the earliest and MOST at the latest, so boundaries follow the content and find step again after an
-insertion. Chunks of a few words recur by chance, so the unit that is compared is a run: from each
-chunk on, as many chunks as make RUN bytes. A run is a duplicate if its digest (96 bits) occurred
-before, in a document with a smaller doc_id or earlier in its own, and the chunks of all duplicate
-runs are cut out; a longer passage goes as a whole, and its first occurrence stays. With `to_end`,
-as the query has it, one more run of each text ends at the text's end: from the last chunk that has RUN bytes from its start on, or the
-whole of a text with fewer. So exact copies go completely, whatever their length.
+insertion. What is left at a text's end belongs to its last chunk where it has fewer than LEAST
+bytes, so chunks have LEAST bytes at least, more than what recurs by chance, and only a text of
+fewer is one shorter chunk, which is compared with such texts only. A chunk is a duplicate if its
+digest (96 bits) occurred before, in a document with a smaller doc_id or earlier in its own; all
+duplicates are cut out, the first occurrence stays. So exact copies go completely, whatever their
+length, and of a longer passage all chunks but those that its ends cut through.
 
 Digests meet in the packed exchange of `exchange`: one entry for each batch and digest, whatever the
 size of a group of copies, and no pairs. The gear hash is exact but vectorised: five shift-and-add
@@ -20,7 +20,6 @@ empty table gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +29,9 @@ from . import bytescan as bs
 from .common import NO_ID, in_python, one_per_id, table, with_flags
 from .exchange import LATER, flagged
 
-LEAST, MOST, BITS, RUN = 16, 256, 4, 80
+LEAST, MOST, BITS = 64, 512, 4
+#: Tells the digests of whole short texts from those of chunks.
+WHOLE = np.uint64(0x73686F7274)
 GEAR = (bs.alphabet(0x67656172) >> np.uint64(32)).astype(np.uint32)
 CHECK = bs.Hasher(bs.BASE, 99)
 
@@ -48,7 +49,7 @@ def gear(data: np.ndarray) -> np.ndarray:
 def chunk_ends(piece: bs.Piece, least: int = LEAST, most: int = MOST, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Ends of all chunks, and the number of chunks of each text.
 
-    The first `least` bytes of a chunk never end it, so no hash that reaches into the text before is used.
+    The first `least` bytes of a chunk never end it, and a text's first chunk has the hash's 32 bytes at least, so no hash that reaches into the text before is used.
     """
     marks = np.flatnonzero(gear(piece.data) >> np.uint32(32 - bits) == 0) + 1
     bounds = np.searchsorted(marks, piece.offsets)
@@ -56,16 +57,18 @@ def chunk_ends(piece: bs.Piece, least: int = LEAST, most: int = MOST, bits: int
     counts = np.zeros(len(piece), dtype=np.int64)
     for d, (a, b) in enumerate(zip(piece.offsets[:-1].tolist(), piece.offsets[1:].tolist(), strict=True)):
         had = len(ends)
-        at, floor = a, max(least, 32)
+        at, floor, stop = a, max(least, 32), b - least
         for m in marks[bounds[d] : bounds[d + 1]].tolist():
+            if m > stop:
+                break
             while m - at > most:
                 at += most
                 ends.append(at)
                 floor = least
-            if m - at >= floor and m < b:
+            if m - at >= floor:
                 ends.append(m)
                 at, floor = m, least
-        while b - at > most:
+        while b - at > most and at + most <= stop:
             at += most
             ends.append(at)
         if b > at:
@@ -74,46 +77,19 @@ def chunk_ends(piece: bs.Piece, least: int = LEAST, most: int = MOST, bits: int
     return np.array(ends, dtype=np.int64), counts
 
 
-def runs(piece: bs.Piece, ends: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all runs: first and last chunk, where the first starts, and the text; a text's last chunks make none where too little is left."""
-    of = np.concatenate(([0], np.cumsum(counts)))
-    owner = np.repeat(np.arange(len(piece)), counts)
-    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    last = np.searchsorted(ends, starts + RUN)
-    full = np.flatnonzero(last < of[owner + 1])
-    return full, last[full], starts[full], owner[full]
-
-
-def last_runs(piece: bs.Piece, ends: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the runs that end at their texts' ends and aren't among `runs`: first chunk, where it starts, and the text."""
-    of = np.cumsum(counts) - counts
-    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    text = np.flatnonzero(counts)
-    end = piece.offsets[1:][text]
-    first = np.maximum(np.searchsorted(starts, end - RUN, side="right") - 1, of[text])
-    own = np.searchsorted(ends, starts[first] + RUN) != of[text] + counts[text] - 1
-    return first[own], starts[first][own], text[own]
-
-
-def _emit(to_end: bool):
-    def run(batch: pa.RecordBatch):
-        ids = batch.column("doc_id").to_numpy()
-        out = []
-        for piece in bs.pieces(batch.column("text")):
-            ends, counts = chunk_ends(piece)
-            first, last, start, owner = runs(piece, ends, counts)
-            before = np.cumsum(counts) - counts
-            found = [(start, ends[last], owner, first - before[owner])]
-            if to_end:
-                _, begin, text = last_runs(piece, ends, counts)
-                found.append((begin, piece.offsets[1:][text], text, counts[text]))
-            for a, b, d, ord_ in found:
-                if len(a):
-                    check = (CHECK.of(piece.data, a, b) >> np.uint64(32)).astype(np.uint32)
-                    out.append((bs.BYTES.of(piece.data, a, b), check, ids[piece.first + d].astype(np.int64), ord_))
-        return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
-
-    return run
+def _emit(batch: pa.RecordBatch):
+    ids, out = batch.column("doc_id").to_numpy(), []
+    for piece in bs.pieces(batch.column("text")):
+        ends, counts = chunk_ends(piece)
+        if not len(ends):
+            continue
+        owner = np.repeat(np.arange(len(piece)), counts)
+        start = np.concatenate(([0], ends[:-1]))
+        key = bs.BYTES.of(piece.data, start, ends)
+        key = np.where(ends - start < LEAST, bs.mix(key ^ WHOLE), key)
+        check = (CHECK.of(piece.data, start, ends) >> np.uint64(32)).astype(np.uint32)
+        out.append((key, check, ids[piece.first + owner].astype(np.int64), np.arange(len(ends)) - (np.cumsum(counts) - counts)[owner]))
+    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
 
 
 def _decide(batches):
@@ -124,8 +100,6 @@ def _decide(batches):
             rows = []
             ends, counts = chunk_ends(piece)
             first = np.cumsum(counts) - counts
-            final, _, text = last_runs(piece, ends, counts)
-            final = dict(zip(text.tolist(), (final - first[text]).tolist(), strict=True))
             for d in range(len(piece)):
                 a, b = int(piece.offsets[d]), int(piece.offsets[d + 1])
                 raw = ords[piece.first + d].as_py()
@@ -133,11 +107,8 @@ def _decide(batches):
                 spans, cut = [], 0
                 if raw:
                     begins = np.concatenate(([a], mine[:-1]))
-                    lead = np.frombuffer(raw, dtype=np.uint32).astype(np.int64)
-                    # The number of chunks stands for the run that ends with the text.
-                    at_end = lead == len(mine)
-                    lead = np.where(at_end, final.get(d, 0), lead)
-                    dup = bs.spread(len(mine), lead, np.where(at_end, len(mine), np.searchsorted(mine, begins[lead] + RUN) + 1))
+                    dup = np.zeros(len(mine), dtype=bool)
+                    dup[np.frombuffer(raw, dtype=np.uint32)] = True
                     spans, cut = [(int(begins[x]), int(mine[y - 1])) for x, y in zip(*bs.spans(dup), strict=True)], int(dup.sum())
                 kept, at = [], a
                 for x, y in spans:
@@ -152,14 +123,12 @@ def _decide(batches):
 KEPT = "doc_id long, n_chunks long, n_duplicate long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def chunk_dedup(docs: DataFrame, to_end: bool = False) -> DataFrame:
+def chunk_dedup(docs: DataFrame) -> DataFrame:
     """One row for each doc_id: n_chunks, n_duplicate (chunks cut out), n_bytes, n_removed, n_spans (runs cut out) and kept, the bytes left."""
     texts = one_per_id(docs)
-    found = with_flags(texts, flagged(texts, _emit(to_end), LATER, within=True)).transform(in_python, _decide, KEPT)
+    found = with_flags(texts, flagged(texts, _emit, LATER, within=True)).transform(in_python, _decide, KEPT)
     return found.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def op5_chunk_dedup(spark, sf_dir: str) -> DataFrame:
-    return chunk_dedup(table(spark, sf_dir, "documents"), to_end=True).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
-
-
+    return chunk_dedup(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")

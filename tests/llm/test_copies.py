@@ -2,9 +2,6 @@
 
 import random
 
-import numpy as np
-
-from corvine.llm import bytescan as bs
 from corvine.llm import chunk_dedup
 
 
@@ -19,33 +16,10 @@ def rows_with_copies():
 
 def test_copies_go_completely(spark):
     rows = rows_with_copies()
-    got = {r.doc_id: r for r in chunk_dedup.chunk_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), to_end=True).collect()}
+    got = {r.doc_id: r for r in chunk_dedup.chunk_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     for i, t in rows:
         r, n = got[i], len((t or "").encode())
         if 1000 <= i < 2000 or i == 2001:
             assert (r.n_removed, r.n_duplicate, r.kept) == (n, r.n_chunks, b"") and n
         else:
             assert (r.n_removed, r.kept) == (0, (t or "").encode())
-
-
-def test_against_a_loop(spark, sample):
-    rows = [(r["doc_id"], r["text"]) for r in sample] + [(10_000 + r["doc_id"], r["text"]) for r in sample[:60]]
-    got = {r.doc_id: r for r in chunk_dedup.chunk_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), to_end=True).collect()}
-    table, seen = [int(x) for x in chunk_dedup.GEAR], set()
-    for i, text in sorted(rows):
-        t, cuts, at, h = (text or "").encode(), [], 0, 0
-        for p, byte in enumerate(t, 1):
-            h = (2 * h + table[byte]) & 0xFFFFFFFF
-            if (h >> 32 - chunk_dedup.BITS == 0 and p - at >= (chunk_dedup.LEAST if at else 32)) or p - at == chunk_dedup.MOST or p == len(t):
-                cuts.append((at, p))
-                at = p
-        starts = [a for a, _ in cuts]
-        units = [(x, y) for x, a in enumerate(starts) if (y := next((y for y in range(x, len(cuts)) if cuts[y][1] - a >= chunk_dedup.RUN), None)) is not None]
-        if cuts:
-            units.append((max([x for x, a in enumerate(starts) if len(t) - a >= chunk_dedup.RUN], default=0), len(cuts) - 1))
-        dup = np.zeros(len(cuts), dtype=bool)
-        for x, y in dict.fromkeys(units):
-            dup[x : y + 1] |= t[starts[x] : cuts[y][1]] in seen
-            seen.add(t[starts[x] : cuts[y][1]])
-        gone = [(cuts[x][0], cuts[y - 1][1]) for x, y in zip(*bs.spans(dup), strict=True)]
-        assert (got[i].n_chunks, got[i].n_duplicate, got[i].n_removed) == (len(cuts), dup.sum(), sum(b - a for a, b in gone))
