@@ -3,9 +3,12 @@
 A document's set holds the hashes of its distinct shingles of WORDS words. Two documents link when
 the intersection has at least PERCENT hundredths of the union; a component is what links connect.
 
-1. Documents with equal sets form a class, and one stands for all: copies cost nothing more.
-2. All shingles have one order: by how many documents hold them, as a count sketch of fixed size
-   counts it over all documents, then by hash. Rare ones come first, so prefixes are telling.
+1. Texts are read once, and kept as compressed lots in the shared folder. Documents with equal sets
+   form a class, and one stands for all: copies cost nothing more.
+2. All shingles have one order: by how many documents hold them, counted over all documents, then by
+   hash. Each lot sends its different shingles, 48 bits each, to the tasks that hold their ranges, and
+   gets a byte for each back: the number of documents, exact up to 16, in quarters of an octave
+   above. Rare ones come first, so prefixes are telling; what a single document holds links nothing.
 3. A class's prefix is as long as any partner must reach into. Classes with the same prefix and
    size are collapsed into one group. The packed exchange finds shingles in prefixes of several groups.
 4. Members of these groups are compared with a few pivots of each such shingle, and of their own
@@ -17,7 +20,8 @@ the intersection has at least PERCENT hundredths of the union; a component is wh
    Parity bits of the sets, of which linked ones can differ in few, drop most pairs in the join.
 
 Only step 5 can form more pairs than postings, and only of documents that hold a rare shingle
-together and don't connect. Sets of 64-bit hashes stand for shingles throughout.
+together and don't connect. Sets of 64-bit hashes stand for shingles throughout. Nothing is
+broadcast; counts, lots and pairs meet in shuffles whatever their size.
 
 Cases: a null or wordless text has an empty set and is linked with nothing; a text of fewer than
 WORDS words is one shingle; of rows that share a doc_id the largest text stands for them; a null
@@ -32,19 +36,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import NO_ID, durable, in_python, is_void, one_per_id, one_row_per_id, table, width
+from .common import NO_ID, by_ranges, durable, fresh, in_python, is_void, one_per_id, one_row_per_id, table, width
 from .components import components
-from .exchange import LATER, SHARED, flagged
+from .exchange import LATER, SHARED, flagged, pack, runs_of, unpack
 
 WORDS, PERCENT = 3, 90
-#: Counters of the sketch that orders shingles: a fixed size, 4 bytes each.
-SKETCH_BITS, SLICE_BITS = 22, 16
-#: Most doc_ids that are broadcast to pick texts, 8 bytes each.
-FEW_IDS = 500_000
+#: Bytes of text in a lot, about; a longer text is a lot of its own.
+LOT = 4 << 20
+#: Bits of a shingle's hash that are left out where documents are counted.
+DROPPED = np.uint64(16)
 SECOND = bs.Hasher(0xB5026F5AA96619E9)
 #: 64-bit words of a set's parity bits: two sets differ in as many shingles as bits, at least.
 PARITY = 8
@@ -76,87 +81,166 @@ def prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
+MEASURED = "kind int, lot long, doc_id long, place int, n long, sig1 long, sig2 long, ids binary, sizes binary, texts binary"
+
+
 def _measure(k: int):
-    """Rows of documents (kind 0: id, n, two signatures) and, once a task, of the sketch (kind 1: slice and counts)."""
+    """Rows of documents (kind 0: lot, id, place in the lot, n, two signatures) and of lots (kind 1: ids, sizes and texts)."""
+
+    def lot_row(number: int, ids: list, sizes: list, texts: list) -> pa.RecordBatch:
+        blob = zstandard.ZstdCompressor(1).compress(b"".join(texts))
+        zero = np.zeros(1, dtype=np.int64)
+        packed = (np.concatenate(ids).tobytes(), np.concatenate(sizes).astype(np.uint32).tobytes(), blob)
+        return _rows(zero + 1, zero + number, zero, zero, zero, zero, zero, [pa.array([x], pa.binary()) for x in packed])
 
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+        number = TaskContext.get().partitionId() << 32
+        ids, sizes, texts, held, docs = [], [], [], 0, 0
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            own = batch.column("doc_id").to_numpy()
             for piece in bs.pieces(batch.column("text")):
                 h, of = shingle_sets(piece, k)
-                np.add.at(sketch, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                m = len(piece)
+                mine = own[piece.first : piece.first + m].astype(np.int64)
                 a, b = (hasher.slices(hasher.sums(h), of[:-1], of[1:]).view(np.int64) for hasher in (bs.WORDS, SECOND))
-                yield _rows(np.zeros(len(piece)), ids[piece.first : piece.first + len(piece)], np.diff(of), a, b, pa.nulls(len(piece), pa.binary()))
-        pack = zstandard.ZstdCompressor(1)
-        slices = sketch.reshape(-1, 1 << SLICE_BITS)
-        blobs = pa.array([pack.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()) for x in slices], pa.binary())
-        zero = np.zeros(len(slices), dtype=np.int64)
-        yield _rows(zero + 1, np.arange(len(slices)), zero, zero, zero, blobs)
+                none = [pa.nulls(m, pa.binary())] * 3
+                yield _rows(np.zeros(m), np.full(m, number), mine, docs + np.arange(m), np.diff(of), a, b, none)
+                ids.append(mine)
+                sizes.append(np.diff(piece.offsets))
+                texts.append(piece.data.tobytes())
+                held, docs = held + len(piece.data), docs + m
+                if held >= LOT:
+                    yield lot_row(number, ids, sizes, texts)
+                    number, ids, sizes, texts, held, docs = number + 1, [], [], [], 0, 0
+        if docs:
+            yield lot_row(number, ids, sizes, texts)
 
     return run
 
 
-def _rows(kind, doc, n, a, b, blob) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(kind).astype(np.int32)), *[pa.array(np.asarray(x).astype(np.int64)) for x in (doc, n, a, b)], blob], names=["kind", "doc_id", "n", "sig1", "sig2", "blob"])
+def _rows(kind, lot, doc, place, n, a, b, blobs) -> pa.RecordBatch:
+    numbers = [pa.array(np.asarray(x).astype(t)) for x, t in ((kind, np.int32), (lot, np.int64), (doc, np.int64), (place, np.int32), (n, np.int64), (a, np.int64), (b, np.int64))]
+    return pa.RecordBatch.from_arrays([*numbers, *blobs], names=[c.split()[0] for c in MEASURED.split(", ")])
+
+
+def _lots(batch: pa.RecordBatch):
+    """Of each lot in a batch: its number, its documents' ids, and its texts as a column."""
+    unpack_texts = zstandard.ZstdDecompressor()
+    for lot, ids, sizes, texts in zip(*[batch.column(c).to_pylist() for c in ("lot", "ids", "sizes", "texts")], strict=True):
+        offsets = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, dtype=np.uint32), dtype=np.int64)))
+        data = pa.py_buffer(unpack_texts.decompress(texts) or b"\0")
+        yield lot, np.frombuffer(ids, dtype=np.int64), pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), data)
+
+
+COUNTED = "range int, lot long, keys binary, many binary"
+
+
+def _send_keys(k: int, n_ranges: int):
+    """A lot's different shingles as far as they are counted by, one row for each range: steps from key to key, and how many of the lot's documents hold each."""
+
+    def run(batches):
+        for batch in batches:
+            for lot, _, texts in _lots(batch):
+                key, many = np.unique(np.concatenate([shingle_sets(piece, k)[0] for piece in bs.pieces(texts)]) >> DROPPED, return_counts=True)
+                place = range_of(key, n_ranges)
+                cuts = np.append(runs_of(place), len(key))
+                rows = []
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    rows.append((int(place[a]), lot, pack(np.diff(key[a:b], prepend=np.uint64(0))), b"" if (many[a:b] == 1).all() else pack(many[a:b].astype(np.uint32))))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["range", "lot", "keys", "many"])
+
+    return run
+
 
+def range_of(key: np.ndarray, n: int) -> np.ndarray:
+    """The range of a key without its DROPPED bits; ascends with it."""
+    high = np.uint64(32) - DROPPED
+    return ((key >> high) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
-def _add_slices(batches):
-    """Adds up the counts of each slice; rows come in any order."""
-    sums: dict[int, np.ndarray] = {}
-    unpack = zstandard.ZstdDecompressor()
+
+def level(many: np.ndarray) -> np.ndarray:
+    """A byte for a number of documents: the number less 1 up to 16, then quarters of its octaves; it ascends with the number."""
+    above = 15 + np.floor(4 * np.log2(np.maximum(many, 16) / 16))
+    return np.where(many <= 16, many - 1, np.minimum(above, 255)).astype(np.uint8)
+
+
+def _levels(batches):
+    """From rows of COUNTED, sorted by range: each lot's keys' levels, in order, as lot, range and levels."""
+
+    def finish(number: int, parts: list):
+        key = np.concatenate([p[1] for p in parts])
+        _, which = np.unique(key, return_inverse=True)
+        many = np.bincount(which, weights=np.concatenate([p[2] for p in parts]))
+        found, at = level(many)[which], 0
+        rows = []
+        for lot, keys, _ in parts:
+            rows.append((lot, found[at : at + len(keys)].tobytes()))
+            at += len(keys)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["lot", "range", "levels"])
+
+    now, parts = None, []
     for batch in batches:
-        for i, blob in zip(batch.column("doc_id").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-            counts = np.ascontiguousarray(np.frombuffer(unpack.decompress(blob), dtype=np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
-            sums[i] = sums.get(i, 0) + counts.astype(np.uint64)
-    for i, s in sums.items():
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "blob": pa.array([np.minimum(s, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
+        for r in batch.to_pylist():
+            if r["range"] != now:
+                if parts:
+                    yield from finish(now, parts)
+                now, parts = r["range"], []
+            key = np.cumsum(unpack(r["keys"], np.uint64), dtype=np.uint64)
+            parts.append((r["lot"], key, unpack(r["many"], np.uint32) if r["many"] else np.ones(len(key), dtype=np.uint32)))
+    if parts:
+        yield from finish(now, parts)
 
 
-def read_sketch(measured: DataFrame) -> np.ndarray:
-    """The summed sketch, 2**SKETCH_BITS counters whatever the corpus's size."""
-    slices = 1 << (SKETCH_BITS - SLICE_BITS)
-    parts = measured.where("kind = 1").select("doc_id", "blob").repartition(min(slices, width(measured.sparkSession)), "doc_id").transform(in_python, _add_slices, "doc_id long, blob binary").collect()
-    sketch = np.zeros((slices, 1 << SLICE_BITS), dtype=np.uint32)
-    for r in parts:
-        sketch[r.doc_id] = np.frombuffer(r.blob, dtype=np.uint32)
-    return sketch.reshape(-1)
+PREFIXES = "doc_id long, n long, p1 long, p2 long, shingles binary, places binary"
 
 
-def rank(h: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """The shingles' order: 16 bits of how many documents hold them, as the sketch has it, then 48 bits of hash.
+def _prefixes(k: int, percent: int):
+    """Of each document: n, two hashes of its prefix, the prefix's shingles that other documents hold, their places in it, and parity bits.
 
-    From here on shingles go by this number; should two share one, prefixes only have more in common.
+    Documents without such a shingle link with none and have no row. Shingles go by 8 bits of their level
+    and 56 of their hash; should two share a number, prefixes only have more in common.
     """
-    count = np.minimum(sketch[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], 0xFFFF).astype(np.uint64)
-    return count << np.uint64(48) | (bs.mix(h) >> np.uint64(16))
-
 
-def _prefixes(shared, k: int, percent: int):
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            for piece in bs.pieces(batch.column("text")):
-                rows = []
-                h, of = shingle_sets(piece, k)
-                n = np.diff(of)
-                doc = np.repeat(np.arange(len(piece)), n)
-                bit = (h >> np.uint64(64 - (64 * PARITY - 1).bit_length())).astype(np.int64)
-                odd = np.bincount(doc * 64 * PARITY + bit, minlength=64 * PARITY * len(piece)) & 1
-                parity = np.packbits(odd.astype(bool).reshape(len(piece), -1), axis=1).view(np.int64)
-                h = rank(h, shared.value)
-                h = bs.mix(h[bs.order_within(doc, h)])
-                for d, (a, m) in enumerate(zip(of[:-1].tolist(), n.tolist(), strict=True)):
-                    if m:
-                        rows.append((int(ids[piece.first + d]), m, h[a : a + prefix_length(m, percent)].tobytes()))
-                parity = parity[n > 0]
-                yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], *[pa.array(parity[:, i]) for i in range(PARITY)]], names=["doc_id", "n", "prefix", *BITS])
+            for (_, ids, texts), parts in zip(_lots(batch), batch.column("levels").to_pylist(), strict=True):
+                sets = [(piece.first, *shingle_sets(piece, k)) for piece in bs.pieces(texts)]
+                key, which = np.unique(np.concatenate([h for _, h, _ in sets]) >> DROPPED, return_inverse=True)
+                levels = np.frombuffer(b"".join(p["levels"] for p in sorted(parts, key=lambda p: p["range"])), dtype=np.uint8)[which]
+                at = 0
+                for first, h, of in sets:
+                    yield from _piece_prefixes(ids[first:], h, of, levels[at : at + len(h)].astype(np.uint64), percent)
+                    at += len(h)
 
     return run
 
 
+def _piece_prefixes(ids, h, of, levels, percent: int):
+    n = np.diff(of)
+    doc = np.repeat(np.arange(len(n)), n)
+    bit = (h >> np.uint64(64 - (64 * PARITY - 1).bit_length())).astype(np.int64)
+    odd = np.bincount(doc * 64 * PARITY + bit, minlength=64 * PARITY * len(n)) & 1
+    parity = np.packbits(odd.astype(bool).reshape(len(n), -1), axis=1).view(np.int64)
+    rank = levels << np.uint64(56) | bs.mix(h) >> np.uint64(8)
+    order = bs.order_within(doc, rank)
+    rank, levels = rank[order], levels[order]
+    place = np.arange(len(rank)) - np.repeat(of[:-1], n)
+    length = prefix_length(n, percent)
+    inside = place < np.repeat(length, n)
+    told = np.flatnonzero(inside & (levels > 0))
+    starts = np.searchsorted(told, of)
+    some = np.flatnonzero(np.diff(starts))
+    if not len(some):
+        return
+    a, b = (hasher.slices(hasher.sums(rank), of[:-1][some], (of[:-1] + length)[some]).view(np.int64) for hasher in (bs.WORDS, SECOND))
+    named, places = bs.mix(rank[told]), place[told].astype(np.uint32)
+    cut = list(zip(starts[some].tolist(), starts[some + 1].tolist(), strict=True))
+    blobs = [pa.array([x[i:j].tobytes() for i, j in cut], pa.binary()) for x in (named, places)]
+    yield pa.RecordBatch.from_arrays([pa.array(ids[: len(n)][some]), pa.array(n[some]), pa.array(a), pa.array(b), *blobs, *[pa.array(parity[some, i]) for i in range(PARITY)]], names=["doc_id", "n", "p1", "p2", "shingles", "places", *BITS])
+
+
 def _emit_prefixes(batch: pa.RecordBatch):
-    parts = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("prefix").to_pylist()]
+    parts = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("shingles").to_pylist()]
     size = [len(p) for p in parts]
     key = np.concatenate(parts or [np.zeros(0, dtype=np.uint64)])
     return key, np.zeros(len(key), dtype=np.uint32), np.repeat(batch.column("doc_id").to_numpy(), size).astype(np.int64), np.concatenate([np.arange(s) for s in size] or [np.zeros(0, np.int64)])
@@ -165,35 +249,31 @@ def _emit_prefixes(batch: pa.RecordBatch):
 def _post(batches):
     """One row for each shingle of a prefix that other groups have, too."""
     for batch in batches:
-        prefixes = [np.frombuffer(x, dtype=np.int64) for x in batch.column("prefix").to_pylist()]
+        shingles = [np.frombuffer(x, dtype=np.int64) for x in batch.column("shingles").to_pylist()]
+        places = [np.frombuffer(x, dtype=np.uint32) for x in batch.column("places").to_pylist()]
         ords = [np.frombuffer(x, dtype=np.uint32) for x in batch.column("ords").to_pylist()]
         size = [len(o) for o in ords]
         if sum(size):
             rep = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), size))  # noqa: B023,E731
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[o] for p, o in zip(prefixes, ords, strict=True)])), rep("doc_id"), rep("n"), pa.array(np.concatenate(ords).astype(np.int64))], names=["shingle", "grp", "n", "place"])
+            picked = lambda xs: np.concatenate([x[o] for x, o in zip(xs, ords, strict=True)])  # noqa: B023,E731
+            yield pa.RecordBatch.from_arrays([pa.array(picked(shingles)), rep("doc_id"), rep("n"), pa.array(picked(places).astype(np.int64))], names=["shingle", "grp", "n", "place"])
 
 
 def _sets(k: int):
-    """doc_id and shingles from doc_id and text, or packed text."""
+    """doc_id and shingles of the documents at `asked` places of lots."""
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for piece in bs.unpacked(texts, unpack.decompress) if pa.types.is_binary(texts.type) else bs.pieces(texts):
-                h, of = shingle_sets(piece, k)
-                sets = [h[a:b].tobytes() for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(piece.first, len(piece)), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+            for (_, ids, texts), asked in zip(_lots(batch), batch.column("asked").to_pylist(), strict=True):
+                asked = np.sort(np.array(asked))
+                for piece in bs.pieces(texts.take(pa.array(asked))):
+                    h, of = shingle_sets(piece, k)
+                    sets = [h[a:b].tobytes() for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[asked[piece.first : piece.first + len(piece)]]), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
     return run
 
 
-def _pack_texts(batches):
-    pack = zstandard.ZstdCompressor(1)
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pack.compress(x.as_buffer()) for x in batch.column("text")], pa.binary())], names=["doc_id", "packed"])
-
-
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
@@ -226,9 +306,9 @@ def alike(percent: int):
 
 @dataclass
 class _Grouped:
-    """What steps 1 to 3 make: texts, rows (document and set), classes, members (class and group) and postings (shingle and group)."""
+    """What steps 1 to 3 make: lots, rows (document, set and place in a lot), classes, members (class and group) and postings (shingle and group)."""
 
-    texts: DataFrame
+    lots: DataFrame
     rows: DataFrame
     classes: DataFrame
     members: DataFrame
@@ -240,22 +320,23 @@ SAME = ["n", "sig1", "sig2"]
 
 
 def _grouped(docs: DataFrame, k: int, percent: int) -> _Grouped:
-    spark = docs.sparkSession
-    texts = one_per_id(docs)
-    measured = durable(texts.transform(in_python, _measure(k), "kind int, doc_id long, n long, sig1 long, sig2 long, blob binary"))
-    sketch = spark.sparkContext.broadcast(read_sketch(measured))
-    rows = measured.where("kind = 0").select("doc_id", *SAME)
+    n_ranges = 4 * width(docs.sparkSession)
+    measured = durable(one_per_id(docs).transform(in_python, _measure(k), MEASURED))
+    lots = measured.where("kind = 1").select("lot", "ids", "sizes", "texts")
+    rows = measured.where("kind = 0").select("doc_id", *SAME, "lot", "place")
     classes = durable(rows.where("n > 0").groupBy(SAME).agg(F.min("doc_id").alias("class_id")))
 
-    prefixes = texts.transform(in_python, _prefixes(sketch, k, percent), "doc_id long, n long, prefix binary, " + ", ".join(f"{b} long" for b in BITS))
+    counted = by_ranges(lots.transform(in_python, _send_keys(k, n_ranges), COUNTED), "range").transform(in_python, _levels, "lot long, range int, levels binary")
+    levels = counted.groupBy("lot").agg(F.collect_list(F.struct("range", "levels")).alias("levels"))
+    prefixes = lots.join(levels, "lot").transform(in_python, _prefixes(k, percent), f"{PREFIXES}, " + ", ".join(f"{b} long" for b in BITS))
     standing = durable(prefixes.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id"))
-    members = standing.select(F.col("doc_id").alias("member"), "n", F.xxhash64("prefix").alias("p1"), F.crc32("prefix").alias("p2"), *BITS)
+    members = standing.select(F.col("doc_id").alias("member"), "n", "p1", "p2", *BITS)
     groups = members.groupBy("n", "p1", "p2").agg(F.min("member").alias("grp"), F.count("*").alias("size"))
     members = durable(members.join(groups, ["n", "p1", "p2"]).select("member", "grp", "n", "size", *BITS))
     heads = standing.join(members.where("member = grp").select(F.col("member").alias("doc_id")), "doc_id")
     shared = flagged(heads, _emit_prefixes, LATER | SHARED)
     postings = durable(heads.join(shared.select("doc_id", "ords"), "doc_id").transform(in_python, _post, "shingle long, grp long, n long, place long"))
-    return _Grouped(texts, rows, classes, members, postings)
+    return _Grouped(lots, rows, classes, members, postings)
 
 
 def _parities(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -271,23 +352,21 @@ def _allowed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return pairs.join(bits_a, "a").join(bits_b, "b").where(alike(percent)).select("a", "b")
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int, few_ids: int) -> DataFrame:
+def _verified(g: _Grouped, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs with whether they link; sets are made of those documents only that are in some pair."""
-    packed = texts.transform(in_python, _pack_texts, "doc_id long, packed binary")
-    asked = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    # Some numbers go to the texts; more than a task should hold meet them in a shuffle of packed texts.
-    few = asked.count() <= few_ids
-    found = texts.join(F.broadcast(asked), "doc_id", "left_semi") if few else packed.join(asked, "doc_id", "left_semi")
-    sets = durable(found.transform(in_python, _sets(k), "doc_id long, shingles binary"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(g.rows.select("doc_id", "lot", "place"), "doc_id")
+    asked = asked.groupBy("lot").agg(F.collect_list("place").alias("asked"))
+    # Lots go through a shuffle, at any size, so that what is measured on little data is what runs on much.
+    sets = durable(g.lots.hint("merge").join(asked, "lot").transform(in_python, _sets(k), "doc_id long, shingles binary"))
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
     return durable(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").transform(in_python, _verify(percent), "a long, b long, linked boolean"))
 
 
-def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, few_ids: int = FEW_IDS) -> DataFrame:
+def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row for each doc_id: n_shingles, class_id (the smallest doc_id with the same set) and component_id. NO_ID stands for null."""
     g = _grouped(docs, k, percent)
-    texts, members, postings = g.texts, g.members, g.postings
+    members, postings = g.members, g.postings
     parity, parity2 = _parities(members)
 
     # Pivots of a shingle: its smallest and largest sets, and one at random.
@@ -300,7 +379,7 @@ def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, few
     own = members.where("member <> grp").select(F.col("grp").alias("a"), F.col("member").alias("b"))
     first = durable(by_pivot.unionByName(own).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    judged = _verified(texts, first, k, percent, few_ids)
+    judged = _verified(g, first, k, percent)
     links = judged.where("linked").select("a", "b")
     found = durable(components(links))
 
@@ -325,7 +404,7 @@ def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, few
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = durable(_allowed(rest.join(judged.select("a", "b"), ["a", "b"], "left_anti"), members, percent))
     if not is_void(rest):
-        more = _verified(texts, rest, k, percent, few_ids).where("linked").select("a", "b")
+        more = _verified(g, rest, k, percent).where("linked").select("a", "b")
         if not is_void(more):
             found = durable(components(links.unionByName(more)))
     named = g.classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(*SAME, "class_id", F.coalesce("component", "class_id").alias("component_id"))
@@ -333,7 +412,7 @@ def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, few
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def class_links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, few_ids: int = FEW_IDS) -> tuple[DataFrame, DataFrame]:
+def class_links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The whole join: a < b, all pairs of different classes that link, by their class_ids; and rows of doc_id, the set and class_id.
 
     All pairs of groups that share a shingle of their prefixes and that sizes, places and parities allow
@@ -352,7 +431,7 @@ def class_links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, few_ids
     inside = g.members.where("size > 1").select("grp", F.col("member").alias("a"))
     within = inside.join(inside.select("grp", F.col("a").alias("b")), "grp").where("a < b").select("a", "b")
     pairs = group_pairs.join(expand, "grp").join(expand2, "grp2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(within)
-    links = _verified(g.texts, durable(_allowed(pairs, g.members, percent)), k, percent, few_ids).where("linked").select("a", "b")
+    links = _verified(g, durable(_allowed(pairs, g.members, percent)), k, percent).where("linked").select("a", "b")
     return links, g.rows.join(g.classes, SAME, "left")
 
 
@@ -372,8 +451,9 @@ def linked_documents(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """`docs`, of each component the row with the smallest doc_id, with all columns."""
     rows = one_row_per_id(docs)
-    gone = link_components(rows, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_corvine_id"))
-    return rows.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == gone["_corvine_id"], "left_anti")
+    (key,) = fresh(rows, "gone_id")
+    gone = link_components(rows, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(key))
+    return rows.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == gone[key], "left_anti")
 
 
 def op2_near_dedup_links(spark, sf_dir: str) -> DataFrame:
