@@ -1,37 +1,40 @@
-"""Language model scores: an interpolated modified Kneser-Ney bigram model of words.
+"""Language model scores: an interpolated modified Kneser-Ney model of ORDER words.
 
-Tokens are the lower-cased (A-Z) words of a text and one end; the first word follows a start.
+Tokens are the lower-cased (A-Z) words of a text and one end; ORDER - 1 starts come before the first.
 
-Counting. Tasks sort the pairs of neighbouring tokens of the training texts, count them by batch and
-send each distinct pair once, to the task that holds its first token's range of hashes; pairs of the
-few most frequent first tokens are spread over all ranges by their second token, so no range grows
-with one word. A range adds up its pairs and sends, for each second token, its count and number of
-different predecessors on to that token's range. Every count comes from all training texts.
+Counting. Tasks sort the n-grams of a lot of training texts, count them and send each different one
+once, to the task that holds its context's range of hashes; n-grams of the few most frequent contexts
+are spread over all ranges by the whole n-gram's hash, so no range grows with one context. A range
+adds up its n-grams, stores them and, without their first words, sends them on: the next lower order
+counts how many different words come before each of its n-grams. So it goes down to single words.
+Every count comes from all training texts; nothing is pruned.
 
-The model is stored as sorted hash arrays, a few files for each range, in the shared folder:
-pairs with their counts, first tokens with their sums, second tokens with theirs. Only sums over
-all pairs (discounts, totals) and the spread words' sums reach the driver.
+The model is stored as sorted hash arrays, a few files for each order and range, in the shared
+folder: n-grams with their counts, contexts with their sums. Only sums over all n-grams of an order
+(counts of counts, totals) and the spread contexts' sums reach the driver, added up in Spark.
 
-Scoring. Workers memory-map the arrays and look up the distinct tokens and pairs of a batch in
-sorted order; texts aren't shuffled.
+Scoring. Workers memory-map the arrays and look up the different n-grams and contexts of a lot in
+sorted order; texts aren't shuffled. Where the shared folder can't be mapped, an array is read into
+memory while its range is looked up.
 
-    P(w | v) = max(c(v w) - D(c(v w)), 0) / c(v) + gamma(v) Pc(w)
-    Pc(w) = max(n(w) - D'(n(w)), 0) / sum of n + gamma' / (V + 1)
+    P(w | u v) = max(c(u v w) - D(c(u v w)), 0) / c(u v) + gamma(u v) P(w | v)
+    P(w | v)   = max(n(v w) - D'(n(v w)), 0) / n(v) + gamma'(v) P(w)
+    P(w)       = max(n(w) - D''(n(w)), 0) / sum of n + gamma'' / (V + 1)
 
-n(w) counts different predecessors, D and D' are the three modified Kneser-Ney discounts of pairs and
-of predecessor counts, gamma what they leave. After a word without counts P is Pc; V + 1 leaves room
-for one unknown word, which any unknown word is scored as. Words are told apart by 64-bit hashes,
-pairs by the hash of both.
+n counts different words before; an order's D are its three modified Kneser-Ney discounts, gamma what
+they leave. After a context without counts, P is that of the next lower order; V + 1 leaves room for
+one unknown word, which any unknown word is scored as. N-grams are told apart by 64-bit hashes.
 
 Cases: a null or wordless text is one end; texts of any length are scored whole; with no training
 text at all every token is unknown (N, V and all counts 0); rows that repeat are counted and scored
-one by one; a null doc_id isn't held out; other columns are not looked at.
+one by one; a null doc_id isn't held out; an empty table gives an empty result; other columns are not
+looked at.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import tempfile
 import uuid
 from dataclasses import dataclass
 from functools import lru_cache
@@ -44,96 +47,130 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import in_python, shared_folder, table, width
+from .common import by_ranges, cuts_folder, durable, in_python, table, width
 from .exchange import pack, runs_of, unpack
 
+ORDER = 3
 #: Tokens that are counted and scored at once.
-COUNTED, SCORED = 2_000_000, 1_000_000
+COUNTED, SCORED = 1_500_000, 750_000
 U = np.uint64
 START, END = U(0x5354415254), U(0x454E44)
-#: At most so many words are spread over the ranges, and a word must be one of so many tokens to be.
-SPREAD_WORDS, SPREAD_SHARE, SPREAD_SAMPLE = 512, 1 / 2000, 2_000
+#: Rows, at least, and for each range, in which frequent contexts are looked for; the least share, in fair shares of a range, of one.
+SPREAD_ROWS, ROWS_PER_RANGE, FAIR = 2_000, 8, 0.25
+SUMS = ("total", "one", "two", "more")
 
 
-def token_pairs(piece: bs.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and second tokens of all pairs of a piece, and the text each is in: one pair for each token."""
+def token_grams(piece: bs.Piece, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The words of all n-grams of a piece, first words first, and the text each is in: one n-gram for each token."""
     w = bs.words(piece)
     counts = w.counts + 1
     of = np.concatenate(([0], np.cumsum(counts)))
-    first, second = np.empty(of[-1], dtype=U), np.empty(of[-1], dtype=U)
+    token = np.empty(of[-1], dtype=U)
     doc = np.repeat(np.arange(len(piece)), counts)
-    place = np.arange(len(w.hash)) + w.text()
-    second[place] = w.hash
-    # Every text's last pair ends in END, its first begins with START.
-    second[of[1:] - 1] = END
-    inner = np.ones(of[-1], dtype=bool)
-    inner[of[:-1]] = False
-    first[inner] = w.hash
-    first[of[:-1]] = START
-    return first, second, doc
-
-
-def token_lots(columns, least: int):
-    """Lots of `least` or more pairs (first, second, text) and the number of texts of each; a text isn't cut."""
+    token[np.arange(len(w.hash)) + w.text()] = w.hash
+    token[of[1:] - 1] = END
+    place = np.arange(of[-1]) - of[:-1][doc]
+    grams = [token]
+    for back in range(1, order):
+        before = np.full(len(token), START, dtype=U)
+        before[back:] = np.where(place[back:] >= back, token[:-back], START)
+        grams.append(before)
+    return grams[::-1], doc
+
+
+def token_lots(columns, order: int, least: int):
+    """Lots of `least` or more tokens: the words of their n-grams, the text of each, and the number of texts; a text isn't cut."""
     held, size, texts = [], 0, 0
+
+    def lot():
+        return [np.concatenate(x) for x in zip(*(g for g, _ in held), strict=True)], np.concatenate([d for _, d in held]), texts
+
     for column in columns:
         for piece in bs.pieces(column):
-            first, second, doc = token_pairs(piece)
-            held.append((first, second, doc + texts))
-            size, texts = size + len(first), texts + len(piece)
+            grams, doc = token_grams(piece, order)
+            held.append((grams, doc + texts))
+            size, texts = size + len(doc), texts + len(piece)
             if size >= least:
-                yield (*(np.concatenate(x) for x in zip(*held, strict=True)), texts)
+                yield lot()
                 held, size, texts = [], 0, 0
     if held:
-        yield (*(np.concatenate(x) for x in zip(*held, strict=True)), texts)
+        yield lot()
+
+
+def context_hash(words: list[np.ndarray]) -> np.ndarray:
+    h = bs.mix(words[0])
+    for w in words[1:]:
+        h = bs.mix(h * U(0x9E3779B97F4A7C15) ^ w)
+    return h
+
+
+def gram_keys(context: np.ndarray, word: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Keys of n-grams. High halves are their contexts', so that a range holds a context's n-grams together, but for spread contexts."""
+    whole = bs.mix(context * U(0x9E3779B97F4A7C15) ^ bs.mix(word))
+    key = (context & U(0xFFFFFFFF00000000)) | whole >> U(32)
+    if len(spread):
+        key = np.where(np.isin(context, spread), whole, key)
+    return key
+
 
+def range_of(key: np.ndarray, n: int) -> np.ndarray:
+    """Ascends with the key."""
+    return ((key >> U(32)) * U(n) >> U(32)).astype(np.int64)
 
-def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return bs.mix(first * U(0x9E3779B97F4A7C15) ^ bs.mix(second))
 
+def small(values: np.ndarray) -> np.ndarray:
+    """Numbers in the narrowest unsigned type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max())) if len(values) else np.uint8)
 
-def joint(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """A sort key: high halves of both tokens' hashes."""
-    return (first & U(0xFFFFFFFF00000000)) | second >> U(32)
 
+def _packed_words(words: list[np.ndarray]) -> tuple[bytes, bytes]:
+    """Different words of some n-grams, and for each place of the n-grams their numbers."""
+    known, which = np.unique(np.concatenate(words), return_inverse=True)
+    return pack(known), pack(which.astype(np.uint16 if len(known) <= 1 << 16 else np.uint32))
 
-def range_of(h: np.ndarray, n: int) -> np.ndarray:
-    return ((bs.mix(h) >> U(32)) * U(n) >> U(32)).astype(np.int64)
 
+def _unpacked_words(known: bytes, which: bytes, order: int) -> list[np.ndarray]:
+    known = unpack(known, U)
+    which = unpack(which, np.uint16 if len(known) <= 1 << 16 else np.uint32)
+    return list(known[which].reshape(order, -1))
 
-def first_range(first: np.ndarray, second: np.ndarray, spread: np.ndarray, n: int) -> np.ndarray:
-    return range_of(np.where(np.isin(first, spread), second, first), n)
 
+COUNTS = "range int, known binary, words binary, many binary, seen binary"
+_NAMES = [c.split()[0] for c in COUNTS.split(", ")]
+_TYPES = (pa.int32(), *[pa.binary()] * 4)
 
-def _cut_rows(kind: int, place: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    """Rows of packed columns, one for each run of equal places."""
+
+def _gram_rows(words: list[np.ndarray], key: np.ndarray, n_ranges: int, many: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+    """Rows of COUNTS, one for each range, of n-grams sorted by key. many: what is counted; seen: how often they occur in texts."""
+    place = range_of(key, n_ranges)
     cuts = np.append(runs_of(place), len(place))
-    rows = [(int(place[a]), kind, *[pack(np.ascontiguousarray(c[a:b])) for c in columns]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    types = [pa.int32(), pa.int32(), *[pa.binary()] * len(columns)]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["range", "kind", *names])
+    rows = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        same = bool((many[a:b] == seen[a:b]).all())
+        rows.append((int(place[a]), *_packed_words([w[a:b] for w in words]), pack(many[a:b].astype(np.uint32)), b"" if same else pack(seen[a:b].astype(np.uint64))))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], names=_NAMES)
 
 
-COUNTS = "range int, kind int, first binary, second binary, many binary"
+def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """An order in which the first places of different keys come ascending, and each key's sums."""
+    order = np.argsort(key)
+    key = key[order]
+    new = runs_of(key)
+    return order[new], key[new], *(np.add.reduceat(v[order], new) for v in values)
 
 
-def _count(spread: np.ndarray, n_ranges: int):
+def _count(order: int, spread: np.ndarray, n_ranges: int):
     def run(batches):
-        for first, second, _, _ in token_lots((b.column("text") for b in batches), COUNTED):
-            place = first_range(first, second, spread, n_ranges)
-            order = bs.order_within(place, joint(first, second))
-            first, second, place = first[order], second[order], place[order]
-            new = runs_of(first, second)
-            many = np.diff(np.append(new, len(first))).astype(np.uint32)
-            yield _cut_rows(0, place[new], [first[new], second[new], many], ["first", "second", "many"])
+        for words, _, _ in token_lots((b.column("text") for b in batches), order, COUNTED):
+            key = gram_keys(context_hash(words[:-1]), words[-1], spread) if order > 1 else bs.mix(words[-1])
+            first, key, many = _summed(key, np.ones(len(key), dtype=np.int64))
+            yield _gram_rows([w[first] for w in words], key, n_ranges, many, many)
 
     return run
 
 
-SUMS = "range int, kind int, second binary, before binary, many binary"
-
-
 class Shelf:
-    """Arrays stored by range in one folder that all executors reach; read by memory-mapping."""
+    """Arrays stored by name and range in one folder that all executors reach; read by memory-mapping."""
 
     def __init__(self, uri: str, n_ranges: int):
         self.uri, self.n_ranges = uri, n_ranges
@@ -142,132 +179,152 @@ class Shelf:
         return pafs.FileSystem.from_uri(self.uri if "://" in self.uri or self.uri.startswith("file:") else "file://" + os.path.abspath(self.uri))
 
     def write(self, name: str, i: int, **arrays: np.ndarray) -> None:
-        """A range's arrays, each a file. A repeated task writes the same bytes again and moves them into place at once."""
+        """A range's arrays, one file: a line that says what follows, then each from a multiple of 8 bytes on. A repeated task writes the same bytes again and moves them into place at once."""
         fs, root = self._where()
         fs.create_dir(root, recursive=True)
-        for k, a in arrays.items():
-            part = f"{root}/.{uuid.uuid4().hex}"
-            with fs.open_output_stream(part) as f:
-                f.write(np.ascontiguousarray(a).tobytes())
-            fs.move(part, f"{root}/{name}-{i}.{k}")
-
-    @lru_cache(maxsize=4096)  # noqa: B019  one shelf a worker and model
-    def read(self, name: str, i: int, k: str, dtype: str) -> np.ndarray:
+        head = json.dumps({k: [a.dtype.str, len(a)] for k, a in arrays.items()}).encode()
+        head += b" " * (-(len(head) + 1) % 8) + b"\n"
+        part = f"{root}/.{uuid.uuid4().hex}"
+        with fs.open_output_stream(part) as f:
+            f.write(head)
+            for a in arrays.values():
+                raw = np.ascontiguousarray(a).tobytes()
+                f.write(raw + b"\0" * (-len(raw) % 8))
+        fs.move(part, f"{root}/{name}-{i}")
+
+    def read(self, name: str, i: int) -> dict[str, np.ndarray]:
+        """A range's arrays; none if nothing was stored."""
+        return self._mapped(name, i) if isinstance(self._where()[0], pafs.LocalFileSystem) else self._views(self._bytes(name, i))
+
+    @lru_cache(maxsize=1 << 16)  # noqa: B019  one shelf a worker and model; what is kept are mappings
+    def _mapped(self, name: str, i: int) -> dict[str, np.ndarray]:
+        path = f"{self._where()[1]}/{name}-{i}"
+        return self._views(np.memmap(path, dtype=np.uint8, mode="r") if os.path.exists(path) else np.zeros(0, dtype=np.uint8))
+
+    def _bytes(self, name: str, i: int) -> np.ndarray:
         fs, root = self._where()
-        path = f"{root}/{name}-{i}.{k}"
-        info = fs.get_file_info(path)
-        if info.type == pafs.FileType.NotFound or not info.size:
-            return np.zeros(0, dtype=dtype)
-        if isinstance(fs, pafs.LocalFileSystem):
-            return np.memmap(path, dtype=dtype, mode="r")
-        with tempfile.NamedTemporaryFile() as copy:  # a store that can't be mapped: a copy that ends with the mapping
-            with fs.open_input_stream(path) as f:
-                while part := f.read(8 << 20):
-                    copy.write(part)
-            copy.flush()
-            return np.memmap(copy.name, dtype=dtype, mode="r")
-
-    def look(self, name: str, place: np.ndarray, keys: np.ndarray, values: dict[str, str]) -> dict[str, np.ndarray]:
-        """For keys, sorted within runs of equal places, the values stored with them, 0 if there are none."""
-        out = {k: np.zeros(len(keys), dtype=t) for k, t in values.items()}
+        if fs.get_file_info(f"{root}/{name}-{i}").type == pafs.FileType.NotFound:
+            return np.zeros(0, dtype=np.uint8)
+        with fs.open_input_stream(f"{root}/{name}-{i}") as f:
+            return np.frombuffer(f.read(), dtype=np.uint8)
+
+    @staticmethod
+    def _views(raw: np.ndarray) -> dict[str, np.ndarray]:
+        if not len(raw):
+            return {}
+        at = int(np.flatnonzero(raw[:4096] == 10)[0]) + 1
+        out = {}
+        for k, (kind, n) in json.loads(raw[:at].tobytes()).items():
+            size = n * np.dtype(kind).itemsize
+            out[k] = raw[at : at + size].view(kind)
+            at += size + -size % 8
+        return out
+
+    def look(self, name: str, keys: np.ndarray, values: tuple[str, ...]) -> list[np.ndarray]:
+        """For ascending keys, the values stored with them, 0 if there are none."""
+        out = [np.zeros(len(keys), dtype=np.int64) for _ in values]
+        place = range_of(keys, self.n_ranges)
         cuts = np.append(runs_of(place), len(place))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            i = int(place[a])
-            known = self.read(name, i, "key", "uint64")
-            if not len(known):
+            stored = self.read(name, int(place[a]))
+            if not stored or not len(stored["key"]):
                 continue
+            known = stored["key"]
             at = np.searchsorted(known, keys[a:b])
             at[at == len(known)] = 0
             hit = np.flatnonzero(known[at] == keys[a:b])
-            for k, t in values.items():
-                out[k][a + hit] = self.read(name, i, k, t)[at[hit]]
+            for o, k in zip(out, values, strict=True):
+                o[a + hit] = stored[k][at[hit]]
         return out
 
 
-def _tally(values: np.ndarray) -> list[int]:
-    return [int((values == i).sum()) for i in (1, 2, 3, 4)]
-
-
-def _first_ranges(shelf: Shelf, spread: np.ndarray):
-    """Adds up the pairs of a range, stores them, and sends on what second tokens need, of many ranges together."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def finish(i: int, parts: list):
-        first, second, many = (np.concatenate([p[j] for p in parts]) for j in range(3))
-        order = bs.order_by(joint(first, second), first, second)
-        first, second, many = first[order], second[order], many[order].astype(np.int64)
-        new = runs_of(first, second)
-        many = np.add.reduceat(many, new)
-        first, second = first[new], second[new]
-        key = pair_hash(first, second)
-        by_key = np.argsort(key)
-        shelf.write("pair", i, key=key[by_key], many=many[by_key].astype(np.uint32))
-        heads = runs_of(first)
-        sums = [np.add.reduceat(x, heads) for x in (many, (many == 1) * 1, (many == 2) * 1, (many > 2) * 1)]
-        own = ~np.isin(first[heads], spread)
-        shelf.write("first", i, key=first[heads][own], **{k: s[own].astype(np.int64) for k, s in zip(("many", "one", "two", "more"), sums, strict=True)})
-        yield _stat_row(2, np.array(_tally(many), dtype=np.int64))
-        if not own.all():
-            yield _stat_row(3, first[heads][~own], np.concatenate([s[~own] for s in sums]).astype(np.int64))
-        held.append((second, many))
-        if sum(len(h[0]) for h in held) >= COUNTED:
-            yield from passed_on()
-
-    def passed_on():
-        if held:
-            second, many = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = bs.order_within(range_of(second, shelf.n_ranges), second)
-            second, many = second[order], many[order]
-            new = runs_of(second)
-            before = np.diff(np.append(new, len(second)))
-            yield _cut_rows(1, range_of(second[new], shelf.n_ranges), [second[new], before.astype(np.uint32), np.add.reduceat(many, new)], ["second", "before", "many"])
-
-    return _by_range(finish, ("first", "second", "many"), (np.uint64, np.uint64, np.uint32), at_end=passed_on)
-
-
-def _stat_row(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
-    """One row on the way to the driver: counts of counts (2), spread words and their four sums in a range (3), a range's totals (4)."""
-    packed = [pack(c) for c in columns] + [b""] * (3 - len(columns))
-    return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([kind], pa.int32()), *[pa.array([x], pa.binary()) for x in packed]], names=["range", "kind", "second", "before", "many"])
-
-
-def _by_range(finish, names: tuple[str, ...], dtypes: tuple, passed: tuple[int, ...] = (), at_end=None):
-    """Collects the rows of one range at a time, sorted by kind and range; rows of kinds in `passed` go through."""
+STATS = "kind int, context long, " + ", ".join(f"{c} long" for c in (*SUMS, "four"))
+_STAT_NAMES = [c.split()[0] for c in STATS.split(", ")]
+
+
+def _stat_rows(kind: int, context: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Kind 1: a range's numbers of n-grams that are counted once, twice, three, four and more times. Kind 2: a spread context's sums in a range. Kind 3: a range of words' totals."""
+    n = len(context)
+    cols = [pa.array(c.astype(np.int64)) for c in (*columns, *[np.zeros(n)] * (5 - len(columns)))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, dtype=np.int32)), pa.array(context.view(np.int64)), *cols], names=_STAT_NAMES)
+
+
+def _stored(shelf: Shelf, order: int, spread: np.ndarray, i: int, parts: list) -> tuple:
+    """Adds up and stores a range's n-grams of an order and their contexts; returns the n-grams' words, counts and occurrences, and rows of STATS."""
+    words = [np.concatenate([p[0][j] for p in parts]) for j in range(order)]
+    many, seen = (np.concatenate([p[j] for p in parts]).astype(np.int64) for j in (1, 2))
+    context = context_hash(words[:-1]) if order > 1 else None
+    key = gram_keys(context, words[-1], spread) if order > 1 else bs.mix(words[-1])
+    first, key, many, seen = _summed(key, many, seen)
+    words = [w[first] for w in words]
+    counts = [int((many == c).sum()) for c in (1, 2, 3, 4)]
+    stats = [_stat_rows(1, np.zeros(1, dtype=U), *[np.array([c]) for c in (*counts, int((many > 4).sum()))])]
+    if order == 1:
+        shelf.write("gram1", i, key=key, many=small(many), seen=small(seen))
+        stats.append(_stat_rows(3, np.zeros(1, dtype=U), np.array([many.sum()]), np.array([seen.sum()]), np.array([len(key)])))
+        return words, many, seen, stats
+    shelf.write(f"gram{order}", i, key=key, many=small(many))
+    context = context[first]
+    by = bs.order_by(context)
+    context, counted = context[by], many[by]
+    heads = runs_of(context)
+    sums = [np.add.reduceat(x, heads) for x in (counted, (counted == 1) * 1, (counted == 2) * 1, (counted > 2) * 1)]
+    context = context[heads]
+    hot = np.isin(context, spread)
+    shelf.write(f"context{order}", i, key=context[~hot], **{k: small(s[~hot]) for k, s in zip(SUMS, sums, strict=True)})
+    if hot.any():
+        stats.append(_stat_rows(2, context[hot], *[s[hot] for s in sums]))
+    return words, many, seen, stats
+
+
+def _by_range(shelf: Shelf, order: int, spread: np.ndarray):
+    """Each range's n-grams, sorted by range, as _stored returns them."""
 
     def run(batches):
         now, parts = None, []
         for batch in batches:
-            kinds = batch.column("kind").to_pylist()
-            if through := [i for i, k in enumerate(kinds) if k in passed]:
-                yield batch.take(pa.array(through))
-            for i, r in enumerate(batch.to_pylist()):
-                if kinds[i] in passed:
-                    continue
+            for r in batch.to_pylist():
                 if r["range"] != now:
                     if parts:
-                        yield from finish(now, parts)
+                        yield _stored(shelf, order, spread, now, parts)
                     now, parts = r["range"], []
-                parts.append([unpack(r[k], t) for k, t in zip(names, dtypes, strict=True)])
+                many = unpack(r["many"], np.uint32)
+                parts.append((_unpacked_words(r["known"], r["words"], order), many, unpack(r["seen"], np.uint64) if r["seen"] else many))
         if parts:
-            yield from finish(now, parts)
-        if at_end:
-            yield from at_end()
+            yield _stored(shelf, order, spread, now, parts)
 
     return run
 
 
-def _second_ranges(shelf: Shelf):
-    def finish(i: int, parts: list):
-        second, before, many = (np.concatenate([p[j] for p in parts]).astype(t) for j, t in enumerate((np.uint64, np.int64, np.int64)))
-        order = np.argsort(second)
-        new = runs_of(second[order])
-        before, many = np.add.reduceat(before[order], new), np.add.reduceat(many[order], new)
-        shelf.write("second", i, key=second[order][new], before=before, many=many)
-        totals = np.array([*_tally(before), int((before > 4).sum()), int(before.sum()), int(many.sum()), len(new)], dtype=np.int64)
-        yield _stat_row(4, totals)
+PASSED = f"{COUNTS}, {STATS}"
+
 
-    return _by_range(finish, ("second", "before", "many"), (np.uint64, np.uint32, np.int64), passed=(2, 3))
+def _ranges(shelf: Shelf, order: int, spread: np.ndarray, below: np.ndarray):
+    """From rows of COUNTS, sorted by range, rows of STATS, and of COUNTS of the next lower order, of many ranges together."""
+
+    def passed_on(held):
+        words = [np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True)]
+        seen = np.concatenate([h[1] for h in held])
+        key = gram_keys(context_hash(words[:-1]), words[-1], below) if order > 2 else bs.mix(words[-1])
+        first, key, many, seen = _summed(key, np.ones(len(key), dtype=np.int64), seen)
+        rows = _gram_rows([w[first] for w in words], key, shelf.n_ranges, many, seen)
+        return pa.RecordBatch.from_arrays([*rows.columns, *[pa.nulls(len(rows), t) for t in (pa.int32(), *[pa.int64()] * 6)]], names=[*_NAMES, *_STAT_NAMES])
+
+    def run(batches):
+        held, size = [], 0
+        for words, _, seen, stats in _by_range(shelf, order, spread)(batches):
+            for s in stats:
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(s), t) for t in _TYPES], *s.columns], names=[*_NAMES, *_STAT_NAMES])
+            if order > 1:
+                held.append((words[1:], seen))
+                size += len(seen)
+                if size >= COUNTED:
+                    yield passed_on(held)
+                    held, size = [], 0
+        if held:
+            yield passed_on(held)
+
+    return run
 
 
 def discounts(tally: list[int]) -> np.ndarray:
@@ -282,109 +339,96 @@ def discounts(tally: list[int]) -> np.ndarray:
 
 @dataclass
 class NgramModel:
-    """What workers need besides the stored arrays."""
+    """What workers need besides the stored arrays. Of each order from 1: its discounts; from 2: its spread contexts (sorted) and their sums."""
 
     shelf: Shelf
-    spread: np.ndarray
+    order: int
+    discounts: dict[int, np.ndarray]
+    spread: dict[int, np.ndarray]
     spread_sums: dict[int, np.ndarray]
-    pair_discounts: np.ndarray
-    word_discounts: np.ndarray
     tokens: int
     words: int
     pairs: int
     word_gamma: float
 
     @classmethod
-    def fit(cls, texts: DataFrame) -> NgramModel:
+    def fit(cls, texts: DataFrame, order: int = ORDER) -> NgramModel:
         """From the column text of the training rows."""
         spark = texts.sparkSession
-        n = width(spark)
-        shelf = Shelf(f"{shared_folder(spark)}/corvine/lm-{uuid.uuid4().hex}", 2 * n)
-        spread = frequent_words(texts)
-        pairs = texts.select(F.coalesce("text", F.lit("")).alias("text")).transform(in_python, _count(spread, shelf.n_ranges), COUNTS)
-        firsts = pairs.repartition(n, "range").sortWithinPartitions("kind", "range").transform(in_python, _first_ranges(shelf, spread), SUMS)
-        stats = firsts.repartition(n, "range").sortWithinPartitions("kind", "range").transform(in_python, _second_ranges(shelf), SUMS).collect()
-        tally, sums = np.zeros(4, dtype=np.int64), np.zeros(8, dtype=np.int64)
-        hot: dict[int, np.ndarray] = {}
-        for r in stats:
-            if r.kind == 2:
-                tally += unpack(bytes(r.second), np.int64)
-            elif r.kind == 4:
-                sums += unpack(bytes(r.second), np.int64)
-            else:
-                words, values = unpack(bytes(r.second), np.uint64), unpack(bytes(r.before), np.int64).reshape(4, -1)
-                for j, w in enumerate(words.tolist()):
-                    hot[w] = hot.get(w, 0) + values[:, j]
-        d, e = discounts(tally.tolist()), discounts(sums[:4].tolist())
-        pairs_n = int(sums[5])
-        more = int(sums[2] + sums[3] + sums[4])
-        gamma = float(e[1] * sums[0] + e[2] * sums[1] + e[3] * more) / pairs_n if pairs_n else 1.0
-        return cls(shelf, spread, hot, d, e, int(sums[6]), int(sums[7]), pairs_n, gamma)
-
-    def word_probability(self, before: np.ndarray) -> np.ndarray:
-        kept = np.maximum(before - self.word_discounts[np.minimum(before, 3)], 0) / max(self.pairs, 1)
-        return kept + self.word_gamma / (self.words + 1)
-
-    def score(self, first: np.ndarray, second: np.ndarray, doc: np.ndarray, texts: int) -> dict[str, np.ndarray]:
-        n = self.shelf.n_ranges
-
-        words, at = np.unique(second, return_inverse=True)
-        place = range_of(words, n)
-        order = np.argsort(place, kind="stable")
-        got = self.shelf.look("second", place[order], words[order], {"before": "int64", "many": "int64"})
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        before, seen = got["before"][back], got["many"][back]
+        shelf = Shelf(f"{cuts_folder(spark)}/lm-{uuid.uuid4().hex}", 2 * width(spark))
+        spread = frequent_contexts(texts, order, shelf.n_ranges)
+        none = np.zeros(0, dtype=U)
+        counts = texts.select(F.coalesce("text", F.lit("")).alias("text")).transform(in_python, _count(order, spread.get(order, none), shelf.n_ranges), COUNTS)
+        tallies, sums, totals = {}, {}, [0, 0, 0]
+        for k in range(order, 0, -1):
+            mine = spread.get(k, none)
+            out = durable(by_ranges(counts, "range").transform(in_python, _ranges(shelf, k, mine, spread.get(k - 1, none)), PASSED))
+            counts = out.where("kind is null").select(_NAMES)
+            added = out.where("kind is not null").groupBy("kind", "context").agg(*[F.sum(c).alias(c) for c in (*SUMS, "four")]).collect()
+            sums[k], tallies[k] = np.zeros((4, len(mine)), dtype=np.int64), [0] * 5
+            for r in added:
+                if r.kind == 1:
+                    tallies[k] = [r.total, r.one, r.two, r.more, r.four]
+                elif r.kind == 2:
+                    sums[k][:, np.searchsorted(mine, U(r.context & (2**64 - 1)))] = r.total, r.one, r.two, r.more
+                else:
+                    totals = [r.total, r.one, r.two]
+        d = {k: discounts(t[:4]) for k, t in tallies.items()}
+        pairs, tokens, words = totals
+        t = tallies[1]
+        gamma = float(d[1][1] * t[0] + d[1][2] * t[1] + d[1][3] * (t[2] + t[3] + t[4])) / pairs if pairs else 1.0
+        return cls(shelf, order, d, spread, sums, tokens, words, pairs, gamma)
+
+    def score(self, words: list[np.ndarray], doc: np.ndarray, texts: int) -> dict[str, np.ndarray]:
+        """Of each text of a lot, what SCORES has."""
+        known, at = np.unique(bs.mix(words[-1]), return_inverse=True)
+        many, seen = self.shelf.look("gram1", known, ("many", "seen"))
         base = np.log10((seen + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
-        lower = self.word_probability(before)
-
-        heads, which = np.unique(first, return_inverse=True)
-        place = range_of(heads, n)
-        order = np.argsort(place, kind="stable")
-        got = self.shelf.look("first", place[order], heads[order], {k: "int64" for k in ("many", "one", "two", "more")})
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        sums = np.stack([got[k][back] for k in ("many", "one", "two", "more")])
-        for j in np.flatnonzero(np.isin(heads, self.spread)):
-            sums[:, j] = self.spread_sums.get(int(heads[j]), np.zeros(4, dtype=np.int64))
-        total = np.maximum(sums[0], 1)
-        gamma = np.where(sums[0] > 0, (self.pair_discounts[1:] @ sums[1:]) / total, 1.0)
-
-        key = pair_hash(first, second)
-        _, lead, pair = np.unique(key, return_index=True, return_inverse=True)
-        place = first_range(first[lead], second[lead], self.spread, n)
-        order = bs.order_within(place, key[lead])
-        got = self.shelf.look("pair", place[order], key[lead][order], {"many": "uint32"})
-        count = np.empty(len(lead), dtype=np.int64)
-        count[order] = got["many"]
-        count = count[pair]
-        direct = np.maximum(count - self.pair_discounts[np.minimum(count, 3)], 0) / total[which]
-        logs = np.log10(direct + gamma[which] * lower[at])
+        kept = np.maximum(many - self.discounts[1][np.minimum(many, 3)], 0) / max(self.pairs, 1)
+        p = (kept + self.word_gamma / (self.words + 1))[at]
+        for k in range(2, self.order + 1):
+            spread = self.spread.get(k, np.zeros(0, dtype=U))
+            context = context_hash(words[-k:-1])
+            heads, which = np.unique(context, return_inverse=True)
+            sums = np.stack(self.shelf.look(f"context{k}", heads, SUMS))
+            hot = np.flatnonzero(np.isin(heads, spread))
+            if len(hot):
+                sums[:, hot] = self.spread_sums[k][:, np.searchsorted(spread, heads[hot])]
+            total, d = np.maximum(sums[0], 1), self.discounts[k]
+            gamma = np.where(sums[0] > 0, (d[1:] @ sums[1:]) / total, 1.0)
+            grams, gram = np.unique(gram_keys(context, words[-1], spread), return_inverse=True)
+            (count,) = self.shelf.look(f"gram{k}", grams, ("many",))
+            kept = np.maximum(count - d[np.minimum(count, 3)], 0)
+            p = kept[gram] / total[which] + gamma[which] * p
         return {
             "n_tokens": np.bincount(doc, minlength=texts),
             "n_known": np.bincount(doc, weights=seen[at] > 0, minlength=texts).astype(np.int64),
             "base_score": np.bincount(doc, weights=base[at], minlength=texts),
-            "score": np.bincount(doc, weights=logs, minlength=texts),
+            "score": np.bincount(doc, weights=np.log10(p), minlength=texts),
         }
 
 
-def frequent_words(texts: DataFrame) -> np.ndarray:
-    """Hashes of words that take more than SPREAD_SHARE of the tokens of some SPREAD_SAMPLE rows, SPREAD_WORDS at most.
+def frequent_contexts(texts: DataFrame, order: int, n_ranges: int) -> dict[int, np.ndarray]:
+    """Of each order from 2, hashes of contexts that take more than FAIR / n_ranges of a sample's tokens: n_ranges / FAIR at most.
 
-    They only decide where pairs are counted, not what is counted; counts don't depend on them.
+    They only decide where n-grams are counted, not what is counted; the sample grows with the ranges.
     """
 
     def run(batches):
-        for first, *_ in token_lots((b.column("text") for b in batches), SCORED):
-            h, n = np.unique(first, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"word": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int64)), "tokens": pa.array(np.full(len(h), n.sum()), pa.int64())})
+        for words, *_ in token_lots((b.column("text") for b in batches), order, SCORED):
+            for k in range(2, order + 1):
+                h, n = np.unique(context_hash(words[-k:-1]), return_counts=True)
+                often = n > 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(often.sum()) + 1, k, dtype=np.int32)), pa.array(np.append(h[often].view(np.int64), 0)), pa.array(np.append(n[often], 0)), pa.array(np.append(np.zeros(int(often.sum()), dtype=np.int64), len(words[-1])))], names=["k", "context", "n", "tokens"])
 
     rows = texts.count()
-    chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, SPREAD_SAMPLE / max(rows, 1)) * (1 << 30))
-    counted = texts.where(chosen).select(F.coalesce("text", F.lit("")).alias("text")).transform(in_python, run, "word long, n long, tokens long").groupBy("word").agg(F.sum("n").alias("n"))
-    best = counted.orderBy(F.desc("n"), "word").limit(SPREAD_WORDS).collect()
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    return np.sort(np.array([r.word & (2**64 - 1) for r in best if r.n > SPREAD_SHARE * total], dtype=np.uint64))
+    share = min(1.0, max(SPREAD_ROWS, ROWS_PER_RANGE * n_ranges) / max(rows, 1))
+    chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))
+    counted = texts.where(chosen).select("text").transform(in_python, run, "k int, context long, n long, tokens long").groupBy("k", "context").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+    counted = durable(counted)
+    totals = counted.groupBy("k").agg(F.sum("tokens").alias("all"))
+    found = counted.where("n > 0").join(F.broadcast(totals), "k").where(F.col("n") > FAIR * F.col("all") / n_ranges).select("k", "context").collect()
+    return {k: np.sort(np.array([r.context for r in found if r.k == k], dtype=np.int64).view(U)) for k in range(2, order + 1)}
 
 
 def held_out():
@@ -400,7 +444,7 @@ def score(docs: DataFrame, model: NgramModel) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            parts = [shared.value.score(*lot) for lot in token_lots([batch.column("text")], SCORED)]
+            parts = [shared.value.score(*lot) for lot in token_lots([batch.column("text")], shared.value.order, SCORED)]
             cols = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in ("n_tokens", "n_known", "base_score", "score")]
             yield pa.RecordBatch.from_arrays([pc.cast(batch.column("doc_id"), pa.int64()), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 

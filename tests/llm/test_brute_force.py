@@ -206,49 +206,59 @@ def test_hot_source_in_ranges(spark):
     assert fine == coarse
 
 
-def test_language_model(spark, sample):
+@pytest.mark.parametrize(("order", "fair"), [(3, 0.25), (3, 0.01), (2, 0.05)])
+def test_language_model(spark, sample, monkeypatch, order, fair):
+    """Interpolated modified Kneser-Ney by its formula, with and without spread contexts."""
+    monkeypatch.setattr(ngram_lm, "ORDER", order)
+    monkeypatch.setattr(ngram_lm, "FAIR", fair)
+    monkeypatch.setattr(ngram_lm, "COUNTED", 3000)
     out = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     tok = {r["doc_id"]: [*words(r["text"]), "\n"] for r in sample}
-    pairs = {i: list(zip(["\n\n", *t], t, strict=False)) for i, t in tok.items()}
-    big, uni = Counter(), Counter()
+    grams = {i: list(zip(*(["\n\n"] * (order - 1 - j) + t[: len(t) - (order - 1 - j)] if len(t) >= order - 1 - j else (["\n\n"] * (order - 1))[: len(t)] for j in range(order)), strict=True)) for i, t in tok.items()}
+    assert all(len(g) == len(tok[i]) and [x[-1] for x in g] == tok[i] for i, g in grams.items())
+    uni, counts = Counter(), {order: Counter()}
     for i in tok:
         if not out(i):
-            big.update(pairs[i])
+            counts[order].update(grams[i])
             uni.update(tok[i])
-    heads, tails = defaultdict(lambda: [0, 0, 0, 0]), Counter()
-    for (v, w), c in big.items():
-        heads[v][0] += c
-        heads[v][min(c, 3)] += 1
-        tails[w] += 1
-
-    def discount(counts):
-        n = [sum(c == j for c in counts) for j in (1, 2, 3, 4)]
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    heads = {k: defaultdict(lambda: [0, 0, 0, 0]) for k in counts}
+    for k, c in counts.items():
+        for g, n in c.items():
+            heads[k][g[:-1]][0] += n
+            heads[k][g[:-1]][min(n, 3)] += 1
+
+    def discount(values):
+        n = [sum(c == j for c in values) for j in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1])
         return [0, *(min(max(d, 0), j) for j, d in ((1, 1 - 2 * y * n[1] / n[0]), (2, 2 - 3 * y * n[2] / n[1]), (3, 3 - 4 * y * n[3] / n[2])))]
 
-    d, e = discount(big.values()), discount(tails.values())
-    spare = sum(e[min(n, 3)] for n in tails.values()) / len(big)
-    lower = lambda w: max(tails[w] - e[min(tails[w], 3)], 0) / len(big) + spare / (len(uni) + 1)
+    d = {k: discount(c.values()) for k, c in counts.items()}
 
-    def probability(v, w):
-        if v not in heads:
-            return lower(w)
-        h, c = heads[v], big[v, w]
-        return max(c - d[min(c, 3)], 0) / h[0] + (d[1] * h[1] + d[2] * h[2] + d[3] * h[3]) / h[0] * lower(w)
+    def probability(g):
+        k = len(g)
+        lower = probability(g[1:]) if k > 1 else 1 / (len(uni) + 1)
+        if g[:-1] not in heads[k]:
+            return lower
+        h, c = heads[k][g[:-1]], counts[k][g]
+        return max(c - d[k][min(c, 3)], 0) / h[0] + sum(x * y for x, y in zip(d[k][1:], h[1:], strict=True)) / h[0] * lower
 
     total = sum(uni.values())
-    for share in (ngram_lm.SPREAD_SHARE, 1 / 100):
-        ngram_lm.SPREAD_SHARE, kept = share, ngram_lm.SPREAD_SHARE
-        got = ngram_lm.op6_ngram_lm(spark, SMALL).collect()
-        ngram_lm.SPREAD_SHARE = kept
-        for r in got:
-            t = tok[r.doc_id]
-            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out(r.doc_id), len(t), sum(w in uni for w in t), total)
-            assert r.base_score == pytest.approx(sum(math.log10((uni[w] + 0.5) / (total + 0.5 * (len(uni) + 1))) for w in t), rel=1e-9)
-            assert r.score == pytest.approx(sum(math.log10(probability(v, w)) for v, w in pairs[r.doc_id]), rel=1e-9)
-    held = [r for r in got if r.held_out]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = ngram_lm.NgramModel.fit(docs.where(~ngram_lm.held_out()), order)
+    assert order == 2 or (fair == 0.25) or all(len(s) for s in model.spread.values())
+    got = ngram_lm.score(docs, model).collect()
+    for r in got:
+        t = tok[r.doc_id]
+        assert (r.n_tokens, r.n_known, model.tokens) == (len(t), sum(w in uni for w in t), total)
+        assert r.base_score == pytest.approx(sum(math.log10((uni[w] + 0.5) / (total + 0.5 * (len(uni) + 1))) for w in t), rel=1e-9)
+        assert r.score == pytest.approx(sum(math.log10(probability(g)) for g in grams[r.doc_id]), rel=1e-9)
+    held = [r for r in got if out(r.doc_id)]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    assert sum(probability("the", w) for w in uni) + (probability("the", "never seen")) == pytest.approx(1)
+    # The probabilities of all words, and of the unknown one, are 1 in any context.
+    some = max(heads[order], key=lambda c: heads[order][c][0])
+    assert sum(probability((*some, w)) for w in uni) + probability((*some, "never seen")) == pytest.approx(1)
 
 
 def test_held_out_accuracy(spark):
