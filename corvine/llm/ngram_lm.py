@@ -1,6 +1,7 @@
-"""Language model scores: an interpolated modified Kneser-Ney model of ORDER words.
+"""Language model scores: an interpolated modified Kneser-Ney model of any order.
 
-Tokens are the lower-cased (A-Z) words of a text and one end; ORDER - 1 starts come before the first.
+Tokens are the lower-cased (A-Z) words of a text and one end; order - 1 starts come before the first.
+The default is ORDER words; README tells what a model of three words takes.
 
 Counting. Tasks sort the n-grams of a lot of training texts, count them and send each different one
 once, to the task that holds its context's range of hashes; n-grams of the few most frequent contexts
@@ -43,6 +44,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +52,13 @@ from . import bytescan as bs
 from .common import by_ranges, cuts_folder, durable, in_python, table, width
 from .exchange import pack, runs_of, unpack
 
-ORDER = 3
+ORDER = 2
 #: Tokens that are counted and scored at once.
 COUNTED, SCORED = 1_500_000, 750_000
 U = np.uint64
 START, END = U(0x5354415254), U(0x454E44)
+#: Bits of a word's hash that are left out, as words travel with n-grams: 48 stay.
+WORD_BITS = U(16)
 #: Rows, at least, and for each range, in which frequent contexts are looked for; the least share, in fair shares of a range, of one.
 SPREAD_ROWS, ROWS_PER_RANGE, FAIR = 2_000, 8, 0.25
 SUMS = ("total", "one", "two", "more")
@@ -67,7 +71,7 @@ def token_grams(piece: bs.Piece, order: int) -> tuple[list[np.ndarray], np.ndarr
     of = np.concatenate(([0], np.cumsum(counts)))
     token = np.empty(of[-1], dtype=U)
     doc = np.repeat(np.arange(len(piece)), counts)
-    token[np.arange(len(w.hash)) + w.text()] = w.hash
+    token[np.arange(len(w.hash)) + w.text()] = w.hash >> WORD_BITS
     token[of[1:] - 1] = END
     place = np.arange(of[-1]) - of[:-1][doc]
     grams = [token]
@@ -123,21 +127,36 @@ def small(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max())) if len(values) else np.uint8)
 
 
-def _packed_words(words: list[np.ndarray]) -> tuple[bytes, bytes]:
-    """Different words of some n-grams, and for each place of the n-grams their numbers."""
+@lru_cache(maxsize=1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+
+
+def _packed_words(words: list[np.ndarray]) -> bytes:
+    """Different words of some n-grams, as steps, and for each place of the n-grams their numbers."""
     known, which = np.unique(np.concatenate(words), return_inverse=True)
-    return pack(known), pack(which.astype(np.uint16 if len(known) <= 1 << 16 else np.uint32))
+    steps, which = np.diff(known, prepend=U(0)), which.astype(np.uint16 if len(known) <= 1 << 16 else np.uint32)
+    return len(known).to_bytes(4, "little") + _zstd()[0].compress(pack(steps) + pack(which))
+
+
+def _unpacked_words(raw: bytes, order: int) -> list[np.ndarray]:
+    n, raw = int.from_bytes(raw[:4], "little"), _zstd()[1].decompress(raw[4:])
+    known = np.cumsum(unpack(raw[: 8 * n], U), dtype=U)
+    return list(known[unpack(raw[8 * n :], np.uint16 if n <= 1 << 16 else np.uint32)].reshape(order, -1))
+
 
+def _packed_counts(counts: np.ndarray) -> bytes:
+    """Nothing for counts of 1."""
+    return b"" if (counts == 1).all() else _zstd()[0].compress(pack(counts.astype(np.uint64)))
 
-def _unpacked_words(known: bytes, which: bytes, order: int) -> list[np.ndarray]:
-    known = unpack(known, U)
-    which = unpack(which, np.uint16 if len(known) <= 1 << 16 else np.uint32)
-    return list(known[which].reshape(order, -1))
 
+def _unpacked_counts(raw: bytes, n: int) -> np.ndarray:
+    return unpack(_zstd()[1].decompress(raw), np.uint64).astype(np.int64) if raw else np.ones(n, dtype=np.int64)
 
-COUNTS = "range int, known binary, words binary, many binary, seen binary"
+
+COUNTS = "range int, words binary, many binary, seen binary"
 _NAMES = [c.split()[0] for c in COUNTS.split(", ")]
-_TYPES = (pa.int32(), *[pa.binary()] * 4)
+_TYPES = (pa.int32(), *[pa.binary()] * 3)
 
 
 def _gram_rows(words: list[np.ndarray], key: np.ndarray, n_ranges: int, many: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
@@ -146,8 +165,7 @@ def _gram_rows(words: list[np.ndarray], key: np.ndarray, n_ranges: int, many: np
     cuts = np.append(runs_of(place), len(place))
     rows = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        same = bool((many[a:b] == seen[a:b]).all())
-        rows.append((int(place[a]), *_packed_words([w[a:b] for w in words]), pack(many[a:b].astype(np.uint32)), b"" if same else pack(seen[a:b].astype(np.uint64))))
+        rows.append((int(place[a]), _packed_words([w[a:b] for w in words]), _packed_counts(many[a:b]), _packed_counts(seen[a:b] - many[a:b] + 1)))
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], names=_NAMES)
 
 
@@ -238,15 +256,15 @@ class Shelf:
         return out
 
 
-STATS = "kind int, context long, " + ", ".join(f"{c} long" for c in (*SUMS, "four"))
+STATS = "kind int, order int, context long, " + ", ".join(f"{c} long" for c in (*SUMS, "four"))
 _STAT_NAMES = [c.split()[0] for c in STATS.split(", ")]
 
 
-def _stat_rows(kind: int, context: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+def _stat_rows(kind: int, order: int, context: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     """Kind 1: a range's numbers of n-grams that are counted once, twice, three, four and more times. Kind 2: a spread context's sums in a range. Kind 3: a range of words' totals."""
     n = len(context)
     cols = [pa.array(c.astype(np.int64)) for c in (*columns, *[np.zeros(n)] * (5 - len(columns)))]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, dtype=np.int32)), pa.array(context.view(np.int64)), *cols], names=_STAT_NAMES)
+    return pa.RecordBatch.from_arrays([*[pa.array(np.full(n, x, dtype=np.int32)) for x in (kind, order)], pa.array(context.view(np.int64)), *cols], names=_STAT_NAMES)
 
 
 def _stored(shelf: Shelf, order: int, spread: np.ndarray, i: int, parts: list) -> tuple:
@@ -258,10 +276,10 @@ def _stored(shelf: Shelf, order: int, spread: np.ndarray, i: int, parts: list) -
     first, key, many, seen = _summed(key, many, seen)
     words = [w[first] for w in words]
     counts = [int((many == c).sum()) for c in (1, 2, 3, 4)]
-    stats = [_stat_rows(1, np.zeros(1, dtype=U), *[np.array([c]) for c in (*counts, int((many > 4).sum()))])]
+    stats = [_stat_rows(1, order, np.zeros(1, dtype=U), *[np.array([c]) for c in (*counts, int((many > 4).sum()))])]
     if order == 1:
         shelf.write("gram1", i, key=key, many=small(many), seen=small(seen))
-        stats.append(_stat_rows(3, np.zeros(1, dtype=U), np.array([many.sum()]), np.array([seen.sum()]), np.array([len(key)])))
+        stats.append(_stat_rows(3, order, np.zeros(1, dtype=U), np.array([many.sum()]), np.array([seen.sum()]), np.array([len(key)])))
         return words, many, seen, stats
     shelf.write(f"gram{order}", i, key=key, many=small(many))
     context = context[first]
@@ -273,54 +291,57 @@ def _stored(shelf: Shelf, order: int, spread: np.ndarray, i: int, parts: list) -
     hot = np.isin(context, spread)
     shelf.write(f"context{order}", i, key=context[~hot], **{k: small(s[~hot]) for k, s in zip(SUMS, sums, strict=True)})
     if hot.any():
-        stats.append(_stat_rows(2, context[hot], *[s[hot] for s in sums]))
+        stats.append(_stat_rows(2, order, context[hot], *[s[hot] for s in sums]))
     return words, many, seen, stats
 
 
-def _by_range(shelf: Shelf, order: int, spread: np.ndarray):
-    """Each range's n-grams, sorted by range, as _stored returns them."""
-
-    def run(batches):
-        now, parts = None, []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["range"] != now:
-                    if parts:
-                        yield _stored(shelf, order, spread, now, parts)
-                    now, parts = r["range"], []
-                many = unpack(r["many"], np.uint32)
-                parts.append((_unpacked_words(r["known"], r["words"], order), many, unpack(r["seen"], np.uint64) if r["seen"] else many))
-        if parts:
-            yield _stored(shelf, order, spread, now, parts)
-
-    return run
-
-
 PASSED = f"{COUNTS}, {STATS}"
+_ALL = [*_NAMES, *_STAT_NAMES]
+_STAT_TYPES = (pa.int32(), pa.int32(), *[pa.int64()] * 6)
 
 
 def _ranges(shelf: Shelf, order: int, spread: np.ndarray, below: np.ndarray):
-    """From rows of COUNTS, sorted by range, rows of STATS, and of COUNTS of the next lower order, of many ranges together."""
+    """From rows of COUNTS, sorted by range, rows of STATS, and of COUNTS of the next lower order, of many ranges together. Rows of STATS of higher orders go through."""
+
+    def told(stats):
+        for s in stats:
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(s), dtype=np.int32)), *[pa.nulls(len(s), t) for t in _TYPES[1:]], *s.columns], names=_ALL)
 
     def passed_on(held):
         words = [np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True)]
         seen = np.concatenate([h[1] for h in held])
+        held.clear()
         key = gram_keys(context_hash(words[:-1]), words[-1], below) if order > 2 else bs.mix(words[-1])
         first, key, many, seen = _summed(key, np.ones(len(key), dtype=np.int64), seen)
         rows = _gram_rows([w[first] for w in words], key, shelf.n_ranges, many, seen)
-        return pa.RecordBatch.from_arrays([*rows.columns, *[pa.nulls(len(rows), t) for t in (pa.int32(), *[pa.int64()] * 6)]], names=[*_NAMES, *_STAT_NAMES])
+        return pa.RecordBatch.from_arrays([*rows.columns, *[pa.nulls(len(rows), t) for t in _STAT_TYPES]], names=_ALL)
 
     def run(batches):
-        held, size = [], 0
-        for words, _, seen, stats in _by_range(shelf, order, spread)(batches):
-            for s in stats:
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(s), t) for t in _TYPES], *s.columns], names=[*_NAMES, *_STAT_NAMES])
+        now, parts, held = None, [], []
+
+        def finish():
+            words, _, seen, stats = _stored(shelf, order, spread, now, parts)
             if order > 1:
                 held.append((words[1:], seen))
-                size += len(seen)
-                if size >= COUNTED:
-                    yield passed_on(held)
-                    held, size = [], 0
+            yield from told(stats)
+            if sum(len(h[1]) for h in held) >= COUNTED:
+                yield passed_on(held)
+
+        for batch in batches:
+            has = "kind" in batch.schema.names
+            if has and batch.column("kind").null_count < len(batch):
+                yield batch.filter(pc.is_valid(batch.column("kind")))
+                batch = batch.filter(pc.is_null(batch.column("kind")))
+            for r in batch.to_pylist():
+                if r["range"] != now:
+                    if parts:
+                        yield from finish()
+                    now, parts = r["range"], []
+                words = _unpacked_words(r["words"], order)
+                many = _unpacked_counts(r["many"], len(words[0]))
+                parts.append((words, many, _unpacked_counts(r["seen"], len(many)) + many - 1))
+        if parts:
+            yield from finish()
         if held:
             yield passed_on(held)
 
@@ -355,24 +376,22 @@ class NgramModel:
     def fit(cls, texts: DataFrame, order: int = ORDER) -> NgramModel:
         """From the column text of the training rows."""
         spark = texts.sparkSession
-        shelf = Shelf(f"{cuts_folder(spark)}/lm-{uuid.uuid4().hex}", 2 * width(spark))
+        shelf = Shelf(f"{cuts_folder(spark)}/lm-{uuid.uuid4().hex}", width(spark))
         spread = frequent_contexts(texts, order, shelf.n_ranges)
         none = np.zeros(0, dtype=U)
         counts = texts.select(F.coalesce("text", F.lit("")).alias("text")).transform(in_python, _count(order, spread.get(order, none), shelf.n_ranges), COUNTS)
-        tallies, sums, totals = {}, {}, [0, 0, 0]
         for k in range(order, 0, -1):
-            mine = spread.get(k, none)
-            out = durable(by_ranges(counts, "range").transform(in_python, _ranges(shelf, k, mine, spread.get(k - 1, none)), PASSED))
-            counts = out.where("kind is null").select(_NAMES)
-            added = out.where("kind is not null").groupBy("kind", "context").agg(*[F.sum(c).alias(c) for c in (*SUMS, "four")]).collect()
-            sums[k], tallies[k] = np.zeros((4, len(mine)), dtype=np.int64), [0] * 5
-            for r in added:
-                if r.kind == 1:
-                    tallies[k] = [r.total, r.one, r.two, r.more, r.four]
-                elif r.kind == 2:
-                    sums[k][:, np.searchsorted(mine, U(r.context & (2**64 - 1)))] = r.total, r.one, r.two, r.more
-                else:
-                    totals = [r.total, r.one, r.two]
+            counts = by_ranges(counts, "range").transform(in_python, _ranges(shelf, k, spread.get(k, none), spread.get(k - 1, none)), PASSED)
+        added = counts.groupBy("kind", "order", "context").agg(*[F.sum(c).alias(c) for c in (*SUMS, "four")]).collect()
+        tallies, totals = {k: [0] * 5 for k in range(1, order + 1)}, [0, 0, 0]
+        sums = {k: np.zeros((4, len(spread[k])), dtype=np.int64) for k in spread}
+        for r in added:
+            if r.kind == 1:
+                tallies[r.order] = [r.total, r.one, r.two, r.more, r.four]
+            elif r.kind == 2:
+                sums[r.order][:, np.searchsorted(spread[r.order], U(r.context & (2**64 - 1)))] = r.total, r.one, r.two, r.more
+            else:
+                totals = [r.total, r.one, r.two]
         d = {k: discounts(t[:4]) for k, t in tallies.items()}
         pairs, tokens, words = totals
         t = tallies[1]
@@ -451,7 +470,16 @@ def score(docs: DataFrame, model: NgramModel) -> DataFrame:
     return docs.select("doc_id", "text").transform(in_python, run, SCORES)
 
 
-def op6_ngram_lm(spark, sf_dir: str) -> DataFrame:
+def _scored(spark, sf_dir: str, order: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = NgramModel.fit(docs.where(~held_out()))
+    model = NgramModel.fit(docs.where(~held_out()), order)
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op6_ngram_lm(spark, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, ORDER)
+
+
+def op6_ngram_lm_order3(spark, sf_dir: str) -> DataFrame:
+    """The same with contexts of two words."""
+    return _scored(spark, sf_dir, 3)
