@@ -13,9 +13,13 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+# Where compound words are cut, pass by pass; other cuts would give other tokens.
+CAMEL_CUTS = ("([A-Z]+)", "([A-Z][a-z]+)")
+
+
 def camel_parts(word: Column) -> Column:
     """A word cut before each run of capitals, and again before each capital that small letters follow."""
-    spaced = F.regexp_replace(F.regexp_replace(word, "([A-Z]+)", " $1"), "([A-Z][a-z]+)", " $1")
+    spaced = F.regexp_replace(F.regexp_replace(word, CAMEL_CUTS[0], " $1"), CAMEL_CUTS[1], " $1")
     return F.filter(F.split(spaced, " +"), lambda p: p != "")
 
 
@@ -43,13 +47,17 @@ def decoded(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def spliced(content: Column, start: Column, end: Column) -> Column:
-    """The bytes from start to end, both clamped to the content, as text."""
+def cut(content: Column, start: Column, end: Column) -> Column:
+    """The bytes from start to end, both clamped to the content."""
     size = F.octet_length(content)
     low = F.least(F.greatest(start, F.lit(0)), size)
     high = F.least(F.greatest(end, F.lit(0)), size)
-    taken = F.substring(content, (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
-    return F.coalesce(decoded(taken), F.lit(""))
+    return F.substring(content, (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
+
+
+def spliced(content: Column, start: Column, end: Column) -> Column:
+    """The same as text."""
+    return F.coalesce(decoded(cut(content, start, end)), F.lit(""))
 
 
 def content_hash(content: Column) -> Column:

@@ -2,19 +2,51 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_TOKENS, OVERLAP, LEAST_FILE, LEAST_WINDOW = 250, 50, 50, 50
 
 
-def line_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line (from 1), line_text, byte_start and byte_end; a line's end excludes its line break. A running sum over each document's lines."""
-    rows = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("_i", "line_text"))
-    before = Window.partitionBy(key).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.octet_length("line_text") + 1).over(before), F.lit(0)).cast("long")
-    rows = rows.withColumn("byte_start", start)
-    return rows.select(key, (F.col("_i") + 1).alias("line"), "line_text", "byte_start", (F.col("byte_start") + F.octet_length("line_text")).alias("byte_end"))
+def _cut_lines(with_text: bool):
+    """Lines of a column of bytes, by their row: where each starts and ends, found in the column's one buffer."""
+
+    def run(batches):
+        for batch in batches:
+            content = batch.column(1).cast(pa.large_binary()).fill_null(b"")
+            offsets = np.frombuffer(content.buffers()[1], dtype=np.int64)[content.offset : content.offset + len(content) + 1]
+            raw = content.buffers()[2]
+            data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, dtype=np.uint8)
+            breaks = np.flatnonzero(data[offsets[0] : offsets[-1]] == 10) + offsets[0] if len(content) else np.zeros(0, dtype=np.int64)
+            of = np.searchsorted(breaks, offsets)
+            many = np.diff(of) + 1
+            row = np.repeat(np.arange(len(content)), many)
+            line = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            first, last = line == 0, line == many[row] - 1
+            start, end = offsets[:-1][row], offsets[1:][row]
+            start[~first], end[~last] = breaks + 1, breaks
+            columns = [batch.column(0).take(pa.array(row)), pa.array((line + 1).astype(np.int32)), pa.array(start - offsets[:-1][row]), pa.array(end - offsets[:-1][row])]
+            names = [batch.schema.names[0], "line", "byte_start", "byte_end"]
+            step = 1 << 16
+            for i in range(0, len(row), step):
+                part = [c.slice(i, step) for c in columns]
+                if with_text:
+                    part.append(pa.array([data[a:b].tobytes() for a, b in zip(start[i : i + step].tolist(), end[i : i + step].tolist(), strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(part, names=[*names, "line_bytes"] if with_text else names)
+
+    return run
+
+
+def line_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+    """key, line (from 1), byte_start and byte_end, and line_bytes if with_text; a line's end excludes its line break.
+
+    A row's lines are cut where it is: nothing is shuffled. Null counts as empty, which is one line.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, line int, byte_start long, byte_end long" + ", line_bytes binary" * with_text
+    return docs.select(key, F.col(text).cast("binary").alias("_content")).mapInArrow(_cut_lines(with_text), schema)
 
 
 def window_starts(n: Column, size: int, overlap: int) -> Column:

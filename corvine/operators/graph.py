@@ -2,57 +2,27 @@
 
 from __future__ import annotations
 
-import ast
-import re
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cleaned_import, decoded, file_name, stem, suffix
 from ..schemas import IMPORTS
-from .symbols import PYTHON
-
-#: How each other language names what it imports: one pattern and one group a line.
-LINE_PATTERNS = {
-    "js": ((".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"), r"""^\s*(?:import\s.*?\bfrom\s*|.*?\brequire\s*\(\s*)['"]([^'"]+)['"]"""),
-    "java": ((".java",), r"^\s*import\s+(?:static\s+)?([\w.]+)\s*;"),
-    "go": ((".go",), r'^\s*(?:import\s+(?:\w+\s+)?)?"([^"]+)"'),
-    "rust": ((".rs",), r"^\s*(?:pub\s+)?(?:use|mod)\s+([\w:]+)"),
-    "ruby": ((".rb",), r"""^\s*require(?:_relative)?\s+['"]([^'"]+)['"]"""),
-    "c": ((".c", ".h", ".cpp", ".hpp", ".cc", ".cs"), r"""^\s*#\s*include\s*["<]([^"<>]+)[">]"""),
-}
-
-
-def _python_imports(text: str) -> list[str]:
-    try:
-        nodes = [n for n in ast.walk(ast.parse(text)) if isinstance(n, (ast.Import, ast.ImportFrom))]
-    except (SyntaxError, ValueError, RecursionError):
-        found = re.findall(r"^\s*(?:from\s+(\S+)\s+import|import\s+([^\s,]+))", text, re.M)
-        return [a or b for a, b in found]
-    nodes.sort(key=lambda n: (n.lineno, n.col_offset))
-    return [name for n in nodes for name in ([a.name for a in n.names] if isinstance(n, ast.Import) else [n.module] if n.module else [])]
+from .imports import BY_SUFFIX, imported
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """From path, ext and content, the import strings in file order, each once: IMPORTS. Python is parsed, other languages are matched by line."""
+    """From path, ext and content, the import strings in file order, each once: IMPORTS."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(path, i, raw, "python") for i, raw in enumerate(dict.fromkeys(_python_imports(text or "")))]
+            for path, ext, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                lang, found = imported(ext, text or "")
+                rows += [(path, i, raw, lang) for i, raw in enumerate(found)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))], names=["path", "ordinal", "raw", "lang"])
 
-    text = decoded(F.col("content"))
-    found = files.where(F.col("ext").isin(*PYTHON)).select("path", text).mapInArrow(run, IMPORTS)
-    for lang, (extensions, pattern) in LINE_PATTERNS.items():
-        lines = files.where(F.col("ext").isin(*extensions)).select("path", F.posexplode(F.split(text, "\n")).alias("ordinal", "line"))
-        raw = F.regexp_extract("line", pattern, 1)
-        raw = F.replace(raw, F.lit("::"), F.lit(".")) if lang == "rust" else raw
-        named = lines.select("path", "ordinal", raw.alias("raw")).where("raw <> ''").groupBy("path", "raw").agg(F.min("ordinal").alias("ordinal"))
-        found = found.unionByName(named.select("path", "ordinal", "raw", F.lit(lang).alias("lang")))
-    return found
+    return files.where(F.col("ext").isin(*BY_SUFFIX)).select("path", "ext", decoded(F.col("content"))).mapInArrow(run, IMPORTS)
 
 
 def python_modules(files: DataFrame) -> DataFrame:
@@ -90,14 +60,19 @@ def edges(files: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def neighbours(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """path, imports (in import order) and imported_by (in path order) of every node."""
+    """path, imports (in import order) and imported_by (in path order) of the nodes, a few files; only their own links become lists."""
     listed = lambda c, o: F.transform(F.array_sort(F.collect_list(F.struct(F.col(o).alias("o"), F.col(c).alias("p")))), lambda s: s["p"])
-    out = links.groupBy(F.col("src").alias("path")).agg(listed("dst", "ordinal").alias("imports"))
+    out = links.join(nodes.select(F.col("path").alias("src")), "src", "left_semi").groupBy(F.col("src").alias("path")).agg(listed("dst", "ordinal").alias("imports"))
     back = links.join(nodes.select(F.col("path").alias("dst")), "dst", "left_semi").groupBy(F.col("dst").alias("path")).agg(F.array_sort(F.collect_set("src")).alias("imported_by"))
     none = F.array().cast("array<string>")
     return nodes.select("path").join(out, "path", "left").join(back, "path", "left").select("path", F.coalesce("imports", none).alias("imports"), F.coalesce("imported_by", none).alias("imported_by"))
 
 
+def reversed_links(links: DataFrame) -> DataFrame:
+    """dst and src of all links, a row for each: whatever many files link to is as many rows, not one long list."""
+    return links.select("dst", "src").distinct()
+
+
 def resolved_calls(calls: DataFrame, symbols: DataFrame, links: DataFrame) -> DataFrame:
     """path, scope, callee -> the one symbol it means: target, owner, kind, args, docstring.
 
@@ -115,8 +90,8 @@ def resolved_calls(calls: DataFrame, symbols: DataFrame, links: DataFrame) -> Da
 def resolved_paths(asked: DataFrame, known: DataFrame) -> DataFrame:
     """asked -> path: the same path, else with / for backslashes, else the first known path that ends with it."""
     want = F.replace("asked", F.lit("\\"), F.lit("/"))
-    # A known path is found by each of its ends, so ends join as keys.
+    # A known path is found by each of its ends, so ends join as keys; of each end the best path is kept before that.
     ends = known.select("path", F.posexplode(F.split("path", "/")).alias("i", "_p"))
-    ends = ends.select("path", "i", F.array_join(F.slice(F.split("path", "/"), F.col("i") + 1, F.lit(2**31 - 1)), "/").alias("want"))
-    met = asked.select("asked", want.alias("want")).join(ends, "want")
-    return met.groupBy("asked").agg(F.min(F.struct((F.col("i") > 0).cast("int").alias("rank"), "path")).alias("b")).select("asked", "b.path")
+    ends = ends.select("path", F.array_join(F.slice(F.split("path", "/"), F.col("i") + 1, F.lit(2**31 - 1)), "/").alias("want"), (F.col("i") > 0).cast("int").alias("rank"))
+    best = ends.join(asked.select(want.alias("want")).distinct(), "want", "left_semi").groupBy("want").agg(F.min(F.struct("rank", "path")).alias("b"))
+    return asked.select("asked", want.alias("want")).join(best, "want").select("asked", "b.path")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,21 +23,49 @@ def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return best.select("_row.*")
 
 
+def _gathered(span: int):
+    """From rows of key and time (microseconds), sorted by both, the batches of each key. A key's state is two numbers, whatever the number of its rows."""
+
+    def run(batches):
+        now, start, n, number = None, 0, 0, 0
+        for batch in batches:
+            keys, times, out = batch.column(0).to_pylist(), batch.column(1).to_numpy(), []
+            cuts = np.flatnonzero([True, *(a != b for a, b in zip(keys[1:], keys[:-1], strict=True))]) if keys else []
+            for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                if n and keys[a] != now:
+                    out.append((now, number, start, n))
+                    n = 0
+                if not n:
+                    now, number, start = keys[a], 0, int(times[a])
+                while a < b:
+                    # What comes within the span of the batch's first event belongs to it.
+                    stop = a + int(np.searchsorted(times[a:b], start + span))
+                    n += stop - a
+                    if stop < b:
+                        out.append((now, number, start, n))
+                        number, start, n = number + 1, int(times[stop]), 0
+                    a = stop
+            yield _batch_rows(batch, out)
+        if n:
+            yield _batch_rows(batch, [(now, number, start, n)])
+
+    return run
+
+
+def _batch_rows(like: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (like.schema.field(0).type, pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[like.schema.names[0], "batch", "batch_start_us", "n"])
+
+
 def debounced(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """key, batch (from 0), batch_start and n: a batch takes what comes within `seconds` of its first event; later events don't prolong it."""
-    # A scan over a key's sorted times: where a batch starts depends on the one before.
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    times = events.groupBy(key).agg(F.array_sort(F.collect_list(us)).alias("_t"))
-    empty = F.struct(F.lit(None).cast("long").alias("start"), F.array().cast("array<bigint>").alias("starts"))
-    fold = F.aggregate(
-        "_t",
-        empty,
-        lambda a, t: F.when(a["start"].isNotNull() & (t < a["start"] + seconds * 1_000_000), a).otherwise(F.struct(t.alias("start"), F.concat(a["starts"], F.array(t)).alias("starts"))),
-        lambda a: a["starts"],
-    )
-    starts = times.select(key, "_t", F.posexplode(fold).alias("batch", "_start"))
-    n = F.size(F.filter("_t", lambda t: (t >= F.col("_start")) & (t < F.col("_start") + seconds * 1_000_000)))
-    return starts.select(key, F.col("batch").cast("long").alias("batch"), F.col("_start").alias("batch_start_us"), n.cast("long").alias("n"))
+    """key, batch (from 0), batch_start_us and n: a batch takes what comes within `seconds` of its first event; later events don't prolong it. Null times are left out.
+
+    Rows are dealt by key, sorted by time and scanned once.
+    """
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us")).where("_us is not null")
+    placed = rows.repartition(key).sortWithinPartitions(key, "_us")
+    return placed.mapInArrow(_gathered(seconds * 1_000_000), f"`{key}` {kind}, batch long, batch_start_us long, n long")
 
 
 def needs_compaction(dead: Column, total: Column) -> Column:

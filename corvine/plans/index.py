@@ -1,7 +1,7 @@
 """The index of a source tree: files, symbols, edges, chunks, postings and vectors.
 
-Everything is derived from the files table by set-based plans, so an update is the files table with
-some rows replaced and what depends on them derived again; update and rebuild agree by construction.
+Everything is derived from the files table by set-based plans. An update derives again what depends on
+the files that changed, and nothing else, so that it gives what a rebuild gives.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions.protocols import Embedder, HashedEmbedder, Tokenizer, WordTokenizer
 from ..functions.text import decoded, estimated_tokens, file_name, tokens
-from ..operators import chunking, dense, graph, symbols
+from ..operators import chunking, dense, graph, sparse, symbols, versions
 from ..schemas import FILES
 from ..sources.tree import read_tree
 from .store import SnapshotStore
 
-TABLES = ("files", "symbols", "edges", "summaries", "chunks", "vectors")
+STATS = "n_files long, n_symbols long, n_edges long, n_docs long, n_tokens long, total_len long, avgdl double, mean_idf double"
 PARTS = "path string, island int, part int, token_start int, part_start long, part_end long, part_text string"
 
 
@@ -66,25 +66,26 @@ def headers(blocks: DataFrame, calls: DataFrame, found: DataFrame, links: DataFr
 
 
 def chunked(files: DataFrame, found: DataFrame, links: DataFrame, tokenizer: Tokenizer, budget: int = chunking.MAX_TOKENS, overlap: int = chunking.OVERLAP, least: int = chunking.LEAST_FILE) -> DataFrame:
-    """chunk_uid, path, chunk_id, scope, byte ranges of block and part, header, text; of files with `least` tokens or more."""
+    """chunk_uid, path, chunk_id, scope, byte ranges of block and part, header, text; of files with `least` tokens or more.
+
+    found: symbols of these files, and of those that they import.
+    """
+    own = found.join(files.select("path"), "path", "left_semi")
     text = files.select("path", decoded(F.col("content")).alias("text"), "content")
     long_enough = text.select("path", "text").mapInArrow(_measured(tokenizer), "path string, n_tokens int").where(F.col("n_tokens") >= least).select("path")
     text = text.join(long_enough, "path", "left_semi")
     # Offsets count the file's own bytes, whether or not they are valid UTF-8.
-    raw = text.select("path", F.posexplode(F.split(F.decode("content", "ISO-8859-1"), "\n", -1)).alias("i", "latin"))
-    raw = raw.select("path", (F.col("i") + 1).alias("line"), F.encode("latin", "ISO-8859-1").alias("bytes"))
-    sized = raw.select("path", "line", F.octet_length("bytes").cast("long").alias("n"), decoded(F.col("bytes")).alias("line_text"))
+    raw = chunking.line_ranges(text, "path", "content", with_text=True)
+    sized = raw.select("path", "line", F.col("byte_start").alias("start"), F.col("byte_end").alias("end"), decoded(F.col("line_bytes")).alias("line_text"))
     counts = sized.groupBy("path").agg(F.max("line").alias("n_lines"))
-    scopes = found.select("path", F.when(F.col("owner") != "", F.concat("owner", F.lit("."), "name")).otherwise(F.col("name")).alias("name"), "kind", "start_line", "end_line", "ordinal")
+    scopes = own.select("path", F.when(F.col("owner") != "", F.concat("owner", F.lit("."), "name")).otherwise(F.col("name")).alias("name"), "kind", "start_line", "end_line", "ordinal")
     runs = chunking.islands(chunking.deepest_scopes(scopes, counts), sized)
     within = runs.select("path", "island", "scope_name", "scope_type", "ordinal", F.explode(F.sequence("start_line", "end_line")).alias("line"))
-    before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("start", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)))
     entries = F.array_sort(F.collect_list(F.struct("line", "line_text")))
-    blocks = within.join(placed, ["path", "line"]).groupBy("path", "island", "scope_name", "scope_type", "ordinal").agg(
-        F.min("start").alias("byte_start"), F.max(F.col("start") + F.col("n")).alias("byte_end"), F.array_join(F.transform(entries, lambda e: e["line_text"]), "\n").alias("block")
+    blocks = within.join(sized, ["path", "line"]).groupBy("path", "island", "scope_name", "scope_type", "ordinal").agg(
+        F.min("start").alias("byte_start"), F.max("end").alias("byte_end"), F.array_join(F.transform(entries, lambda e: e["line_text"]), "\n").alias("block")
     )
-    calls = found.select("path", F.col("ordinal").alias("scope"), F.explode("calls").alias("callee"))
+    calls = own.select("path", F.col("ordinal").alias("scope"), F.explode("calls").alias("callee"))
     headed = blocks.join(headers(blocks, calls, found, links), ["path", "island"])
     parts = headed.select("path", "island", "header", "block").mapInArrow(_cut(tokenizer, budget, overlap), PARTS)
     joined = headed.join(parts, ["path", "island"])
@@ -96,51 +97,151 @@ def chunked(files: DataFrame, found: DataFrame, links: DataFrame, tokenizer: Tok
     )
 
 
-def derive(files: DataFrame, embedder: Embedder, tokenizer: Tokenizer) -> dict[str, DataFrame]:
-    """All tables of an index from its files."""
-    found = symbols.symbols(files)
-    links = graph.edges(files, graph.imports(files))
-    chunks = chunked(files, found, links, tokenizer)
-    whole = F.concat("header", "text")
-    sparse = chunks.select("*", tokens(whole).alias("tokens")).withColumn("doc_len", F.size("tokens").cast("long"))
-    vectors = dense.embedded(chunks.select("chunk_uid", whole.alias("text")), embedder, "chunk_uid")
-    return {"files": files, "symbols": found, "edges": links, "summaries": symbols.summaries(files, found), "chunks": sparse, "vectors": vectors}
+#: Tables whose rows belong to files, by the `gone` list that replaces their rows; and tables that every commit writes anew.
+GROUPS = {
+    "files": "gone_files", "symbols": "gone_files", "imports": "gone_files", "summaries": "gone_files",
+    "chunks": "gone_chunks", "vectors": "gone_chunks", "postings": "gone_chunks",
+}
+WHOLE = ("edges", "terms", "stats")
+#: How segments are sorted, and what is looked up in them.
+LAYOUT = {
+    "files": ("path", ("path",)), "symbols": ("path", ("path",)), "imports": ("path", ()), "summaries": ("path", ("path",)),
+    "chunks": ("path", ("path", "chunk_uid")), "vectors": (None, ()), "postings": ("term", ("term",)), "edges": ("src", ("src", "dst")), "terms": ("term", ("term",)), "stats": (None, ()),
+}
 
 
 class Index:
-    """An index of one project in a snapshot store. Several can live side by side; nothing is global."""
+    """An index of one project in a snapshot store. Several can live side by side; nothing is global.
+
+    A commit derives what belongs to changed files: their symbols, imports and summaries; and the
+    chunks, vectors and postings of these and of files whose headers depend on them, which are files
+    that import them, before or after, or whose own imports resolve differently now. Edges are resolved
+    again from stored import strings; document frequencies and totals change by what comes and goes.
+    Dead rows stay in old segments until there are more than `most_dead`, or a fifth of all; then the
+    segments are written as one.
+    """
 
-    def __init__(self, spark: SparkSession, store: str, embedder: Embedder | None = None, tokenizer: Tokenizer | None = None):
+    def __init__(self, spark: SparkSession, store: str, embedder: Embedder | None = None, tokenizer: Tokenizer | None = None, extractors: dict | None = None, most_dead: int = versions.MOST_DEAD):
         self.spark, self.store = spark, SnapshotStore(spark, store)
-        self.embedder, self.tokenizer = embedder or HashedEmbedder(), tokenizer or WordTokenizer()
+        self.embedder, self.tokenizer, self.extractors, self.most_dead = embedder or HashedEmbedder(), tokenizer or WordTokenizer(), extractors, most_dead
+
+    def __enter__(self) -> Index:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Deletes what failed commits left behind. Nothing else is held: an index can be used again after it."""
+        if self.store.version():
+            self.store.drop_unused()
 
     def build(self, root: str) -> int:
-        return self._commit(read_tree(self.spark, root))
+        return self.replace(read_tree(self.spark, root))
 
-    def _commit(self, files: DataFrame) -> int:
-        """Files and symbols are written first and read back, as everything else derives from them."""
-        version = self.store.version() + 1
-        files.write.mode("overwrite").parquet(f"{self.store.root}/files/.draft-{version}")
-        files = self.spark.read.schema(FILES).parquet(f"{self.store.root}/files/.draft-{version}")
-        return self.store.commit(derive(files, self.embedder, self.tokenizer))
+    def replace(self, files: DataFrame) -> int:
+        """An index of these files (rows of FILES) only, whatever was indexed before."""
+        manifest = self.store.manifest()
+        version = self._commit(files, None, {**manifest, "tables": {}, "gone": {}, "numbers": {}})
+        self.store.drop_unused()
+        return version
 
     def update(self, changed: DataFrame, deleted: DataFrame) -> int:
-        """changed: rows of FILES; deleted: path. Old rows of both go, changed ones come; then everything is derived again."""
-        gone = changed.select("path").unionByName(deleted.select("path"))
-        kept = self.store.read("files").join(gone, "path", "left_anti")
-        return self._commit(kept.unionByName(changed.select(*kept.columns)))
-
-    def compact(self, keep: int = 1) -> None:
-        """Drops all but the last `keep` snapshots. Dead rows live in old snapshots only, so searches never meet them."""
-        self.store.drop_before(self.store.version() - keep + 1, list(TABLES))
+        """changed: rows of FILES; deleted: path. What an update gives is what a rebuild gives."""
+        gone = changed.select("path").unionByName(deleted.select("path")).distinct()
+        version = self._commit(changed, gone, self.store.manifest())
+        numbers = self.store.manifest()["numbers"]
+        if numbers["dead"] > self.most_dead or numbers["dead"] > versions.DEAD_SHARE * numbers["rows"]:
+            version = self.compact()
+        return version
+
+    def _commit(self, files: DataFrame, gone: DataFrame | None, manifest: dict) -> int:
+        known, n = manifest["tables"], manifest["version"] + 1
+        before = lambda name: self.store.read(name, GROUPS.get(name), manifest) if name in known else None
+        stage = lambda name, df: self.store.stage(name, n, df, *LAYOUT[name])
+        left = lambda name, by: None if before(name) is None else before(name).join(by, "path", "left_anti")
+        now = lambda name, new, by: new if before(name) is None else left(name, by).unionByName(new.select(before(name).columns))
+
+        first = gone is None
+        files = stage("files", files.select(FILES.names))
+        gone = self.store.stage("gone_files", n, gone if gone is not None else files.select("path").limit(0))
+        found = stage("symbols", symbols.symbols(files, self.extractors))
+        raw = stage("imports", graph.imports(files))
+        stage("summaries", symbols.summaries(files, found))
+        all_files, all_found = now("files", files, gone), now("symbols", found, gone)
+        links = stage("edges", graph.edges(all_files.select("path"), now("imports", raw, gone)))
+
+        if first:
+            dirty, gone_chunks = files, gone
+        else:
+            old = before("edges")
+            turned = links.exceptAll(old).unionByName(old.exceptAll(links)).select(F.col("src").alias("path"))
+            importers = links.unionByName(old).join(gone.withColumnRenamed("path", "dst"), "dst", "left_semi").select(F.col("src").alias("path"))
+            gone_chunks = gone.unionByName(turned).unionByName(importers).distinct()
+            gone_chunks = self.store.stage("gone_chunks", n, gone_chunks)
+            dirty = all_files.join(gone_chunks, "path", "left_semi")
+        if first:
+            gone_chunks = self.store.stage("gone_chunks", n, gone_chunks)
+        whole = F.concat("header", "text")
+        chunks = chunked(dirty, all_found, links, self.tokenizer).withColumn("tokens", tokens(whole)).withColumn("doc_len", F.size("tokens").cast("long"))
+        chunks = stage("chunks", chunks)
+        paths = chunks.select("chunk_uid", "path")
+        stage("vectors", dense.embedded(chunks.select("chunk_uid", whole.alias("text")), self.embedder, "chunk_uid").join(paths, "chunk_uid"))
+        stage("postings", sparse.postings(chunks, "chunk_uid", "path"))
+
+        dropped = before("chunks").join(gone_chunks, "path", "left_semi") if not first else None
+        changes = sparse.document_frequency(chunks)
+        if dropped is not None:
+            less = sparse.document_frequency(dropped).withColumn("df", -F.col("df"))
+            changes = before("terms").unionByName(changes).unionByName(less).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        terms = stage("terms", changes)
+        numbers = dict(manifest["numbers"]) or {"dead": 0, "rows": 0, "n_docs": 0, "total_len": 0, "n_tokens": 0, "n_symbols": 0, "n_files": 0}
+        self._count(numbers, 1, files, found, chunks)
+        if not first:
+            self._count(numbers, -1, before("files").join(gone, "path", "left_semi"), before("symbols").join(gone, "path", "left_semi"), dropped)
+            numbers["dead"] += dropped.count()
+        numbers["rows"] = numbers["n_docs"] + numbers["dead"]
+        mean = terms.agg(F.avg(sparse.raw_idf(F.lit(numbers["n_docs"]), F.col("df")))).first()[0]
+        n_edges = links.count()
+        stage("stats", self.spark.createDataFrame([(numbers["n_files"], numbers["n_symbols"], n_edges, numbers["n_docs"], numbers["n_tokens"], numbers["total_len"], numbers["total_len"] / max(numbers["n_docs"], 1), mean)], STATS).coalesce(1))
+
+        manifest = {"version": n, "tables": {t: [n] for t in WHOLE}, "gone": {g: [*manifest["gone"].get(g, []), n] for g in set(GROUPS.values())}, "numbers": numbers}
+        manifest["tables"] |= {t: [*known.get(t, []), n] for t in GROUPS}
+        self.store.publish(manifest)
+        self.store.drop_unused()
+        return n
+
+    @staticmethod
+    def _count(numbers: dict, sign: int, files: DataFrame, found: DataFrame, chunks: DataFrame) -> None:
+        """Adds files, symbols and chunks to the index's numbers, or takes them away."""
+        c = chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("length"), F.coalesce(F.sum("est_tokens"), F.lit(0)).alias("tokens")).first()
+        for name, value in (("n_files", files.select("path").count()), ("n_symbols", found.select("path").count()), ("n_docs", c.n), ("total_len", c.length), ("n_tokens", c.tokens)):
+            numbers[name] += sign * value
+
+    def compact(self) -> int:
+        """Writes each table's live rows as one segment; nothing that is read changes, and dead rows go."""
+        manifest = self.store.manifest()
+        n = manifest["version"] + 1
+        for name, group in GROUPS.items():
+            self.store.stage(name, n, self.store.read(name, group, manifest), *LAYOUT[name])
+        numbers = {**manifest["numbers"], "dead": 0, "rows": manifest["numbers"]["n_docs"]}
+        self.store.publish({"version": n, "tables": {**manifest["tables"], **{t: [n] for t in GROUPS}}, "gone": {}, "numbers": numbers})
+        self.store.drop_unused()
+        return n
 
     def table(self, name: str) -> DataFrame:
-        return self.store.read(name)
+        return self.store.read(name, GROUPS.get(name))
+
+    def chunk(self, uid: int) -> DataFrame:
+        """The chunk of this number, found by its key's Bloom filters."""
+        return self.table("chunks").where(F.col("chunk_uid") == uid)
+
+    def stats(self) -> DataFrame:
+        """One row: files, symbols, edges, chunks and estimated tokens of the index, and what BM25 needs."""
+        return self.table("stats")
 
     def load(self, root: str) -> Index:
         """This index, built first if it never was."""
         if not self.store.version():
             self.build(root)
         return self
-
-

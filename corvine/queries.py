@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions.protocols import WordTokenizer
 from .operators import chunking, dense, fusion, graph, sparse, symbols, versions
-from .plans import index
+from .plans import index, retrieve
+from .plans.store import SnapshotStore, scratch
+from .streaming import live
 
 #: Words of middling frequency in the tables' invented prose, and one in most documents, whose IDF is floored.
 QUERY = ["onthe", "thnt", "herewh", "des", "the", "nosuchterm"]
@@ -73,12 +75,13 @@ def query(sql: str | None = None):
 _PARTS = r"list_filter(string_split(regexp_replace(regexp_replace({w}, '([A-Z]+)', ' \1', 'g'), '([A-Z][a-z]+)', ' \1', 'g'), ' '), lambda p: p <> '')"
 _SUBWORDS = "CASE WHEN len({parts}) > 1 THEN list_concat([lower({w})], list_transform({parts}, lambda q: lower(q))) ELSE [lower({w})] END"
 _TOKENS = "list_distinct(flatten(list_transform(regexp_extract_all(coalesce({t}, ''), '[A-Za-z0-9]+'), lambda w: " + _SUBWORDS.format(parts=_PARTS.format(w="w"), w="w") + ")))"
-_TOKENISED = f"tok AS (SELECT doc_id, {_TOKENS.format(t='text')} AS tokens FROM documents), len AS (SELECT doc_id, CAST(len(tokens) AS BIGINT) AS doc_len FROM tok), terms AS (SELECT doc_id, unnest(tokens) AS term FROM tok)"
+_TOKENISED = f"tok AS MATERIALIZED (SELECT doc_id, {_TOKENS.format(t='text')} AS tokens FROM documents), len AS (SELECT doc_id, CAST(len(tokens) AS BIGINT) AS doc_len FROM tok), terms AS (SELECT doc_id, unnest(tokens) AS term FROM tok)"
 _STATS = "stats AS (SELECT count(*) AS n_docs, CAST(sum(doc_len) AS BIGINT) AS total_len, sum(doc_len) / greatest(count(*), 1)::DOUBLE AS avgdl FROM len)"
 _IDF = (
-    "df AS (SELECT term, count(*) AS df FROM terms GROUP BY term), "
-    "raw AS (SELECT term, df, ln(greatest(0.5::DOUBLE, n_docs - df + 0.5::DOUBLE)) - ln(greatest(0.5::DOUBLE, df + 0.5::DOUBLE)) AS raw FROM df, stats), "
-    "idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"
+    "df AS MATERIALIZED (SELECT term, count(*) AS df FROM terms GROUP BY term), "
+    "raw AS MATERIALIZED (SELECT term, df, ln(greatest(0.5::DOUBLE, n_docs - df + 0.5::DOUBLE)) - ln(greatest(0.5::DOUBLE, df + 0.5::DOUBLE)) AS raw FROM df, stats), "
+    "mean AS MATERIALIZED (SELECT avg(raw) AS mean FROM raw), "
+    "idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean ELSE raw END AS idf FROM raw, mean)"
 )
 _SCORES = (
     "scored AS (SELECT t.doc_id, round(sum(i.idf * 2.5::DOUBLE / (1 + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l.doc_len / s.avgdl))), 6) AS score "
@@ -154,21 +157,11 @@ def knn_l2_topk(spark, sf_dir):
     return dense.nearest(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), K)
 
 
-@query(
-    f"SELECT qid, vec_id, round(d2, 6) AS d2, rank FROM (SELECT q.vec_id AS qid, v.vec_id, {_D2} AS d2, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_D2}, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id < 20) WHERE rank <= 5"
-)
-def knn_batch(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
-    asked = [(r.vec_id, list(r.embedding)) for r in vectors.where("vec_id < 20").collect()]
-    found = dense.nearest_to_each(vectors, asked, 5)
-    return found.select("qid", "vec_id", F.round("d2", 6).alias("d2"), F.col("rank").cast("long").alias("rank"))
-
-
 @query(
     f"SELECT qid, vec_id, round(d2, 6) AS d2, rank FROM (SELECT q.vec_id AS qid, v.vec_id, {_D2} AS d2, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_D2}, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5"
 )
-def knn_batch_every_50th(spark, sf_dir):
-    """The whole batch: every row whose vec_id is divisible by 50 asks, against all rows; knn_batch asks the 20 of its SQL."""
+def knn_batch(spark, sf_dir):
+    """Every row whose vec_id is divisible by 50 asks, against all rows."""
     vectors = table(spark, sf_dir, "embeddings")
     found = dense.nearest_to_all(vectors, vectors.where("vec_id % 50 = 0"), 5)
     return found.select("qid", "vec_id", F.round("d2", 6).alias("d2"), F.col("rank").cast("long").alias("rank"))
@@ -199,7 +192,7 @@ _LINES = "lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(1
     "(SELECT *, CAST(coalesce(sum(strlen(line_text) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start FROM lines)"
 )
 def line_byte_ranges(spark, sf_dir):
-    return chunking.line_ranges(table(spark, sf_dir, "documents")).drop("line_text")
+    return chunking.line_ranges(table(spark, sf_dir, "documents"))
 
 
 @query(
@@ -236,15 +229,16 @@ def scope_islands(spark, sf_dir):
     return chunking.islands(_deepest(spark)).drop("ordinal")
 
 
-@query("SELECT doc_id, md5(CASE WHEN strlen(text) = length(text) THEN substr(text, 101, 200) ELSE '' END) AS splice_md5 FROM documents WHERE strlen(text) = length(text)")
+@query("SELECT doc_id, md5(unhex(substr(hex(encode(coalesce(text, ''))), 201, 400))) AS splice_md5 FROM documents")
 def splice_bytes(spark, sf_dir):
-    ascii_only = table(spark, sf_dir, "documents").where(F.octet_length("text") == F.char_length("text"))
-    return ascii_only.select("doc_id", F.md5(T.spliced(F.col("text").cast("binary"), F.lit(100), F.lit(300))).alias("splice_md5"))
+    """Bytes 100 to 300 of every text, cut characters and all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return docs.select("doc_id", F.md5(T.cut(F.col("content"), F.lit(100), F.lit(300))).alias("splice_md5"))
 
 
 @query()
 def splice_bytes_all(spark, sf_dir):
-    """The byte range of every document, null as empty; the SQL of splice_bytes, on characters, holds for ASCII texts only."""
+    """The same as text, where cut characters are replaced; SQL has no such decoding."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     return docs.select("doc_id", F.md5(T.spliced(F.col("content"), F.lit(100), F.lit(300))).alias("splice_md5"))
 
@@ -263,10 +257,14 @@ def link_edges(spark, sf_dir):
     return _links(spark, sf_dir)
 
 
-@query(f"WITH {_HREFS} SELECT target, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS linked_by, count(*) AS n FROM (SELECT DISTINCT page_id, target FROM clean) GROUP BY target")
+@query(f"WITH {_HREFS} SELECT DISTINCT target AS dst, page_id AS src FROM clean")
 def links_reverse(spark, sf_dir):
-    back = _links(spark, sf_dir).groupBy("target").agg(F.array_sort(F.collect_list("page_id")).alias("p"), F.count("*").alias("n"))
-    return back.select("target", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("linked_by"), "n")
+    return graph.reversed_links(_links(spark, sf_dir).select(F.col("page_id").alias("src"), F.col("target").alias("dst")))
+
+
+@query(f"WITH {_HREFS} SELECT target, count(DISTINCT page_id) AS n_pages FROM clean GROUP BY target")
+def links_counted(spark, sf_dir):
+    return _links(spark, sf_dir).groupBy("target").agg(F.count("*").alias("n_pages"))
 
 
 @query(
@@ -342,9 +340,15 @@ def file_summary(spark, sf_dir):
     return symbols.summaries(literal(spark, [*FILE_LINES, ("d.txt", 1)], "path, n_lines"), literal(spark, SCOPES, _SCOPE_COLUMNS))
 
 
+def as_files(spark, rows: list[tuple[str, str]]) -> DataFrame:
+    """Rows of FILES from paths and texts."""
+    files = spark.createDataFrame([(p, c.encode()) for p, c in rows], "path string, content binary")
+    sized = files.withColumn("ext", T.suffix(F.col("path"))).withColumn("size", F.octet_length("content").cast("long"))
+    return sized.select("path", "ext", "content", "size", F.md5("content").alias("md5"), F.lit(0).cast("long").alias("mtime"))
+
+
 def source_files(spark) -> DataFrame:
-    files = spark.createDataFrame([(p, c.encode()) for p, c in SOURCE_FILES], "path string, content binary")
-    return files.withColumn("ext", T.suffix(F.col("path")))
+    return as_files(spark, SOURCE_FILES)
 
 
 @query(f"SELECT src, dst FROM {values(IMPORT_EDGES, 'src, dst')}")
@@ -406,3 +410,83 @@ def symbol_table(spark, sf_dir):
     return symbols.symbols(source_files(spark))
 
 
+def _stored_bm25(spark, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, term frequencies and totals, written to a store and read back."""
+    store = SnapshotStore(spark, scratch(spark), key="doc_id")
+    tokenised = store.stage("tokens", 1, sparse.tokenised(docs))
+    postings = store.stage("postings", 1, sparse.postings(tokenised, "doc_id"), "term", ("term",))
+    terms = store.stage("terms", 1, sparse.document_frequency(tokenised), "term", ("term",))
+    return postings, terms, sparse.corpus_stats(tokenised.select("doc_len"))
+
+
+@query(_BM25 + f"SELECT doc_id, score FROM scored WHERE score > 0 ORDER BY score DESC, doc_id LIMIT {K}")
+def bm25_stored_topk(spark, sf_dir):
+    """The same from stored postings, as an index searches: of postings and terms, the query's alone are read."""
+    postings, terms, stats = _stored_bm25(spark, table(spark, sf_dir, "documents"))
+    totals = stats.first()
+    mean = terms.agg(F.avg(sparse.raw_idf(F.lit(totals.n_docs), F.col("df")))).first()[0]
+    known = {r.term: r.df for r in terms.where(F.col("term").isin(QUERY)).collect()}
+    hits = postings.where(F.col("term").isin(QUERY))
+    return sparse.top(sparse.scored(hits, sparse.floored(known, totals.n_docs, mean), totals.avgdl), K)
+
+
+FILLER = " ".join(f"word{i}" for i in range(60))
+PROJECT = [
+    ("core.py", f'"""Core. {FILLER}"""\nimport util\n\n\nclass Engine:\n    def start(self, speed: int):\n        """Starts the turbine."""\n        return util.spinUp(speed)\n\n\ndef stopEverything():\n    return Engine()\n'),
+    ("util.py", f'"""Util. {FILLER}"""\n\n\ndef spinUp(speed):\n    """Turns the wheel."""\n    return speed\n'),
+    ("notes.md", f"About gardens.\n{FILLER}\n"),
+    ("small.py", "x = 1\n"),
+]
+CHANGED = [("util.py", PROJECT[1][1].replace("spinUp", "spinDown")), ("fresh.py", f"# {FILLER}\nimport util\n\n\ndef brandNew():\n    return util.spinDown(1)\n")]
+
+
+def _project(spark) -> index.Index:
+    store = index.Index(spark, scratch(spark))
+    store.replace(as_files(spark, PROJECT))
+    return store
+
+
+@query(f"SELECT * FROM {values([(4, 4, 1, 7)], 'n_files, n_symbols, n_edges, n_chunks')}")
+def index_build_stats(spark, sf_dir):
+    """Files, symbols, edges and chunks of a built index."""
+    got = _project(spark).stats().select("n_files", "n_symbols", "n_edges", F.col("n_docs").alias("n_chunks"))
+    return got.select(*[F.col(c).cast("int").alias(c) for c in got.columns])
+
+
+@query(f"SELECT * FROM {values([('turbine', 'core.py', 2), ('gardens', 'notes.md', 0), ('wheel spin', 'util.py', 1)], 'asked, path, chunk_id')}")
+def index_search_hits(spark, sf_dir):
+    """The best chunk of some questions: both sides, fused, with its file."""
+    store, out = _project(spark), None
+    for asked in ("turbine", "gardens", "wheel spin"):
+        hit = retrieve.search(store, asked, 1).select(F.lit(asked).alias("asked"), "path", "chunk_id")
+        out = hit if out is None else out.unionByName(hit)
+    return out
+
+
+@query(f"SELECT * FROM {values([(t, 0) for t in ('chunks', 'edges', 'postings', 'stats', 'summaries', 'symbols', 'terms', 'vectors')], 'name, n_different')}")
+def index_update_rebuild(spark, sf_dir):
+    """Rows in which an index that was updated differs from one that was built anew: none, in any table."""
+    store, fresh = _project(spark), index.Index(spark, scratch(spark))
+    store.update(as_files(spark, CHANGED), spark.createDataFrame([("notes.md",)], "path string"))
+    fresh.replace(as_files(spark, [*dict([*PROJECT, *CHANGED]).items()]).where("path <> 'notes.md'"))
+    out = None
+    for name in ("chunks", "edges", "postings", "stats", "summaries", "symbols", "terms", "vectors"):
+        x, y = (i.table(name) for i in (store, fresh))
+        part = x.exceptAll(y.select(x.columns)).unionByName(y.select(x.columns).exceptAll(x)).agg(F.count("*").cast("int").alias("n_different")).select(F.lit(name).alias("name"), "n_different")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+DELTAS = [
+    ("update", "a.py", "m1", 1), ("update", "a.py", "m0", 2), ("update", "b.py", "m2", 1), ("update", "b.py", "m3", 3), ("delete", "c.py", "", 2), ("delete", "gone.py", "", 2), ("delete", "d.py", "", 1), ("update", "d.py", "m5", 4), ("update", "new.py", "m6", 1), ("delete", "new.py", "", 2),
+]
+INDEXED = [("a.py", "m0"), ("b.py", "m2"), ("c.py", "m4"), ("d.py", "m5")]
+
+
+@query(
+    f"SELECT action, path, d.md5 FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC) AS r FROM {values(DELTAS, 'action, path, md5, ts')}) d LEFT JOIN (SELECT path, md5 AS known FROM {values(INDEXED, 'path, md5')}) USING (path) "
+    "WHERE r = 1 AND CASE WHEN action = 'delete' THEN known IS NOT NULL ELSE d.md5 IS DISTINCT FROM known END"
+)
+def live_changes(spark, sf_dir):
+    """Of a burst of changes the last of each path, if it changes what is indexed."""
+    return live.effective(literal(spark, DELTAS, "action, path, md5, ts"), literal(spark, INDEXED, "path, md5")).select("action", "path", "md5")

@@ -4,29 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-FUNCTION = T.StructType(
-    [
-        T.StructField("name", T.StringType()),
-        T.StructField("line", T.IntegerType()),
-        T.StructField("end_line", T.IntegerType()),
-        T.StructField("args", T.StringType()),
-        T.StructField("is_async", T.BooleanType()),
-        T.StructField("docstring", T.StringType()),
-        T.StructField("calls", T.ArrayType(T.StringType())),
-    ]
-)
-CLASS = T.StructType(
-    [
-        T.StructField("name", T.StringType()),
-        T.StructField("line", T.IntegerType()),
-        T.StructField("end_line", T.IntegerType()),
-        T.StructField("docstring", T.StringType()),
-        T.StructField("methods", T.ArrayType(FUNCTION)),
-        T.StructField("calls", T.ArrayType(T.StringType())),
-    ]
-)
-STRUCTURE = T.StructType([T.StructField("classes", T.ArrayType(CLASS)), T.StructField("functions", T.ArrayType(FUNCTION)), T.StructField("summary", T.StringType())])
-
 FILES = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -34,23 +11,10 @@ FILES = T.StructType(
         T.StructField("content", T.BinaryType()),
         T.StructField("size", T.LongType()),
         T.StructField("md5", T.StringType()),
-    ]
-)
-CHUNKS = T.StructType(
-    [
-        T.StructField("chunk_uid", T.LongType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("chunk_id", T.IntegerType()),
-        T.StructField("scope_name", T.StringType()),
-        T.StructField("scope_type", T.StringType()),
-        T.StructField("byte_start", T.LongType()),
-        T.StructField("byte_end", T.LongType()),
-        T.StructField("est_tokens", T.LongType()),
-        T.StructField("header", T.StringType()),
-        T.StructField("text", T.StringType()),
+        T.StructField("mtime", T.LongType()),
     ]
 )
 #: One row for a symbol: kind is class, method or function; ordinal is its place in the file's listing.
 SYMBOLS = "path string, ordinal int, kind string, owner string, name string, start_line int, end_line int, args string, is_async boolean, docstring string, calls array<string>"
 IMPORTS = "path string, ordinal int, raw string, lang string"
-DELTAS = "action string, path string, md5 string, ts timestamp"
+LISTING = "path string, size long, mtime long"

@@ -1,7 +1,7 @@
 """Source trees as tables: a Python data source that sees every file, hidden and underscored names included.
 
-Batch: spark.read.format("source_tree").option("root", ...).load(). Stream: a snapshot of the tree
-is compared with the one before, and what was created, modified, moved or deleted comes as deltas.
+Batch: spark.read.format("source_tree").option("root", ...).load(). Stream: whenever the tree has
+changed, its whole listing comes as a batch, to be compared with what is indexed.
 """
 
 from __future__ import annotations
@@ -9,15 +9,13 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import time
 from collections.abc import Iterator
-from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from ..schemas import DELTAS, FILES
+from ..schemas import FILES, LISTING
 
 # File types that are indexed, folders that are not, and what marks a project's root.
 EXTENSIONS = (
@@ -41,6 +39,8 @@ ROOT_MARKERS = (".git", "requirements.txt", "package.json", "setup.py", "pyproje
 
 ROOT_VARIABLE = "CORVINE_PROJECT_ROOT"
 FILES_PER_PARTITION = 256
+#: Listed paths are so many times as many in a partition as read files.
+LISTED = 64
 
 
 def project_root(start: str | None = None) -> Path:
@@ -54,27 +54,39 @@ def project_root(start: str | None = None) -> Path:
     return here
 
 
-def is_source(name: str, live: bool = False) -> bool:
-    """By suffix. The batch scan is case-sensitive and wants one; the live one isn't and lets names without pass."""
-    ext = Path(name).suffix
-    return (not ext or ext.lower() in EXTENSIONS) if live else ext in EXTENSIONS
+def is_source(name: str) -> bool:
+    """By suffix, as it is written; names without one, dotfiles among them, aren't sources. Scans and streams share this rule."""
+    return Path(name).suffix in EXTENSIONS
 
 
-def walk(root: str, live: bool = False) -> Iterator[tuple[str, os.stat_result]]:
-    """Relative paths with / and their state, sorted; neither links nor excluded folders are followed."""
+def walk(root: str) -> Iterator[tuple[str, os.stat_result]]:
+    """Relative paths with / and their state, sorted within folders; neither links nor excluded folders are followed, and what vanishes meanwhile is left out."""
     stack = [""]
     while stack:
         folder = stack.pop()
-        with os.scandir(os.path.join(root, folder)) as entries:
-            for e in sorted(entries, key=lambda e: e.name):
-                path = f"{folder}/{e.name}" if folder else e.name
-                if e.is_symlink():
-                    continue
-                if e.is_dir():
-                    if e.name not in EXCLUDED:
-                        stack.append(path)
-                elif is_source(e.name, live):
+        try:
+            entries = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
+        except FileNotFoundError:
+            continue
+        for e in entries:
+            path = f"{folder}/{e.name}" if folder else e.name
+            if e.is_symlink():
+                continue
+            if e.is_dir():
+                if e.name not in EXCLUDED:
+                    stack.append(path)
+            elif is_source(e.name):
+                try:
                     yield path, e.stat()
+                except FileNotFoundError:
+                    continue
+
+
+def file_row(root: str, path: str) -> tuple:
+    """A file as a row of FILES. Its time is read before its content, so that a later change shows."""
+    mtime = os.stat(os.path.join(root, path)).st_mtime_ns
+    content = Path(root, path).read_bytes()
+    return path, Path(path).suffix, content, len(content), hashlib.md5(content).hexdigest(), mtime
 
 
 class TreePart(InputPartition):
@@ -92,39 +104,38 @@ class TreeReader(DataSourceReader):
 
     def read(self, part):
         for path in part.paths:
-            content = Path(self.root, path).read_bytes()
-            yield path, Path(path).suffix, content, len(content), hashlib.md5(content).hexdigest()
+            yield file_row(self.root, path)
+
+
+class ListPart(InputPartition):
+    def __init__(self, rows: list[tuple]):
+        self.rows = rows
 
 
-class TreeStream(SimpleDataSourceStreamReader):
-    """Offsets are snapshots of path -> (size, mtime, md5); unchanged size and time spare the hash."""
+class TreeStream(DataSourceStreamReader):
+    """A new offset when any path, size or time of the tree is new: a digest of its listing, whatever the tree's size. A batch is the whole listing."""
 
-    def __init__(self, root: str):
-        self.root = root
+    def __init__(self, root: str, per_partition: int):
+        self.root, self.per_partition = root, per_partition
+
+    def _rows(self) -> list[tuple]:
+        return sorted((path, state.st_size, state.st_mtime_ns) for path, state in walk(self.root))
 
     def initialOffset(self):
-        return {"seen": "{}"}
-
-    def read(self, start):
-        before, now, deltas = json.loads(start["seen"]), {}, []
-        stamp = datetime.fromtimestamp(time.time(), timezone.utc)
-        for path, state in walk(self.root, live=True):
-            old = before.get(path)
-            if old and old[0] == state.st_size and old[1] == state.st_mtime_ns:
-                now[path] = old
-                continue
-            md5 = hashlib.md5(Path(self.root, path).read_bytes()).hexdigest()
-            now[path] = [state.st_size, state.st_mtime_ns, md5]
-            if not old or old[2] != md5:
-                deltas.append(("update", path, md5, stamp))
-        deltas += [("delete", path, "", stamp) for path in sorted(before.keys() - now.keys())]
-        return iter(deltas), {"seen": json.dumps(now)}
+        return {"state": ""}
 
-    def readBetweenOffsets(self, start, end):
-        before, after = json.loads(start["seen"]), json.loads(end["seen"])
-        stamp = datetime.fromtimestamp(0, timezone.utc)
-        changed = [("update", p, s[2], stamp) for p, s in after.items() if p not in before or before[p][2] != s[2]]
-        return iter(changed + [("delete", p, "", stamp) for p in sorted(before.keys() - after.keys())])
+    def latestOffset(self):
+        digest = hashlib.md5()
+        for row in self._rows():
+            digest.update(json.dumps(row).encode())
+        return {"state": digest.hexdigest()}
+
+    def partitions(self, start, end):
+        rows, n = self._rows(), LISTED * self.per_partition
+        return [ListPart(rows[i : i + n]) for i in range(0, len(rows), n)] or [ListPart([])]
+
+    def read(self, part):
+        yield from part.rows
 
 
 class SourceTree(DataSource):
@@ -133,13 +144,13 @@ class SourceTree(DataSource):
         return "source_tree"
 
     def schema(self):
-        return DELTAS if self.options.get("deltas") else FILES
+        return LISTING if self.options.get("listing") else FILES
 
     def reader(self, schema):
         return TreeReader(self.options["root"], int(self.options.get("files_per_partition", FILES_PER_PARTITION)))
 
-    def simpleStreamReader(self, schema):
-        return TreeStream(self.options["root"])
+    def streamReader(self, schema):
+        return TreeStream(self.options["root"], int(self.options.get("files_per_partition", FILES_PER_PARTITION)))
 
 
 def read_tree(spark: SparkSession, root: str):
@@ -149,4 +160,4 @@ def read_tree(spark: SparkSession, root: str):
 
 def stream_tree(spark: SparkSession, root: str):
     spark.dataSource.register(SourceTree)
-    return spark.readStream.format("source_tree").option("root", root).option("deltas", "true").load()
+    return spark.readStream.format("source_tree").option("root", root).option("listing", "true").load()

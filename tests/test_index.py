@@ -2,6 +2,8 @@ import os
 
 import pytest
 
+from corvine.functions.protocols import BpeTokenizer
+from corvine.plans import index as plans
 from corvine.plans import retrieve
 from corvine.plans.index import Index
 from corvine.sources.tree import is_source, project_root, read_tree, walk
@@ -34,8 +36,8 @@ def test_scan(spark, tree):
     files = {r.path: r for r in read_tree(spark, str(tree)).collect()}
     assert sorted(files) == ["core.py", "empty.md", "pkg/__init__.py", "pkg/_private.py", "util.py"]
     assert files["pkg/_private.py"].content == (tree / "pkg/_private.py").read_bytes()
-    assert {p for p, _ in walk(str(tree), live=True)} == set(files) | {"UPPER.PY", "Makefile", ".env"}
-    assert not is_source(".env") and is_source("Dockerfile", live=True)
+    assert {p for p, _ in walk(str(tree))} == set(files)
+    assert not is_source(".env") and not is_source("Dockerfile") and not is_source("UPPER.PY")
 
 
 def test_project_root(tree, monkeypatch):
@@ -70,13 +72,89 @@ def test_build_search_update(spark, tree, tmp_path):
     now = read_tree(spark, str(tree))
     index.update(now.where("path = 'util.py'"), spark.createDataFrame([("core.py",)], "path string"))
     fresh = Index(spark, str(tmp_path / "fresh")).load(str(tree))
-    for name in ("symbols", "edges", "summaries", "chunks", "vectors"):
-        assert sorted(map(str, index.table(name).collect())) == sorted(map(str, fresh.table(name).collect()))
+    assert same(index, fresh)
     before = sorted(map(str, retrieve.search(index, "spinDown", 3).collect()))
     index.compact()
     assert sorted(map(str, retrieve.search(index, "spinDown", 3).collect())) == before
 
 
+def same(index, other):
+    rows = lambda i, name: sorted(map(str, i.table(name).select(sorted(i.table(name).columns)).collect()))
+    return all(rows(index, name) == rows(other, name) for name in ("symbols", "edges", "summaries", "chunks", "vectors", "postings", "terms", "stats"))
+
+
+def test_updates_touch_what_changed(spark, tree, tmp_path, monkeypatch):
+    """Only changed files, and files whose headers hang on them, are cut and embedded again; dead rows are compacted when there are too many; nothing unused stays."""
+    for i in range(40):
+        (tree / f"alone{i}.md").write_text(f"About subject{i}. {WORDS}")
+    (tree / "other.py").write_text(f'"""Other. {WORDS}"""\n\n\ndef apart():\n    return 1\n')
+    index = Index(spark, str(tmp_path / "store")).load(str(tree))
+    seen, embedded = [], plans.dense.embedded
+    monkeypatch.setattr(plans.dense, "embedded", lambda chunks, *rest: (seen.append({c.chunk_uid for c in chunks.select("chunk_uid").collect()}), embedded(chunks, *rest))[1])
+    paths = lambda uids: {c.path for c in index.table("chunks").collect() if c.chunk_uid in uids}
+    none = spark.createDataFrame([], "path string")
+
+    # The one that imports it has its header.
+    (tree / "util.py").write_text(UTIL.replace("Turns the wheel", "Turns it"))
+    index.update(read_tree(spark, str(tree)).where("path = 'util.py'"), none)
+    assert paths(seen[-1]) == {"util.py", "core.py"}
+    dead = index.store.manifest()["numbers"]["dead"]
+    assert dead > 1 and len(index.store.manifest()["tables"]["chunks"]) == 2
+    # A file that nothing imports stays alone; its dead row is one too many.
+    index.most_dead = dead
+    (tree / "alone0.md").write_text(f"About nothing. {WORDS}")
+    index.update(read_tree(spark, str(tree)).where("path = 'alone0.md'"), none)
+    assert paths(seen[-1]) == {"alone0.md"} and index.store.manifest()["numbers"]["dead"] == 0 and len(index.store.manifest()["tables"]["chunks"]) == 1
+    # A new file that an import resolves to now.
+    (tree / "other.py").write_text(f'"""Other. {WORDS}"""\nimport later\n\n\ndef apart():\n    return later.come(2)\n')
+    index.update(read_tree(spark, str(tree)).where("path = 'other.py'"), none)
+    (tree / "later.py").write_text(f'"""Later. {WORDS}"""\n\n\ndef come(n):\n    """Comes at last."""\n')
+    index.update(read_tree(spark, str(tree)).where("path = 'later.py'"), none)
+    assert paths(seen[-1]) == {"later.py", "other.py"}
+    assert "Comes at last." in next(c.header for c in index.table("chunks").collect() if c.scope_name == "apart")
+    assert same(index, Index(spark, str(tmp_path / "fresh")).load(str(tree)))
+    with index:
+        (tmp_path / "store/files/v=999").mkdir()
+    for table, versions in {**index.store.manifest()["tables"], **index.store.manifest()["gone"]}.items():
+        assert {f.name for f in (tmp_path / "store" / table).iterdir()} == {f"v={v}" for v in versions}
+
+
+def test_searches_read_by_key(spark, tree, tmp_path):
+    """Plans of a search: postings by the query's terms, file contents by the hits' paths."""
+    index = Index(spark, str(tmp_path / "store")).load(str(tree))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    hits = plan(retrieve.sparse_hits(index, "turbine wheel", 5))
+    assert "PushedFilters" in hits and "In(term" in hits and "/postings/" in hits and "/chunks/" not in hits and "/files/" not in hits
+    found = plan(retrieve.search(index, "turbine", 2))
+    for scan in [part.split("PushedFilters")[1][:300] for part in found.split("FileScan")[1:] if "/files/" in part.split("PushedFilters")[0]]:
+        assert "path" in scan and ("In(path" in scan or "EqualTo(path" in scan)
+    uid = index.table("chunks").first().chunk_uid
+    assert index.chunk(uid).count() == 1 and "EqualTo(chunk_uid" in plan(index.chunk(uid))
+
+
+class TaskNotes:
+    """A symbol extractor of one's own: lines that begin with TODO are functions."""
+
+    def extract(self, path, text):
+        from corvine.operators.symbols import _symbol
+
+        return [_symbol("function", "", line.split()[1], n, n) for n, line in enumerate(text.split("\n"), 1) if line.startswith("TODO ")]
+
+
+def test_plugged_in(spark, tree, tmp_path):
+    """An extractor for another file type, and subword tokens, reach chunks and symbols."""
+    (tree / "plan.txt").write_text(f"TODO water the garden\n{WORDS}\nTODO rest\n")
+    vocabulary = "/opt/tokenizers/byte_bpe_50k.json"
+    tokenizer = BpeTokenizer(vocabulary) if os.path.exists(vocabulary) else None
+    index = Index(spark, str(tmp_path / "store"), tokenizer=tokenizer, extractors={".txt": TaskNotes()}).load(str(tree))
+    assert {(s.name, s.start_line) for s in index.table("symbols").where("path = 'plan.txt'").collect()} == {("water", 1), ("rest", 3)}
+    assert {c.scope_name for c in index.table("chunks").where("path = 'plan.txt'").collect()} == {"water", "Global", "rest"}
+    if tokenizer:
+        text = "spinUp(é) of the turbine"
+        spans = tokenizer.spans(text)
+        assert spans[0][0] == 0 and spans[-1][1] == len(text) and len(spans) > 5 and tokenizer.spans("") == []
+
+
 def test_watch(spark, tree, tmp_path):
     index = Index(spark, str(tmp_path / "store")).load(str(tree))
 
@@ -94,6 +172,7 @@ def test_watch(spark, tree, tmp_path):
     paths = {r.path for r in index.table("files").select("path").collect()}
     assert "fresh.py" in paths and "core.py" not in paths
     assert retrieve.search(index, "brandNew", 1).first().path == "fresh.py"
+    assert same(index, Index(spark, str(tmp_path / "again")).load(str(tree)))
     version = index.store.version()
     catch_up()
     assert index.store.version() == version

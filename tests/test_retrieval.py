@@ -105,3 +105,63 @@ def test_debounce(spark):
     rows = [("k", t) for t in ("2024-01-01 00:00:00", "2024-01-01 00:00:01", "2024-01-01 00:00:02", "2024-01-01 00:00:03")]
     events = spark.createDataFrame(rows, "k string, t string").withColumn("ts", F.to_timestamp("t"))
     assert [(r.batch, r.n) for r in versions.debounced(events, "k", "ts", 2).orderBy("batch").collect()] == [(0, 2), (1, 2)]
+
+
+def test_debounce_carries_over_batches(spark):
+    """A hot key's batches are found over many Arrow batches, as by a loop."""
+    import random
+
+    rng = random.Random(4)
+    rows = [("hot" if rng.random() < 0.7 else f"k{rng.randrange(5)}", rng.randrange(100_000)) for _ in range(5_000)] + [("k1", None)]
+    events = spark.createDataFrame(rows, "k string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(r.k, r.batch): (r.batch_start_us, r.n) for r in versions.debounced(events, "k", "ts", 300).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = {}
+    for key in {k for k, _ in rows}:
+        start, number, n = None, -1, 0
+        for t in sorted(s for k, s in rows if k == key and s is not None):
+            if start is None or t >= start + 300:
+                start, number, n = t, number + 1, 0
+            n += 1
+            want[key, number] = (start * 1_000_000, n)
+    assert got == want
+
+
+def test_lines_of_bytes(spark):
+    from corvine.operators import chunking
+
+    rows = [(1, b"a\nbc\n\n"), (2, None), (3, b""), (4, b"\xff\n\xc3\xa9\r\n"), (5, b"\n"), (6, b"no end")]
+    got = {}
+    for r in chunking.line_ranges(spark.createDataFrame(rows, "doc_id long, text binary").repartition(2), with_text=True).orderBy("doc_id", "line").collect():
+        got.setdefault(r.doc_id, []).append(((r.line, r.byte_start, r.byte_end), bytes(r.line_bytes)))
+    for i, raw in rows:
+        raw, at = raw or b"", 0
+        for (n, a, b), line in zip([x for x, _ in got[i]], raw.split(b"\n"), strict=True):
+            assert a == at and raw[a:b] == line and n >= 1
+            at = b + 1
+        assert [x for _, x in got[i]] == raw.split(b"\n")
+    plan = chunking.line_ranges(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize(
+    "ext, text, expected",
+    [
+        (".go", 'package x\nimport "fmt"\nimport (\n a "b/c"\n _ "d" // e\n)\nfunc f() { g("no") }', ["fmt", "b/c", "d"]),
+        (".rs", "use a::{b, c::d as e, f::*};\npub use crate::x;\nmod y;\nmod z { }\n// use no;\nfn m() { let s = \"use no;\"; }", ["a.b", "a.c.d", "a.f", "crate.x", "y"]),
+        (".ts", "import { a,\n b } from './t';\nexport * from './q'\nconst m = await import('./dyn');\nimport './side'\nconst r = require(\"r\")\n/* import x from 'no' */", ["./t", "./q", "./dyn", "./side", "r"]),
+        (".java", 'package p;\nimport static a.B.c;\nimport java.util.*;\nclass X { String s = "import no;"; }', ["a.B.c", "java.util"]),
+        (".c", '#include "list.h"\n #  include <stdio.h>\n/* #include "no.h" */\n#define X "y"', ["list.h", "stdio.h"]),
+        (".rb", "require_relative 'model'\nrequire('x')\n# require 'no'", ["model", "x"]),
+        (".py", "import a.b, c\nfrom . import d\nfrom e import (\n f)\nimport c\n", ["a.b", "c", "e"]),
+        (".py", "import a\ndef (:\nfrom b import c\n", ["a", "b"]),
+    ],
+)
+def test_imports(ext, text, expected):
+    from corvine.operators.imports import imported
+
+    assert imported(ext, text)[1] == expected
