@@ -124,10 +124,10 @@ def test_searches_read_by_key(spark, tree, tmp_path):
     index = Index(spark, str(tmp_path / "store")).load(str(tree))
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     hits = plan(retrieve.sparse_hits(index, "turbine wheel", 5))
-    assert "PushedFilters" in hits and "In(term" in hits and "/postings/" in hits and "/chunks/" not in hits and "/files/" not in hits
-    found = plan(retrieve.search(index, "turbine", 2))
-    for scan in [part.split("PushedFilters")[1][:300] for part in found.split("FileScan")[1:] if "/files/" in part.split("PushedFilters")[0]]:
-        assert "path" in scan and ("In(path" in scan or "EqualTo(path" in scan)
+    assert "PushedFilters: [In(term, [turbine,wheel])]" in hits and "content" not in hits and "tokens" not in hits
+    scans = [part.split("\n")[0] for part in plan(retrieve.search(index, "turbine", 2)).split("FileScan")[1:]]
+    read = [scan for scan in scans if "content:binary" in scan]
+    assert read and all("In(path, [" in scan or "EqualTo(path," in scan for scan in read)
     uid = index.table("chunks").first().chunk_uid
     assert index.chunk(uid).count() == 1 and "EqualTo(chunk_uid" in plan(index.chunk(uid))
 
