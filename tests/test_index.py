@@ -132,17 +132,18 @@ def test_searches_read_by_key(spark, tree, tmp_path):
     assert index.chunk(uid).count() == 1 and "EqualTo(chunk_uid" in plan(index.chunk(uid))
 
 
-class TaskNotes:
-    """A symbol extractor of one's own: lines that begin with TODO are functions."""
+def test_plugged_in(spark, tree, tmp_path):
+    """An extractor for another file type, and subword tokens, reach chunks and symbols."""
 
-    def extract(self, path, text):
-        from corvine.operators.symbols import _symbol
+    # Workers can't import this module, so the class goes to them by value.
+    class TaskNotes:
+        """A symbol extractor of one's own: lines that begin with TODO are functions."""
 
-        return [_symbol("function", "", line.split()[1], n, n) for n, line in enumerate(text.split("\n"), 1) if line.startswith("TODO ")]
+        def extract(self, path, text):
+            from corvine.operators.symbols import _symbol
 
+            return [_symbol("function", "", line.split()[1], n, n) for n, line in enumerate(text.split("\n"), 1) if line.startswith("TODO ")]
 
-def test_plugged_in(spark, tree, tmp_path):
-    """An extractor for another file type, and subword tokens, reach chunks and symbols."""
     (tree / "plan.txt").write_text(f"TODO water the garden\n{WORDS}\nTODO rest\n")
     vocabulary = "/opt/tokenizers/byte_bpe_50k.json"
     tokenizer = BpeTokenizer(vocabulary) if os.path.exists(vocabulary) else None
