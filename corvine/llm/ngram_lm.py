@@ -303,9 +303,10 @@ _STAT_TYPES = (pa.int32(), pa.int32(), *[pa.int64()] * 6)
 def _ranges(shelf: Shelf, order: int, spread: np.ndarray, below: np.ndarray):
     """From rows of COUNTS, sorted by range, rows of STATS, and of COUNTS of the next lower order, of many ranges together. Rows of STATS of higher orders go through."""
 
-    def told(stats):
+    def told(stats, i):
+        """Dealt over all ranges, as spread contexts have a row from each."""
         for s in stats:
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(s), dtype=np.int32)), *[pa.nulls(len(s), t) for t in _TYPES[1:]], *s.columns], names=_ALL)
+            yield pa.RecordBatch.from_arrays([pa.array(((np.arange(len(s)) + i) % shelf.n_ranges).astype(np.int32)), *[pa.nulls(len(s), t) for t in _TYPES[1:]], *s.columns], names=_ALL)
 
     def passed_on(held):
         words = [np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True)]
@@ -323,7 +324,7 @@ def _ranges(shelf: Shelf, order: int, spread: np.ndarray, below: np.ndarray):
             words, _, seen, stats = _stored(shelf, order, spread, now, parts)
             if order > 1:
                 held.append((words[1:], seen))
-            yield from told(stats)
+            yield from told(stats, now)
             if sum(len(h[1]) for h in held) >= COUNTED:
                 yield passed_on(held)
 
