@@ -46,19 +46,38 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read back: lineage ends there and a lost executor takes nothing with it."""
+#: Whether Spark deletes a query's shuffle files when it ends. A cut's rows are in its table then, and nothing else reads them.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` written as Parquet in the shared folder and read back, and its folder. What it took to shuffle is deleted once it is written."""
     spark = df.sparkSession
     path = f"{cuts_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FREED) if before is None else spark.conf.set(FREED, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """`df` by way of the shared folder: lineage ends there and a lost executor takes nothing with it."""
+    return written(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def clear_cuts(spark: SparkSession) -> None:
     """Deletes this application's durable tables and models. Results that read them must have been written before."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(cuts_folder(spark))
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    discard(spark, cuts_folder(spark))
 
 
 def is_void(df: DataFrame) -> bool:

@@ -1,18 +1,21 @@
 """Language model scores: an interpolated modified Kneser-Ney model of any order.
 
 Tokens are the lower-cased (A-Z) words of a text and one end; order - 1 starts come before the first.
-The default is ORDER words; README tells what a model of three words takes.
+The default is ORDER words, that is contexts of two.
 
 Counting. Tasks sort the n-grams of a lot of training texts, count them and send each different one
 once, to the task that holds its context's range of hashes; n-grams of the few most frequent contexts
 are spread over all ranges by the whole n-gram's hash, so no range grows with one context. A range
-adds up its n-grams, stores them and, without their first words, sends them on: the next lower order
+adds up its n-grams, stores them and, without their first words, passes them on: the next lower order
 counts how many different words come before each of its n-grams. So it goes down to single words.
+Each order is counted in PASSES, each over all its n-grams for its share of the ranges, and what one
+order passes on is written as a table, so that shuffles hold a part of one order at a time.
 Every count comes from all training texts; nothing is pruned.
 
-The model is stored as sorted hash arrays, a few files for each order and range, in the shared
-folder: n-grams with their counts, contexts with their sums. Only sums over all n-grams of an order
-(counts of counts, totals) and the spread contexts' sums reach the driver, added up in Spark.
+The model is stored as sorted hash arrays, one file for each order and range, in the shared folder:
+contexts with their sums and where their words begin, the words' hashes and counts; contexts that one
+word follows, most of all, lie apart with that word and its count. Only sums over all n-grams of an
+order (counts of counts, totals) and the spread contexts' sums reach the driver, added up in Spark.
 
 Scoring. Workers memory-map the arrays and look up the different n-grams and contexts of a lot in
 sorted order; texts aren't shuffled. Where the shared folder can't be mapped, an array is read into
@@ -24,7 +27,8 @@ memory while its range is looked up.
 
 n counts different words before; an order's D are its three modified Kneser-Ney discounts, gamma what
 they leave. After a context without counts, P is that of the next lower order; V + 1 leaves room for
-one unknown word, which any unknown word is scored as. N-grams are told apart by 64-bit hashes.
+one unknown word, which any unknown word is scored as. N-grams are told apart by 64-bit hashes of their
+contexts and 32 bits for the words that follow one.
 
 Cases: a null or wordless text is one end; texts of any length are scored whole; with no training
 text at all every token is unknown (N, V and all counts 0); rows that repeat are counted and scored
@@ -38,7 +42,7 @@ import json
 import os
 import uuid
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +53,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import by_ranges, cuts_folder, durable, in_python, table, width
+from .common import by_ranges, cuts_folder, discard, durable, in_python, table, width, written
 from .exchange import pack, runs_of, unpack
 
-ORDER = 2
+ORDER = 3
+#: Parts in which an order is counted.
+PASSES = 2
 #: Tokens that are counted and scored at once.
 COUNTED, SCORED = 1_500_000, 750_000
 U = np.uint64
@@ -177,12 +183,17 @@ def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return order[new], key[new], *(np.add.reduceat(v[order], new) for v in values)
 
 
-def _count(order: int, spread: np.ndarray, n_ranges: int):
+def _count(order: int, spread: np.ndarray, n_ranges: int, ranges: range):
+    """Rows of COUNTS of the n-grams that fall into `ranges`."""
+
     def run(batches):
         for words, _, _ in token_lots((b.column("text") for b in batches), order, COUNTED):
             key = gram_keys(context_hash(words[:-1]), words[-1], spread) if order > 1 else bs.mix(words[-1])
-            first, key, many = _summed(key, np.ones(len(key), dtype=np.int64))
-            yield _gram_rows([w[first] for w in words], key, n_ranges, many, many)
+            place = range_of(key, n_ranges)
+            mine = np.flatnonzero((place >= ranges[0]) & (place <= ranges[-1]))
+            first, key, many = _summed(key[mine], np.ones(len(mine), dtype=np.int64))
+            if len(key):
+                yield _gram_rows([w[mine[first]] for w in words], key, n_ranges, many, many)
 
     return run
 
@@ -248,13 +259,55 @@ class Shelf:
             if not stored or not len(stored["key"]):
                 continue
             known = stored["key"]
-            at = np.searchsorted(known, keys[a:b])
-            at[at == len(known)] = 0
-            hit = np.flatnonzero(known[at] == keys[a:b])
+            hit, at = _found(known, keys[a:b])
             for o, k in zip(out, values, strict=True):
-                o[a + hit] = stored[k][at[hit]]
+                o[a + hit] = stored[k][at]
         return out
 
+    def look_grams(self, name: str, keys: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For n-grams by ascending key, with their contexts: their counts and their contexts' SUMS, 0 if there are none. A spread context's sums are one range's."""
+        count, sums = np.zeros(len(keys), dtype=np.int64), np.zeros((4, len(keys)), dtype=np.int64)
+        place = range_of(keys, self.n_ranges)
+        cuts = np.append(runs_of(place), len(place))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            stored = self.read(name, int(place[a]))
+            if not stored:
+                continue
+            context, word = contexts[a:b], keys[a:b].astype(np.uint32)
+            hit, at = _found(stored["lone"], context)
+            many = stored["lone_many"][at].astype(np.int64)
+            count[a + hit] = np.where(stored["lone_word"][at] == word[hit], many, 0)
+            sums[:, a + hit] = many, many == 1, many == 2, many > 2
+            hit, at = _found(stored["key"], context)
+            for o, k in zip(sums, SUMS, strict=True):
+                o[a + hit] = stored[k][at]
+            there, at = _found_within(stored["word"], stored["first"][at], stored["first"][at + 1], word[hit])
+            count[a + hit[there]] = stored["many"][at]
+        return count, sums
+
+
+def _found(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are among ascending known ones, and where."""
+    if not len(known):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    at = np.searchsorted(known, keys)
+    at[at == len(known)] = 0
+    hit = np.flatnonzero(known[at] == keys)
+    return hit, at[hit]
+
+
+def _found_within(known: np.ndarray, low: np.ndarray, high: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same, each key among its own stretch [low, high) of known ones, ascending within it and not empty."""
+    low, last = low.astype(np.int64), high.astype(np.int64) - 1
+    high = last.copy()
+    while len(todo := np.flatnonzero(low < high)):
+        middle = (low[todo] + high[todo]) // 2
+        less = known[middle] < keys[todo]
+        low[todo[less]] = middle[less] + 1
+        high[todo[~less]] = middle[~less]
+    hit = np.flatnonzero(known[low] == keys) if len(low) else low
+    return hit, low[hit]
+
 
 STATS = "kind int, order int, context long, " + ", ".join(f"{c} long" for c in (*SUMS, "four"))
 _STAT_NAMES = [c.split()[0] for c in STATS.split(", ")]
@@ -281,15 +334,19 @@ def _stored(shelf: Shelf, order: int, spread: np.ndarray, i: int, parts: list) -
         shelf.write("gram1", i, key=key, many=small(many), seen=small(seen))
         stats.append(_stat_rows(3, order, np.zeros(1, dtype=U), np.array([many.sum()]), np.array([seen.sum()]), np.array([len(key)])))
         return words, many, seen, stats
-    shelf.write(f"gram{order}", i, key=key, many=small(many))
-    context = context[first]
-    by = bs.order_by(context)
-    context, counted = context[by], many[by]
+    context, word = context[first], key.astype(np.uint32)
+    by = np.lexsort((word, context)) if np.isin(context, spread).any() else np.argsort(context, kind="stable")
+    context, word, counted = context[by], word[by], many[by]
     heads = runs_of(context)
     sums = [np.add.reduceat(x, heads) for x in (counted, (counted == 1) * 1, (counted == 2) * 1, (counted > 2) * 1)]
-    context = context[heads]
+    context, size = context[heads], np.diff(np.append(heads, len(word)))
+    lone, several = heads[size == 1], np.repeat(size > 1, size)
+    starts = np.concatenate(([0], np.cumsum(size[size > 1]))).astype(np.uint32)
+    shelf.write(
+        f"gram{order}", i, lone=context[size == 1], lone_word=word[lone], lone_many=small(counted[lone]),
+        key=context[size > 1], first=starts, word=word[several], many=small(counted[several]), **{k: small(s[size > 1]) for k, s in zip(SUMS, sums, strict=True)},
+    )
     hot = np.isin(context, spread)
-    shelf.write(f"context{order}", i, key=context[~hot], **{k: small(s[~hot]) for k, s in zip(SUMS, sums, strict=True)})
     if hot.any():
         stats.append(_stat_rows(2, order, context[hot], *[s[hot] for s in sums]))
     return words, many, seen, stats
@@ -301,12 +358,11 @@ _STAT_TYPES = (pa.int32(), pa.int32(), *[pa.int64()] * 6)
 
 
 def _ranges(shelf: Shelf, order: int, spread: np.ndarray, below: np.ndarray):
-    """From rows of COUNTS, sorted by range, rows of STATS, and of COUNTS of the next lower order, of many ranges together. Rows of STATS of higher orders go through."""
+    """From rows of COUNTS, sorted by range, rows of STATS, and of COUNTS of the next lower order, of many ranges together."""
 
-    def told(stats, i):
-        """Dealt over all ranges, as spread contexts have a row from each."""
+    def told(stats):
         for s in stats:
-            yield pa.RecordBatch.from_arrays([pa.array(((np.arange(len(s)) + i) % shelf.n_ranges).astype(np.int32)), *[pa.nulls(len(s), t) for t in _TYPES[1:]], *s.columns], names=_ALL)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(s), t) for t in _TYPES], *s.columns], names=_ALL)
 
     def passed_on(held):
         words = [np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True)]
@@ -324,15 +380,11 @@ def _ranges(shelf: Shelf, order: int, spread: np.ndarray, below: np.ndarray):
             words, _, seen, stats = _stored(shelf, order, spread, now, parts)
             if order > 1:
                 held.append((words[1:], seen))
-            yield from told(stats, now)
+            yield from told(stats)
             if sum(len(h[1]) for h in held) >= COUNTED:
                 yield passed_on(held)
 
         for batch in batches:
-            has = "kind" in batch.schema.names
-            if has and batch.column("kind").null_count < len(batch):
-                yield batch.filter(pc.is_valid(batch.column("kind")))
-                batch = batch.filter(pc.is_null(batch.column("kind")))
             for r in batch.to_pylist():
                 if r["range"] != now:
                     if parts:
@@ -377,13 +429,24 @@ class NgramModel:
     def fit(cls, texts: DataFrame, order: int = ORDER) -> NgramModel:
         """From the column text of the training rows."""
         spark = texts.sparkSession
-        shelf = Shelf(f"{cuts_folder(spark)}/lm-{uuid.uuid4().hex}", width(spark))
+        n = width(spark)
+        shelf = Shelf(f"{cuts_folder(spark)}/lm-{uuid.uuid4().hex}", PASSES * n)
         spread = frequent_contexts(texts, order, shelf.n_ranges)
         none = np.zeros(0, dtype=U)
-        counts = texts.select(F.coalesce("text", F.lit("")).alias("text")).transform(in_python, _count(order, spread.get(order, none), shelf.n_ranges), COUNTS)
+        texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
+        above, folders, added = None, [], []
         for k in range(order, 0, -1):
-            counts = by_ranges(counts, "range").transform(in_python, _ranges(shelf, k, spread.get(k, none), spread.get(k - 1, none)), PASSED)
-        added = counts.groupBy("kind", "order", "context").agg(*[F.sum(c).alias(c) for c in (*SUMS, "four")]).collect()
+            own, below = spread.get(k, none), spread.get(k - 1, none)
+            cuts = []
+            for ranges in (range(i * n, (i + 1) * n) for i in range(PASSES)):
+                counts = texts.transform(in_python, _count(order, own, shelf.n_ranges, ranges), COUNTS) if k == order else above.where(F.col("range").between(ranges[0], ranges[-1])).select(*_NAMES)
+                cuts.append(written(by_ranges(counts, "range").transform(in_python, _ranges(shelf, k, own, below), PASSED)))
+            for folder in folders:
+                discard(spark, folder)
+            above, folders = reduce(DataFrame.union, (c for c, _ in cuts)), [f for _, f in cuts]
+            added += above.where("kind IS NOT NULL").groupBy("kind", "order", "context").agg(*[F.sum(c).alias(c) for c in (*SUMS, "four")]).collect()
+        for folder in folders:
+            discard(spark, folder)
         tallies, totals = {k: [0] * 5 for k in range(1, order + 1)}, [0, 0, 0]
         sums = {k: np.zeros((4, len(spread[k])), dtype=np.int64) for k in spread}
         for r in added:
@@ -409,17 +472,16 @@ class NgramModel:
         for k in range(2, self.order + 1):
             spread = self.spread.get(k, np.zeros(0, dtype=U))
             context = context_hash(words[-k:-1])
-            heads, which = np.unique(context, return_inverse=True)
-            sums = np.stack(self.shelf.look(f"context{k}", heads, SUMS))
+            grams, one, gram = np.unique(gram_keys(context, words[-1], spread), return_index=True, return_inverse=True)
+            heads = context[one]
+            count, sums = self.shelf.look_grams(f"gram{k}", grams, heads)
             hot = np.flatnonzero(np.isin(heads, spread))
             if len(hot):
                 sums[:, hot] = self.spread_sums[k][:, np.searchsorted(spread, heads[hot])]
             total, d = np.maximum(sums[0], 1), self.discounts[k]
             gamma = np.where(sums[0] > 0, (d[1:] @ sums[1:]) / total, 1.0)
-            grams, gram = np.unique(gram_keys(context, words[-1], spread), return_inverse=True)
-            (count,) = self.shelf.look(f"gram{k}", grams, ("many",))
             kept = np.maximum(count - d[np.minimum(count, 3)], 0)
-            p = kept[gram] / total[which] + gamma[which] * p
+            p = (kept / total)[gram] + gamma[gram] * p
         return {
             "n_tokens": np.bincount(doc, minlength=texts),
             "n_known": np.bincount(doc, weights=seen[at] > 0, minlength=texts).astype(np.int64),
@@ -471,16 +533,7 @@ def score(docs: DataFrame, model: NgramModel) -> DataFrame:
     return docs.select("doc_id", "text").transform(in_python, run, SCORES)
 
 
-def _scored(spark, sf_dir: str, order: int) -> DataFrame:
+def op6_ngram_lm(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = NgramModel.fit(docs.where(~held_out()), order)
+    model = NgramModel.fit(docs.where(~held_out()))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def op6_ngram_lm(spark, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir, ORDER)
-
-
-def op6_ngram_lm_order3(spark, sf_dir: str) -> DataFrame:
-    """The same with contexts of two words."""
-    return _scored(spark, sf_dir, 3)

@@ -12,7 +12,6 @@ QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_chunk_dedup": chunk_dedup.op5_chunk_dedup,
     "op6_ngram_lm": ngram_lm.op6_ngram_lm,
-    "op6_ngram_lm_order3": ngram_lm.op6_ngram_lm_order3,
     "op7_quality_crf": quality_crf.op7_quality_crf,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_language_id": language_id.op9_language_id,
