@@ -58,13 +58,15 @@ from .exchange import pack, runs_of, unpack
 
 ORDER = 3
 #: Parts in which an order is counted.
-PASSES = 2
+PASSES = 3
 #: Tokens that are counted and scored at once.
-COUNTED, SCORED = 1_500_000, 750_000
+COUNTED, SCORED = 1_500_000, 1_500_000
 U = np.uint64
 START, END = U(0x5354415254), U(0x454E44)
 #: Bits of a word's hash that are left out, as words travel with n-grams: 48 stay.
 WORD_BITS = U(16)
+#: Spread contexts whose sums travel together.
+BLOCK = 1_024
 #: Rows, at least, and for each range, in which frequent contexts are looked for; the least share, in fair shares of a range, of one.
 SPREAD_ROWS, ROWS_PER_RANGE, FAIR = 2_000, 8, 0.25
 SUMS = ("total", "one", "two", "more")
@@ -175,6 +177,18 @@ def _gram_rows(words: list[np.ndarray], key: np.ndarray, n_ranges: int, many: np
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], names=_NAMES)
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys, ascending, a place of each, and for each place its key's number."""
+    order = np.argsort(key)
+    key = key[order]
+    new = runs_of(key)
+    number = np.zeros(len(key), dtype=np.int64)
+    number[new] = 1
+    which = np.empty(len(key), dtype=np.int64)
+    which[order] = np.cumsum(number) - 1
+    return key[new], order[new], which
+
+
 def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """An order in which the first places of different keys come ascending, and each key's sums."""
     order = np.argsort(key)
@@ -314,14 +328,14 @@ _STAT_NAMES = [c.split()[0] for c in STATS.split(", ")]
 
 
 def _stat_rows(kind: int, order: int, context: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """Kind 1: a range's numbers of n-grams that are counted once, twice, three, four and more times. Kind 2: a spread context's sums in a range. Kind 3: a range of words' totals."""
+    """Kind 1: a range's numbers of n-grams that are counted once, twice, three, four and more times. Kind 3: a range of words' totals."""
     n = len(context)
     cols = [pa.array(c.astype(np.int64)) for c in (*columns, *[np.zeros(n)] * (5 - len(columns)))]
     return pa.RecordBatch.from_arrays([*[pa.array(np.full(n, x, dtype=np.int32)) for x in (kind, order)], pa.array(context.view(np.int64)), *cols], names=_STAT_NAMES)
 
 
 def _stored(shelf: Shelf, order: int, spread: np.ndarray, i: int, parts: list) -> tuple:
-    """Adds up and stores a range's n-grams of an order and their contexts; returns the n-grams' words, counts and occurrences, and rows of STATS."""
+    """Adds up and stores a range's n-grams of an order and their contexts; returns the n-grams' words, counts and occurrences, and rows of STATS or blocks of spread contexts' sums."""
     words = [np.concatenate([p[0][j] for p in parts]) for j in range(order)]
     many, seen = (np.concatenate([p[j] for p in parts]).astype(np.int64) for j in (1, 2))
     context = context_hash(words[:-1]) if order > 1 else None
@@ -346,9 +360,13 @@ def _stored(shelf: Shelf, order: int, spread: np.ndarray, i: int, parts: list) -
         f"gram{order}", i, lone=context[size == 1], lone_word=word[lone], lone_many=small(counted[lone]),
         key=context[size > 1], first=starts, word=word[several], many=small(counted[several]), **{k: small(s[size > 1]) for k, s in zip(SUMS, sums, strict=True)},
     )
-    hot = np.isin(context, spread)
-    if hot.any():
-        stats.append(_stat_rows(2, order, context[hot], *[s[hot] for s in sums]))
+    hot = np.flatnonzero(np.isin(context, spread))
+    at = np.searchsorted(spread, context[hot])
+    for block in np.unique(at // BLOCK).tolist():
+        own = at // BLOCK == block
+        told = np.zeros((4, BLOCK), dtype=np.int64)
+        told[:, at[own] % BLOCK] = [s[hot[own]] for s in sums]
+        stats.append((block, told.tobytes()))
     return words, many, seen, stats
 
 
@@ -361,7 +379,12 @@ def _ranges(shelf: Shelf, order: int, spread: np.ndarray, below: np.ndarray):
     """From rows of COUNTS, sorted by range, rows of STATS, and of COUNTS of the next lower order, of many ranges together."""
 
     def told(stats):
+        """Of kind 2: a block of spread contexts, its number as `context`, their sums in the range as `words`."""
         for s in stats:
+            if isinstance(s, tuple):
+                row = dict.fromkeys(_ALL) | {"kind": 2, "order": order, "context": s[0], "words": s[1]}
+                yield pa.RecordBatch.from_arrays([pa.array([row[c]], t) for c, t in zip(_ALL, (*_TYPES, *_STAT_TYPES), strict=True)], names=_ALL)
+                continue
             yield pa.RecordBatch.from_arrays([*[pa.nulls(len(s), t) for t in _TYPES], *s.columns], names=_ALL)
 
     def passed_on(held):
@@ -401,6 +424,15 @@ def _ranges(shelf: Shelf, order: int, spread: np.ndarray, below: np.ndarray):
     return run
 
 
+def _added(batches):
+    """Sums of blocks by their numbers."""
+    sums = {}
+    for batch in batches:
+        for block, raw in zip(batch.column("range").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+            sums[block] = sums.get(block, 0) + np.frombuffer(raw, dtype=np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["range", "sums"])
+
+
 def discounts(tally: list[int]) -> np.ndarray:
     """The discounts of counts 0, 1, 2 and more. Where counts of counts are missing, half of each count's unit."""
     n1, n2, n3, n4 = tally
@@ -435,6 +467,7 @@ class NgramModel:
         none = np.zeros(0, dtype=U)
         texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
         above, folders, added = None, [], []
+        sums = {k: np.zeros((4, len(spread[k])), dtype=np.int64) for k in spread}
         for k in range(order, 0, -1):
             own, below = spread.get(k, none), spread.get(k - 1, none)
             cuts = []
@@ -444,16 +477,17 @@ class NgramModel:
             for folder in folders:
                 discard(spark, folder)
             above, folders = reduce(DataFrame.union, (c for c, _ in cuts)), [f for _, f in cuts]
-            added += above.where("kind IS NOT NULL").groupBy("kind", "order", "context").agg(*[F.sum(c).alias(c) for c in (*SUMS, "four")]).collect()
+            if len(own):
+                blocks = above.where("kind = 2").select(F.col("context").cast("int").alias("range"), F.col("words").alias("sums"))
+                for r in by_ranges(blocks, "range").transform(in_python, _added, "range int, sums binary").collect():
+                    sums[k][:, r.range * BLOCK : (r.range + 1) * BLOCK] = np.frombuffer(r.sums, dtype=np.int64).reshape(4, -1)[:, : len(own) - r.range * BLOCK]
+            added += above.where("kind <> 2").groupBy("kind", "order").agg(*[F.sum(c).alias(c) for c in (*SUMS, "four")]).collect()
         for folder in folders:
             discard(spark, folder)
         tallies, totals = {k: [0] * 5 for k in range(1, order + 1)}, [0, 0, 0]
-        sums = {k: np.zeros((4, len(spread[k])), dtype=np.int64) for k in spread}
         for r in added:
             if r.kind == 1:
                 tallies[r.order] = [r.total, r.one, r.two, r.more, r.four]
-            elif r.kind == 2:
-                sums[r.order][:, np.searchsorted(spread[r.order], U(r.context & (2**64 - 1)))] = r.total, r.one, r.two, r.more
             else:
                 totals = [r.total, r.one, r.two]
         d = {k: discounts(t[:4]) for k, t in tallies.items()}
@@ -464,7 +498,7 @@ class NgramModel:
 
     def score(self, words: list[np.ndarray], doc: np.ndarray, texts: int) -> dict[str, np.ndarray]:
         """Of each text of a lot, what SCORES has."""
-        known, at = np.unique(bs.mix(words[-1]), return_inverse=True)
+        known, _, at = _distinct(bs.mix(words[-1]))
         many, seen = self.shelf.look("gram1", known, ("many", "seen"))
         base = np.log10((seen + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
         kept = np.maximum(many - self.discounts[1][np.minimum(many, 3)], 0) / max(self.pairs, 1)
@@ -472,7 +506,7 @@ class NgramModel:
         for k in range(2, self.order + 1):
             spread = self.spread.get(k, np.zeros(0, dtype=U))
             context = context_hash(words[-k:-1])
-            grams, one, gram = np.unique(gram_keys(context, words[-1], spread), return_index=True, return_inverse=True)
+            grams, one, gram = _distinct(gram_keys(context, words[-1], spread))
             heads = context[one]
             count, sums = self.shelf.look_grams(f"gram{k}", grams, heads)
             hot = np.flatnonzero(np.isin(heads, spread))
