@@ -225,25 +225,27 @@ def deduplicated(docs: DataFrame, least_words: int | None = None) -> DataFrame:
     return joined.transform(in_python, run, docs.schema)
 
 
-def op10_line_dedup_passages(spark, sf_dir: str) -> DataFrame:
-    """The whole job: op10_line_dedup's runs, whose SQL knows three lines only, and passages of LEAST_WORDS words on one or two lines."""
-    return line_dedup(table(spark, sf_dir, "documents"), LEAST_WORDS).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-
-
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return line_dedup(table(spark, sf_dir, "documents"), LEAST_WORDS).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 _SPLIT = "string_split(coalesce(text, ''), chr(10))"
 _TRIMMED = "trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))"
+_WORDS = r"len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))"
 ORACLE = f"""
 WITH lines AS (SELECT doc_id, unnest({_SPLIT}) AS line, generate_subscripts({_SPLIT}, 1) AS place, len({_SPLIT}) AS n FROM documents),
 solid AS (
   SELECT doc_id, place, translate({_TRIMMED}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS l, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS i
   FROM lines WHERE {_TRIMMED} <> ''),
-runs AS (SELECT doc_id, i, l AS a, lead(l, 1) OVER w AS b, lead(l, 2) OVER w AS c FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS r FROM runs WHERE c IS NOT NULL) WHERE r > 1),
-gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, (VALUES (0), (1), (2)) AS v(k)),
+runs AS (
+  SELECT doc_id, i, l AS a, lead(l, 1) OVER w AS b, lead(l, 2) OVER w AS c, {_WORDS} AS words, lead({_WORDS}, 1) OVER w AS more, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+units AS (
+  SELECT doc_id, i, 3 AS k, a, b, c, FALSE AS short FROM runs WHERE c IS NOT NULL
+  UNION ALL SELECT doc_id, i, 2, a, b, NULL, words + more < {LEAST_WORDS} FROM runs WHERE b IS NOT NULL AND (words + more >= {LEAST_WORDS} OR n = 2)
+  UNION ALL SELECT doc_id, i, 1, a, NULL, NULL, words < {LEAST_WORDS} FROM runs WHERE words >= {LEAST_WORDS} OR n = 1),
+later AS (SELECT doc_id, i, k FROM (SELECT *, row_number() OVER (PARTITION BY k, a, b, c, short ORDER BY doc_id, i) AS r FROM units) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, i + v.j AS i FROM later, (VALUES (0), (1), (2)) AS v(j) WHERE v.j < k),
 marked AS (SELECT s.doc_id, s.place, g.i IS NOT NULL AS gone FROM solid s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.i = g.i),
 placed AS (
   SELECT l.doc_id, l.line || CASE WHEN l.place < l.n THEN chr(10) ELSE '' END AS line, l.place, m.gone IS NOT NULL AS is_solid, coalesce(m.gone, FALSE) AS is_gone,

@@ -16,7 +16,6 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_language_id": language_id.op9_language_id,
     "op10_line_dedup": line_dedup.op10_line_dedup,
-    "op10_line_dedup_passages": line_dedup.op10_line_dedup_passages,
 }
 
 ORACLES = {
