@@ -462,7 +462,7 @@ class NgramModel:
         """From the column text of the training rows."""
         spark = texts.sparkSession
         n = width(spark)
-        shelf = Shelf(f"{cuts_folder(spark)}/lm-{uuid.uuid4().hex}", PASSES * n)
+        shelf = Shelf(f"{cuts_folder(spark)}/lm-{uuid.uuid4().hex}", n)
         spread = frequent_contexts(texts, order, shelf.n_ranges)
         none = np.zeros(0, dtype=U)
         texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
@@ -471,7 +471,7 @@ class NgramModel:
         for k in range(order, 0, -1):
             own, below = spread.get(k, none), spread.get(k - 1, none)
             cuts = []
-            for ranges in (range(i * n, (i + 1) * n) for i in range(PASSES)):
+            for ranges in filter(None, (range(i * n // PASSES, (i + 1) * n // PASSES) for i in range(PASSES))):
                 counts = texts.transform(in_python, _count(order, own, shelf.n_ranges, ranges), COUNTS) if k == order else above.where(F.col("range").between(ranges[0], ranges[-1])).select(*_NAMES)
                 cuts.append(written(by_ranges(counts, "range").transform(in_python, _ranges(shelf, k, own, below), PASSED)))
             for folder in folders:
