@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunk_dedup, decontaminate, exact_dedup, language_id, line_dedup, mixing, near_dedup, ngram_lm, quality_crf, suffix_dedup
+from . import chunk_dedup, decontaminate, exact_dedup, hard_negatives, language_id, line_dedup, mixing, near_dedup, ngram_lm, quality_crf, suffix_dedup, whitening
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_language_id": language_id.op9_language_id,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_whitening": whitening.op12_whitening,
 }
 
 ORACLES = {
@@ -24,4 +26,5 @@ ORACLES = {
     "op4_mix_sources": mixing.oracle(),
     "op8_decontaminate": decontaminate.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
 }
