@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunk_dedup, decontaminate, exact_dedup, hard_negatives, language_id, line_dedup, mixing, near_dedup, ngram_lm, quality_crf, suffix_dedup, whitening
+from . import chunk_dedup, decontaminate, exact_dedup, hard_negatives, language_id, license_scan, line_dedup, mixing, near_dedup, ngram_lm, quality_crf, suffix_dedup, whitening
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_whitening": whitening.op12_whitening,
+    "op13_license_scan": license_scan.op13_license_scan,
 }
 
 ORACLES = {
@@ -27,4 +28,5 @@ ORACLES = {
     "op8_decontaminate": decontaminate.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
     "op11_hard_negatives": hard_negatives.ORACLE,
+    "op13_license_scan": license_scan.ORACLE,
 }
