@@ -7,7 +7,8 @@ a hash of the id. Anchors travel in chunks of at most CHUNK. A cell is a slice a
 meet; it rebuilds both trees from their leaves, with a centre and a radius for each node, and walks them
 down together: the inner products of two nodes lie within centre * centre +- (radii with the centres'
 lengths and with each other), and a pair of nodes is dropped, with all anchors below it at once, if that
-interval can't reach what its anchors still need. Leaf pairs that stay are scored exactly, best first.
+interval can't reach what its anchors still need. Of the leaf pairs that stay, those that some anchor of
+the leaf can still gain by are scored exactly, the most promising first.
 
 Two walks: the first finds each anchor's positives, with what its own slice holds as the bound to start
 from; the second finds the negatives of all its positives, whose scores give intervals from the start.
@@ -135,7 +136,7 @@ def dual_search(anchors: Tree, ids: np.ndarray, low: np.ndarray, high: np.ndarra
         else:
             meet = ~((a[4][i] == a[5][i]) & (b[4][j] == b[5][j]) & (a[4][i] == b[4][j]))
         keep = meet & (most >= need[i]) & (least <= top[i])
-        i, j, most = i[keep], j[keep], most[keep]
+        i, j = i[keep], j[keep]
         if up == len(anchors.levels) - 1 and down == len(candidates.levels) - 1:
             break
         if down < len(candidates.levels) - 1 and (down <= up or up == len(anchors.levels) - 1):
@@ -146,18 +147,26 @@ def dual_search(anchors: Tree, ids: np.ndarray, low: np.ndarray, high: np.ndarra
             up += 1
             i, parent = _children(i, len(anchors.levels[up][1]))
             j = j[parent]
-    order = np.lexsort((-most, i))
-    i, j, most = i[order], j[order], most[order]
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
     starts = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.zeros(0, dtype=np.int64)
     out, scored, leaves = [], 0, candidates.levels[-1][0]
     exact = np.abs(anchors.x).max(initial=0) * np.abs(candidates.x).max(initial=0) * anchors.x.shape[1] < 1 << 53
     for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(i)], strict=True):
         a, b = cuts[i[s]], cuts[i[s] + 1]
         found = Found(low[a:b], high[a:b], k)
-        for at in range(s, e, AT_ONCE):
-            if most[at] < found.low.min():
-                break
-            mine = j[at : min(e, at + AT_ONCE)][most[at : min(e, at + AT_ONCE)] >= found.low.min()]
+        # What each anchor of the leaf can reach at most in each leaf of the candidates; the best go first.
+        centre, radius = candidates.levels[-1][1][j[s:e]], candidates.levels[-1][2][j[s:e]]
+        reach = anchors.x[a:b] @ centre.T
+        own = np.sqrt((anchors.x[a:b] ** 2).sum(1))[:, None]
+        reach += own * radius + 1e-9 * own * (radius + np.sqrt((centre**2).sum(1))) + 1e-6
+        best = np.argsort(-reach.max(0))
+        for at in range(0, len(best), AT_ONCE):
+            some = best[at : at + AT_ONCE]
+            some = some[(reach[:, some] >= found.low.min(1)[:, None]).any(0)]
+            if not len(some):
+                continue
+            mine = j[s + some]
             rows = np.concatenate([np.arange(leaves[x], leaves[x + 1]) for x in mine.tolist()])
             scores = inner(anchors.x[a:b], candidates.x[rows], exact)
             scored += scores.size

@@ -212,6 +212,10 @@ def _count(order: int, spread: np.ndarray, n_ranges: int, ranges: range):
     return run
 
 
+#: Files that a worker keeps mapped, whatever the number of ranges and orders. Each holds a descriptor.
+MAPS = 128
+
+
 class Shelf:
     """Arrays stored by name and range in one folder that all executors reach; read by memory-mapping."""
 
@@ -239,7 +243,7 @@ class Shelf:
         """A range's arrays; none if nothing was stored."""
         return self._mapped(name, i) if isinstance(self._where()[0], pafs.LocalFileSystem) else self._views(self._bytes(name, i))
 
-    @lru_cache(maxsize=1 << 16)  # noqa: B019  one shelf a worker and model; what is kept are mappings
+    @lru_cache(maxsize=MAPS)  # noqa: B019  one shelf a worker and model; a mapping that is dropped here closes its file
     def _mapped(self, name: str, i: int) -> dict[str, np.ndarray]:
         path = f"{self._where()[1]}/{name}-{i}"
         return self._views(np.memmap(path, dtype=np.uint8, mode="r") if os.path.exists(path) else np.zeros(0, dtype=np.uint8))

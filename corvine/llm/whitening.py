@@ -90,7 +90,8 @@ def rotations(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 continue
             turned = True
             p, q, alpha, beta, gamma = p[skew], q[skew], alpha[skew], beta[skew], gamma[skew]
-            zeta = (beta - alpha) / (2 * gamma)
+            with np.errstate(over="ignore"):  # an angle of nothing then
+                zeta = (beta - alpha) / (2 * gamma)
             t = np.where(zeta >= 0, 1.0, -1.0) / (np.abs(zeta) + np.hypot(1.0, zeta))
             c = 1 / np.hypot(1.0, t)
             s = c * t
