@@ -42,11 +42,11 @@ def raw_idf(n_docs: Column, df: Column) -> Column:
     return F.log(F.greatest(F.lit(0.5), n_docs - df + 0.5)) - F.log(F.greatest(F.lit(0.5), df + 0.5))
 
 
-def idf(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """term, df and idf: negative ones become FLOOR of the mean over the whole vocabulary, itself negative or not."""
-    raw = df.crossJoin(F.broadcast(stats.select("n_docs"))).select("term", "df", raw_idf(F.col("n_docs"), F.col("df")).alias("raw"))
+def idf(df: DataFrame, stats: DataFrame, *keep: str) -> DataFrame:
+    """term, df, the columns of `keep` and idf: negative ones become FLOOR of the mean over the whole vocabulary, itself negative or not."""
+    raw = df.crossJoin(F.broadcast(stats.select("n_docs"))).select("term", "df", *keep, raw_idf(F.col("n_docs"), F.col("df")).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", *keep, F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def floored(df: dict[str, int], n_docs: int, mean: float | None) -> dict[str, float]:

@@ -16,9 +16,20 @@ EMPTY = {"version": 0, "tables": {}, "gone": {}, "numbers": {}}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for a store that lives as long as its application: in the folder that the session shares, else in its warehouse."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/corvine-store/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    """A new folder for a store that lives as long as its application: in the folder that the session shares. A local session that names none uses its warehouse; a cluster has to name one."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not shared and not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    shared = shared or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/corvine-store/{context.applicationId}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read again: computed once, and no lost executor takes it along."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class SnapshotStore:

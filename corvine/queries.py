@@ -490,3 +490,6 @@ INDEXED = [("a.py", "m0"), ("b.py", "m2"), ("c.py", "m4"), ("d.py", "m5")]
 def live_changes(spark, sf_dir):
     """Of a burst of changes the last of each path, if it changes what is indexed."""
     return live.effective(literal(spark, DELTAS, "action, path, md5, ts"), literal(spark, INDEXED, "path, md5")).select("action", "path", "md5")
+
+
+from . import search_queries  # noqa: E402, F401  registers its queries
