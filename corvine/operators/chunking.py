@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import stabbed
+
 MAX_TOKENS, OVERLAP, LEAST_FILE, LEAST_WINDOW = 250, 50, 50, 50
 
 
@@ -65,14 +67,11 @@ def deepest_scopes(scopes: DataFrame, files: DataFrame) -> DataFrame:
     """path, line, name and kind of the smallest scope that covers each line of a file; of equal spans the last listed; null if none.
 
     scopes: path, name, kind, start_line, end_line, ordinal. files: path, n_lines.
-    A scope gives a row for each of its lines and the best of a line is an aggregate, combined before the shuffle: an equi plan instead of a range join.
+    Scopes meet lines in the sweep of `intervals.stabbed`: a scope costs a row for each bin of lines, however many it covers.
     """
-    span = F.col("end_line") - F.col("start_line")
-    known = scopes.join(files.select("path", "n_lines"), "path").where("start_line <= n_lines and end_line >= start_line")
-    painted = known.select("path", F.explode(F.sequence(F.greatest(F.col("start_line"), F.lit(1)), F.least("end_line", "n_lines"))).alias("line"), F.struct(span.alias("span"), (-F.col("ordinal")).alias("late"), "name", "kind", "ordinal").alias("scope"))
-    best = painted.groupBy("path", "line").agg(F.min("scope").alias("scope"))
-    lines = files.where("n_lines > 0").select("path", F.explode(F.sequence(F.lit(1), F.col("n_lines").cast("int"))).alias("line"))
-    return lines.join(best, ["path", "line"], "left").select("path", "line", F.col("scope.name").alias("name"), F.col("scope.kind").alias("kind"), F.col("scope.ordinal").alias("ordinal"))
+    known = scopes.select("path", F.col("start_line").alias("start"), (F.col("end_line") + 1).alias("end"), "ordinal", "name", "kind")
+    lines = files.where("n_lines > 0").select("path", F.explode(F.sequence(F.lit(1), F.col("n_lines").cast("int"))).alias("at"))
+    return stabbed(known, lines, "path", "name", "kind").select("path", F.col("at").cast("int").alias("line"), "name", "kind", "ordinal")
 
 
 def islands(lines: DataFrame, text: DataFrame | None = None) -> DataFrame:

@@ -492,4 +492,4 @@ def live_changes(spark, sf_dir):
     return live.effective(literal(spark, DELTAS, "action, path, md5, ts"), literal(spark, INDEXED, "path, md5")).select("action", "path", "md5")
 
 
-from . import search_queries, stream_queries  # noqa: E402, F401  they register their queries
+from . import search_queries, stored_queries, stream_queries  # noqa: E402, F401  they register their queries
