@@ -110,6 +110,10 @@ LAYOUT = {
 }
 
 
+#: A reader joins each segment with the lists of what later ones replaced, so this bounds its joins however often an index is updated.
+MOST_SEGMENTS = 12
+
+
 class Index:
     """An index of one project in a snapshot store. Several can live side by side; nothing is global.
 
@@ -117,8 +121,8 @@ class Index:
     chunks, vectors and postings of these and of files whose headers depend on them, which are files
     that import them, before or after, or whose own imports resolve differently now. Edges are resolved
     again from stored import strings; document frequencies and totals change by what comes and goes.
-    Dead rows stay in old segments until there are more than `most_dead`, or a fifth of all; then the
-    segments are written as one.
+    Dead rows stay in old segments until there are more than `most_dead`, or a fifth of all, or a table has
+    more than MOST_SEGMENTS segments, dead rows or not; then the segments are written as one.
     """
 
     def __init__(self, spark: SparkSession, store: str, embedder: Embedder | None = None, tokenizer: Tokenizer | None = None, extractors: dict | None = None, most_dead: int = versions.MOST_DEAD):
@@ -151,7 +155,8 @@ class Index:
         gone = changed.select("path").unionByName(deleted.select("path")).distinct()
         version = self._commit(changed, gone, self.store.manifest())
         numbers = self.store.manifest()["numbers"]
-        if numbers["dead"] > self.most_dead or numbers["dead"] > versions.DEAD_SHARE * numbers["rows"]:
+        segments = max(len(self.store.manifest()["tables"][t]) for t in GROUPS)
+        if segments > MOST_SEGMENTS or numbers["dead"] > self.most_dead or numbers["dead"] > versions.DEAD_SHARE * numbers["rows"]:
             version = self.compact()
         return version
 

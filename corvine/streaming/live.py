@@ -59,14 +59,15 @@ def apply_batch(index: Index, root: str, listing: DataFrame) -> int | None:
     """Commits what differs between a listing (path, size, mtime) of the whole tree and the index; None if nothing does."""
     listing = listing.dropDuplicates(["path"]).persist()
     files = index.table("files")
+    read = contents(suspects(listing, files), root).persist()
     try:
-        read = contents(suspects(listing, files), root).persist()
         changed = read.join(files.select("path", F.col("md5").alias("_md5")), "path", "left").where(~F.col("md5").eqNullSafe(F.col("_md5"))).drop("_md5")
         deleted = files.select("path").join(listing.where(F.lit(os.path.isdir(root))), "path", "left_anti")
         if not changed.take(1) and not deleted.take(1):
             return None
         return index.update(changed, deleted)
     finally:
+        read.unpersist()
         listing.unpersist()
 
 
