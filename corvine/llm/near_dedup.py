@@ -457,7 +457,7 @@ def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFra
 
 
 def op2_near_dedup_links(spark, sf_dir: str) -> DataFrame:
-    """The whole join: op2_near_dedup's columns, bound by its SQL, and the number of links of each document."""
+    """The whole join: op2_near_dedup's columns and the number of links of each document. It has no SQL; a loop bounds it (tests/llm/test_links.py)."""
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return linked_documents(table(spark, sf_dir, "documents")).select(known("doc_id"), "n_shingles", known("component_id"), "n_links", known("class_id"))
 
