@@ -182,15 +182,15 @@ def test_watch(spark, tree, tmp_path):
 
 def test_an_index_that_only_grows(spark, tmp_path, monkeypatch):
     """New files, one update each: nothing is dead, and still segments stay few, and it is what a rebuild gives."""
-    monkeypatch.setattr(plans, "MOST_SEGMENTS", 2)
-    files = [(f"f{i}.md", ".md", b"", 60, "", 0) for i in range(4)]
+    monkeypatch.setattr(plans, "MOST_SEGMENTS", 1)
+    files = [(f"f{i}.md", ".md", b"", 60, "", 0) for i in range(3)]
     files = [(p, e, " ".join(f"word{i}x{j}" for j in range(60)).encode(), n, f"m{i}", t) for i, (p, e, _, n, _, t) in enumerate(files)]
     frame = lambda rows: spark.createDataFrame(rows, FILES)
     grown, built = Index(spark, str(tmp_path / "grown")), Index(spark, str(tmp_path / "built"))
     grown.replace(frame(files[:1]))
     for f in files[1:]:
         grown.update(frame([f]), spark.createDataFrame([], "path string"))
-        assert max(map(len, grown.store.manifest()["tables"].values())) <= 2
+        assert max(map(len, grown.store.manifest()["tables"].values())) == 1
     built.replace(frame(files))
     for name in ("chunks", "postings", "terms"):
         x, y = grown.table(name), built.table(name)
