@@ -1,8 +1,8 @@
 """Words, hashes and windows of whole Arrow text columns at once, on NumPy arrays of UTF-8 bytes.
 
 Every separator used here is ASCII, so cutting bytes and cutting characters give the same words.
-Hashes are 64-bit polynomials over a randomised byte alphabet, finished by a bijective mixer; the
-same bytes give the same hash in any batch, process or run.
+Hashes are 64-bit polynomials over a randomised byte alphabet, finished by a bijective mixer; words longer
+than SHORT bytes have BLAKE2 hashes. The same bytes give the same hash in any batch, process or run.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ import pyarrow as pa
 U = np.uint64
 #: Bytes worked on at once: what NumPy makes of them stays in the CPU's cache. A longer text is one piece.
 PIECE = 1 << 18
+#: Bytes of words that are hashed by polynomials. Of 1,024 bytes and more, texts made for it (Thue-Morse words) collide in any polynomial modulo 2**64.
+SHORT = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -192,7 +195,10 @@ def word_bounds(piece: Piece, belongs: np.ndarray, lowered: np.ndarray) -> tuple
 def words(piece: Piece, belongs: np.ndarray = NOT_BLANK) -> Words:
     lowered = LOWER[piece.data]
     start, end, of = word_bounds(piece, belongs, lowered)
-    return Words(start, end, of, BYTES.of(lowered, start, end))
+    hashes = BYTES.of(lowered, start, end)
+    for i in np.flatnonzero(end - start > SHORT).tolist():
+        hashes[i] = int.from_bytes(blake2b(lowered[start[i] : end[i]].data, digest_size=8).digest(), "little")
+    return Words(start, end, of, hashes)
 
 
 def windows(w: Words, k: int, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -3,6 +3,9 @@
 Tokens are the lower-cased (A-Z) words of a text and one end; order - 1 starts come before the first.
 The default is ORDER words, that is contexts of two.
 
+Words. How often each word occurs is counted by itself, by the words' whole 64-bit hashes: what is said
+of single words (n_known, base_score, N and V) doesn't hang on how n-grams are told apart.
+
 Counting. Tasks sort the n-grams of a lot of training texts, count them and send each different one
 once, to the task that holds its context's range of hashes; n-grams of the few most frequent contexts
 are spread over all ranges by the whole n-gram's hash, so no range grows with one context. A range
@@ -27,8 +30,8 @@ memory while its range is looked up.
 
 n counts different words before; an order's D are its three modified Kneser-Ney discounts, gamma what
 they leave. After a context without counts, P is that of the next lower order; V + 1 leaves room for
-one unknown word, which any unknown word is scored as. N-grams are told apart by 64-bit hashes of their
-contexts and 32 bits for the words that follow one.
+one unknown word, which any unknown word is scored as. In n-grams words are told apart by 48 bits of their
+hashes, contexts by 64-bit hashes and the words that follow one by 32 bits.
 
 Cases: a null or wordless text is one end; texts of any length are scored whole; with no training
 text at all every token is unknown (N, V and all counts 0); rows that repeat are counted and scored
@@ -62,9 +65,9 @@ PASSES = 3
 #: Tokens that are counted and scored at once.
 COUNTED, SCORED = 1_500_000, 1_500_000
 U = np.uint64
-START, END = U(0x5354415254), U(0x454E44)
 #: Bits of a word's hash that are left out, as words travel with n-grams: 48 stay.
 WORD_BITS = U(16)
+START, END = U(0x5354415254) << WORD_BITS, U(0x454E44) << WORD_BITS
 #: Spread contexts whose sums travel together.
 BLOCK = 1_024
 #: Rows, at least, and for each range, in which frequent contexts are looked for; the least share, in fair shares of a range, of one.
@@ -73,25 +76,26 @@ SUMS = ("total", "one", "two", "more")
 
 
 def token_grams(piece: bs.Piece, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The words of all n-grams of a piece, first words first, and the text each is in: one n-gram for each token."""
+    """The words of all n-grams of a piece, first words first, then the last words with all their bits; and the text each is in: one n-gram for each token."""
     w = bs.words(piece)
     counts = w.counts + 1
     of = np.concatenate(([0], np.cumsum(counts)))
     token = np.empty(of[-1], dtype=U)
     doc = np.repeat(np.arange(len(piece)), counts)
-    token[np.arange(len(w.hash)) + w.text()] = w.hash >> WORD_BITS
+    token[np.arange(len(w.hash)) + w.text()] = w.hash
     token[of[1:] - 1] = END
+    whole, token = token, token >> WORD_BITS
     place = np.arange(of[-1]) - of[:-1][doc]
     grams = [token]
     for back in range(1, order):
-        before = np.full(len(token), START, dtype=U)
-        before[back:] = np.where(place[back:] >= back, token[:-back], START)
+        before = np.full(len(token), START >> WORD_BITS, dtype=U)
+        before[back:] = np.where(place[back:] >= back, token[:-back], START >> WORD_BITS)
         grams.append(before)
-    return grams[::-1], doc
+    return [*grams[::-1], whole], doc
 
 
 def token_lots(columns, order: int, least: int):
-    """Lots of `least` or more tokens: the words of their n-grams, the text of each, and the number of texts; a text isn't cut."""
+    """Lots of `least` or more tokens: what token_grams gives of their n-grams, the text of each, and the number of texts; a text isn't cut."""
     held, size, texts = [], 0, 0
 
     def lot():
@@ -162,18 +166,18 @@ def _unpacked_counts(raw: bytes, n: int) -> np.ndarray:
     return unpack(_zstd()[1].decompress(raw), np.uint64).astype(np.int64) if raw else np.ones(n, dtype=np.int64)
 
 
-COUNTS = "range int, words binary, many binary, seen binary"
+COUNTS = "range int, words binary, many binary"
 _NAMES = [c.split()[0] for c in COUNTS.split(", ")]
-_TYPES = (pa.int32(), *[pa.binary()] * 3)
+_TYPES = (pa.int32(), *[pa.binary()] * 2)
 
 
-def _gram_rows(words: list[np.ndarray], key: np.ndarray, n_ranges: int, many: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
-    """Rows of COUNTS, one for each range, of n-grams sorted by key. many: what is counted; seen: how often they occur in texts."""
+def _gram_rows(words: list[np.ndarray], key: np.ndarray, n_ranges: int, many: np.ndarray) -> pa.RecordBatch:
+    """Rows of COUNTS, one for each range, of n-grams sorted by key, and how often each was counted."""
     place = range_of(key, n_ranges)
     cuts = np.append(runs_of(place), len(place))
     rows = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        rows.append((int(place[a]), _packed_words([w[a:b] for w in words]), _packed_counts(many[a:b]), _packed_counts(seen[a:b] - many[a:b] + 1)))
+        rows.append((int(place[a]), _packed_words([w[a:b] for w in words]), _packed_counts(many[a:b])))
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], names=_NAMES)
 
 
@@ -201,13 +205,49 @@ def _count(order: int, spread: np.ndarray, n_ranges: int, ranges: range):
     """Rows of COUNTS of the n-grams that fall into `ranges`."""
 
     def run(batches):
-        for words, _, _ in token_lots((b.column("text") for b in batches), order, COUNTED):
+        for (*words, _), _, _ in token_lots((b.column("text") for b in batches), order, COUNTED):
             key = gram_keys(context_hash(words[:-1]), words[-1], spread) if order > 1 else bs.mix(words[-1])
             place = range_of(key, n_ranges)
             mine = np.flatnonzero((place >= ranges[0]) & (place <= ranges[-1]))
             first, key, many = _summed(key[mine], np.ones(len(mine), dtype=np.int64))
             if len(key):
-                yield _gram_rows([w[mine[first]] for w in words], key, n_ranges, many, many)
+                yield _gram_rows([w[mine[first]] for w in words], key, n_ranges, many)
+
+    return run
+
+
+def _count_words(n_ranges: int):
+    """Rows of COUNTS of single words with all their bits, which are their keys."""
+
+    def run(batches):
+        for (_, whole), _, _ in token_lots((b.column("text") for b in batches), 1, COUNTED):
+            _, key, many = _summed(whole, np.ones(len(whole), dtype=np.int64))
+            yield _gram_rows([key], key, n_ranges, many)
+
+    return run
+
+
+def _words(shelf: Shelf):
+    """Stores ranges of words, from rows of COUNTS sorted by range; of each range, its tokens and its different words."""
+
+    def run(batches):
+        now, parts = None, []
+
+        def finish():
+            _, key, seen = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            shelf.write("word", now, key=key, seen=small(seen))
+            return pa.RecordBatch.from_arrays([pa.array([int(seen.sum())]), pa.array([len(key)])], names=["tokens", "words"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["range"] != now:
+                    if parts:
+                        yield finish()
+                    now, parts = r["range"], []
+                (key,) = _unpacked_words(r["words"], 1)
+                parts.append((key, _unpacked_counts(r["many"], len(key))))
+        if parts:
+            yield finish()
 
     return run
 
@@ -332,26 +372,26 @@ _STAT_NAMES = [c.split()[0] for c in STATS.split(", ")]
 
 
 def _stat_rows(kind: int, order: int, context: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """Kind 1: a range's numbers of n-grams that are counted once, twice, three, four and more times. Kind 3: a range of words' totals."""
+    """Kind 1: a range's numbers of n-grams that are counted once, twice, three, four and more times. Kind 3: a range of words' total."""
     n = len(context)
     cols = [pa.array(c.astype(np.int64)) for c in (*columns, *[np.zeros(n)] * (5 - len(columns)))]
     return pa.RecordBatch.from_arrays([*[pa.array(np.full(n, x, dtype=np.int32)) for x in (kind, order)], pa.array(context.view(np.int64)), *cols], names=_STAT_NAMES)
 
 
 def _stored(shelf: Shelf, order: int, spread: np.ndarray, i: int, parts: list) -> tuple:
-    """Adds up and stores a range's n-grams of an order and their contexts; returns the n-grams' words, counts and occurrences, and rows of STATS or blocks of spread contexts' sums."""
+    """Adds up and stores a range's n-grams of an order and their contexts; returns the n-grams' words and rows of STATS or blocks of spread contexts' sums."""
     words = [np.concatenate([p[0][j] for p in parts]) for j in range(order)]
-    many, seen = (np.concatenate([p[j] for p in parts]).astype(np.int64) for j in (1, 2))
+    many = np.concatenate([p[1] for p in parts])
     context = context_hash(words[:-1]) if order > 1 else None
     key = gram_keys(context, words[-1], spread) if order > 1 else bs.mix(words[-1])
-    first, key, many, seen = _summed(key, many, seen)
+    first, key, many = _summed(key, many)
     words = [w[first] for w in words]
     counts = [int((many == c).sum()) for c in (1, 2, 3, 4)]
     stats = [_stat_rows(1, order, np.zeros(1, dtype=U), *[np.array([c]) for c in (*counts, int((many > 4).sum()))])]
     if order == 1:
-        shelf.write("gram1", i, key=key, many=small(many), seen=small(seen))
-        stats.append(_stat_rows(3, order, np.zeros(1, dtype=U), np.array([many.sum()]), np.array([seen.sum()]), np.array([len(key)])))
-        return words, many, seen, stats
+        shelf.write("gram1", i, key=key, many=small(many))
+        stats.append(_stat_rows(3, order, np.zeros(1, dtype=U), np.array([many.sum()])))
+        return words, stats
     context, word = context[first], key.astype(np.uint32)
     by = np.lexsort((word, context)) if np.isin(context, spread).any() else np.argsort(context, kind="stable")
     context, word, counted = context[by], word[by], many[by]
@@ -371,7 +411,7 @@ def _stored(shelf: Shelf, order: int, spread: np.ndarray, i: int, parts: list) -
         told = np.zeros((4, BLOCK), dtype=np.int64)
         told[:, at[own] % BLOCK] = [s[hot[own]] for s in sums]
         stats.append((block, told.tobytes()))
-    return words, many, seen, stats
+    return words, stats
 
 
 PASSED = f"{COUNTS}, {STATS}"
@@ -392,23 +432,22 @@ def _ranges(shelf: Shelf, order: int, spread: np.ndarray, below: np.ndarray):
             yield pa.RecordBatch.from_arrays([*[pa.nulls(len(s), t) for t in _TYPES], *s.columns], names=_ALL)
 
     def passed_on(held):
-        words = [np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True)]
-        seen = np.concatenate([h[1] for h in held])
+        words = [np.concatenate(x) for x in zip(*held, strict=True)]
         held.clear()
         key = gram_keys(context_hash(words[:-1]), words[-1], below) if order > 2 else bs.mix(words[-1])
-        first, key, many, seen = _summed(key, np.ones(len(key), dtype=np.int64), seen)
-        rows = _gram_rows([w[first] for w in words], key, shelf.n_ranges, many, seen)
+        first, key, many = _summed(key, np.ones(len(key), dtype=np.int64))
+        rows = _gram_rows([w[first] for w in words], key, shelf.n_ranges, many)
         return pa.RecordBatch.from_arrays([*rows.columns, *[pa.nulls(len(rows), t) for t in _STAT_TYPES]], names=_ALL)
 
     def run(batches):
         now, parts, held = None, [], []
 
         def finish():
-            words, _, seen, stats = _stored(shelf, order, spread, now, parts)
+            words, stats = _stored(shelf, order, spread, now, parts)
             if order > 1:
-                held.append((words[1:], seen))
+                held.append(words[1:])
             yield from told(stats)
-            if sum(len(h[1]) for h in held) >= COUNTED:
+            if sum(len(h[0]) for h in held) >= COUNTED:
                 yield passed_on(held)
 
         for batch in batches:
@@ -418,8 +457,7 @@ def _ranges(shelf: Shelf, order: int, spread: np.ndarray, below: np.ndarray):
                         yield from finish()
                     now, parts = r["range"], []
                 words = _unpacked_words(r["words"], order)
-                many = _unpacked_counts(r["many"], len(words[0]))
-                parts.append((words, many, _unpacked_counts(r["seen"], len(many)) + many - 1))
+                parts.append((words, _unpacked_counts(r["many"], len(words[0]))))
         if parts:
             yield from finish()
         if held:
@@ -470,6 +508,9 @@ class NgramModel:
         spread = frequent_contexts(texts, order, shelf.n_ranges)
         none = np.zeros(0, dtype=U)
         texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
+        counted, folder = written(by_ranges(texts.transform(in_python, _count_words(n), COUNTS), "range").transform(in_python, _words(shelf), "tokens long, words long"))
+        tokens, words = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "words")]).first()
+        discard(spark, folder)
         above, folders, added = None, [], []
         sums = {k: np.zeros((4, len(spread[k])), dtype=np.int64) for k in spread}
         for k in range(order, 0, -1):
@@ -488,22 +529,25 @@ class NgramModel:
             added += above.where("kind <> 2").groupBy("kind", "order").agg(*[F.sum(c).alias(c) for c in (*SUMS, "four")]).collect()
         for folder in folders:
             discard(spark, folder)
-        tallies, totals = {k: [0] * 5 for k in range(1, order + 1)}, [0, 0, 0]
+        tallies, pairs = {k: [0] * 5 for k in range(1, order + 1)}, 0
         for r in added:
             if r.kind == 1:
                 tallies[r.order] = [r.total, r.one, r.two, r.more, r.four]
             else:
-                totals = [r.total, r.one, r.two]
+                pairs = r.total
         d = {k: discounts(t[:4]) for k, t in tallies.items()}
-        pairs, tokens, words = totals
         t = tallies[1]
         gamma = float(d[1][1] * t[0] + d[1][2] * t[1] + d[1][3] * (t[2] + t[3] + t[4])) / pairs if pairs else 1.0
         return cls(shelf, order, d, spread, sums, tokens, words, pairs, gamma)
 
     def score(self, words: list[np.ndarray], doc: np.ndarray, texts: int) -> dict[str, np.ndarray]:
         """Of each text of a lot, what SCORES has."""
-        known, _, at = _distinct(bs.mix(words[-1]))
-        many, seen = self.shelf.look("gram1", known, ("many", "seen"))
+        *words, whole = words
+        whole, _, at = _distinct(whole)
+        (seen,) = self.shelf.look("word", whole, ("seen",))
+        known, many = bs.mix(whole >> WORD_BITS), np.zeros(len(whole), dtype=np.int64)
+        by = np.argsort(known)
+        (many[by],) = self.shelf.look("gram1", known[by], ("many",))
         base = np.log10((seen + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
         kept = np.maximum(many - self.discounts[1][np.minimum(many, 3)], 0) / max(self.pairs, 1)
         p = (kept + self.word_gamma / (self.words + 1))[at]
@@ -535,7 +579,7 @@ def frequent_contexts(texts: DataFrame, order: int, n_ranges: int) -> dict[int,
     """
 
     def run(batches):
-        for words, *_ in token_lots((b.column("text") for b in batches), order, SCORED):
+        for (*words, _), *_ in token_lots((b.column("text") for b in batches), order, SCORED):
             for k in range(2, order + 1):
                 h, n = np.unique(context_hash(words[-k:-1]), return_counts=True)
                 often = n > 1
