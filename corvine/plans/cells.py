@@ -32,6 +32,8 @@ from .store import kept, scratch
 CELLS, SAMPLE_PER_CELL, ROUNDS, LOT, SALTED, BLOCK = 4096, 32, 8, 8192, 16, 1024
 #: Codes that are ranked again, for each result; neighbours of the sample that the probed cells must hold, and how many of it ask.
 AGAIN, HELD, ASKING = 8, 0.95, 256
+#: Distances held at once: what a worker's memory for them follows, however many cells there are and however long batches are.
+DISTANCES = 1 << 20
 SLACK = 1e-6
 
 
@@ -50,11 +52,21 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1), 0)
 
 
+def slices(rows: int, others: int):
+    """Ranges of rows whose distances to `others` are DISTANCES together, about."""
+    step = max(1, DISTANCES // max(1, others))
+    return ((i, min(i + step, rows)) for i in range(0, rows, step))
+
+
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=np.int64), *(squared(x[a:b], centres).argmin(1) for a, b in slices(len(x), len(centres)))])
+
+
 def fitted(sample: np.ndarray, cells: int) -> np.ndarray:
     """k-means centres; the first are rows of the sample, a centre that loses its rows stays where it was."""
     centres = sample[:cells].copy()
     for _ in range(ROUNDS if len(sample) else 0):
-        near = squared(sample, centres).argmin(1)
+        near = nearest_centre(sample, centres)
         many = np.bincount(near, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, near, sample)
@@ -66,13 +78,14 @@ def probes_needed(sample: np.ndarray, centres: np.ndarray, k: int = 10) -> int:
     """Cells that a query has to visit for HELD of its nearest rows, by the first ASKING rows of the sample."""
     if len(sample) < 2:
         return 1
-    asked = sample[:ASKING]
-    d2 = squared(asked, sample)
-    d2[np.arange(len(asked)), np.arange(len(asked))] = np.inf
-    near = np.argsort(d2, axis=1)[:, : max(1, min(k, len(sample) - 1))]
-    place = np.argsort(np.argsort(squared(asked, centres), axis=1), axis=1)
-    visits = np.take_along_axis(place, squared(sample, centres).argmin(1)[near], axis=1) + 1
-    return int(np.quantile(visits, HELD, method="higher"))
+    asked, cell, visits = sample[:ASKING], nearest_centre(sample, centres), []
+    for a, b in slices(len(asked), len(sample)):
+        d2 = squared(asked[a:b], sample)
+        d2[np.arange(b - a), np.arange(a, b)] = np.inf
+        near = np.argsort(d2, axis=1)[:, : max(1, min(k, len(sample) - 1))]
+        place = np.argsort(np.argsort(squared(asked[a:b], centres), axis=1), axis=1)
+        visits.append(np.take_along_axis(place, cell[near], axis=1) + 1)
+    return int(np.quantile(np.concatenate(visits), HELD, method="higher"))
 
 
 def _coded(shared):
@@ -84,7 +97,7 @@ def _coded(shared):
             if not len(batch):
                 continue
             x = _matrix(batch.column(1))
-            cell = squared(x, centres).argmin(1)
+            cell = nearest_centre(x, centres)
             rest = x - centres[cell]
             scale = (np.abs(rest).max(1) / 127).astype(np.float32)
             code = np.rint(rest / np.where(scale > 0, scale, 1)[:, None]).clip(-127, 127).astype(np.int8)
@@ -123,19 +136,20 @@ def _visits(shared, probes: int | None):
         for batch in batches:
             if not len(batch):
                 continue
-            q = _matrix(batch.column(1))
-            d = np.sqrt(squared(q, centres))
-            reach = batch.column(2).to_numpy(zero_copy_only=False)
-            if probes is None:
-                row, cell = np.nonzero(d - radius <= (reach + SLACK * (1 + d.max(1)))[:, None])
-            else:
-                cell = np.argpartition(d, probes - 1, axis=1)[:, :probes].ravel()
-                row = np.repeat(np.arange(len(q)), min(probes, d.shape[1]))
-            raw = [v.tobytes() for v in q]
-            step = 1 << 14
-            for i in range(0, len(row), step):
-                r = row[i : i + step]
-                yield pa.RecordBatch.from_arrays([pa.array(cell[i : i + step].astype(np.int32)), batch.column(0).take(pa.array(r)), pa.array([raw[x] for x in r.tolist()], pa.binary()), pa.array(reach[r])], names=["cell", "qid", "q", "reach"])
+            whole, wide = _matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
+            for a, b in slices(len(whole), len(centres)):
+                q, reach, ids = whole[a:b], wide[a:b], batch.column(0).slice(a, b - a)
+                d = np.sqrt(squared(q, centres))
+                if probes is None:
+                    row, cell = np.nonzero(d - radius <= (reach + SLACK * (1 + d.max(1)))[:, None])
+                else:
+                    cell = np.argpartition(d, probes - 1, axis=1)[:, :probes].ravel()
+                    row = np.repeat(np.arange(len(q)), min(probes, d.shape[1]))
+                raw = [v.tobytes() for v in q]
+                step = 1 << 14
+                for i in range(0, len(row), step):
+                    r = row[i : i + step]
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[i : i + step].astype(np.int32)), ids.take(pa.array(r)), pa.array([raw[x] for x in r.tolist()], pa.binary()), pa.array(reach[r])], names=["cell", "qid", "q", "reach"])
 
     return run
 
@@ -169,15 +183,16 @@ def _scored(shared, best: int | None):
                 own, qid = np.frombuffer(ids, dtype=np.int64), np.frombuffer(qids, dtype=np.int64)
                 x = np.frombuffer(codes, dtype=np.int8).reshape(len(own), -1) * np.frombuffer(scales, dtype=np.float32).astype(np.float64)[:, None] + centres[cell]
                 q = np.frombuffer(qs).reshape(len(qid), -1)
-                d = np.sqrt(squared(q, x))
-                if best is None:
-                    bound = np.frombuffer(reaches)[:, None] + np.frombuffer(errs) + SLACK * (1 + d)
-                    r, at = np.nonzero(d <= bound)
-                else:
-                    n = min(best, len(own))
-                    at = np.argpartition(d, n - 1, axis=1)[:, :n].ravel()
-                    r = np.repeat(np.arange(len(qid)), n)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(own[at]), pa.array(d[r, at])], names=["qid", "id", "d"])
+                reach, err = np.frombuffer(reaches), np.frombuffer(errs)
+                for a, b in slices(len(qid), len(own)):
+                    d = np.sqrt(squared(q[a:b], x))
+                    if best is None:
+                        r, at = np.nonzero(d <= reach[a:b, None] + err + SLACK * (1 + d))
+                    else:
+                        n = min(best, len(own))
+                        at = np.argpartition(d, n - 1, axis=1)[:, :n].ravel()
+                        r = np.repeat(np.arange(b - a), n)
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[a:b][r]), pa.array(own[at]), pa.array(d[r, at])], names=["qid", "id", "d"])
 
     return run
 
