@@ -1,8 +1,10 @@
 """Keyed state in streams: changes of a key's state, debounced batches by event time, idempotent upserts.
 
-State is kept in Spark's state store by key and moves with the checkpoint, so a stopped or failed query
-goes on where it was. What a key's state holds is bounded: its last value; the times of events that may
-still be joined by others; nothing for upserts, whose state is the table.
+State is kept in Spark's state store and moves with the checkpoint, so a stopped or failed query goes on
+where it was. What a key's state holds is bounded: its last value; the times of events that may still be
+joined by others; nothing for upserts, whose state is the table. Keys are grouped by hash into buckets, whose
+rows are worked on as arrays: a call into Python costs far more than a key's rows. A batch rewrites the buckets
+that it touches, and a bucket's rows of one batch are in memory together, so many more keys want more buckets.
 """
 
 from __future__ import annotations
@@ -11,11 +13,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import DecimalType, FractionalType, IntegerType, IntegralType, StructField, StructType, TimestampType
 
 from ..operators.versions import latest
 from ..plans.store import kept
@@ -23,49 +27,117 @@ from ..plans.store import kept
 #: State of several columns, and timers, need this store.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-
-class LastState(StatefulProcessor):
-    """Rows whose state differs from the last one of their key."""
-
-    def __init__(self, names: list[str], state: str, order: list[str], kinds: str, expiry_ms: int | None):
-        self.names, self.state, self.order, self.kinds, self.expiry_ms = names, state, order, kinds, expiry_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", self.kinds, self.expiry_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(rows)
-        new.columns = [*self.names, "_us"]  # Spark renames what isn't an identifier
-        new = new.sort_values(["_us", *self.order], kind="stable", na_position="first")
-        times, states = new["_us"].to_numpy(), new[self.state]
-        before, since = (self.last.get() if self.last.exists() else (None, None))
-        if since is not None:
-            late = times < since
-            new, times, states = new[~late], times[~late], states[~late]
+#: Groups of keys in a stream's state.
+BUCKETS = 512
+
+
+def _sent(fields: list[StructField]) -> tuple[list[Column], list[Column]]:
+    """Columns `_<i>` as pandas holds them without loss, nulls of numbers and times apart as `_<i>n`; and what makes `fields` of them again."""
+    out, back = [], []
+    for i, f in enumerate(fields):
+        c, kind, name = F.col("`" + f.name.replace("`", "``") + "`"), f.dataType, f"_{i}"
+        if isinstance(kind, TimestampType):
+            value, restored = F.unix_micros(c), F.timestamp_micros(name)
+        elif isinstance(kind, IntegralType):
+            value, restored = c, F.col(name)
+        elif isinstance(kind, FractionalType) and not isinstance(kind, DecimalType):
+            value, restored = c, F.coalesce(name, F.lit(float("nan")).cast(kind))  # NaN comes back as null
+        else:
+            out, back = [*out, c.alias(name)], [*back, F.col(name).alias(f.name)]
+            continue
+        zero = F.lit(0) if isinstance(kind, TimestampType) else F.lit(0).cast(kind)
+        out += [F.coalesce(value, zero).alias(name), c.isNull().alias(f"{name}n")]
+        back.append(F.when(~F.col(f"{name}n"), restored).alias(f.name))
+    return out, back
+
+
+def _of(rows: pd.DataFrame | list[str], i: int) -> list[str]:
+    return [c for c in (f"_{i}", f"_{i}n") if c in rows]
+
+
+def _codes(*tables: pd.DataFrame) -> list[np.ndarray]:
+    """A number for each distinct row of all tables, from 0; null equals null."""
+    found = pd.concat(tables, ignore_index=True)
+    codes = found.groupby([*found.columns], sort=False, dropna=False).ngroup().to_numpy()
+    return np.split(codes, np.cumsum([len(t) for t in tables])[:-1])
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    batch, sink = pa.RecordBatch.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes) -> pd.DataFrame:
+    with pa.ipc.open_stream(packed) as rows:
+        return rows.read_pandas()
+
+
+def _ranks(rows: pd.DataFrame, i: int) -> list[np.ndarray]:
+    """What sorts rows by column i, nulls first, from its last key to its first as lexsort takes them."""
+    if f"_{i}n" in rows:
+        return [rows[f"_{i}"].to_numpy(), ~rows[f"_{i}n"].to_numpy(dtype=bool)]
+    return [pd.factorize(rows[f"_{i}"], sort=True)[0]]
+
+
+def _last_states(key: int, state: int, order: list[int], names: list[str], expiry_ms: int | None):
+    """Rows whose state differs from the last one of their key. A group's state is a table of its keys: key, state, time, and when it was written."""
+
+    def run(_, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        now = group.getCurrentProcessingTimeMs()
+        last = _unpacked(group.get[0]) if group.exists else None
+        if last is not None and expiry_ms:
+            last = last[last["_seen"] + expiry_ms > now]
+        if last is not None and not len(last):
+            last = None
+        new = pd.concat(parts, ignore_index=True)
+        new["_seen"] = now
+        ids, states = _of(names, key), _of(names, state)
+        held = new.iloc[:0] if last is None else last
+        known, codes = _codes(held[ids], new[ids]) if len(held) else (np.empty(0, dtype=np.int64), *_codes(new[ids]))
+        before, after = _codes(held[states], new[states]) if len(held) else (known, *_codes(new[states]))
+        at = np.full(1 + max(codes.max(), known.max(initial=0)), -1)
+        at[known] = np.arange(len(known))
+        times = new["_us"].to_numpy()
+        if len(held):
+            late = (at[codes] >= 0) & (times < held["_us"].to_numpy()[at[codes]])
+            new, codes, after, times = new[~late], codes[~late], after[~late], times[~late]
         if not len(new):
             return
-        values = [None if pd.isna(s) else s for s in states.tolist()]
-        changed = [a != b for a, b in zip(values, [before, *values[:-1]], strict=True)]
-        changed[0] |= since is None
-        self.last.update((values[-1], int(times[-1])))
-        yield new[self.names][np.array(changed)]
+        placed = np.lexsort([*(r for i in reversed(order) for r in _ranks(new, i)), times, codes])
+        new, codes, after = new.iloc[placed], codes[placed], after[placed]
+        first = np.r_[True, codes[1:] != codes[:-1]]
+        changed = np.r_[True, after[1:] != after[:-1]] | first
+        old = first & (at[codes] >= 0)
+        changed[old] = before[at[codes[old]]] != after[old]
+        ends = new[np.r_[first[1:], True]][[*dict.fromkeys([*ids, *states]), "_us", "_seen"]]
+        silent = ~np.isin(known, codes)
+        group.update((_packed(pd.concat([last[silent], ends]) if silent.any() else ends),))
+        yield new[names][changed]
 
-    def close(self) -> None:
-        pass
+    return run
 
 
-def changed(stream: DataFrame, key: str, state: str, ts: str, *order: str, expiry_ms: int | None = None) -> DataFrame:
+def changed(stream: DataFrame, key: str, state: str, ts: str, *order: str, expiry_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Rows of a stream whose `state` differs from the one before of their key, in order of ts, then `order`; a key's first row is a change.
 
     The same rows as `versions.changes` gives of a table, whatever the stream is cut into, if later batches are not
     older. A row older than its key's last one comes too late to tell a change and is left out. A key that is silent
-    for expiry_ms of processing time is forgotten; without it none is. Null times come before all others.
+    for expiry_ms of processing time is forgotten, its place with the next row of its bucket; without it none is. Null times come before all others. `buckets`
+    stays as it is for a checkpoint.
     """
-    names = stream.columns
-    rows = stream.withColumn("_us", F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(-(1 << 62))))
-    kind = stream.schema[state].dataType.simpleString()
-    processor = LastState(names, state, [*order], f"state {kind}, us long", expiry_ms)
-    return rows.groupBy(key).transformWithStateInPandas(processor, stream.schema, "Append", "ProcessingTime" if expiry_ms else "None")
+    fields, place = stream.schema.fields, stream.columns.index
+    sent, back = _sent(fields)
+    us = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(-(1 << 62))).alias("_us")
+    rows = stream.select(_bucket(key, buckets), *sent, us)
+    kinds = StructType([StructField(f.name, f.dataType) for f in rows.schema if f.name not in ("_bucket", "_us")])
+    run = _last_states(place(key), place(state), [place(o) for o in order], kinds.names, expiry_ms)
+    return rows.groupBy("_bucket").applyInPandasWithState(run, kinds, "last binary", "append", GroupStateTimeout.NoTimeout).select(*back)
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("_bucket")
 
 
 class Debounce(StatefulProcessor):

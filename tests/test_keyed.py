@@ -75,3 +75,25 @@ def test_slices(spark):
     parts = [p.collect() for p in keyed.slices(rows, "ts", 4)]
     assert sorted(r.id for p in parts for r in p) == [*range(50), 70] and len(parts) == 4
     assert all(max(r.ts for r in a if r.ts) < min(r.ts for r in b) for a, b in zip(parts[:-1], parts[1:], strict=True))
+
+
+def test_changes_of_many_keys(spark, tmp_path):
+    """A call into Python takes a bucket of keys; null keys and ids, and ids beyond what doubles hold, stay as they are in a bucket."""
+    big, kinds = (1 << 60) + 1, "id long, key long, state string, ts timestamp, value double"
+    at = lambda s: START + dt.timedelta(seconds=s)
+    many = [(big + i, None if i % 50 == 0 else big + i % 1500, "ab"[i * 7 % 11 % 2], at(i), None if i % 3 else float("nan")) for i in range(4500)]
+    rows = spark.createDataFrame([*many, (None, 5, None, at(9000), None), (None, 5, None, at(9001), 0.5), (big, 5, "a", None, 1.5)], kinds)
+    got, queries = keyed.replayed(keyed.slices(rows, "ts", 2), str(tmp_path), lambda s: keyed.changed(s, "key", "state", "ts", "id"))
+    want = versions.changes(rows, "key", "state", "ts", "id")
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    assert 0 < queries[-1].lastProgress["stateOperators"][0]["numRowsTotal"] <= keyed.BUCKETS
+
+
+def test_silent_keys_are_forgotten(spark, tmp_path):
+    """Two keys of one bucket: after the time of silence a repeated state is a change again."""
+    at = lambda s: START + dt.timedelta(seconds=s)
+    parts = [[(1, "k", "a", at(1)), (2, "l", "a", at(1))], [(3, "k", "a", at(2))]]
+    frames = [spark.createDataFrame(p, EVENTS) for p in parts]
+    for expiry, want in ((3_600_000, [1, 2]), (1, [1, 2, 3])):
+        got, _ = keyed.replayed(frames, str(tmp_path / str(expiry)), lambda s, e=expiry: keyed.changed(s, "key", "state", "ts", "id", expiry_ms=e, buckets=1))
+        assert sorted(r.id for r in got.collect()) == want
