@@ -16,15 +16,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import DecimalType, FractionalType, IntegerType, IntegralType, StructField, StructType, TimestampType
+from pyspark.sql.types import DecimalType, FractionalType, IntegerType, IntegralType, LongType, StructField, StructType, TimestampType
 
 from ..operators.versions import latest
 from ..plans.store import kept
 
-#: State of several columns, and timers, need this store.
+#: State lies on the executors' disks.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 #: Groups of keys in a stream's state.
@@ -140,62 +139,66 @@ def _bucket(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("_bucket")
 
 
-class Debounce(StatefulProcessor):
-    """A key's batches: each takes what comes within the span of its first event. One is closed by a timer once the watermark has passed its end."""
+def _batches(span: int, key: list[str], names: list[str]):
+    """Batches of a bucket's keys: each takes what comes within the span of its first event, and is closed once the watermark has passed its end. State: numbers of keys that had batches, and times that aren't closed."""
 
-    def __init__(self, span: int, names: list[str]):
-        self.span, self.names = span, names
+    def run(_, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        counts, rows = (_unpacked(p) for p in group.get) if group.exists else (None, None)
+        new = [p[[*key, "_us"]] for p in parts if len(p)]
+        rows = pd.concat([*([] if rows is None or not len(rows) else [rows]), *new], ignore_index=True)
+        if not len(rows):
+            return
+        counted = counts is not None and len(counts)
+        known, codes = _codes(counts[key], rows[key]) if counted else (np.empty(0, dtype=np.int64), *_codes(rows[key]))
+        number = np.zeros(1 + max(codes.max(), known.max(initial=0)), dtype=np.int64)
+        number[known] = counts["_number"].to_numpy() if counted else 0
+        placed = np.lexsort((rows["_us"].to_numpy(), codes))
+        rows, codes, until = rows.iloc[placed], codes[placed], group.getCurrentWatermarkMs() * 1000
+        times = rows["_us"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]).tolist()
+        due, heads, sizes, numbers, left, ends = (times + span <= until).tolist(), [], [], [], np.ones(len(rows), dtype=bool), []
+        for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+            if due[a]:
+                i, n, key_times = a, int(number[codes[a]]), times[a:b]
+                after = (a + np.searchsorted(key_times, key_times + span)).tolist()
+                while i < b and due[i]:
+                    heads.append(i)
+                    sizes.append(after[i - a] - i)
+                    numbers.append(n)
+                    i, n = after[i - a], n + 1
+                number[codes[a]], left[a:i] = n, False
+                if i == b:
+                    continue
+                a = i
+            ends.append(int(times[a]) + span)
+        closed = rows.iloc[heads]
+        ids = pd.concat([counts[key], rows[key]]) if counted else rows[key]
+        of, at = np.unique(np.r_[known, codes], return_index=True)
+        counts = ids.iloc[at].assign(_number=number[of])[number[of] > 0]
+        group.update((_packed(counts), _packed(rows[left])))
+        if ends:  # fires when the watermark is above
+            group.setTimeoutTimestamp(max(1, -(-min(ends) // 1000) - 1))
+        if heads:
+            yield pd.DataFrame({**{k: closed[k].to_numpy() for k in key}, "batch": numbers, "batch_start_us": times[heads], "n": sizes})[names]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "number long, times array<long>")
+    return run
 
-    def _timer(self, old: list[int], new: list[int]) -> None:
-        """One timer a key, at the end of its first batch; they count in milliseconds."""
-        due = [-(-(t[0] + self.span) // 1000) for t in (old, new) if t]
-        if old and new and due[0] == due[1]:
-            return
-        if old:
-            self.handle.deleteTimer(due[0])
-        if new:
-            self.handle.registerTimer(due[-1])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        number, times = self.open.get() if self.open.exists() else (0, [])
-        more = sorted([*times, *(int(t) for part in rows for t in part.iloc[:, -1])])
-        self._timer(list(times), more)
-        self.open.update((number, more))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        number, times = self.open.get()
-        times, until, out = np.array(times, dtype=np.int64), timerValues.getCurrentWatermarkInMs() * 1000, []
-        while len(times) and times[0] + self.span <= until:
-            n = int(np.searchsorted(times, times[0] + self.span))
-            out.append((*key, number, int(times[0]), n))
-            number, times = number + 1, times[n:]
-        left = times.tolist()
-        self.open.update((number, left))
-        if left:
-            self.handle.registerTimer(-(-(left[0] + self.span) // 1000))
-        if out:
-            yield pd.DataFrame(out, columns=self.names)
-
-    def close(self) -> None:
-        pass
-
-
-def debounced(stream: DataFrame, key: str, ts: str, seconds: int, delay: str) -> DataFrame:
+
+def debounced(stream: DataFrame, key: str, ts: str, seconds: int, delay: str, buckets: int = BUCKETS) -> DataFrame:
     """key, batch (from 0), batch_start_us and n, a row for each batch as the watermark passes its end; `versions.debounced` of a stream.
 
     delay: how much later than the newest event one may come, in any order; what comes later than that is dropped by
-    the watermark, and counted in the query's progress (`late_rows`). Null times are left out. A key keeps the times
-    of what isn't closed, so its work follows the rate of events, not their history.
+    the watermark, and counted in the query's progress (`late_rows`). Null times are left out. State holds the times
+    of what isn't closed and a number for each key. `buckets` stays as it is for a checkpoint.
     """
-    kind = stream.schema[key].dataType.simpleString()
-    rows = stream.select(key, F.col(ts).cast("timestamp").alias("_ts")).where("_ts is not null").withColumn("_us", F.unix_micros("_ts"))
-    names = [key, "batch", "batch_start_us", "n"]
-    return rows.withWatermark("_ts", delay).groupBy(key).transformWithStateInPandas(Debounce(seconds * 1_000_000, names), f"`{key}` {kind}, batch long, batch_start_us long, n long", "Append", "EventTime")
+    sent, back = _sent([stream.schema[key]])
+    time = F.col(ts).cast("timestamp")
+    rows = stream.where(time.isNotNull()).select(_bucket(key, buckets), *sent, time.alias("_ts"), F.unix_micros(time).alias("_us")).withWatermark("_ts", delay)
+    found = [StructField(f.name, f.dataType) for f in rows.schema if f.name not in ("_bucket", "_ts", "_us")]
+    kinds = StructType([*found, *(StructField(n, LongType()) for n in ("batch", "batch_start_us", "n"))])
+    run = _batches(seconds * 1_000_000, [f.name for f in found], kinds.names)
+    batches = rows.groupBy("_bucket").applyInPandasWithState(run, kinds, "counts binary, open binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return batches.select(*back, "batch", "batch_start_us", "n")
 
 
 def late_rows(query: StreamingQuery) -> int:

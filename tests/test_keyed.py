@@ -97,3 +97,16 @@ def test_silent_keys_are_forgotten(spark, tmp_path):
     for expiry, want in ((3_600_000, [1, 2]), (1, [1, 2, 3])):
         got, _ = keyed.replayed(frames, str(tmp_path / str(expiry)), lambda s, e=expiry: keyed.changed(s, "key", "state", "ts", "id", expiry_ms=e, buckets=1))
         assert sorted(r.id for r in got.collect()) == want
+
+
+def test_debounce_of_many_keys(spark, tmp_path):
+    """A call into Python takes a bucket of keys; keys beyond what doubles hold, and null, keep apart."""
+    big = (1 << 60) + 1
+    kinds = "key long, ts timestamp"
+    many = [(None if i % 50 == 0 else big + i % 700, START + dt.timedelta(seconds=i * 7)) for i in range(4200)]
+    rows = spark.createDataFrame([*many, (5, None)], kinds)
+    end = spark.createDataFrame([(0, START + dt.timedelta(days=9))], kinds)
+    got, queries = keyed.replayed([*keyed.slices(rows, "ts", 3), end], str(tmp_path), lambda s: keyed.debounced(s, "key", "ts", 6000, "1 minute"))
+    got, want = got.where("not key <=> 0"), versions.debounced(rows, "key", "ts", 6000)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and want.where("n > 1 and batch > 0").count()
+    assert 0 < queries[-1].lastProgress["stateOperators"][0]["numRowsTotal"] <= keyed.BUCKETS
